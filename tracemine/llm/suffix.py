@@ -21,7 +21,9 @@ SHALLOW, WORD = 32, 8
 #: Bytes of text whose anchors are looked for at a time.
 BLOCK = 1 << 21
 #: Occurrences of an anchor from which on it is dealt by longer keys, to as many tasks as there are ranges of starts.
-HOT, RANGES = 2000, 8
+HOT, RANGES = 20_000, 8
+#: Contexts that are sorted together, about: a task's memory, with the contexts of one key, which are HOT at most but for copies of a long passage.
+SORTED = 40_000
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -249,11 +251,26 @@ def repeats(befores: list[bytes], afters: list[bytes], low: np.ndarray, high: np
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the contexts of a partition and gives the repeated stretches: from the first start to LENGTH bytes after the last of a run of starts."""
-    rows = [b for b in batches if len(b)]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
+    """Sorts a partition's contexts, which come by key, in bounded parts that do not split a key; see _stretches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        if sum(map(len, held)) < SORTED:
+            continue
+        t = pa.Table.from_batches(held)
+        keys = t["key"].to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield _stretches(t.slice(0, last))
+            held = t.slice(last).to_batches()
+    if held:
+        yield _stretches(pa.Table.from_batches(held))
+
+
+def _stretches(t: pa.Table) -> pa.RecordBatch:
+    """The repeated stretches of contexts: from the first start to LENGTH bytes after the last of a run of starts."""
     before, texts = t["before"].to_pylist(), t["bytes"].to_pylist()
     low, high = t["low"].to_numpy(), t["high"].to_numpy()
     found = repeats([x[:k][::-1] for x, k in zip(texts, before, strict=True)], [x[k:] for x, k in zip(texts, before, strict=True)], low, high)
@@ -261,7 +278,7 @@ def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     i, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
     at = t["at"].to_numpy()[i].astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(t["id"].to_numpy()[i]), pa.array((at - last + 1).astype(np.int32)), pa.array((at - first + LENGTH).astype(np.int32))], names=["id", "a", "z"])
+    return pa.RecordBatch.from_arrays([pa.array(t["id"].to_numpy()[i]), pa.array((at - last + 1).astype(np.int32)), pa.array((at - first + LENGTH).astype(np.int32))], names=["id", "a", "z"])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -310,7 +327,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = places.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "n")).alias("found"))
     found = texts.select("of", "sha", "id").join(found, "id")
     contexts = rows.select("of", "sha", "text").join(found, ["of", "sha"]).select("id", "text", "found").mapInArrow(_contexts, "key long, id long, at int, before int, bytes binary, low int, high int")
-    spans = contexts.repartition("key").mapInArrow(_repeat_rows, "id long, a int, z int")
+    spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_repeat_rows, "id long, a int, z int")
 
     once = texts.where(f"copies = 1 OR n_bytes < {LENGTH}").select("of", "sha", "id").join(spans.groupBy("id").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "id", "left")
     judged = rows.select("of", "sha", "text").join(once, ["of", "sha"]).select("sha", "text", "spans").mapInArrow(_removed, "sha string, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,z:int>>")
