@@ -69,14 +69,13 @@ def close_over_callers(judgement: DataFrame, calls: DataFrame) -> DataFrame:
         if shared is None and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    edges = calls.select(F.col("containing_function").alias("caller"), "name").distinct().checkpoint()
-    banned = judgement.where(F.col("flag") != OK).select("name").checkpoint()
-    names = judgement.select("name")
-    frontier = banned
+    edges = calls.select(F.col("containing_function").alias("caller"), "name").distinct().join(judgement.select("name"), "name", "left_semi").checkpoint()
+    frontier = judgement.where(F.col("flag") != OK).select("name").checkpoint()
+    banned = frontier
     while not frontier.isEmpty():
         reached = edges.join(frontier.withColumnRenamed("name", "caller"), "caller", "left_semi").select("name").distinct()
-        frontier = reached.join(names, "name", "left_semi").join(banned, "name", "left_anti").checkpoint()
-        banned = banned.unionByName(frontier).checkpoint()
+        frontier = reached.join(banned, "name", "left_anti").checkpoint()
+        banned = banned.unionByName(frontier)
     return _ban(judgement, banned)
 
 

@@ -159,7 +159,7 @@ def generation_funnel(cands: DataFrame, by: str = "atp") -> DataFrame:
     reason = F.lit("success")
     for r in reversed(REASONS[:-1]):
         reason = F.when(F.col(r), r).otherwise(reason)
-    return cands.withColumn("reason", reason).groupBy(by).pivot("reason", list(REASONS)).agg(F.count("*")).na.fill(0)
+    return cands.withColumn("reason", reason).groupBy(by).pivot("reason", list(REASONS)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def potential_totals(bugs: DataFrame, strict: bool = False) -> DataFrame:

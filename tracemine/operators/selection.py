@@ -37,7 +37,7 @@ def bug_detail(bugs: DataFrame, dua_bytes: DataFrame, atps: DataFrame) -> DataFr
     """Bugs with their trigger's bytes (``low``, ``high``), those of the first extra (null without one) and the point's ``file``, ``line``, ``atp_type``, in order of ``bug``."""
     extra = dua_bytes.select(F.col("dua_bytes").alias("__extra"), F.col("low").alias("extra_low"), F.col("high").alias("extra_high"))
     own = dua_bytes.select(F.col("dua_bytes").alias("trigger"), "low", "high")
-    joined = bugs.withColumn("__first", F.get("extra_duas", F.lit(0))).join(own, "trigger").join(extra, F.col("__first") == F.col("__extra"), "left").join(atps.select("atp", "file", "line", F.col("type").alias("atp_type")), "atp")
+    joined = bugs.select("bug", "kind", "trigger", "atp", "extra_duas").withColumn("__first", F.get("extra_duas", F.lit(0))).join(own, "trigger").join(extra, F.col("__first") == F.col("__extra"), "left").join(atps.select("atp", "file", "line", F.col("type").alias("atp_type")), "atp")
     return joined.select("bug", "kind", "trigger", "low", "high", "extra_low", "extra_high", "file", "line", "atp_type").orderBy("bug")
 
 
@@ -45,7 +45,7 @@ def bug_report(bugs: DataFrame, dua_bytes: DataFrame, duas: DataFrame, atps: Dat
     """A row per bug and extra DUA (``pos`` null without any): the point, the trigger's ``lval``, ``max_tcn``, ``max_liveness``, and ``missing``: whether the extra is unknown."""
     trigger = dua_bytes.join(duas, "dua").select(F.col("dua_bytes").alias("trigger"), "lval", "max_tcn")
     known = dua_bytes.select(F.col("dua_bytes").alias("extra"), F.lit(True).alias("__known"))
-    rows = bugs.join(trigger, "trigger").join(atps.select("atp", "file", "line"), "atp").select("bug", "kind", "file", "line", "lval", "max_tcn", "max_liveness", F.posexplode_outer("extra_duas").alias("pos", "extra"))
+    rows = bugs.select("bug", "kind", "trigger", "atp", "max_liveness", "extra_duas").join(trigger, "trigger").join(atps.select("atp", "file", "line"), "atp").select("bug", "kind", "file", "line", "lval", "max_tcn", "max_liveness", F.posexplode_outer("extra_duas").alias("pos", "extra"))
     return rows.join(known, "extra", "left").withColumn("missing", F.col("extra").isNotNull() & F.col("__known").isNull()).drop("__known")
 
 
