@@ -70,12 +70,12 @@ def close_over_callers(judgement: DataFrame, calls: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     edges = calls.select(F.col("containing_function").alias("caller"), "name").distinct().join(judgement.select("name"), "name", "left_semi").checkpoint()
-    frontier = judgement.where(F.col("flag") != OK).select("name").checkpoint()
-    banned = frontier
-    while not frontier.isEmpty():
-        reached = edges.join(frontier.withColumnRenamed("name", "caller"), "caller", "left_semi").select("name").distinct()
-        frontier = reached.join(banned, "name", "left_anti").checkpoint()
-        banned = banned.unionByName(frontier)
+    banned, i = judgement.where(F.col("flag") != OK).select("name", F.lit(0).alias("round")).checkpoint(), 0
+    while not banned.where(F.col("round") == i).isEmpty():
+        frontier = banned.where(F.col("round") == i).select(F.col("name").alias("caller"))
+        reached = edges.join(frontier, "caller", "left_semi").select("name").distinct().join(banned.select("name"), "name", "left_anti")
+        i += 1
+        banned = banned.unionByName(reached.withColumn("round", F.lit(i))).checkpoint()
     return _ban(judgement, banned)
 
 

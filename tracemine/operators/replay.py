@@ -13,7 +13,8 @@ from tracemine.functions.scalars import basename, is_header_file, parse_ast_loc,
 from tracemine.schemas import UNKNOWN_FILE
 from tracemine.sources.logs import first_by
 
-_ORDER = Window.partitionBy("trace_id").orderBy("seq")
+def _order():
+    return Window.partitionBy("trace_id").orderBy("seq")
 
 
 def flatten_log(log: DataFrame) -> DataFrame:
@@ -40,19 +41,19 @@ def assign_input_file(entries: DataFrame) -> DataFrame:
 
 def assign_trace_index(entries: DataFrame) -> DataFrame:
     """Adds ``trace_index``: how many sourceTraceId entries of the trace come before this one."""
-    return entries.withColumn("trace_index", F.coalesce(F.sum((F.col("kind") == "sourceTraceId").cast("long")).over(_ORDER.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return entries.withColumn("trace_index", F.coalesce(F.sum((F.col("kind") == "sourceTraceId").cast("long")).over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def source_traces(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``trace_id``, ``index``, ``loc`` of the steps of the source trace, in order; dictionary: ``id``, ``value``. Steps without a location have a null loc."""
-    steps = entries.where("kind = 'sourceTraceId'").withColumn("index", F.row_number().over(_ORDER).cast("long") - 1)
+    steps = entries.where("kind = 'sourceTraceId'").withColumn("index", F.row_number().over(_order()).cast("long") - 1)
     return steps.join(dictionary, steps["loc_id"] == dictionary["id"], "left").select("trace_id", "index", parse_ast_loc("value").alias("loc"))
 
 
 def call_depths(calls: DataFrame) -> DataFrame:
     """Adds ``depth``, the open frames after each entry of calls (``is_call``): returns on an empty stack are ignored, so the sum of steps is lifted by its least value so far."""
     step = F.when(F.col("is_call"), 1).otherwise(-1)
-    so_far = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = calls.withColumn("__sum", F.sum(step).over(so_far))
     return summed.withColumn("depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(so_far))).drop("__sum")
 
