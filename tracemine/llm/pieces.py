@@ -34,7 +34,9 @@ BYTES = (1 << ID) - 1
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
     """``piece``, ``id``, ``score`` of the model's ordinary pieces. The file's vocabulary has a fixed size, so the table may be broadcast."""
-    return spark.createDataFrame([(p, i, s) for i, (p, s, kind) in enumerate(vocabulary(model)) if kind == "piece"], "piece string, id int, score double")
+    rows = [(p, i, float(s)) for i, (p, s, kind) in enumerate(vocabulary(model)) if kind == "piece"]
+    kinds = (pa.string(), pa.int32(), pa.float64())
+    return spark.createDataFrame(pa.table([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["piece", "id", "score"]))
 
 
 def vocabulary(model: str = MODEL) -> list[tuple[str, float, str]]:
@@ -229,7 +231,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     texts = docs.select("doc_id", empty_if_null("text").alias("text"))
     asked = texts.mapInArrow(_asking(buckets), "bucket int, lines string").repartition("bucket")
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
-    fallback = F.array(*(F.lit(byte_ids[i]) for i in range(256)))
+    fallback = F.split(F.lit(",".join(str(byte_ids[i]) for i in range(256))), ",").cast("array<int>")
     known = encode_words(distinct, piece_table(spark, model), ("bucket", "word")).withColumnRenamed("bucket", "of")
     known = known.select("of", "word", F.when(F.exists("ids", lambda i: i < 0), F.transform("ids", lambda i: F.when(i >= 0, i).otherwise(F.get(fallback, -1 - i)))).otherwise(F.col("ids")).alias("ids"))
     answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, words binary, sizes binary, ids binary")
@@ -242,7 +244,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     Control ids and ids outside the vocabulary add nothing; null ids give null.
     """
-    raw = F.array(*(F.lit(p if kind == "byte" else p.encode().hex().upper() if kind == "piece" else "") for p, _, kind in vocabulary(model)))
+    # one constant, split when the plan is optimised
+    raw = F.split(F.lit(",".join(p if kind == "byte" else p.encode().hex().upper() if kind == "piece" else "" for p, _, kind in vocabulary(model))), ",")
     joined = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(raw, i), F.lit(""))), "")
     text = F.replace(F.make_valid_utf8(F.unhex(joined).cast("string")), F.lit(SPACE), F.lit(" "))
     return encoded.withColumn("text", F.when(F.col("ids").isNotNull(), F.substr(text, F.lit(1) + F.when(text.startswith(" "), 1).otherwise(0))))
