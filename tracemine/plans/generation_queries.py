@@ -76,12 +76,11 @@ def g3_ret_buffer_bugs(duas, labels, branches):
 @query(
     f"""SELECT inputfile, atp, lval, instr, dua, pad FROM (SELECT *, {_FIRST} FROM
         (SELECT e.inputfile, e.atp, e.instr, e.pad, t.lval, t.dua, t.instr AS dua_instr FROM
-          (SELECT e.inputfile, e.atp, e.instr, arg_max(p.dua, (p.instr, p.dua)) AS pad FROM (SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type = 2 AND instr % 7 = 0) e JOIN ({_READY}) p ON p.inputfile = e.inputfile AND p.ready < e.instr AND p.run >= 8 GROUP BY e.inputfile, e.atp, e.instr) e
+          (SELECT e.inputfile, e.atp, e.instr, arg_max(p.dua, (p.instr, p.dua)) AS pad FROM (SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type = 2) e JOIN ({_READY}) p ON p.inputfile = e.inputfile AND p.ready < e.instr AND p.run >= 8 GROUP BY e.inputfile, e.atp, e.instr) e
          JOIN ({_READY}) t ON t.inputfile = e.inputfile AND t.ready < e.instr AND t.dua <> e.pad JOIN {_SETS} a ON a.dua = e.pad JOIN {_SETS} b ON b.dua = t.dua WHERE NOT list_has_any(a.s, b.s)) x) y WHERE k = 1""",
-    execs="SELECT inputfile, atp, instr FROM fx_exec WHERE atp_type = 2 AND instr % 7 = 0", **_DUAS,
+    execs="SELECT inputfile, atp, instr FROM fx_exec WHERE atp_type = 2", **_DUAS,
 )
 def g4_padded_bugs(execs, duas, labels, branches):
-    """Executions whose instr is divisible by seven stand for one kind of point."""
     return G.padded_bugs(execs, ready_duas(duas, labels, branches))
 
 
@@ -120,7 +119,7 @@ def g7_online_bugs(probes, rows, death):
     return G.online_bugs(probes, alive, [3, 4]).drop("trace_id")
 
 
-@query(_online("<", "p.probe_seq % 2 = 0"), probes=f"SELECT trace_id, probe_seq, atp, 20 AS len, CASE WHEN probe_seq % 4 = 0 THEN 20 ELSE 0 END AS pad, probe_seq % 4 = 2 AS fake FROM ({_PROBES}) p", **_ROWS)
+@query(_online("<", "(p.atp LIKE '%1' OR p.atp LIKE '%2')"), probes=f"SELECT trace_id, probe_seq, atp, 20 AS len, CASE WHEN atp LIKE '%1' THEN 20 ELSE 0 END AS pad, atp LIKE '%2' AS fake FROM ({_PROBES}) p", **_ROWS)
 def g8_ret_buffer_online(probes, rows, death):
     alive = lifetimes(rows, death).withColumn("dua", F.col("seq"))
     return G.ret_buffer_online(probes, alive).drop("trace_id")
@@ -129,15 +128,15 @@ def g8_ret_buffer_online(probes, rows, death):
 @query(
     f"""SELECT bug, CAST(x AS STRING) AS extra FROM (SELECT bug, x, n_labels, row_number() OVER (PARTITION BY bug ORDER BY r) AS k FROM
           (SELECT b.dua AS bug, d.dua AS x, b.s AS bs, d.s AS ds, len(b.s) + len(d.s) AS n_labels, count(*) OVER (PARTITION BY b.dua) AS n, row_number() OVER (PARTITION BY b.dua ORDER BY md5(concat('0:0:', b.dua, ':', d.dua)), d.dua) AS r
-           FROM (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE f.dua % 5 = 0) b JOIN (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d ON b.inputfile = d.inputfile AND d.instr < b.instr) c
+           FROM (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE f.fake_dua) b JOIN (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d ON b.inputfile = d.inputfile AND d.instr < b.instr) c
          WHERE n > 1 AND r <= 2 AND NOT list_has_any(bs, ds)) e WHERE k = 1 AND n_labels >= 4""",
     duas="fx_dua", labels="fx_dua_label",
 )
 def g9_pick_extra_duas(duas, labels):
-    """Every fifth DUA is the trigger of a bug."""
+    """Fake DUAs are the triggers of bugs."""
     sets = labels.groupBy("dua").agg(F.sort_array(F.collect_set("label")).alias("labels"))
-    own = duas.select("dua", "inputfile", "instr").join(sets, "dua")
-    return G.pick_extra_duas(own.where("dua % 5 = 0").withColumnRenamed("dua", "bug"), own, 1).select("bug", shown("extra_duas").alias("extra"))
+    own = duas.select("dua", "inputfile", "instr", "fake_dua").join(sets, "dua")
+    return G.pick_extra_duas(own.where("fake_dua").withColumnRenamed("dua", "bug"), own, 1).select("bug", shown("extra_duas").alias("extra"))
 
 
 @query(
@@ -150,9 +149,10 @@ def g10_bug_max_liveness(duas, labels, branches):
     return G.bug_max_liveness(duas.join(sets, "dua").select(F.col("dua").alias("bug"), "inputfile", F.col("instr").alias("seq"), "labels"), branches)
 
 
-@query("SELECT bug, atp, kind, trigger_lval AS lval FROM fx_bug b WHERE bug % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM fx_bug k WHERE k.bug % 3 = 0 AND k.atp = b.atp AND k.kind = b.kind AND k.trigger_lval = b.trigger_lval)", bugs="SELECT bug, atp, kind, trigger_lval AS lval FROM fx_bug")
-def g11_skip_known_lvals(bugs):
-    return G.skip_known_lvals(bugs.where("bug % 3 <> 0"), bugs.where("bug % 3 = 0"))
+@query("SELECT bug, atp, kind, trigger_lval AS lval FROM fx_bug b WHERE bug NOT IN (SELECT bug FROM fx_build_bug) AND NOT EXISTS (SELECT 1 FROM fx_bug k WHERE k.bug IN (SELECT bug FROM fx_build_bug) AND k.atp = b.atp AND k.kind = b.kind AND k.trigger_lval = b.trigger_lval)", bugs="SELECT bug, atp, kind, trigger_lval AS lval FROM fx_bug", built="fx_build_bug")
+def g11_skip_known_lvals(bugs, built):
+    """Bugs of builds are known."""
+    return G.skip_known_lvals(bugs.join(built, "bug", "left_anti"), bugs.join(built, "bug", "left_semi"))
 
 
 @query("SELECT DISTINCT kind, atp, trigger_ % 50 AS trigger, CAST(bug % 4 AS STRING) AS extra FROM fx_bug", bugs="SELECT kind, atp, trigger_ % 50 AS trigger, array(bug % 4) AS extra_duas FROM fx_bug")

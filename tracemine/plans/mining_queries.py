@@ -35,9 +35,9 @@ _CANDS = f"""SELECT b.seq, b.inputfile, b.lval, CAST(max(b.tcn) AS INT) AS max_t
 
 @query(
     """SELECT q.seq, e.offset_ AS "offset", e.ptr, s.label FROM (SELECT DISTINCT seq, CASE WHEN len > 5 THEN 5 ELSE len END AS len FROM fx_bytes WHERE lval % 10 <> 0) q JOIN fx_bytes e ON e.seq = q.seq AND e.offset_ < q.len
-       JOIN (SELECT ptr % 5000 AS p, min(seq) AS first_seq, arg_min(label1, seq) AS label FROM fx_bytes WHERE seq % 2 = 0 GROUP BY ptr % 5000) s ON e.ptr % 5000 = s.p AND s.first_seq <= e.seq""",
+       JOIN (SELECT ptr % 5000 AS p, min(seq) AS first_seq, arg_min(label1, (seq, offset_)) AS label FROM fx_bytes WHERE tcn < 3 GROUP BY ptr % 5000) s ON e.ptr % 5000 = s.p AND s.first_seq <= e.seq""",
     queries="SELECT DISTINCT 't' AS trace_id, seq, inputfile, lval, CASE WHEN lval % 10 = 0 THEN 'x.h' ELSE 'x.c' END AS filename, len, seq AS instr FROM fx_bytes",
-    elements="SELECT 't' AS trace_id, seq, offset_, ptr, ptr % 5000 AS p, tcn FROM fx_bytes", sets="SELECT 't' AS trace_id, ptr % 5000 AS ptr, min(seq) AS first_seq, min_by(label1, seq) AS labels FROM fx_bytes WHERE seq % 2 = 0 GROUP BY ptr % 5000",
+    elements="SELECT 't' AS trace_id, seq, offset_, ptr, ptr % 5000 AS p, tcn FROM fx_bytes", sets="SELECT 't' AS trace_id, ptr % 5000 AS ptr, min(seq) AS first_seq, min_by(label1, struct(seq, offset_)) AS labels FROM fx_bytes WHERE tcn < 3 GROUP BY ptr % 5000",
 )
 def d1_query_bytes(queries, elements, sets):
     elements = elements.withColumnRenamed("offset_", "offset").withColumn("whole", F.col("ptr")).withColumn("ptr", F.col("p"))
@@ -118,7 +118,7 @@ def d9_dua_lifetimes(rows, death):
     return lifetimes(rows, death).select("seq", "lval", "end", "reason")
 
 
-_PROBES = "SELECT 't' AS trace_id, seq AS probe_seq FROM fx_branch WHERE seq % 5 = 0"
+_PROBES = "SELECT 't' AS trace_id, seq AS probe_seq FROM fx_branch"
 
 
 @query(f'SELECT p.probe_seq, l.seq, l.lval FROM ({_PROBES}) p JOIN ({_LIFE}) l ON l.seq <= p.probe_seq AND (l."end" IS NULL OR p.probe_seq < l."end")', rows="fx_bytes", death="fx_death", probes=_PROBES)
@@ -153,8 +153,8 @@ _EXTENTS = """SELECT seq, lval, inputfile, count(DISTINCT offset_) AS size, max(
 
 
 @query(
-    f"SELECT x.*, upper(hex(substr(c.text, CAST(x.min_label + 1 AS BIGINT), CAST(x.max_label - x.min_label + 1 AS BIGINT)))) AS file_bytes FROM ({_EXTENTS}) x JOIN (SELECT concat('in', CAST(event_id AS STRING)) AS inputfile, concat(props, props, props, props) AS text FROM events WHERE event_id < 16) c ON x.inputfile = c.inputfile",
-    rows="fx_bytes", branches="fx_branch", corpus="SELECT concat('in', CAST(event_id AS STRING)) AS inputfile, CAST(concat(props, props, props, props) AS BINARY) AS content FROM events WHERE event_id < 16",
+    f"SELECT x.*, upper(hex(substr(c.text, CAST(x.min_label + 1 AS BIGINT), CAST(x.max_label - x.min_label + 1 AS BIGINT)))) AS file_bytes FROM ({_EXTENTS}) x JOIN (SELECT concat('in', CAST(event_id % 16 AS STRING)) AS inputfile, concat(max(props), min(props), max(event_type), min(event_type)) AS text FROM events GROUP BY event_id % 16) c ON x.inputfile = c.inputfile",
+    rows="fx_bytes", branches="fx_branch", corpus="SELECT concat('in', CAST(event_id % 16 AS STRING)) AS inputfile, CAST(concat(max(props), min(props), max(event_type), min(event_type)) AS BINARY) AS content FROM events GROUP BY event_id % 16",
 )
 def d13_dead_extents(rows, branches, corpus):
     found = D.dead_extents(tainted(rows).where("NOT untainted"), liveness_snapshot(branches), 8, 5, 2, 2, 5)
@@ -180,7 +180,7 @@ def d15_curtail(log, real):
     return D.curtail(log, real, 20)
 
 
-_POINTS = "SELECT 't' AS trace_id, instr AS probe_seq, atp AS loc, atp_type AS type FROM fx_exec WHERE instr % 3 = 0"
+_POINTS = "SELECT 't' AS trace_id, instr AS probe_seq, atp AS loc, atp_type AS type FROM fx_exec"
 
 
 @query(f'SELECT DISTINCT p.loc, p.type FROM ({_POINTS}) p JOIN ({_LIFE}) l ON l.seq <= p.probe_seq AND (l."end" IS NULL OR p.probe_seq < l."end")', rows="fx_bytes", death="fx_death", points=_POINTS)

@@ -40,7 +40,7 @@ def p3_overconstraint_points(bugs, traces):
     return P.overconstraint_points(bugs, traces)
 
 
-@query("SELECT bug, file, line FROM fx_bug b WHERE NOT EXISTS (SELECT 1 FROM fx_step s WHERE s.file = b.file AND s.line = b.line AND s.index % 2 = 0)", wanted="SELECT bug, file, line FROM fx_bug", placed="SELECT file, line FROM fx_step WHERE index % 2 = 0")
+@query("SELECT bug, file, line FROM fx_bug b WHERE NOT EXISTS (SELECT 1 FROM fx_step s WHERE s.file = b.file AND s.line = b.line AND s.column_ < 4)", wanted="SELECT bug, file, line FROM fx_bug", placed="SELECT file, line FROM fx_step WHERE column_ < 4")
 def p4_unplaced(wanted, placed):
     return P.unplaced(wanted, placed, ["file", "line"]).select("bug", "file", "line")
 

@@ -168,7 +168,7 @@ def f22_path_value(rows):
 
 
 @query(
-    "SELECT CAST(id AS INT) AS id, value FROM fx_dict UNION ALL SELECT CAST(34 + row_number() OVER (ORDER BY seq, value) AS INT) AS id, value FROM (SELECT url AS value, min(page_id) AS seq FROM pages WHERE url NOT IN (SELECT value FROM fx_dict) GROUP BY url)",
+    "SELECT CAST(id AS INT) AS id, value FROM fx_dict UNION ALL SELECT CAST((SELECT max(id) FROM fx_dict) + row_number() OVER (ORDER BY seq, value) AS INT) AS id, value FROM (SELECT url AS value, min(page_id) AS seq FROM pages WHERE url NOT IN (SELECT value FROM fx_dict) GROUP BY url)",
     known="fx_dict", strings="SELECT url AS value, page_id AS seq FROM pages",
 )
 def s4_extend_string_dict(known, strings):

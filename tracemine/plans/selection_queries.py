@@ -33,12 +33,12 @@ def q3_bug_detail(bugs, extras, dua_bytes, atps):
 
 
 @query(
-    """SELECT b.bug, b.kind, a.file, a.line, d.lval, d.max_tcn, b.max_liveness, e.pos, e.dua_bytes AS extra, (e.dua_bytes IS NOT NULL AND e.dua_bytes % 5 = 0) AS missing FROM fx_bug b JOIN fx_dua_bytes t ON b.trigger_ = t.dua_bytes
-       JOIN fx_dua d ON t.dua = d.dua JOIN fx_atp a ON b.atp = a.atp LEFT JOIN fx_bug_extra e ON b.bug = e.bug WHERE t.dua_bytes % 5 <> 0""",
-    dua_bytes="SELECT * FROM fx_dua_bytes WHERE dua_bytes % 5 <> 0", duas="fx_dua", atps=_ATPS, **_BUGS,
+    """SELECT b.bug, b.kind, a.file, a.line, d.lval, d.max_tcn, b.max_liveness, e.pos, e.dua_bytes AS extra, (e.dua_bytes IS NOT NULL AND x.dua_bytes IS NULL) AS missing FROM fx_bug b JOIN fx_dua_bytes t ON b.trigger_ = t.dua_bytes
+       JOIN fx_dua d ON t.dua = d.dua JOIN fx_atp a ON b.atp = a.atp LEFT JOIN fx_bug_extra e ON b.bug = e.bug LEFT JOIN fx_dua_bytes x ON x.dua_bytes = e.dua_bytes AND x.low <> 5 WHERE t.low <> 5""",
+    dua_bytes="SELECT * FROM fx_dua_bytes WHERE low <> 5", duas="fx_dua", atps=_ATPS, **_BUGS,
 )
 def q4_bug_report(bugs, extras, dua_bytes, duas, atps):
-    """Every fifth selected byte range is unknown."""
+    """Byte ranges from 5 on are unknown."""
     return Q.bug_report(with_extras(bugs, extras), dua_bytes, duas, atps).select("bug", "kind", "file", "line", "lval", "max_tcn", "max_liveness", "pos", "extra", "missing")
 
 
@@ -143,15 +143,15 @@ _DUAS = "SELECT dua, file, line, column_ AS column, trace_index, fake_dua FROM f
 
 @query(
     """SELECT d.dua, d.file, CASE WHEN m.step IS NOT NULL THEN m.new_line ELSE d.line END AS line, CASE WHEN m.step IS NOT NULL THEN m.step ELSE d.trace_index END AS trace_index, (d.fake_dua OR (m.dua IS NOT NULL AND m.step IS NULL)) AS fake_dua FROM fx_dua d
-       LEFT JOIN (SELECT x.dua, x.new_line, min(s.index) AS step FROM (SELECT *, CAST((line + 7) % 40 AS INT) AS new_line, CAST((column_ + 2) % 9 AS INT) AS new_column FROM fx_dua WHERE dua % 3 = 0) x
+       LEFT JOIN (SELECT x.dua, x.new_line, min(s.index) AS step FROM (SELECT *, CAST((line + 7) % 40 AS INT) AS new_line, CAST((column_ + 2) % 9 AS INT) AS new_column FROM fx_dua WHERE NOT fake_dua) x
          LEFT JOIN fx_step s ON s.file = x.file AND s.line = x.new_line AND s.column_ = x.new_column AND s.index >= x.trace_index WHERE x.new_line > x.line OR (x.new_line = x.line AND x.new_column > x.column_) GROUP BY x.dua, x.new_line) m ON d.dua = m.dua""",
-    duas=_DUAS, moves="SELECT dua, CAST((line + 7) % 40 AS INT) AS new_line, CAST((column_ + 2) % 9 AS INT) AS new_column FROM fx_dua WHERE dua % 3 = 0", traces="SELECT index, file, line, column_ AS column FROM fx_step",
+    duas=_DUAS, moves="SELECT dua, CAST((line + 7) % 40 AS INT) AS new_line, CAST((column_ + 2) % 9 AS INT) AS new_column FROM fx_dua WHERE NOT fake_dua", traces="SELECT index, file, line, column_ AS column FROM fx_step",
 )
 def c4_relocate_siphons(duas, moves, traces):
     return C.relocate_siphons(duas, moves, traces).select("dua", "file", "line", "trace_index", "fake_dua")
 
 
-@query("SELECT dua, (fake_dua OR dua % 6 = 0) AS fake_dua FROM fx_dua", duas="SELECT dua, fake_dua FROM fx_dua", verdicts="SELECT dua, dua % 3 <> 0 AS usable FROM fx_dua WHERE dua % 2 = 0")
+@query("SELECT dua, (fake_dua OR line < 7) AS fake_dua FROM fx_dua", duas="SELECT dua, fake_dua FROM fx_dua", verdicts="SELECT dua, line >= 7 AS usable FROM fx_dua WHERE NOT fake_dua")
 def c5_discard_unscoped(duas, verdicts):
     return C.discard_unscoped(duas, verdicts)
 
