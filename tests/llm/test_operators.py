@@ -375,12 +375,15 @@ def test_isotonic():
 
 def test_toxicity(awkward, empty, spark):
     docs, labels = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
-    model = toxicity.fit(toxicity.graded(docs, labels))
+    texts = toxicity.training_texts(docs, labels)
+    counts = toxicity.feature_counts(texts)
+    model = toxicity.fit(toxicity.graded(texts, counts), counts)
     judged = toxicity.toxicity(docs, model).join(labels, "doc_id").where("crc32(string(doc_id)) % 4 = 2")
     assert judged.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.9
     assert list(np.diff(model.thresholds) > 0) == [True] * (len(model.thresholds) - 1)
     assert toxicity.toxicity(awkward, model).count() == awkward.count()
-    assert toxicity.toxicity(empty, toxicity.fit(toxicity.graded(empty, labels))).count() == 0
+    none = toxicity.training_texts(empty, labels)
+    assert toxicity.toxicity(empty, toxicity.fit(toxicity.graded(none, toxicity.feature_counts(none)))).count() == 0
 
 
 # URL filters

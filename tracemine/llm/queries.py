@@ -29,7 +29,9 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.graded(docs, table(spark, sf_dir, "labels")))
+    texts = toxicity.training_texts(docs, table(spark, sf_dir, "labels"))
+    counts = toxicity.feature_counts(texts)
+    model = toxicity.fit(toxicity.graded(texts, counts), counts)
     return toxicity.toxicity(docs, model).withColumn("held_out", held_out())
 
 

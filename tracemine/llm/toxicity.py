@@ -62,64 +62,75 @@ def counted(text: str, vocabulary: dict[str, int], known: dict[str, list[int]])
     return out
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's texts, in how many each feature occurs, and in how many toxic ones."""
+    docs: Counter[str] = Counter()
+    bad: Counter[str] = Counter()
     for b in batches:
-        names: list[str] = []
-        counts: list[int] = []
-        ends = [0]
-        for t in b.column("text").to_pylist():
-            seen = Counter(f for w, n in Counter(tokens(t)).items() for f in features(w) for _ in range(n))
-            names += seen.keys()
-            counts += seen.values()
-            ends.append(len(names))
-        found = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int32())], names=["word", "n"])
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=["doc_id", "y", "found"])
-
-
-def graded(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """Training rows ``doc_id``, ``grade``, ``found`` (words and counts) from 0/1 labels: about ``train_docs`` labelled documents that are not held out.
-
-    Labels tell only toxic from clean, so severity is derived: a toxic document's grade is the number of its words whose stem marks
-    toxicity (of LEAST_DOCS training documents or more with it, a share of MARK is toxic), 1 at least and GRADES at most; clean ones have grade 0.
-    """
-    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("y"))
+        for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist(), strict=True):
+            seen = {f for w in set(tokens(text)) for f in features(w)}
+            docs.update(seen)
+            if toxic:
+                bad.update(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array([bad[w] for w in docs], pa.int64()), pa.array(list(docs.values()), pa.int64())], names=["word", "a", "k"])
+
+
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """``word``, ``a``, ``k``: features of texts (``toxic`` 0 or 1, ``text``) that occur in LEAST_DOCS of them at least, in how many toxic ones and in how many."""
+    parts = texts.select("toxic", "text").mapInArrow(_counts, "word string, a long, k long")
+    return cut(parts.groupBy("word").agg(F.sum("a").alias("a"), F.sum("k").alias("k")).where(f"k >= {LEAST_DOCS}"))
+
+
+def training_texts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """``doc_id``, ``toxic``, ``text`` of about ``train_docs`` labelled documents that are not held out: the bound of what is broadcast and kept."""
+    known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if n > train_docs:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(train_docs / n * (1 << 30)))
-    rows = docs.select("doc_id", empty_if_null("text").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
-    found = cut(rows.mapInArrow(_token_rows, "doc_id long, y int, found array<struct<word:string,n:int>>"))
-    each = found.select("doc_id", "y", F.explode("found").alias("x")).select("doc_id", "y", "x.word", "x.n")
+    return cut(docs.select("doc_id", empty_if_null("text").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text"))
+
+
+def graded(texts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds ``grade`` to training texts. Labels tell only toxic from clean, so severity is derived: a toxic text's grade is the number of its words whose stem marks
+    toxicity (a share of MARK of the training texts with it is toxic), 1 at least and GRADES at most; clean ones have grade 0. The FEATURES commonest marks are used."""
     stem = (F.length("word") == MARKED + 1) & F.col("word").endswith("-") | (F.length("word") <= MARKED) & ~F.col("word").endswith("-")
-    marks = each.where(stem).groupBy("word").agg(F.avg("y").alias("share"), F.count("*").alias("docs")).where(f"share >= {MARK} AND docs >= {LEAST_DOCS}")
-    severity = each.where("y = 1").join(marks, "word").groupBy("doc_id").agg(F.sum("n").alias("marks"))
-    return found.join(severity, "doc_id", "left").select("doc_id", F.when(F.col("y") == 0, 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(GRADES), F.coalesce("marks", F.lit(1))))).cast("int").alias("grade"), "found")
+    marks = {r["word"] for r in counts.where(stem & (F.col("a") >= MARK * F.col("k"))).orderBy(F.desc("k"), "word").limit(FEATURES).collect()}
+
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [sum((w[:MARKED] + "-" if len(w) > MARKED else w) in marks for w in tokens(t)) for t in b.column("text").to_pylist()]
+            grades = np.where(b.column("toxic").to_numpy() > 0, np.clip(n, 1, GRADES), 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("text"), pa.array(grades, pa.int32())], names=["doc_id", "toxic", "text", "grade"])
+
+    return texts.mapInArrow(grade, "doc_id long, toxic int, text string, grade int")
 
 
-def fit(training: DataFrame, grades: int = GRADES, features: int = FEATURES, steps: int = STEPS) -> Model:
-    """Fits P(grade > k) = sigmoid(w x - threshold k) on rows of ``grade`` (0 to grades) and ``found``; all thresholds share the weights w.
+def fit(training: DataFrame, counts: DataFrame | None = None, grades: int = GRADES, features_: int = FEATURES, steps: int = STEPS) -> Model:
+    """Fits P(grade > k) = sigmoid(w x - threshold k) on rows of ``grade`` (0 to grades) and ``text``; all thresholds share the weights w.
 
-    Features are log counts of the words whose presence best tells grade 0 from others (chi-squared; ties by word). Each step sums
-    gradients and curvatures over the partitions of the training table, which is bounded, and moves on the driver, which gets
-    PARTS rows of 2 * (features + grades) numbers. Without rows of several grades the weights are zero.
+    Features are log counts of the words and stems whose presence best tells grade 0 from others (chi-squared; ties by word; counts may bring
+    their feature_counts). Each step sums gradients and curvatures over the partitions of the training table, which is bounded, and moves on the
+    driver, which gets PARTS rows of 2 * (features + grades) numbers. Without rows of several grades the weights are zero.
     """
     spark = training.sparkSession
-    data = cut(training.select("grade", "found"))
-    total = data.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("double"))).first()
+    total = training.agg(F.count("*"), F.sum((F.col("grade") > 0).cast("double"))).first()
     n, bad = total[0], total[1] or 0.0
-    words = data.select((F.col("grade") > 0).cast("double").alias("y"), F.explode("found").alias("x")).groupBy("x.word").agg(F.sum("y").alias("a"), F.count("*").alias("k")).where(f"k >= {LEAST_DOCS}")
+    if counts is None:
+        counts = feature_counts(training.select((F.col("grade") > 0).cast("int").alias("toxic"), "text"))
     expected = F.col("k") * bad / max(n, 1)
-    best = words.select("word", (F.pow(F.col("a") - expected, 2) / (expected * (1 - bad / max(n, 1)) + 1e-9)).alias("gain")).orderBy(F.desc("gain"), "word").limit(features).collect() if 0 < bad < n else []
+    best = counts.select("word", (F.pow(F.col("a") - expected, 2) / (expected * (1 - bad / max(n, 1)) + 1e-9)).alias("gain")).orderBy(F.desc("gain"), "word").limit(features_).collect() if 0 < bad < n else []
     model = Model({r["word"]: i for i, r in enumerate(best)}, np.zeros(max(1, len(best))), np.arange(grades) + np.log(max(n - bad, 1) / max(bad, 1)))
     if not best:
         return model
     shared = spark.sparkContext.broadcast(model.vocabulary)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, list[int]] = {}
         for b in batches:
-            rows = [[(i, float(np.log1p(x["n"]))) for x in r if (i := shared.value.get(x["word"])) is not None] for r in b.column("found").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([[i for i, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.float64()))], names=["grade", "at", "value"])
+            rows = [counted(t, shared.value, known) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grade"), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([[float(np.log1p(x)) for x in r.values()] for r in rows], pa.list_(pa.float64()))], names=["grade", "at", "value"])
 
-    table = cut(data.mapInArrow(sparse, "grade int, at array<int>, value array<double>").coalesce(PARTS))
+    table = cut(training.select("grade", "text").mapInArrow(sparse, "grade int, at array<int>, value array<double>").coalesce(PARTS))
     k = len(model.weights)
     velocity = np.zeros(k + grades)
     for step in range(steps):
