@@ -19,7 +19,9 @@ from tracemine.llm.common import empty_if_null
 #: The vocabulary file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of encoded words.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
+#: Buckets of words per shuffle partition: a task takes one or a few, whose lattices it groups in memory.
+BUCKETS = 4
 #: Characters of a word beyond which it is encoded in parts of this length.
 LONGEST_WORD = 60
 SPACE = "▁"
@@ -184,23 +186,29 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.nd
 def _assembler(newline: int):
     def assemble(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         """Ids of each document of a chunk, put together from its words'."""
-        known: dict[str, np.ndarray] = {"\n": np.array([newline], np.uint16)}
-        for words, n, ids in zip(answers["words"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist(), strict=True):
-            ends = np.cumsum(np.frombuffer(n, np.uint8))
-            known.update(zip(zstandard.decompress(words).decode().split("\n"), np.split(np.frombuffer(zstandard.decompress(ids), np.uint16), ends[:-1]), strict=True))
+        known: dict[str, int] = {"\n": 0}
+        sizes, flat = [np.ones(1, np.uint8)], [np.array([newline], np.uint16)]
+        for words, n, ids in zip(answers["words"], answers["sizes"], answers["ids"], strict=True):
+            known.update((w, i) for i, w in enumerate(zstandard.decompress(words.as_py()).decode().split("\n"), len(known)))
+            sizes.append(np.frombuffer(n.as_py(), np.uint8))
+            flat.append(np.frombuffer(zstandard.decompress(ids.as_py()), np.uint16))
+        size = np.concatenate(sizes).astype(np.int64)
+        start, values = np.cumsum(size) - size, np.concatenate(flat).astype(np.int32)
         index: dict[str, int] = {}
         out = []
-        for blob in chunks["docs"].to_pylist()[:1]:  # chunks of the same name hold the same rows
-            docs = list(pa.ipc.open_stream(zstandard.decompress(blob)))
-            places, lengths = [], []
+        for blob in chunks["docs"][:1]:  # chunks of the same name hold the same rows
+            docs = list(pa.ipc.open_stream(zstandard.decompress(blob.as_py())))
+            places = []
             for b in docs:
-                for text in b.column("text").to_pylist():
-                    found = [index.setdefault(w, len(index)) for w in words_of(text)]
-                    places.append(np.array(found, np.int32))
-            lists = [[known[u] for u in units(w)] for w in index]
-            sizes = np.fromiter((sum(map(len, x)) for x in lists), np.int64, len(lists))
-            flat = np.concatenate([y for x in lists for y in x]).astype(np.int32) if len(lists) else np.zeros(0, np.int32)
-            starts, at = np.cumsum(sizes) - sizes, 0
+                for text in b.column("text"):
+                    places.append(np.array([index.setdefault(w, len(index)) for w in words_of(text.as_py())], np.int32))
+            parts_of = [len(units(w)) for w in index]
+            of_word = np.fromiter((known[u] for w in index for u in units(w)), np.int64)
+            ends = np.concatenate(([0], np.cumsum(size[of_word])))
+            edges = np.concatenate(([0], np.cumsum(np.array(parts_of, np.int64))))
+            sizes, flat, at = np.diff(ends[edges]), _gathered(start, size, values, of_word), 0
+            starts = np.cumsum(sizes) - sizes
+            del known, index
             for b in docs:
                 parts = [_gathered(starts, sizes, flat, x) for x in places[at : at + len(b)]]
                 at += len(b)
@@ -227,9 +235,9 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     spark = docs.sparkSession
     vocab = vocabulary(model)
     byte_ids = {int(p, 16): i for i, (p, _, kind) in enumerate(vocab) if kind == "byte"}
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", empty_if_null("text").alias("text"))
-    asked = texts.mapInArrow(_asking(buckets), "bucket int, lines string").repartition("bucket")
+    asked = texts.mapInArrow(_asking(buckets), "bucket int, lines string").repartition(buckets, "bucket")
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
     fallback = F.split(F.lit(",".join(str(byte_ids[i]) for i in range(256))), ",").cast("array<int>")
     known = encode_words(distinct, piece_table(spark, model), ("bucket", "word")).withColumnRenamed("bucket", "of")
