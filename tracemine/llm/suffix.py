@@ -96,15 +96,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array((at - bounds[of]).astype(np.int32), pa.int32()), pa.array(h.view(np.int64))], names=["id", "at", "h"])
 
 
+def _starts(before: int, after: int, low: int, high: int) -> tuple[int, int]:
+    """The starts (bytes before the anchor, [first, last)) of those in [low, high) whose strings lie within a context."""
+    return max(low, LENGTH - after), min(high, before + 1)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each anchor that occurs again, its text from RUN - 1 bytes before it to LENGTH bytes after. Anchors that occur very often are sent once for each
-    range of starts, under a key of all bytes that strings with such starts share."""
+    """For each anchor that occurs again, its text from RUN - 1 bytes before it to LENGTH bytes after.
+
+    Anchors that occur very often are sent once for each range of starts, under a key of all bytes that strings with such starts share. Of
+    equal contexts of these within a batch two are sent; further ones repeat them, so their starts are decided, and they go without the text.
+    """
     size = RUN // RANGES
     for b in batches:
         ids, lists = b.column("id").to_numpy(zero_copy_only=False).tolist(), b.column("found")
         data, bounds = text_bytes(b.column("text"))
         raw = data.tobytes()
         out: list[tuple] = []
+        seen: dict[bytes, int] = {}
         for i, found in enumerate(lists):
             begin, end = int(bounds[i]), int(bounds[i + 1])
             for x in found.as_py() or ():
@@ -113,6 +122,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n <= HOT:
                     out.append((h, ids[i], x["at"], at - a, raw[a:z], 0, RUN))
                     continue
+                whole = hashlib.blake2b(raw[a:z], digest_size=16, salt=(at - a).to_bytes(2, "big")).digest()
+                copies = seen[whole] = seen.get(whole, 0) + 1
+                if copies > 2:
+                    low, high = _starts(at - a, z - at, 0, RUN)
+                    if low < high:
+                        out.append((x["at"] * 31 + ids[i], ids[i], x["at"], -1, None, low, high))
+                    continue
                 for d in range(0, RUN, size):
                     if at - d >= begin and at + LENGTH - d - size + 1 <= end:
                         key = hashlib.blake2b(raw[at - d : at + LENGTH - d - size + 1], digest_size=8).digest()
@@ -251,34 +267,54 @@ def repeats(befores: list[bytes], afters: list[bytes], low: np.ndarray, high: np
 
 
 def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts a partition's contexts, which come by key, in bounded parts that do not split a key; see _stretches."""
-    held: list[pa.RecordBatch] = []
+    """Sorts a partition's contexts, which come by key, in bounded parts that do not split a key; see _stretches.
+
+    Of equal contexts of a key two are sorted; the starts of further ones are decided by these, so a key of any number of copies needs little memory.
+    """
+
+    def decided(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        ids, at, low, high = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 4
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array((at - high + 1).astype(np.int32)), pa.array((at - low + LENGTH).astype(np.int32))], names=["id", "a", "z"])
+
+    held: list[tuple] = []
+    known: list[tuple[int, int, int, int]] = []
+    seen: dict[tuple, int] = {}
+    last = None
     for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
-        if sum(map(len, held)) < SORTED:
-            continue
-        t = pa.Table.from_batches(held)
-        keys = t["key"].to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last:
-            yield _stretches(t.slice(0, last))
-            held = t.slice(last).to_batches()
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            key, i, at, before, text, low, high = row
+            if before < 0:
+                known.append((i, at, low, high))
+                continue
+            if key != last:
+                if len(held) >= SORTED:
+                    yield _stretches(_context_batch(held))
+                    held = []
+                last, seen = key, {}
+            same = (text, before, low, high)
+            copies = seen[same] = seen.get(same, 0) + 1
+            if copies <= 2:
+                held.append(row)
+            else:
+                first, end = _starts(before, len(text) - before, low, high)
+                if first < end:
+                    known.append((i, at, first, end))
+        yield decided(known)
+        known = []
     if held:
-        yield _stretches(pa.Table.from_batches(held))
+        yield _stretches(_context_batch(held))
 
 
-def _stretches(t: pa.Table) -> pa.RecordBatch:
+def _stretches(t: pa.RecordBatch) -> pa.RecordBatch:
     """The repeated stretches of contexts: from the first start to LENGTH bytes after the last of a run of starts."""
-    before, texts = t["before"].to_pylist(), t["bytes"].to_pylist()
-    low, high = t["low"].to_numpy(), t["high"].to_numpy()
+    before, texts = t.column("before").to_pylist(), t.column("bytes").to_pylist()
+    low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
     found = repeats([x[:k][::-1] for x, k in zip(texts, before, strict=True)], [x[k:] for x, k in zip(texts, before, strict=True)], low, high)
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     i, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
-    at = t["at"].to_numpy()[i].astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(t["id"].to_numpy()[i]), pa.array((at - last + 1).astype(np.int32)), pa.array((at - first + LENGTH).astype(np.int32))], names=["id", "a", "z"])
+    at = t.column("at").to_numpy()[i].astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[i]), pa.array((at - last + 1).astype(np.int32)), pa.array((at - first + LENGTH).astype(np.int32))], names=["id", "a", "z"])
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
