@@ -178,6 +178,32 @@ def test_repeated_spans(awkward, empty, spark, monkeypatch, hot):
     assert suffix.without_repeats(awkward).count() == awkward.count()
 
 
+def test_a_common_passage_in_different_texts_is_not_sorted_in_one_task(spark, monkeypatch):
+    """300 texts share 230 bytes in the midst of others, so no two contexts are equal; no more than a key's and a part's bound may be sorted together."""
+    from pyspark import cloudpickle
+
+    rng = random.Random(8)
+    any_text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = any_text(230)
+    docs = spark.createDataFrame([(i, any_text(150) + passage + any_text(220)) for i in range(300)], "doc_id long, text string")
+    whole = suffix._stretches
+
+    def bounded(t):
+        if len(t) > 60:
+            raise MemoryError(f"{len(t)} contexts at once")
+        return whole(t)
+
+    for name, value in (("HOT", 20), ("SORTED", 40), ("_stretches", bounded)):
+        monkeypatch.setattr(suffix, name, value)
+    cloudpickle.register_pickle_by_value(suffix)
+    try:
+        found = suffix.repeated_spans(docs).drop("spans").collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix)
+    assert Counter(map(tuple, found)) == removed_by_hand(rows_of(docs))
+    assert all(r["n_removed"] >= 230 for r in found)
+
+
 def test_deep_shallow_sorts():
     rng = random.Random(1)
     for _ in range(60):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,10 +21,12 @@ LENGTH, RUN = 200, 128
 SHALLOW, WORD = 32, 8
 #: Bytes of text whose anchors are looked for at a time.
 BLOCK = 1 << 21
-#: Occurrences of an anchor from which on it is dealt by longer keys, to as many tasks as there are ranges of starts.
+#: Occurrences of an anchor from which on it is dealt by longer keys, one for each range of starts, and of such a key from which on its starts go one by one.
 HOT, RANGES = 20_000, 8
-#: Contexts that are sorted together, about: a task's memory, with the contexts of one key, which are HOT at most but for copies of a long passage.
+#: Contexts that are sorted together, about: a task's memory, with the contexts of one key, which are HOT at most.
 SORTED = 40_000
+#: Digests that a task remembers to send two of a kind.
+REMEMBERED = 200_000
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,38 +104,77 @@ def _starts(before: int, after: int, low: int, high: int) -> tuple[int, int]:
     return max(low, LENGTH - after), min(high, before + 1)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ranges(raw: bytes, at: int, begin: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """The ranges of starts of an anchor of a text [begin, end): first and end, in bytes before the anchor, and a digest of the bytes that all strings with such starts share."""
+    size = RUN // RANGES
+    for d in range(0, RUN, size):
+        if at - d >= begin and at + LENGTH - d - size + 1 <= end:
+            yield d, d + size, hashlib.blake2b(raw[at - d : at + LENGTH - d - size + 1], digest_size=8).digest()
+
+
+def _range_keys(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """The key of each range of starts of the anchors that occur more than hot times."""
+    for b in batches:
+        ids, lists = b.column("id").to_numpy(zero_copy_only=False).tolist(), b.column("found")
+        data, bounds = text_bytes(b.column("text"))
+        raw = data.tobytes()
+        out = [
+            (ids[i], x["at"], low, int.from_bytes(key, "big", signed=True))
+            for i, found in enumerate(lists) for x in found.as_py() or () if x["n"] > hot
+            for low, _, key in _ranges(raw, int(bounds[i]) + x["at"], int(bounds[i]), int(bounds[i + 1]))
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["id", "at", "low", "key"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """For each anchor that occurs again, its text from RUN - 1 bytes before it to LENGTH bytes after.
 
-    Anchors that occur very often are sent once for each range of starts, under a key of all bytes that strings with such starts share. Of
-    equal contexts of these within a batch two are sent; further ones repeat them, so their starts are decided, and they go without the text.
+    Anchors that occur more than hot times are sent once for each range of starts, under a key of all bytes that strings with such starts share,
+    with the bytes that these strings cover. Ranges whose key occurs more than hot times too (``over``) are sent as digests of their strings, one
+    for each start (before is -2). Of equal contexts, and of equal strings of single starts, two are sent; further ones repeat them, so their
+    starts are decided, and they go without the text (before is -1).
     """
-    size = RUN // RANGES
+    seen: dict[bytes, int] = {}
+
+    def copies(digest: bytes) -> int:
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        n = seen[digest] = seen.get(digest, 0) + 1
+        return n
+
     for b in batches:
-        ids, lists = b.column("id").to_numpy(zero_copy_only=False).tolist(), b.column("found")
+        ids, lists, overs = b.column("id").to_numpy(zero_copy_only=False).tolist(), b.column("found"), b.column("over")
         data, bounds = text_bytes(b.column("text"))
         raw = data.tobytes()
         out: list[tuple] = []
-        seen: dict[bytes, int] = {}
         for i, found in enumerate(lists):
             begin, end = int(bounds[i]), int(bounds[i + 1])
+            over = {(x["at"], x["low"]) for x in overs[i].as_py() or ()}
             for x in found.as_py() or ():
                 at, h, n = begin + x["at"], x["h"], x["n"]
                 a, z = max(begin, at - RUN + 1), min(end, at + LENGTH)
-                if n <= HOT:
+                if n <= hot:
                     out.append((h, ids[i], x["at"], at - a, raw[a:z], 0, RUN))
                     continue
-                whole = hashlib.blake2b(raw[a:z], digest_size=16, salt=(at - a).to_bytes(2, "big")).digest()
-                copies = seen[whole] = seen.get(whole, 0) + 1
-                if copies > 2:
+                decided = x["at"] * 31 + ids[i]
+                if copies(hashlib.blake2b(raw[a:z], digest_size=16, salt=(at - a).to_bytes(2, "big")).digest()) > 2:
                     low, high = _starts(at - a, z - at, 0, RUN)
                     if low < high:
-                        out.append((x["at"] * 31 + ids[i], ids[i], x["at"], -1, None, low, high))
+                        out.append((decided, ids[i], x["at"], -1, None, low, high))
                     continue
-                for d in range(0, RUN, size):
-                    if at - d >= begin and at + LENGTH - d - size + 1 <= end:
-                        key = hashlib.blake2b(raw[at - d : at + LENGTH - d - size + 1], digest_size=8).digest()
-                        out.append((int.from_bytes(key, "big", signed=True), ids[i], x["at"], at - a, raw[a:z], d, d + size))
+                for low, high, key in _ranges(raw, at, begin, end):
+                    a, z = max(begin, at - high + 1), min(end, at + LENGTH - low)
+                    if (x["at"], low) not in over:
+                        out.append((int.from_bytes(key, "big", signed=True), ids[i], x["at"], at - a, raw[a:z], low, high))
+                        continue
+                    for d in range(*_starts(at - a, z - at, low, high)):
+                        string = hashlib.blake2b(raw[at - d : at - d + LENGTH], digest_size=16, salt=d.to_bytes(2, "big"), person=b"start").digest()
+                        if copies(string) <= 2:
+                            out.append((int.from_bytes(string[:8], "big", signed=True), ids[i], x["at"], -2, string, d, d + 1))
+                        elif out and out[-1][1:4] == (ids[i], x["at"], -1) and out[-1][6] == d:
+                            out[-1] = (*out[-1][:6], d + 1)
+                        else:
+                            out.append((decided, ids[i], x["at"], -1, None, d, d + 1))
             if len(out) > 20_000:
                 yield _context_batch(out)
                 out = []
@@ -270,6 +312,7 @@ def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts a partition's contexts, which come by key, in bounded parts that do not split a key; see _stretches.
 
     Of equal contexts of a key two are sorted; the starts of further ones are decided by these, so a key of any number of copies needs little memory.
+    Digests of single starts only wait for a second one.
     """
 
     def decided(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -279,18 +322,28 @@ def _repeat_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     known: list[tuple[int, int, int, int]] = []
     seen: dict[tuple, int] = {}
+    single: dict[bytes, tuple | None] = {}
     last = None
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             key, i, at, before, text, low, high = row
-            if before < 0:
+            if before == -1:
                 known.append((i, at, low, high))
                 continue
             if key != last:
                 if len(held) >= SORTED:
                     yield _stretches(_context_batch(held))
                     held = []
-                last, seen = key, {}
+                last, seen, single = key, {}, {}
+            if before == -2:
+                if text not in single:
+                    single[text] = (i, at, low, high)
+                    continue
+                if single[text] is not None:
+                    known.append(single[text])
+                    single[text] = None
+                known.append((i, at, low, high))
+                continue
             same = (text, before, low, high)
             copies = seen[same] = seen.get(same, 0) + 1
             if copies <= 2:
@@ -350,7 +403,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     Copies of a whole text are represented by one of them. In each text, anchors stand for runs of starts (see anchors). Anchors whose
     following bytes occur once are dropped by a count over all texts; the others' contexts meet by key, where deep-shallow sorting decides.
-    Anchors that occur more than HOT times are dealt by longer keys, so that a very common passage spreads over many tasks.
+    Anchors that occur more than HOT times are dealt by longer keys, one for each range of starts. A key that occurs more than HOT times too is
+    not sorted at all: the digests (128 bits) of its strings meet, after each task has sent two of a kind, so no task holds more than HOT contexts of a key.
     """
     no_id = F.lit(-(1 << 63))
     rows = docs.select("doc_id", F.coalesce("doc_id", no_id).alias("of"), empty_if_null("text").alias("text")).withColumn("sha", F.sha2("text", 256))
@@ -361,8 +415,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     places = rows.select("of", "sha", "text").join(texts.where(f"n_bytes >= {LENGTH}").select("of", "sha", "id"), ["of", "sha"]).select("id", "text").mapInArrow(_anchor_rows, "id long, at int, h long")
     often = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     found = places.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "n")).alias("found"))
-    found = texts.select("of", "sha", "id").join(found, "id")
-    contexts = rows.select("of", "sha", "text").join(found, ["of", "sha"]).select("id", "text", "found").mapInArrow(_contexts, "key long, id long, at int, before int, bytes binary, low int, high int")
+    hot = texts.select("of", "sha", "id").join(found.where(F.exists("found", lambda x: x["n"] > HOT)), "id")
+    keys = rows.select("of", "sha", "text").join(hot, ["of", "sha"]).select("id", "text", "found").mapInArrow(partial(_range_keys, hot=HOT), "id long, at int, low int, key long")
+    often = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")  # a HOTth of the keys at most
+    over = keys.join(F.broadcast(often), "key").groupBy("id").agg(F.collect_list(F.struct("at", "low")).alias("over"))
+    found = texts.select("of", "sha", "id").join(found, "id").join(over, "id", "left")
+    contexts = rows.select("of", "sha", "text").join(found, ["of", "sha"]).select("id", "text", "found", "over").mapInArrow(partial(_contexts, hot=HOT), "key long, id long, at int, before int, bytes binary, low int, high int")
     spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_repeat_rows, "id long, a int, z int")
 
     once = texts.where(f"copies = 1 OR n_bytes < {LENGTH}").select("of", "sha", "id").join(spans.groupBy("id").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "id", "left")
