@@ -444,3 +444,22 @@ def test_distrust_reaches_hosts_that_link_to_blocked_ones(spark):
     found = {r["host"]: r for r in urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [found[h]["verdict"] for h in ("bad.net", "farm.org", "farmer.org", "good.com", "fine.org", "lone.org")] == ["block", "block", "block", "allow", "allow", "allow"]
     assert found["farm.org"]["distrust"] > found["farmer.org"]["distrust"] > 0 and found["fine.org"]["trust"] > 0
+
+
+@pytest.mark.parametrize("local", [100_000, 0])
+def test_scores_converge_on_chains_and_cycles(spark, monkeypatch, local):
+    """Hosts 1 to 14 links from a blocked one, and hosts in a cycle, get the scores of the solved linear system."""
+    monkeypatch.setattr(urlfilter, "LOCAL", local)
+    damping = urlfilter.DAMPING
+    hosts = ["bad.net", *(f"h{i}.org" for i in range(1, 18)), "a.sub.edu", "sub.edu"]
+    links = [(f"h{i}.org", f"h{i - 1}.org" if i > 1 else "bad.net") for i in range(1, 18)] + [("sub.edu", "bad.net")]
+    pages = [(0, "http://bad.net/es/1", "")] + [(i, f"http://{a}/x", f'<a href="http://{b}/">') for i, (a, b) in enumerate(links, 1)] + [(99, "http://a.sub.edu/x", "")]
+    weights = np.zeros((len(hosts), len(hosts)))  # of reversed links, from and to
+    for a, b in [*links, ("sub.edu", "a.sub.edu"), ("a.sub.edu", "sub.edu")]:
+        weights[hosts.index(b), hosts.index(a)] += 1
+    shares = weights / np.maximum(weights.sum(axis=1, keepdims=True), 1)
+    solved = np.linalg.solve(np.eye(len(hosts)) - damping * shares.T, np.eye(len(hosts))[0])
+    found = {r["host"]: r for r in urlfilter.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [found[h]["distrust"] for h in hosts] == pytest.approx(solved.tolist(), abs=1e-6)
+    assert {h for h in hosts if found[h]["verdict"] == "block"} == {h for h, x in zip(hosts, solved, strict=True) if x > urlfilter.THRESHOLD}
+    assert min(solved[hosts.index(h)] for h in hosts if found[h]["verdict"] == "block") < 0.85**10

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,14 @@ from tracemine.llm.common import cut
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: A host is a seed if rules decide this share of its pages, all the same way.
 SEED_SHARE = 0.5
-#: Share of mass that follows links, rounds, and how far a host's distrust must exceed its trust, in shares of a mean seed's mass.
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.1
-#: Rounds between checkpoints.
+#: Share of mass that follows links, and how far a host's distrust must exceed its trust, in shares of a mean seed's mass.
+DAMPING, THRESHOLD = 0.85, 0.1
+#: What all further rounds together may still add to the scores of all hosts together.
+TOLERANCE = 1e-6
+#: Rounds between checkpoints, at which the mass left is looked at.
 CUT_EVERY = 5
+#: Steps (two for an edge) and seeds up to which the rounds are run on the driver, where one takes no jobs.
+LOCAL = 100_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed pattern: the host of an absolute link in a page.
@@ -52,11 +58,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both.select("e.src", "e.dst", F.lit(1.0).alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def _rounds_here(steps: DataFrame, start: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """``kind``, ``host``, ``mass`` after the same rounds as in propagated, for graphs that fit the driver."""
+    moves, seeds = steps.toArrow(), start.toArrow()
+    places: dict[tuple[str, str], int] = {}
+    at = lambda t, host: np.array([places.setdefault(x, len(places)) for x in zip(t["kind"].to_pylist(), t[host].to_pylist(), strict=True)], np.int64)
+    src, dst, first = at(moves, "host"), at(moves, "dst"), at(seeds, "host")
+    share, mass = moves["share"].to_numpy(), np.bincount(first, weights=seeds["mass"].to_numpy(), minlength=len(places))
+    left = mass
+    while left.sum() / (1 - damping) * damping / (1 - damping) > tolerance:
+        left = np.bincount(dst, weights=left[src] * share, minlength=len(places))
+        mass = mass + left
+    kinds, hosts = zip(*places, strict=True) if places else ((), ())
+    return steps.sparkSession.createDataFrame(pa.table({"kind": pa.array(kinds, pa.string()), "host": pa.array(hosts, pa.string()), "mass": pa.array(mass, pa.float64())}))
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host``, ``trust``, ``distrust``: personalised PageRank from seeds (``host``, ``good``, ``bad``: 0 or 1), for distrust along reversed edges.
 
     Mass starts at 1 per seed, so that a host's score does not depend on how many hosts there are; mass of hosts without edges is lost.
-    Each round is a join on edges and a sum by host, which Spark combines before the shuffle.
+    Each round moves the mass that the round before has brought: a join on edges and a sum by host, which Spark combines before the shuffle.
+    Rounds end when all that could still follow is below the tolerance, so chains and cycles of any length get their converged scores;
+    a round keeps the share ``damping`` of the mass at most, so their number grows with the logarithm of the number of seeds.
     """
     both = edges.select("src", "dst", "weight", F.lit("trust").alias("kind")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", F.lit("distrust").alias("kind")))
     degrees = both.groupBy("kind", "src").agg(F.sum("weight").alias("degree"))
@@ -65,12 +88,14 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
         seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("good").alias("mass")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("mass")))).alias("s"))
         .select("host", "s.kind", (F.col("s.mass") * (1 - damping)).alias("mass")).where("mass > 0")
     )
-    now = start
-    for i in range(rounds):
-        moved = now.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share")).alias("mass"))
-        now = moved.unionByName(start.select("kind", "host", "mass")).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if i % CUT_EVERY == CUT_EVERY - 1:
-            now = cut(now)
+    local = max(steps.count(), start.count()) <= LOCAL
+    now = _rounds_here(steps, start, damping, tolerance) if local else start.withColumn("left", F.col("mass"))
+    while not local and (now.agg(F.sum("left")).first()[0] or 0.0) / (1 - damping) * damping / (1 - damping) > tolerance:
+        for _ in range(CUT_EVERY):
+            moved = now.where("left > 0").join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("left") * F.col("share")).alias("left"))
+            both = now.withColumn("left", F.lit(0.0)).unionByName(moved.withColumn("mass", F.col("left")))
+            now = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("left").alias("left"))
+        now = cut(now)
     by_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)) / (1 - damping)
     return now.groupBy("host").agg(by_kind("trust").alias("trust"), by_kind("distrust").alias("distrust"))
 
