@@ -354,6 +354,16 @@ def test_language(awkward, empty, spark):
     assert {r["lang_pred"] for r in langid.identify(awkward, langid.fit(empty)).collect()} == {"und"}
 
 
+def test_letters_of_all_planes_and_no_others_make_words():
+    """Adlam, Deseret, Gothic, mathematical and rare Han letters are words; emoji with selectors or tags, and lone marks, are none; marks continue words."""
+    words = ["\U0001e922\U0001e923", "\U00010428\U00010429", "\U00010330\U00010331", "\U0001d400\U0001d401", "\U00020000"]
+    none = ["\u2764\ufe0f \U0001f600\ufe0f", "\U0001f3f4\U000e0067\U000e0062\U000e007f", "\u0301", "\U000f0000", "\U0001f600"]
+    codes, starts, text = langid.word_codes(words + none + ["\u0301E\u0301a b"])
+    assert text.tolist() == [0, 1, 2, 3, 4, 10, 10]
+    assert codes[starts[5] :].tolist() == [0, ord("e"), 0x301, ord("a"), 0, ord("b")]
+    assert langid.word_codes(["\U00010400"])[0].tolist() == [0, 0x10428]
+
+
 def test_language_spans(spark):
     """A passage in another language inside a text is a span of its own."""
     docs = table(spark, "/root/testdata/sf0.01", "documents")

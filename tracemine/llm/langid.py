@@ -36,11 +36,15 @@ _SCRIPT = np.array([_NAMES.index(x) for _, x in SCRIPTS])
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point of the basic plane: its lower-case form (one code point), and whether it is a letter or a mark."""
-    chars = [chr(i) for i in range(0x10000)]
-    lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32)
-    return lower, np.array([unicodedata.category(c)[0] in "LM" for c in chars])
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: its lower-case form (one code point), whether it is a letter, and whether it is a mark."""
+    kinds = np.frombuffer("".join(unicodedata.category(chr(i))[0] for i in range(0x110000)).encode(), np.uint8)
+    letter, lower = kinds == ord("L"), np.arange(0x110000, dtype=np.uint32)
+    for i in np.flatnonzero(letter).tolist():
+        c = chr(i).lower()
+        if len(c) == 1:
+            lower[i] = ord(c)
+    return lower, letter, kinds == ord("M")
 
 
 @dataclass
@@ -53,12 +57,16 @@ class Model:
 
 
 def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased letters of all words, each word after a zero; where the words begin (at that zero); the text of each word."""
-    lower, letter = _tables()
+    """Lower-cased letters of all words, each word after a zero; where the words begin (at that zero); the text of each word.
+
+    A word begins with a letter and goes on with letters and marks; marks without a letter before them are no words.
+    """
+    lower, letter, mark = _tables()
     joined = "\0".join(texts) + "\0"
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.minimum(codes, 0xFFFF)
-    ok = letter[low] & (codes < 0x10000) | (codes >= 0x20000)
+    place, first = np.arange(len(codes)), letter[codes]
+    either = first | mark[codes]
+    ok = either & (np.maximum.accumulate(np.where(first, place, -1)) > np.maximum.accumulate(np.where(either, -1, place)))
     text = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     keep = ok.copy()
     keep[1:] |= ok[1:] | ok[:-1]  # the place after a word holds the next word's zero
@@ -70,7 +78,7 @@ def word_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     out = np.zeros(int((size + 1).sum()), np.uint32)
     inside = np.ones(len(out), bool)
     inside[starts] = False
-    out[inside] = np.where(codes[ok] < 0x10000, lower[low[ok]], codes[ok])
+    out[inside] = lower[codes[ok]]
     return out, starts, text[at]
 
 
