@@ -246,6 +246,20 @@ def targets_by_hand(sizes, weights=(1, 2, 3), limit=3):
         full |= over
 
 
+def test_targets_with_ties(spark):
+    """Small sizes, so that sources often tie in size, in size over weight, or are full together."""
+    from fractions import Fraction
+
+    rng = random.Random(11)
+    for _ in range(8):
+        sizes = {s: rng.choice((0, 5, 10, 20, 30, 30, 60, 90, rng.randint(1, 40))) for s in rng.sample(["a", "b", "c", "d", "e", "f", "\u00e9", "\uffff", "\U00010000", None], rng.randint(1, 10))}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        found = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+        expected = targets_by_hand({s: Fraction(n) for s, n in sizes.items()})
+        assert found == pytest.approx({s: float(t) for s, t in expected.items()})
+    assert {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 30), ("b", 60), ("c", 5)], "source string, source_size long")).collect()} == pytest.approx({"a": 30.0, "b": 60.0, "c": 5.0} | targets_by_hand({"a": 30, "b": 60, "c": 5}))
+
+
 def test_mix(awkward, empty, spark):
     for docs in (awkward, table(spark, SF, "documents")):
         found = mixing.mix(docs, fan=4).collect()
@@ -264,10 +278,22 @@ def test_mix(awkward, empty, spark):
         for s, t in target.items():
             assert abs(taken[s] - t) <= n[s]
         assert Counter(map(tuple, mixing.mix(docs.repartition(3), fan=4).collect())) == Counter(map(tuple, found))
-        assert mixing.mixed(docs).count() == sum(r["copies"] for r in mixing.mix(docs.where("doc_id IS NOT NULL OR text IS NULL")).collect())
+        times = Counter()
+        for r in mixing.mix(docs).collect():
+            times[r["doc_id"], r["th"]] += r["copies"]
+        taken = Counter((r["doc_id"], r["th"]) for r in mixing.mixed(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect())
+        assert taken == +times and mixing.mixed(docs).columns == docs.columns
     assert mixing.mix(empty).count() == mixing.mixed(empty).count() == 0
 
 
+def test_repeats_of_one_row_are_numbered_in_blocks(spark, monkeypatch):
+    """Rows without ids or with the same one, and with equal texts, are documents of their own, however many there are."""
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    docs = spark.createDataFrame([(None, "a b c", "x")] * 60 + [(3, "a b", "x")] * 50 + [(4, "d e", "y")] * 40, "doc_id long, text string, source string")
+    for r in mixing.mix(docs, fan=4).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n"), F.max("copies").alias("most")).collect():
+        assert abs(r["taken"] - r["target"]) <= 3 and r["most"] <= 3 and r["n"] == {"x": 110, "y": 40}[r["source"]]
+
+
 def test_mix_is_unbiased(spark):
     """Over many sizes, documents are taken about as often as their source's share says."""
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 37 as int))").alias("text"), F.expr("if(id % 4 = 0, 'a', 'b')").alias("source"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The columns of the documents table, which every stage of the pipeline but the last hands on.
@@ -46,6 +46,23 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
+def running(df: DataFrame, order: list, sums: dict) -> DataFrame:
+    """Adds the sum of each of ``sums`` (name: column of whole numbers) over the rows before this one, in the order of ``order``.
+
+    Rows are put in order by range partitions; each is summed within its partition, and only the partitions' totals meet in one task.
+    Rows that tie in order meet in one partition, so order should tell most rows apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    valued = df.withColumns({f"__{k}": c.cast("long") for k, c in sums.items()})
+    placed = cut(valued.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    so_far = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("__part").agg(*(F.sum(f"__{k}").alias(f"__{k}") for k in sums))
+    before = totals.select("__part", *(F.coalesce(F.sum(f"__{k}").over(so_far), F.lit(0)).alias(f"__{k}_before") for k in sums))
+    own = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumns({k: F.coalesce(F.sum(f"__{k}").over(own), F.lit(0)) for k in sums}).join(F.broadcast(before), "__part")  # a row per partition
+    return summed.select(*df.columns, *((F.col(k) + F.col(f"__{k}_before")).alias(k) for k in sums))
+
+
 def signed(x: int) -> int:
     """A 64-bit pattern as Spark's long."""
     return x - (1 << 64) if x >= 1 << 63 else x
