@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,65 +11,89 @@ from tracemine.llm.common import cut, empty_if_null
 
 #: The band of document frequency of the terms that are kept (idf is its negative logarithm), as shares of the documents, and at least so many documents.
 RAREST, COMMONEST, LEAST_DOCS = 1 / 500, 1 / 4, 2
-#: Randomised families of lexicons; hex digits of each one's hash.
-FAMILIES, DIGITS = 12, 8
+#: Draws of lexicons, each read from four digits of a term's md5: so many have lexicons of 2**-first to 2**-last of the band. Large lexicons serve short texts only.
+DRAWS = ((8, 4, 11), (2, 1, 3))
+#: Hex digits of the hash of a lexicon, and of the last one, which is the whole band; what stands for no term in a lexicon.
+DIGITS, WHOLE = 4, 16
 NONE = "-" * DIGITS
+#: The lexicons' draws and halvings, in the order of their hashes in a fingerprint.
+LEXICONS = [(d, k) for n, first, last in DRAWS for k in range(last, first - 1, -1) for d in range(n)]
+#: Lexicons that two fingerprints are compared by: the smallest ones in which either has a term.
+COMPARED = 24
+#: Terms of the band that share a list of the table they are looked up in, about.
+PER_LIST = 2
 
 
 def terms(text):
-    """Distinct terms of a text: runs of letters and digits, lower-cased."""
+    """Distinct terms of a text: runs of letters and digits, lower-cased; the text's ends may add an empty one."""
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
 
 
-def lexicon(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> DataFrame:
-    """``term``s of docs' texts whose document frequency lies in the band, and their ``levels``: five bits for each family of lexicons.
+def band(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST) -> list[str]:
+    """The terms of docs' texts whose document frequency lies in the band.
 
-    A family is a nest of lexicons, each a random half of the one before; a term's level says how deep in the nest it still is. A term
-    of the band occurs in a share ``rarest`` of the documents at least, so there are at most (mean terms per document) / rarest of them,
-    however large the table: the bound that lets them be broadcast.
+    A term of the band occurs in a share ``rarest`` of the documents at least, so there are at most (mean terms per document) / rarest of them,
+    however large the table: the bound that lets them go to all tasks.
     """
     n = docs.count()
     each = docs.select(F.explode(terms(empty_if_null("text"))).alias("term")).where("term != ''")
     kept = each.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(max(LEAST_DOCS, rarest * n), max(LEAST_DOCS, commonest * n)))
-    levels = F.lit(0).cast("long")
-    for f in range(FAMILIES):
-        draw = F.xxhash64(F.lit(f"family{f}"), "term").bitwiseAND(F.lit((1 << 62) - 1))
-        level = F.least(F.lit(31), F.bit_count(draw.bitwiseXOR(draw - 1)) - 1).cast("long")  # trailing zeros
-        levels = levels.bitwiseOR(F.shiftleft(level, 5 * f))
-    return cut(kept.select("term", levels.alias("levels")))
+    return sorted(kept.select("term").toArrow()["term"].to_pylist())
+
 
+def _in_band(words: list[str]):
+    """A test of terms: whether they are among words. Words are dealt to short lists by a hash, all in one constant array; a term is looked for in its list only."""
+    lists = max(1, len(words) // PER_LIST)
+    dealt: list[list[str]] = [[] for _ in range(lists)]
+    for w in words:
+        dealt[zlib.crc32(w.encode()) % lists].append(w)
+    table = F.split(F.lit(";".join(f",{','.join(x)}," for x in dealt)), ";")  # one constant, split when the plan is optimised; terms have neither sign
+    return lambda term: (term != "") & F.contains(F.get(table, (F.crc32(term) % lists).cast("int")), F.concat(F.lit(","), term, F.lit(",")))
 
-def _level(levels, family: int):
-    return F.shiftright(levels, 5 * family).bitwiseAND(F.lit(31))
 
+def fingerprint(text, words: list[str]):
+    """The I-Match fingerprint of a text column: a hash for each of the fixed random lexicons (LEXICONS) and the whole band, the smallest first.
 
-def _is_deepest(family: int):
-    return lambda t: _level(t["levels"], family) == F.col(f"deepest{family}")
+    Lexicons are subsets of the band that do not depend on any text: a term is in the k-th lexicon of a draw if the draw's four md5 digits begin with k zero bits.
+    A lexicon's hash is that of all the text's distinct terms in it, sorted; without any it is NONE. The last lexicon is the whole band; a text without a term of the
+    band has the hash of itself there, so that only equal ones agree.
+    """
+    known = F.filter(terms(text), _in_band(words))
+    marked = F.array_sort(F.transform(known, lambda t: F.struct(t.alias("t"), F.md5(t).alias("h"))))
+    def joined(found):
+        return F.md5(F.array_join(F.transform(found, lambda x: x["t"]), " "))
 
+    def hashed(found):
+        return F.when(F.size(found) == 0, NONE).otherwise(F.left(joined(found), F.lit(DIGITS)))
 
-def fingerprints(texts: DataFrame, keys: list[str], words: DataFrame) -> DataFrame:
-    """``keys``, ``fingerprint``: for each family the hash of the sorted distinct terms that a text keeps in the smallest lexicon of the family with any of them.
+    def draw(rows, d: int, first: int, last: int):
+        """The hashes of a draw's lexicons, the smallest first. Each lexicon is searched for in the one before, twice its size."""
+        limits = F.array(*(F.lit(f"{(1 << 16 - k) - 1:04x}") for k in range(first, last + 1)))
+        inside = lambda rows, k: F.filter(rows, lambda x: F.substring(x["h"], 4 * d + 1, 4) <= F.element_at(limits, k))
 
-    texts: keys and ``text`` (not null); rows with equal keys have equal texts. Long and short texts so keep a few terms per family. A text
-    without a term of the band has dashes. If texts is partitioned by its keys, nothing is shuffled.
-    """
-    each = texts.select(*keys, F.explode(F.concat(F.array(F.lit("")), terms(F.col("text")))).alias("term"))
-    known = each.join(F.broadcast(words), "term", "left").where("levels IS NOT NULL OR term = ''")
-    deepest = [F.max(_level(F.col("levels"), f)).alias(f"deepest{f}") for f in range(FAMILIES)]
-    kept = known.groupBy(*keys).agg(F.array_sort(F.collect_set(F.when(F.col("levels").isNotNull(), F.struct("term", "levels")))).alias("kept"), *deepest)
-    hashes = []
-    for f in range(FAMILIES):
-        chosen = F.transform(F.filter("kept", _is_deepest(f)), lambda t: t["term"])
-        hashes.append(F.when(F.size("kept") == 0, NONE).otherwise(F.right(F.lpad(F.lower(F.hex(F.xxhash64(F.lit(f), chosen))), 16, "0"), F.lit(DIGITS))))
-    return kept.select(*keys, F.concat(*hashes).alias("fingerprint"))
+        def step(s, k):
+            return F.struct(inside(s["rows"], k).alias("rows"), F.concat(F.array(hashed(s["rows"])), s["hashes"]).alias("hashes"))
+
+        start = F.struct(inside(rows, F.lit(1)).alias("rows"), F.array().cast("array<string>").alias("hashes"))
+        return F.aggregate(F.sequence(F.lit(2), F.lit(last - first + 1)), start, step, lambda s: F.concat(F.array(hashed(s["rows"])), s["hashes"]))
+
+    def all_hashes(rows):
+        each_of = lambda n: lambda x: F.array(*(x[f"d{d}"] for d in range(n)))
+        by_size = lambda n, *sizes: F.arrays_zip(*(draw(rows, d, *sizes).alias(f"d{d}") for d in range(n)))
+        parts = [F.flatten(F.transform(by_size(*x), each_of(x[0]))) for x in DRAWS]
+        whole = F.left(F.when(F.size(rows) == 0, F.md5(F.concat(F.lit("text "), text))).otherwise(joined(rows)), F.lit(WHOLE))
+        return F.array_join(F.concat(*parts, F.array(whole)), "")
+
+    return F.element_at(F.transform(F.array(marked), all_hashes), 1)  # marked is made once
 
 
 def likeness(a, b):
-    """Of the families in which either fingerprint has a hash, the share in which both have the same; 1 for two fingerprints without any."""
-    parts = [(F.substring(a, DIGITS * f + 1, DIGITS), F.substring(b, DIGITS * f + 1, DIGITS)) for f in range(FAMILIES)]
-    some = sum((((x != NONE) | (y != NONE)).cast("int") for x, y in parts), F.lit(0))
-    same = sum((((x != NONE) & (x == y)).cast("int") for x, y in parts), F.lit(0))
-    return F.when(some == 0, 1.0).otherwise(same / F.greatest(some, F.lit(1)))
+    """Of the COMPARED smallest lexicons in which either fingerprint has a hash, the share in which both have the same."""
+    n = len(LEXICONS)
+    cut_up = lambda x: F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.substring(x, i * DIGITS + 1, F.when(i == n, WHOLE).otherwise(DIGITS)))
+    pairs = F.slice(F.filter(F.arrays_zip(cut_up(a).alias("a"), cut_up(b).alias("b")), lambda p: (p["a"] != NONE) | (p["b"] != NONE)), 1, COMPARED)
+    same = lambda ps: F.size(F.filter(ps, lambda p: p["a"] == p["b"])) / F.size(ps)
+    return F.element_at(F.transform(F.array(pairs), same), 1)
 
 
 def _in_order(keys: DataFrame) -> DataFrame:
@@ -93,22 +119,17 @@ def imatch(docs: DataFrame, rarest: float = RAREST, commonest: float = COMMONEST
     each other by a hash of their texts, and rows that repeat both are one document in the order but each have a row. Other columns are
     ignored. near_edited and near_next are the likeness of the fingerprint to the edited text's and to the next document's.
     """
-    words = lexicon(docs, rarest, commonest)
+    words = band(docs, rarest, commonest)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as work per row is large
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("of"), empty_if_null("text").alias("text")).withColumn("th", F.xxhash64("text"))
     keys = rows.select("of", "th", F.length("text").cast("long").alias("n_chars"))
     order = cut(_in_order(keys.distinct()))
     texts = rows.select("of", "th", "text")
     wanted = order.select(F.col("of").alias("to_of"), F.col("th").alias("to_th"), F.floor(F.col("n_chars") / 4).cast("int").alias("m"), F.col("next_of").alias("of"), F.col("next_th").alias("th"))
-    heads = texts.join(wanted, ["of", "th"]).select(F.col("to_of").alias("of"), F.col("to_th").alias("th"), "m", F.substring("text", F.lit(1), F.col("m")).alias("head")).dropDuplicates(["of", "th"])
-    both = texts.join(heads, ["of", "th"]).select("of", "th", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("m")), "head").alias("edited"))
-    versions = both.select("of", "th", F.explode(F.array(F.struct(F.lit("").alias("sha"), "text"), F.struct(F.sha2("edited", 256).alias("sha"), F.col("edited").alias("text")))).alias("v"))
-    prints = fingerprints(versions.select("of", "th", "v.*"), ["of", "th", "sha"], words)
-    is_edited = F.col("sha") != ""
-    own = cut(
-        prints.groupBy("of", "th").agg(
-            F.max("sha").alias("edited_sha256"), F.max(F.when(~is_edited, F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(is_edited, F.col("fingerprint"))).alias("edited_fingerprint")
-        )
-    )
+    heads = texts.repartition(parts, "of", "th").join(wanted, ["of", "th"]).select(F.col("to_of").alias("of"), F.col("to_th").alias("th"), "m", F.substring("text", F.lit(1), F.col("m")).alias("head")).repartition(parts, "of", "th").distinct()
+    both = texts.repartition(parts, "of", "th").join(heads, ["of", "th"]).select("of", "th", "text", F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("m")), "head").alias("edited"))
+    printed = both.select("of", "th", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text"), words).alias("fingerprint"), fingerprint(F.col("edited"), words).alias("edited_fingerprint"))
+    own = cut(printed.distinct())
     nexts = own.select(F.col("of").alias("next_of"), F.col("th").alias("next_th"), F.col("fingerprint").alias("next_fingerprint"))
     judged = order.join(own, ["of", "th"]).join(nexts, ["next_of", "next_th"])
     judged = judged.select("of", "th", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

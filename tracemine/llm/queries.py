@@ -65,7 +65,30 @@ def queries() -> dict:
     return {f.__name__: f for f in named}
 
 
+_LEXICONS = ", ".join(f"({i}, {4 * d + 1}, '{(1 << 16 - k) - 1:04x}')" for i, (d, k) in enumerate(imatch.LEXICONS))
+_IMATCH = f"""
+    WITH ordered AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS k, count(*) OVER () AS n FROM documents),
+    nexts AS (SELECT a.*, b.text AS nxt, b.k AS next_k, length(a.text) // 4 AS m FROM ordered a JOIN ordered b ON b.k = a.k % a.n + 1),
+    versions AS (SELECT k, 0 AS v, text FROM nexts UNION ALL SELECT k, 1 AS v, substr(text, 1, length(text) - m) || substr(nxt, 1, m) AS text FROM nexts),
+    each AS (SELECT DISTINCT k, v, term FROM (SELECT k, v, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM versions) x WHERE term <> ''),
+    band AS (SELECT term FROM each WHERE v = 0 GROUP BY term HAVING count(*) >= greatest(2.0, (SELECT count(*) FROM documents) * CAST('{imatch.RAREST!r}' AS DOUBLE)) AND count(*) <= greatest(2.0, (SELECT count(*) FROM documents) * CAST('{imatch.COMMONEST!r}' AS DOUBLE))),
+    known AS (SELECT e.k, e.v, e.term, md5(e.term) AS h FROM each e JOIN band b ON e.term = b.term),
+    lexicons AS (SELECT * FROM (VALUES {_LEXICONS}) l(i, place, most)),
+    kept AS (SELECT k, v, i, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, {imatch.DIGITS}) AS hash FROM known JOIN lexicons ON substr(h, place, 4) <= most GROUP BY k, v, i),
+    whole AS (SELECT x.k, x.v, {len(imatch.LEXICONS)} AS i, substr(CASE WHEN min(t.term) IS NULL THEN md5('text ' || min(x.text)) ELSE md5(string_agg(t.term, ' ' ORDER BY t.term)) END, 1, {imatch.WHOLE}) AS hash
+              FROM versions x LEFT JOIN known t ON x.k = t.k AND x.v = t.v GROUP BY x.k, x.v),
+    found AS (SELECT * FROM kept UNION ALL SELECT * FROM whole),
+    prints AS (SELECT x.k, x.v, string_agg(coalesce(f.hash, '{imatch.NONE}'), '' ORDER BY i.i) AS p FROM versions x CROSS JOIN (SELECT i FROM lexicons UNION ALL SELECT {len(imatch.LEXICONS)}) i LEFT JOIN found f ON f.k = x.k AND f.v = x.v AND f.i = i.i GROUP BY x.k, x.v),
+    pairs AS (SELECT k, k AS other, 1 AS ov, 'near_edited' AS what FROM nexts UNION ALL SELECT k, next_k AS other, 0 AS ov, 'near_next' AS what FROM nexts),
+    sides AS (SELECT p.k, p.what, f.i, f.hash, 0 AS side FROM pairs p JOIN found f ON f.k = p.k AND f.v = 0 UNION ALL SELECT p.k, p.what, f.i, f.hash, 1 AS side FROM pairs p JOIN found f ON f.k = p.other AND f.v = p.ov),
+    compared AS (SELECT k, what, i, CASE WHEN count(*) = 2 AND min(hash) = max(hash) THEN 1 ELSE 0 END AS same, row_number() OVER (PARTITION BY k, what ORDER BY i) AS place FROM sides GROUP BY k, what, i),
+    near AS (SELECT k, what, CAST(sum(same) AS DOUBLE) / count(*) AS likeness FROM compared WHERE place <= {imatch.COMPARED} GROUP BY k, what)
+    SELECT n.doc_id, CAST(length(n.text) AS BIGINT) AS n_chars, sha256(e.text) AS edited_sha256, a.p AS fingerprint, b.p AS edited_fingerprint, x.likeness AS near_edited, y.likeness AS near_next
+    FROM nexts n JOIN versions e ON e.k = n.k AND e.v = 1 JOIN prints a ON a.k = n.k AND a.v = 0 JOIN prints b ON b.k = n.k AND b.v = 1 JOIN near x ON x.k = n.k AND x.what = 'near_edited' JOIN near y ON y.k = n.k AND y.what = 'near_next'
+"""
+
 ORACLE_SQL = {
+    "op8_imatch": _IMATCH,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
