@@ -370,38 +370,79 @@ def test_texts_without_terms_of_the_band_agree_only_if_equal(spark):
 def best_by_hand(word, table, longest):
     """Cost and ids of the cheapest way through a word; of equal ones that with the longest last piece."""
     worst = max(c for c, _ in table.values())
-    ways = [(0, [])]
+    ways = [(0, 0, None)]
     for end in range(1, len(word) + 1):
         options = []
         for start in range(max(0, end - longest), end):
             piece = word[start:end]
             if piece in table:
-                options.append((ways[start][0] + table[piece][0], start, ways[start][1] + [table[piece][1]]))
+                options.append((ways[start][0] + table[piece][0], start, [table[piece][1]]))
             elif end - start == 1:
                 raw = piece.encode()
-                options.append((ways[start][0] + (worst + 10) * len(raw), start, ways[start][1] + [b + 3 for b in raw]))
-        best = min(options, key=lambda o: o[:2])
-        ways.append((best[0], best[2]))
-    return ways[-1][1]
+                options.append((ways[start][0] + (worst + 10) * len(raw), start, [b + 3 for b in raw]))
+        ways.append(min(options, key=lambda o: o[:2]))
+    out, end = [], len(word)
+    while end:
+        _, end, ids = ways[end]
+        out = ids + out
+    return out
 
 
-def test_encode_and_decode(awkward, empty, spark):
+def ids_by_hand(text):
     known = {p: (-s, i) for i, (p, s, kind) in enumerate(pieces.vocabulary()) if kind == "piece" and s > -1e8}
+    return tuple(x for w in pieces.words_of(text) for u in ([w] if w == "\n" else pieces.PART.findall(w)) for x in ([13] if u == "\n" else best_by_hand(u, known, 16)))
+
+
+def test_encode_and_decode(awkward, empty, spark, monkeypatch):
     docs = awkward.unionByName(table(spark, SF, "documents").limit(40), allowMissingColumns=True)
-    encoded = pieces.encode(docs)
     texts = rows_of(docs)
-    expected = Counter((i, tuple(x for w in pieces.words_of(t) for u in pieces.units(w) for x in ([13] if u == "\n" else best_by_hand(u, known, 16)))) for i, t in texts)
+    expected = Counter((i, ids_by_hand(t)) for i, t in texts)
+    encoded = pieces.encode(docs)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == expected
     assert Counter((r["doc_id"], r["text"]) for r in pieces.decode(encoded).collect()) == Counter(texts)
-    assert pieces.encode(empty).count() == 0
+    assert pieces.encode(empty).count() == 0 and pieces.decode(pieces.encode(empty)).columns == ["doc_id", "ids", "text"]
+
+
+def test_long_units_are_encoded_whole(spark):
+    """Units of 59 to 5,000 characters, which the lattice hands to the fold from 61 on, take the best way through all of them."""
+    rng = random.Random(6)
+    texts = ["international" * k for k in (4, 5, 6, 80)] + ["z" * n for n in (59, 60, 61, 2000)] + ["=" * 61, "1234567890" * 7, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 60, "\u00e9\U0001f600" * 40]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (58, 59, 60, 61, 62, 300, 5000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = pieces.encode(docs)
+    assert {r["doc_id"]: tuple(r["ids"]) for r in encoded.collect()} == {i: ids_by_hand(t) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(encoded).collect()} == dict(enumerate(texts))
+
+
+def test_rows_in_another_order_each_time(spark, monkeypatch):
+    """Each evaluation of the input gives its rows in another order, as a shuffle on a cluster may."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(pieces)
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(pieces, "BUCKET_WORDS", 5)
+    texts = [f"word{i} other{i % 7} third" for i in range(200)]
+
+    def shuffled(batches):
+        import random as any_order
+
+        for b in batches:
+            yield b.take(any_order.sample(range(len(b)), len(b)))
+
+    try:
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).mapInArrow(shuffled, "doc_id long, text string")
+        found = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(pieces)
+    assert found == dict(enumerate(texts))
 
 
 def test_words_make_up_the_text():
     rng = random.Random(2)
     for _ in range(300):
-        text = "".join(rng.choice("ab  \n\t,.é日9▁") for _ in range(rng.choice([0, 1, 9, 200])))
+        text = "".join(rng.choice("ab  \n\t,.\u00e9\u65e59\u2581") for _ in range(rng.choice([0, 1, 9, 200])))
         assert "".join(pieces.words_of(text)) == (pieces.SPACE + text.replace(" ", pieces.SPACE) if text else "")
-        assert all("".join(pieces.units(w)) == w and max(map(len, pieces.units(w)), default=0) <= pieces.LONGEST_WORD for w in pieces.words_of(text))
+        assert all("".join(pieces.units(w)) == w for w in pieces.words_of(text))
 
 
 def test_decode_odd_ids(spark):

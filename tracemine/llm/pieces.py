@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemine.llm.common import empty_if_null
+from tracemine.llm.common import cut, empty_if_null
 
 #: The vocabulary file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of encoded words.
-CHUNK_CHARS = 12_000_000
-#: Buckets of words per shuffle partition: a task takes one or a few, whose lattices it groups in memory.
-BUCKETS = 4
-#: Characters of a word beyond which it is encoded in parts of this length.
-LONGEST_WORD = 60
+CHUNK_CHARS = 8_000_000
+#: Words that chunks ask a bucket for, about (the same word counts for each chunk), and the least number of buckets per shuffle partition.
+BUCKET_WORDS, BUCKETS = 200_000, 4
+#: Characters of a unit up to which it goes through the relational lattice; longer ones are folded one by one where they occur, with the same result.
+LONGEST_UNIT = 60
 SPACE = "▁"
 #: What a character without a piece costs more than the worst piece, for each byte it falls back to; steps that costs are rounded to.
 FALLBACK, STEP = 10.0, 1e-3
+#: Scores below this are of pieces that are never chosen.
+UNUSED = -1e8
 #: A word's parts, which pieces do not join: letters, digits, and other characters.
 PART = re.compile(f"{SPACE}?[^\\W\\d_]+|{SPACE}?\\d+|{SPACE}?(?:(?!{SPACE})[\\W_])+|{SPACE}")
-#: Bits of a packed edge or way: id, cost of an edge, place (a word has at most 63 places). The highest id stands for a character's bytes.
-ID, COST, PLACE = 18, 28, 6
-BYTES = (1 << ID) - 1
+#: Bits of a packed way, from the lowest: id of its last piece, where that starts (a unit of the lattice has at most 63 places), cost. An edge has its end above its own cost.
+#: The highest id stands for a character's bytes.
+ID, PLACE, COST = 18, 6, 28
+BYTES, WAY = (1 << ID) - 1, 1 << ID + PLACE
 
 
 def piece_table(spark: SparkSession, model: str = MODEL) -> DataFrame:
@@ -59,115 +62,181 @@ def words_of(text: str) -> list[str]:
 
 
 def units(word: str) -> list[str]:
-    """The parts of a word that are encoded by themselves; longer ones than LONGEST_WORD are cut."""
-    if word == "\n":
-        return [word]
-    parts = PART.findall(word)
-    return parts if len(word) <= LONGEST_WORD else [x[i : i + LONGEST_WORD] for x in parts for i in range(0, len(x), LONGEST_WORD)]
+    """The parts of a word that are encoded by themselves."""
+    return [word] if word == "\n" else PART.findall(word)
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, keys: tuple[str, ...] = ("word",)) -> DataFrame:
+def encode_words(words: DataFrame, pieces: DataFrame, byte_ids: dict[int, int], keys: tuple[str, ...] = ("word",)) -> DataFrame:
     """``keys`` and ``ids`` for distinct rows of keys, of which one is ``word``: the way through each word's lattice that costs least.
 
     Substrings up to the longest piece's length are exploded and equi-joined to the pieces, which cost their negative scores; a character
-    that is no piece becomes its UTF-8 bytes (as -1 - byte). Edges are grouped by word, and a fold over them by end keeps the best way to each
-    place. Of equal ways the one whose last piece is longest wins. An edge (end, start, cost, id) and a way (cost, start, id of its last
-    piece) are each packed into a long, so the order of longs is the order wanted. Words have LONGEST_WORD characters at most, which bounds
+    that is no piece becomes its UTF-8 bytes. Edges are grouped by word, and a fold over them by end keeps the best way to each place.
+    Of equal ways the one whose last piece is longest wins. A way (cost, start, id of its last piece) is packed into a long, so the order of
+    longs is the order wanted; an edge is the way that it adds, with its end above. Words have LONGEST_UNIT characters at most, which bounds
     each group. If words is partitioned by some of its keys, nothing is shuffled.
     """
-    longest, worst = pieces.agg(F.max(F.length("piece")), F.min(F.when(F.col("score") > -1e8, F.col("score")))).first()
-    table = pieces.where("score > -1e8").select("piece", (F.round(-F.col("score") / STEP).cast("long") * (1 << ID) + F.col("id")).alias("cost_id"))
+    longest, worst = pieces.agg(F.max(F.length("piece")), F.min(F.when(F.col("score") > UNUSED, F.col("score")))).first()
+    table = pieces.where(F.col("score") > UNUSED).select("piece", (F.round(-F.col("score") / STEP).cast("long") * WAY + F.col("id")).alias("cost_id"))
     places = words.select(*keys, F.length("word").alias("size"), F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
     subs = places.select(*keys, "at", F.substring("word", F.col("at"), F.lit(longest)).alias("rest"), F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("at") + 1))).alias("n"))
     found = subs.select(*keys, "at", "n", F.left("rest", F.col("n")).alias("piece")).join(F.broadcast(table), "piece", "left").where("cost_id IS NOT NULL OR n = 1")
-    none = (F.octet_length("piece") * int((FALLBACK - worst) / STEP)).cast("long") * (1 << ID) + BYTES
-    edge = ((F.col("at") + F.col("n") - 1) * (1 << PLACE) + F.col("at") - 1).cast("long") * (1 << COST + ID) + F.coalesce("cost_id", none)
+    none = (F.octet_length("piece") * int((FALLBACK - worst) / STEP)).cast("long") * WAY + BYTES
+    edge = (F.col("at") + F.col("n") - 1).cast("long") * (WAY << COST) + (F.col("at") - 1) * (1 << ID) + F.coalesce("cost_id", none)
     grouped = found.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    start_of = lambda x: F.shiftright(x, ID).bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
 
-    def field(x, low: int, bits: int):
-        return F.shiftright(x, low).bitwiseAND(F.lit((1 << bits) - 1))
+    def step(s, e):
+        """s: the place in work and the best way to it so far, and the best ways to those before; edges come by end, and each place has one."""
+        end, start = F.shiftright(e, ID + PLACE + COST).cast("int"), start_of(e)
+        before = F.when(start == s["end"], s["best"]).otherwise(F.get(s["done"], start))
+        way = before.bitwiseAND(F.lit(-WAY)) + e.bitwiseAND(F.lit((WAY << COST) - 1))
+        same = end == s["end"]
+        return F.struct(
+            end.alias("end"), F.when(same, F.least(s["best"], way)).otherwise(way).alias("best"), F.when(same, s["done"]).otherwise(F.concat(s["done"], F.array(s["best"]))).alias("done")
+        )
 
-    def step(ways, e):
-        """ways: the best way to each place so far; edges come by end, so an edge ends at the last place or the next one."""
-        end, start = F.shiftright(e, COST + ID + PLACE).cast("int"), field(e, COST + ID, PLACE)
-        way = (F.shiftright(F.get(ways, start.cast("int")), ID + PLACE) + field(e, ID, COST)) * (1 << ID + PLACE) + start * (1 << ID) + e.bitwiseAND(F.lit(BYTES))
-        return F.when(F.size(ways) <= end, F.concat(ways, F.array(way))).when(way < F.get(ways, end), F.concat(F.slice(ways, F.lit(1), end), F.array(way))).otherwise(ways)
-
-    ways = grouped.select(*keys, F.aggregate("edges", F.array(F.lit(0).cast("long")), step).alias("ways"))
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("best"), F.array().cast("array<bigint>").alias("done"))
+    ways = grouped.select(*keys, F.aggregate("edges", begin, step, lambda s: F.concat(s["done"], F.array(s["best"]))).alias("ways"))
 
     def back(s, i):
         way = F.get(F.col("ways"), i)
-        piece = F.when(way.bitwiseAND(F.lit(BYTES)) == BYTES, -field(way, ID, PLACE) - 1).otherwise(way.bitwiseAND(F.lit(BYTES))).cast("int")
-        return F.when(s["at"] == i, F.struct(field(way, ID, PLACE).cast("int").alias("at"), F.concat(F.array(piece), s["path"]).alias("path"))).otherwise(s)
+        piece = F.when(way.bitwiseAND(F.lit(BYTES)) == BYTES, -start_of(way) - 1).otherwise(way.bitwiseAND(F.lit(BYTES)).cast("int"))
+        return F.when(s["at"] == i, F.struct(start_of(way).alias("at"), F.concat(F.array(piece), s["path"]).alias("path"))).otherwise(s)
 
     last = F.size("ways") - 1
     path = F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), F.struct(last.alias("at"), F.array().cast("array<int>").alias("path")), back, lambda s: s["path"])
-    raw = lambda p: F.transform(F.regexp_extract_all(F.hex(F.encode(F.substring("word", -p, F.lit(1)), "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: -1 - F.conv(h, 16, 10).cast("int"))
+    fallback = F.split(F.lit(",".join(str(byte_ids[i]) for i in range(256))), ",").cast("array<int>")  # one constant
+    raw = lambda p: F.transform(F.regexp_extract_all(F.hex(F.encode(F.substring("word", -p, F.lit(1)), "UTF-8")), F.lit("(..)"), F.lit(1)), lambda h: F.get(fallback, F.conv(h, 16, 10).cast("int")))
     spelled = F.flatten(F.transform("path", lambda p: F.when(p >= 0, F.array(p)).otherwise(raw(p))))
     return ways.select(*keys, path.alias("path")).select(*keys, F.when(F.exists("path", lambda p: p < 0), spelled).otherwise(F.col("path")).alias("ids"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, list[pa.RecordBatch]]]:
-    """A partition's documents in chunks of about CHUNK_CHARS: a name made of their contents, and the rows, serialised and as they are."""
+class Pieces:
+    """The same lattice for one long unit: a fold over its places, which keeps the best way to each. Time and memory grow with the unit's length."""
+
+    def __init__(self, model: str):
+        vocab = vocabulary(model)
+        used = [(p, round(-s / STEP), i) for i, (p, s, kind) in enumerate(vocab) if kind == "piece" and s > UNUSED]
+        self.table = {p: (cost, i) for p, cost, i in used}
+        self.longest = max(len(p) for p in self.table)
+        self.fallback = int((FALLBACK + max(-s for _, s, kind in vocab if kind == "piece" and s > UNUSED)) / STEP)
+        self.byte_ids = {int(p, 16): i for i, (p, _, kind) in enumerate(vocab) if kind == "byte"}
+
+    def encode(self, unit: str) -> list[int]:
+        costs, starts, ids = [0], [0], [-1]
+        for end in range(1, len(unit) + 1):
+            best = None
+            for start in range(max(0, end - self.longest), end):  # of equal ways the longest last piece comes first
+                found = self.table.get(unit[start:end])
+                if found is None and end - start == 1:
+                    found = (self.fallback * len(unit[start:end].encode()), -1)
+                if found is not None and (best is None or costs[start] + found[0] < best[0]):
+                    best = (costs[start] + found[0], start, found[1])
+            costs.append(best[0])
+            starts.append(best[1])
+            ids.append(best[2])
+        out: list[int] = []
+        end = len(unit)
+        while end:
+            start = starts[end]
+            out += [ids[end]] if ids[end] >= 0 else [self.byte_ids[b] for b in reversed(unit[start:end].encode())]
+            end = start
+        return out[::-1]
+
+
+def _pressed(x: np.ndarray) -> bytes:
+    """An array of whole numbers from 0 to 2**32 - 1, its lower and upper halves apart, as these are alike among themselves."""
+    halves = x.astype("<u4").view("<u2").reshape(-1, 2)
+    return zstandard.compress(halves[:, 0].tobytes() + halves[:, 1].tobytes(), 3)
+
+
+def _unpressed(raw: bytes) -> np.ndarray:
+    halves = np.frombuffer(zstandard.decompress(raw), "<u2").reshape(2, -1).astype(np.int64)
+    return halves[0] + (halves[1] << 16)
+
+
+_NUMBERS = ("docs", "words", "units_of", "unit_at")
+_CHUNK = "chunk string, ids binary, units binary, n_units long, " + ", ".join(f"{k} binary" for k in _NUMBERS)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's documents in chunks of about CHUNK_CHARS, each with a name of its own.
 
-    def named(docs: list[pa.RecordBatch]) -> tuple[str, bytes, list[pa.RecordBatch]]:
+    ids: the doc_ids, as an Arrow stream; docs: how many words each document has; words: the number of each word, by place; units_of: how many units each
+    word has; unit_at: the number of each of its units. units are the distinct ones, in the order of their hashes, by which buckets of words are ranges.
+    """
+    index: dict[str, int] = {}
+    ids: list[pa.Array] = []
+    sizes: list[int] = []
+    places: list[np.ndarray] = []
+    chars = 0
+
+    def chunk() -> pa.RecordBatch:
+        parts = [units(w) for w in index]
+        distinct = sorted({u for p in parts for u in p}, key=lambda u: (zlib.crc32(u.encode()), u))
+        number = {u: i for i, u in enumerate(distinct)}
+        numbers = (np.array(sizes), np.concatenate(places), np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter((number[u] for p in parts for u in p), np.int64))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, docs[0].schema) as writer:
-            for d in docs:
-                writer.write_batch(d)
-        raw = sink.getvalue().to_pybytes()
-        return hashlib.blake2b(raw, digest_size=12).hexdigest(), raw, docs
-
-    docs: list[pa.RecordBatch] = []
-    size = 0
+        table = pa.table({"doc_id": pa.chunked_array(ids, pa.int64())})
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        row = [uuid.uuid4().hex, zstandard.compress(sink.getvalue().to_pybytes(), 3), zstandard.compress(" ".join(distinct).encode(), 3), len(distinct), *map(_pressed, numbers)]
+        kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64()] + [pa.binary()] * len(numbers)
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "units", "n_units", *_NUMBERS])
+
     for b in batches:
-        sizes = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff((size + np.cumsum(sizes)) // CHUNK_CHARS, prepend=0)) + 1 if len(b) else []
         lo = 0
-        for cut in [*cuts, len(b)]:
-            if cut > lo:
-                docs.append(b.slice(lo, cut - lo))
-            if cut in cuts and docs and lo < cut:
-                yield named(docs)
-                docs, size = [], 0
-            lo = cut
-        size = sum(d.column("text").nbytes for d in docs) % CHUNK_CHARS
-    if docs:
-        yield named(docs)
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, raw, _ in _chunks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([zstandard.compress(raw, 3)], pa.binary())], names=["chunk", "docs"])
+        for i, text in enumerate(b.column("text").to_pylist()):
+            words = words_of(text)
+            sizes.append(len(words))
+            places.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words)))
+            chars += len(text)
+            if chars >= CHUNK_CHARS:
+                ids.append(b.column("doc_id").slice(lo, i + 1 - lo))
+                yield chunk()
+                index, ids, sizes, places, chars, lo = {}, [], [], [], 0, i + 1
+        if lo < len(b):
+            ids.append(b.column("doc_id").slice(lo))
+    if sizes:
+        yield chunk()
+
+
+def _names(raw: bytes) -> list[str]:
+    """The distinct units of a chunk; none has a space."""
+    text = zstandard.decompress(raw).decode()
+    return text.split(" ") if text else []
 
 
 def _asking(buckets: int):
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk and bucket of words, the chunk's name and then its distinct words in that bucket, a line each."""
-        for chunk, _, docs in _chunks(batches):
-            words: set[str] = set()
-            for b in docs:
-                for text in b.column("text").to_pylist():
-                    words.update(words_of(text))
-            by_bucket: dict[int, list[str]] = {}
-            for u in {u for w in words for u in units(w)} - {"\n"}:
-                by_bucket.setdefault(zlib.crc32(u.encode()) % buckets, []).append(u)
-            yield pa.RecordBatch.from_arrays([pa.array(list(by_bucket), pa.int32()), pa.array(["\n".join((chunk, *sorted(v))) for v in by_bucket.values()], pa.string())], names=["bucket", "lines"])
+        """For each chunk and bucket the chunk's units in it, but for long ones and those with line ends, one in a line after the chunk's name."""
+        for b in batches:
+            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("units").to_pylist(), strict=True):
+                names = [u for u in _names(raw) if _is_asked(u)]
+                of = np.fromiter((zlib.crc32(u.encode()) * buckets >> 32 for u in names), np.int64, len(names))
+                ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
+                starts = np.concatenate(([0], ends[:-1])) if len(of) else ends
+                lines = ["\n".join((chunk, *names[a:z])) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int32), pa.int32()), pa.array(lines, pa.string())], names=["bucket", "lines"])
 
     return asked
 
 
+def _is_asked(unit: str) -> bool:
+    return len(unit) <= LONGEST_UNIT and "\n" not in unit
+
+
 def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """For each chunk that asks for words of a bucket: these, and the ids and number of ids of each, in the same order."""
+    """For each chunk that asks for units of a bucket, how many ids each has, and the ids, in the same order."""
     index = {w: i for i, w in enumerate(known["word"].to_pylist())}
     starts, sizes, flat = _lists(known["ids"])
     rows = []
-    for lines in asked["lines"].to_pylist():
-        chunk, _, words = lines.partition("\n")
-        at = np.fromiter(map(index.__getitem__, words.split("\n")), np.int64)
-        rows.append((chunk, zstandard.compress(words.encode(), 3), sizes[at].astype(np.uint8).tobytes(), zstandard.compress(_gathered(starts, sizes, flat, at).astype(np.uint16).tobytes(), 3)))
-    kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
-    return pa.table([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["of", "words", "sizes", "ids"])
+    for bucket, lines in zip(asked["bucket"].to_pylist(), asked["lines"].to_pylist(), strict=True):
+        chunk, *words = lines.split("\n")
+        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        rows.append((chunk, bucket, zstandard.compress(sizes[at].astype(np.uint8).tobytes(), 3), zstandard.compress(_gathered(starts, sizes, flat, at).astype(np.uint16).tobytes(), 3)))
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+    return pa.table([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["of", "bucket", "sizes", "ids"])
 
 
 def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,40 +252,40 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.nd
     return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
 
 
-def _assembler(newline: int):
+def _assembler(model: str):
     def assemble(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        """Ids of each document of a chunk, put together from its words'."""
-        known: dict[str, int] = {"\n": 0}
-        sizes, flat = [np.ones(1, np.uint8)], [np.array([newline], np.uint16)]
-        for words, n, ids in zip(answers["words"], answers["sizes"], answers["ids"], strict=True):
-            known.update((w, i) for i, w in enumerate(zstandard.decompress(words.as_py()).decode().split("\n"), len(known)))
-            sizes.append(np.frombuffer(n.as_py(), np.uint8))
-            flat.append(np.frombuffer(zstandard.decompress(ids.as_py()), np.uint16))
-        size = np.concatenate(sizes).astype(np.int64)
-        start, values = np.cumsum(size) - size, np.concatenate(flat).astype(np.int32)
-        index: dict[str, int] = {}
-        out = []
-        for blob in chunks["docs"][:1]:  # chunks of the same name hold the same rows
-            docs = list(pa.ipc.open_stream(zstandard.decompress(blob.as_py())))
-            places = []
-            for b in docs:
-                for text in b.column("text"):
-                    places.append(np.array([index.setdefault(w, len(index)) for w in words_of(text.as_py())], np.int32))
-            parts_of = [len(units(w)) for w in index]
-            of_word = np.fromiter((known[u] for w in index for u in units(w)), np.int64)
-            ends = np.concatenate(([0], np.cumsum(size[of_word])))
-            edges = np.concatenate(([0], np.cumsum(np.array(parts_of, np.int64))))
-            sizes, flat, at = np.diff(ends[edges]), _gathered(start, size, values, of_word), 0
-            starts = np.cumsum(sizes) - sizes
-            del known, index
-            for b in docs:
-                parts = [_gathered(starts, sizes, flat, x) for x in places[at : at + len(b)]]
-                at += len(b)
-                lengths = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-                ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts)))
-                out.append(pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"]))
+        """Ids of each document of a chunk, put together from its units'. Units that were not asked for are encoded here."""
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        return pa.Table.from_batches(out * len(chunks)).cast(schema) if out else schema.empty_table()
+        if not len(chunks):
+            return schema.empty_table()
+        chunk = {k: chunks[k][0].as_py() for k in ("ids", "units", *_NUMBERS)}
+        names = _names(chunk["units"])
+        asked = np.fromiter(map(_is_asked, names), bool, len(names))
+        rows = sorted(zip(answers["bucket"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist(), strict=True))
+        sizes = np.zeros(len(names), np.int64)
+        sizes[asked] = np.concatenate([np.frombuffer(zstandard.decompress(n), np.uint8) for _, n, _ in rows] or [np.zeros(0, np.uint8)])
+        flat = [np.frombuffer(zstandard.decompress(x), np.uint16) for _, _, x in rows]
+        starts = np.zeros(len(names), np.int64)
+        starts[asked] = np.cumsum(sizes[asked]) - sizes[asked]
+        total = int(sizes.sum())
+        if not asked.all():
+            own = Pieces(model)
+            for i in np.flatnonzero(~asked).tolist():
+                ids = [own.byte_ids[10]] if names[i] == "\n" else own.encode(names[i])
+                starts[i], sizes[i], total = total, len(ids), total + len(ids)
+                flat.append(np.array(ids, np.uint16))
+        docs, words, units_of, unit_at = (_unpressed(chunk[k]) for k in _NUMBERS)
+        values = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+        # ids by word, then by document
+        by_word = _gathered(starts, sizes, values, unit_at)
+        edges = np.concatenate(([0], np.cumsum(sizes[unit_at])))[np.concatenate(([0], np.cumsum(units_of)))]
+        word_sizes = np.diff(edges)
+        ends = np.concatenate(([0], np.cumsum(docs)))
+        parts = [_gathered(edges[:-1], word_sizes, by_word, words[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        lengths = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        doc_ids = pa.ipc.open_stream(zstandard.decompress(chunk["ids"])).read_all()["doc_id"].combine_chunks()
+        lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
+        return pa.table([doc_ids, lists], schema=schema)
 
     return assemble
 
@@ -228,32 +297,44 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     next, nor between letters, digits and other characters (see units). Null and empty texts have no ids. Rows that repeat are kept; other
     columns are ignored. An empty table gives an empty result. The model may have 65,535 pieces at most.
 
-    A task sends its documents in packed chunks, and each chunk's distinct words to buckets. There all words of the table go through the
-    lattice once each, and their ids go back to the chunks that asked for them, where documents are put together. Texts, words and ids
-    cross the network once, packed; no group is larger than a chunk or a bucket.
+    A task packs its documents into chunks, which are written to the checkpoint folder once, so all later steps see the same ones. A chunk's
+    distinct units go to buckets, whose number grows with the units asked for. There all units of the table go through the lattice once each,
+    and their ids go back to the chunks, where documents are put together. No group is larger than a chunk or a bucket. Units of over
+    LONGEST_UNIT characters (runs without spaces, such as urls or scripts that use none) take the same least-cost way, by a fold in the task
+    that puts their document together.
     """
     spark = docs.sparkSession
-    vocab = vocabulary(model)
-    byte_ids = {int(p, 16): i for i, (p, _, kind) in enumerate(vocab) if kind == "byte"}
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", empty_if_null("text").alias("text"))
-    asked = texts.mapInArrow(_asking(buckets), "bucket int, lines string").repartition(buckets, "bucket")
+    byte_ids = {int(p, 16): i for i, (p, _, kind) in enumerate(vocabulary(model)) if kind == "byte"}
+    chunks = cut(docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_chunks, _CHUNK))
+    least = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, (chunks.agg(F.sum("n_units")).first()[0] or 0) // BUCKET_WORDS)
+    asked = chunks.select("chunk", "units").mapInArrow(_asking(buckets), "bucket int, lines string").repartition(buckets, "bucket")
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
-    fallback = F.split(F.lit(",".join(str(byte_ids[i]) for i in range(256))), ",").cast("array<int>")
-    known = encode_words(distinct, piece_table(spark, model), ("bucket", "word")).withColumnRenamed("bucket", "of")
-    known = known.select("of", "word", F.when(F.exists("ids", lambda i: i < 0), F.transform("ids", lambda i: F.when(i >= 0, i).otherwise(F.get(fallback, -1 - i)))).otherwise(F.col("ids")).alias("ids"))
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, words binary, sizes binary, ids binary")
-    chunks = texts.mapInArrow(_packed, "chunk string, docs binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(byte_ids[10]), "doc_id long, ids array<int>")
+    known = encode_words(distinct, piece_table(spark, model), byte_ids, ("bucket", "word")).withColumnRenamed("bucket", "of")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, bucket int, sizes binary, ids binary")
+    return chunks.drop("n_units").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Adds ``text`` to rows with ``ids``: the pieces' bytes one after the other, read as UTF-8 (broken characters become U+FFFD), with spaces for space marks and without the first.
 
-    Control ids and ids outside the vocabulary add nothing; null ids give null.
+    Control ids and ids outside the vocabulary add nothing; null ids give null. Other columns stay as they are.
     """
-    # one constant, split when the plan is optimised
-    raw = F.split(F.lit(",".join(p if kind == "byte" else p.encode().hex().upper() if kind == "piece" else "" for p, _, kind in vocabulary(model))), ",")
-    joined = F.array_join(F.transform("ids", lambda i: F.coalesce(F.get(raw, i), F.lit(""))), "")
-    text = F.replace(F.make_valid_utf8(F.unhex(joined).cast("string")), F.lit(SPACE), F.lit(" "))
-    return encoded.withColumn("text", F.when(F.col("ids").isNotNull(), F.substr(text, F.lit(1) + F.when(text.startswith(" "), 1).otherwise(0))))
+    spelled = [bytes.fromhex(p) if kind == "byte" else p.encode() if kind == "piece" else b"" for p, _, kind in vocabulary(model)] + [b""]
+    shared = encoded.sparkSession.sparkContext.broadcast(spelled)
+
+    @F.pandas_udf("string")
+    def text_of(column: pd.Series) -> pd.Series:
+        table, sizes = np.frombuffer(b"".join(shared.value), np.uint8), np.fromiter(map(len, shared.value), np.int64)
+        starts, last = np.cumsum(sizes) - sizes, len(sizes) - 1
+
+        def one(ids) -> str | None:
+            if ids is None:
+                return None
+            at = np.where((ids < 0) | (ids > last), last, ids)
+            text = _gathered(starts, sizes, table, at).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+            return text[1:] if text.startswith(" ") else text
+
+        return column.map(one, na_action=None)
+
+    return encoded.withColumn("text", text_of("ids"))
