@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -14,14 +14,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemine.llm.common import cut, empty_if_null
+from tracemine.llm.common import empty_if_null
 
 #: The vocabulary file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of encoded words.
 CHUNK_CHARS = 8_000_000
-#: Words that chunks ask a bucket for, about (the same word counts for each chunk), and the least number of buckets per shuffle partition.
-BUCKET_WORDS, BUCKETS = 200_000, 4
+#: Bytes of text per bucket of units, and the least number of buckets per shuffle partition.
+BUCKET_BYTES, BUCKETS = 32 << 20, 4
 #: Characters of a unit up to which it goes through the relational lattice; longer ones are folded one by one where they occur, with the same result.
 LONGEST_UNIT = 60
 SPACE = "▁"
@@ -145,25 +145,24 @@ class Pieces:
 
 
 def _pressed(x: np.ndarray) -> bytes:
-    """An array of whole numbers from 0 to 2**32 - 1, its lower and upper halves apart, as these are alike among themselves."""
-    halves = x.astype("<u4").view("<u2").reshape(-1, 2)
-    return zstandard.compress(halves[:, 0].tobytes() + halves[:, 1].tobytes(), 3)
+    """An array of whole numbers from 0 to 2**32 - 1, its lowest, second, ... bytes apart, as these are alike among themselves."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _unpressed(raw: bytes) -> np.ndarray:
-    halves = np.frombuffer(zstandard.decompress(raw), "<u2").reshape(2, -1).astype(np.int64)
-    return halves[0] + (halves[1] << 16)
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
 _NUMBERS = ("docs", "words", "units_of", "unit_at")
-_CHUNK = "chunk string, ids binary, units binary, n_units long, " + ", ".join(f"{k} binary" for k in _NUMBERS)
+_CHUNK = "chunk string, ids binary, units binary, long_at binary, " + ", ".join(f"{k} binary" for k in _NUMBERS)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's documents in chunks of about CHUNK_CHARS, each with a name of its own.
+    """A partition's documents in chunks of about CHUNK_CHARS, each named by its contents.
 
     ids: the doc_ids, as an Arrow stream; docs: how many words each document has; words: the number of each word, by place; units_of: how many units each
-    word has; unit_at: the number of each of its units. units are the distinct ones, in the order of their hashes, by which buckets of words are ranges.
+    word has; unit_at: the number of each of its units. units are the distinct ones, in the order of their hashes, of which buckets are ranges; long_at says which of them are not asked for.
     """
     index: dict[str, int] = {}
     ids: list[pa.Array] = []
@@ -173,16 +172,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk() -> pa.RecordBatch:
         parts = [units(w) for w in index]
-        distinct = sorted({u for p in parts for u in p}, key=lambda u: (zlib.crc32(u.encode()), u))
+        distinct = list(dict.fromkeys(u for p in parts for u in p))
+        order = np.argsort(np.fromiter((zlib.crc32(u.encode()) for u in distinct), np.int64, len(distinct)), kind="stable")
+        distinct = [distinct[i] for i in order.tolist()]
         number = {u: i for i, u in enumerate(distinct)}
-        numbers = (np.array(sizes), np.concatenate(places), np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter((number[u] for p in parts for u in p), np.int64))
+        at = np.concatenate(places)
+        by_use = np.argsort(-np.bincount(at, minlength=len(index)), kind="stable")  # common words get small numbers, which take less room
+        rank = np.empty(len(index), np.int64)
+        rank[by_use] = np.arange(len(index))
+        parts = [parts[i] for i in by_use.tolist()]
+        numbers = (np.array(sizes), rank[at], np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter((number[u] for p in parts for u in p), np.int64))
+        long_at = np.array([i for i, u in enumerate(distinct) if not _is_asked(u)], np.int64)
         sink = pa.BufferOutputStream()
         table = pa.table({"doc_id": pa.chunked_array(ids, pa.int64())})
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        row = [uuid.uuid4().hex, zstandard.compress(sink.getvalue().to_pybytes(), 3), zstandard.compress(" ".join(distinct).encode(), 3), len(distinct), *map(_pressed, numbers)]
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64()] + [pa.binary()] * len(numbers)
-        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "ids", "units", "n_units", *_NUMBERS])
+        parts_of = [zstandard.compress(sink.getvalue().to_pybytes(), 1), zstandard.compress(" ".join(distinct).encode(), 3), *map(_pressed, (long_at, *numbers))]
+        name = hashlib.blake2b(b"".join(parts_of), digest_size=16).hexdigest()
+        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in parts_of)], names=["chunk", "ids", "units", "long_at", *_NUMBERS])
 
     for b in batches:
         lo = 0
@@ -217,6 +224,7 @@ def _asking(buckets: int):
                 ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
                 starts = np.concatenate(([0], ends[:-1])) if len(of) else ends
                 lines = ["\n".join((chunk, *names[a:z])) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+                del names
                 yield pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int32), pa.int32()), pa.array(lines, pa.string())], names=["bucket", "lines"])
 
     return asked
@@ -258,19 +266,18 @@ def _assembler(model: str):
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         if not len(chunks):
             return schema.empty_table()
-        chunk = {k: chunks[k][0].as_py() for k in ("ids", "units", *_NUMBERS)}
-        names = _names(chunk["units"])
-        asked = np.fromiter(map(_is_asked, names), bool, len(names))
+        chunk = {k: chunks[k][0].as_py() for k in ("ids", "units", "long_at", *_NUMBERS)}  # chunks of the same name hold the same rows
+        long_at = _unpressed(chunk["long_at"])
         rows = sorted(zip(answers["bucket"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist(), strict=True))
-        sizes = np.zeros(len(names), np.int64)
-        sizes[asked] = np.concatenate([np.frombuffer(zstandard.decompress(n), np.uint8) for _, n, _ in rows] or [np.zeros(0, np.uint8)])
+        asked_sizes = np.concatenate([np.frombuffer(zstandard.decompress(n), np.uint8) for _, n, _ in rows] or [np.zeros(0, np.uint8)]).astype(np.int64)
         flat = [np.frombuffer(zstandard.decompress(x), np.uint16) for _, _, x in rows]
-        starts = np.zeros(len(names), np.int64)
-        starts[asked] = np.cumsum(sizes[asked]) - sizes[asked]
-        total = int(sizes.sum())
-        if not asked.all():
-            own = Pieces(model)
-            for i in np.flatnonzero(~asked).tolist():
+        sizes, asked = np.zeros(len(asked_sizes) + len(long_at), np.int64), np.ones(len(asked_sizes) + len(long_at), bool)
+        asked[long_at] = False
+        starts = sizes.copy()
+        sizes[asked], starts[asked], total = asked_sizes, np.cumsum(asked_sizes) - asked_sizes, int(asked_sizes.sum())
+        if len(long_at):
+            own, names = Pieces(model), _names(chunk["units"])
+            for i in long_at.tolist():
                 ids = [own.byte_ids[10]] if names[i] == "\n" else own.encode(names[i])
                 starts[i], sizes[i], total = total, len(ids), total + len(ids)
                 flat.append(np.array(ids, np.uint16))
@@ -285,7 +292,7 @@ def _assembler(model: str):
         lengths = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         doc_ids = pa.ipc.open_stream(zstandard.decompress(chunk["ids"])).read_all()["doc_id"].combine_chunks()
         lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-        return pa.table([doc_ids, lists], schema=schema)
+        return pa.concat_tables([pa.table([doc_ids, lists], schema=schema)] * len(chunks))
 
     return assemble
 
@@ -297,22 +304,24 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     next, nor between letters, digits and other characters (see units). Null and empty texts have no ids. Rows that repeat are kept; other
     columns are ignored. An empty table gives an empty result. The model may have 65,535 pieces at most.
 
-    A task packs its documents into chunks, which are written to the checkpoint folder once, so all later steps see the same ones. A chunk's
-    distinct units go to buckets, whose number grows with the units asked for. There all units of the table go through the lattice once each,
+    A task sorts its documents and packs them into chunks, so that doing it again gives the same ones in whatever order rows arrive. A chunk's
+    distinct units go to buckets, whose number grows with the text. There all units of the table go through the lattice once each,
     and their ids go back to the chunks, where documents are put together. No group is larger than a chunk or a bucket. Units of over
     LONGEST_UNIT characters (runs without spaces, such as urls or scripts that use none) take the same least-cost way, by a fold in the task
     that puts their document together.
     """
     spark = docs.sparkSession
     byte_ids = {int(p, 16): i for i, (p, _, kind) in enumerate(vocabulary(model)) if kind == "byte"}
-    chunks = cut(docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_chunks, _CHUNK))
-    least = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(least, (chunks.agg(F.sum("n_units")).first()[0] or 0) // BUCKET_WORDS)
-    asked = chunks.select("chunk", "units").mapInArrow(_asking(buckets), "bucket int, lines string").repartition(buckets, "bucket")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select("doc_id", empty_if_null("text").alias("text"))
+    buckets = max(BUCKETS * partitions, (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    # both uses of the chunks read this one exchange
+    chunks = texts.sortWithinPartitions("doc_id", F.xxhash64("text")).mapInArrow(_chunks, _CHUNK).repartition(partitions, "chunk")
+    asked = chunks.mapInArrow(_asking(buckets), "bucket int, lines string").repartition(buckets, "bucket")
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
     known = encode_words(distinct, piece_table(spark, model), byte_ids, ("bucket", "word")).withColumnRenamed("bucket", "of")
     answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, bucket int, sizes binary, ids binary")
-    return chunks.drop("n_units").groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model), "doc_id long, ids array<int>")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
