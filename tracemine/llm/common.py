@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,20 +19,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and read it from there, so that lost executors do not send work back beyond this point.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session may go without one; it gets a temporary folder.
-    """
-    sc = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``. Only a local session may go without one; it gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder and read it from there, so that lost executors do not send work back beyond this point."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut, but as a table in the checkpoint folder: for wide rows, of which later steps read a few columns each."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def empty_if_null(column: str):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -68,23 +79,48 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+#: Tasks that the rows of one hot key are dealt to in a join.
+SALTS = 16
+
+
+def salt(*columns):
+    """Which of its key's SALTS tasks a row goes to."""
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
+
+
+def salts_of(column):
+    """An aggregate: the salts that a key's rows have, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), column))
+
+
+def per_salt(df: DataFrame, salts: str = "salts", name: str = "salt") -> DataFrame:
+    """A row of df for each of the salts that its key's rows have, so that a join on key and salt finds it; few keys have several rows, and so several salts."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1), i).bitwiseAND(F.col(salts)) != 0
+    return df.withColumn(name, F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), bit))).drop(salts)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
     edges: columns ``u``, ``v`` (long). Self-loops and repeats are allowed. Returns ``node``, ``component`` (the smallest node
     reachable) for every node that has an edge to another one and is not itself the smallest. Each round is a fixed number of
-    group-and-join steps on keys, without a collected neighbour list, and is cut by a checkpoint.
+    group-and-join steps on keys, without a collected neighbour list, and is cut by a checkpoint. The edges of a node with many are
+    dealt over several tasks by a salt of their other end.
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
+
+    def with_least(rows: DataFrame, least) -> DataFrame:
+        salted = rows.withColumn("salt", salt("v"))
+        known = per_salt(salted.groupBy("u").agg(least.alias("m"), salts_of(F.col("salt")).alias("salts")))
+        return salted.join(known, ["u", "salt"])
+
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = with_least(both, F.least("u", F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = with_least(large, F.min("v")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = cut(small.where("u != v").distinct())
