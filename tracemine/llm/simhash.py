@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,21 +12,47 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemine.llm.common import components, cut, empty_if_null, signed
+from tracemine.llm.common import components, cut, empty_if_null, per_salt, salt, salts_of, signed
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Bits of the ring's segments, from the highest bit down. Of six segments at least two are equal in fingerprints that differ in
-#: four bits or fewer, so an equi-join on each pair of segments finds all links.
-SEGMENTS = (11, 11, 11, 11, 10, 10)
+#: Distinct fingerprints up to which rings of so many segments are used: about as many as the values of a bucket's key, so buckets stay small.
+RINGS = ((1 << 23, 6), (1 << 28, 7), (1 << 63, 8))
 #: Fingerprints of a bucket that one task compares; larger buckets are cut into tiles, all pairs of which are compared.
 TILE = 4096
 
-_SHIFTS = np.cumsum((0, *SEGMENTS[::-1]))[:-1][::-1]
-MASKS = [((1 << n) - 1) << int(s) for n, s in zip(SEGMENTS, _SHIFTS, strict=True)]
-PAIRS = [(i, j) for i in range(len(MASKS)) for j in range(i + 1, len(MASKS))]
-#: The most that the first l segments of a viable chain may differ by: its share of the distance.
-BUDGETS = [DISTANCE * n // len(MASKS) for n in range(1, len(MASKS) + 1)]
-_MASKS = np.array(MASKS, dtype=np.uint64)
+
+class Ring:
+    """64 bits as a ring of segments, from the highest bit down. In fingerprints that differ in DISTANCE bits or fewer, at least n - DISTANCE of n segments are
+    equal, so an equi-join on each group of so many segments finds all links, whatever n is; with more segments keys are longer and there are more groups."""
+
+    def __init__(self, n: int):
+        widths = [64 // n + (i < 64 % n) for i in range(n)]
+        shifts = [64 - sum(widths[: i + 1]) for i in range(n)]
+        self.masks = [((1 << w) - 1) << k for w, k in zip(widths, shifts, strict=True)]
+        self.groups = list(itertools.combinations(range(n), n - DISTANCE))
+        #: The most that the first l segments of a viable chain may differ by: its share of the distance.
+        self.budgets = [DISTANCE * k // n for k in range(1, n + 1)]
+        self._masks = np.array(self.masks, dtype=np.uint64)
+
+    def viable(self, diff: np.ndarray, start: int) -> np.ndarray:
+        """Indices of the XORs whose chain of segments from start on stays within its budget at each length."""
+        at, total = np.arange(len(diff)), np.zeros(len(diff), np.int64)
+        for n, most in enumerate(self.budgets):
+            total = total + np.bitwise_count(diff[at] & self._masks[(start + n) % len(self.masks)])
+            keep = total <= most
+            at, total = at[keep], total[keep]
+            if not len(at):
+                break
+        return at
+
+    def linked(self, diff: np.ndarray, group: int) -> np.ndarray:
+        """Which of the XORs of a bucket's fingerprints are links: some chain from one of the bucket's equal segments is viable, and the whole distance is small enough."""
+        found = np.zeros(len(diff), bool)
+        for start in self.groups[group]:
+            found[self.viable(diff, start)] = True
+        at = np.flatnonzero(found)
+        found[at] = np.bitwise_count(diff[at]) <= DISTANCE
+        return found
 
 
 def fingerprint(text: str | bytes) -> bytes:
@@ -52,68 +80,42 @@ def simhash(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(_fingerprints, "doc_id long, bits long")
 
 
-def viable(diff: np.ndarray, start: int) -> np.ndarray:
-    """Indices of the XORs whose chain of segments from start on stays within its budget at each length."""
-    at, total = np.arange(len(diff)), np.zeros(len(diff), np.int64)
-    for n, most in enumerate(BUDGETS):
-        total = total + np.bitwise_count(diff[at] & _MASKS[(start + n) % len(MASKS)])
-        keep = total <= most
-        at, total = at[keep], total[keep]
-        if not len(at):
-            break
-    return at
-
-
-def linked(diff: np.ndarray, pair: int) -> np.ndarray:
-    """Which of the XORs of a bucket's fingerprints are links: some chain from one of the bucket's equal segments is viable, and the whole distance is small enough."""
-    found = np.zeros(len(diff), bool)
-    for start in PAIRS[pair]:
-        found[viable(diff, start)] = True
-    at = np.flatnonzero(found)
-    found[at] = np.bitwise_count(diff[at]) <= DISTANCE
-    return found
-
-
-def _forest(ids: np.ndarray, bits: np.ndarray, pair: int) -> Iterator[tuple[int, int]]:
-    """For each connected group of a bucket, edges to its smallest id. Fingerprints that are already reached are not compared again."""
-    order = np.argsort(ids)
-    ids, bits = ids[order], bits[order]
-    left = np.arange(len(ids))
+def _forest(ring: Ring, bits: np.ndarray, group: int) -> Iterator[tuple[int, int]]:
+    """For each connected group of a bucket, edges to one of it. Fingerprints that are already reached are not compared again."""
+    left = np.arange(len(bits))
     while len(left) > 1:
         root, reached, left = left[0], [left[0]], left[1:]
         while reached and len(left):
-            hit = linked(bits[left] ^ bits[reached.pop()], pair)
+            hit = ring.linked(bits[left] ^ bits[reached.pop()], group)
             new, left = left[hit], left[~hit]
             reached += new.tolist()
-            yield from ((int(ids[x]), int(ids[root])) for x in new)
-
+            yield from ((x, root) for x in new)
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows are sorted by bucket; a bucket has about two tiles of rows at most."""
 
-    def out(u: list, v: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _links(batches: Iterator[pa.RecordBatch], ring: Ring) -> Iterator[pa.RecordBatch]:
+    """Rows (group, key, tile, bits) are sorted by bucket; a bucket has about two tiles of rows at most."""
 
-    def found(pair, key, tile, ids, bits) -> pa.RecordBatch:
-        ends = np.append(np.flatnonzero((np.diff(pair) != 0) | (np.diff(key) != 0) | (np.diff(tile) != 0)) + 1, len(pair))
+    def found(group, key, tile, bits) -> pa.RecordBatch:
+        ends = np.append(np.flatnonzero((np.diff(group) != 0) | (np.diff(key) != 0) | (np.diff(tile) != 0)) + 1, len(group))
         starts = np.concatenate(([0], ends[:-1]))
         u, v = [], []
         two = starts[ends - starts == 2]
-        for p in range(len(PAIRS)):
-            at = two[pair[two] == p]
-            at = at[linked(bits[at] ^ bits[at + 1], p)]
-            u += ids[at].tolist()
-            v += ids[at + 1].tolist()
+        for g in range(len(ring.groups)):
+            at = two[group[two] == g]
+            at = at[ring.linked(bits[at] ^ bits[at + 1], g)]
+            u += at.tolist()
+            v += (at + 1).tolist()
         for a, b in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
-            for x, y in _forest(ids[a:b], bits[a:b], int(pair[a])):
-                u.append(x)
-                v.append(y)
-        return out(u, v)
+            for x, y in _forest(ring, bits[a:b], int(group[a])):
+                u.append(a + x)
+                v.append(a + y)
+        ids = bits.view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[np.array(x, np.int64)]) for x in (u, v)], names=["u", "v"])
 
     rest: list[np.ndarray] | None = None
     for b in batches:
-        now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        now[4] = now[4].view(np.uint64)
+        now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        now[3] = now[3].view(np.uint64)
         if rest is not None:
             now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
@@ -125,21 +127,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(*rest)
 
 
-def near_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """Edges ``u``, ``v`` that connect all of nodes' fingerprints (``id``, distinct ``bits``) at DISTANCE or fewer differing bits.
+def near_links(nodes: DataFrame, tile: int = TILE, segments: int | None = None) -> DataFrame:
+    """Edges ``u``, ``v`` that connect all of nodes' distinct fingerprints (``bits``) at DISTANCE or fewer differing bits. Fingerprints stand for themselves.
 
     Not every link is returned, but those of a spanning forest of each bucket, so groups of any size cost no more edges than they
     have members. Buckets of one fingerprint are dropped before anything is compared; of a bucket of over ``tile`` fingerprints,
-    each is dealt to as many tasks as the bucket has tiles, which compare two tiles each.
+    each is dealt to as many tasks as the bucket has tiles, which compare two tiles each. ``segments`` (DISTANCE + 1 at least) only
+    changes how much is compared; by default it grows with the number of fingerprints.
     """
-    keys = F.array(*(F.struct(F.lit(p).alias("pair"), F.col("bits").bitwiseAND(F.lit(signed(MASKS[i] | MASKS[j]))).alias("key")) for p, (i, j) in enumerate(PAIRS)))
-    keyed = nodes.select("id", "bits", F.explode(keys).alias("k")).select("k.pair", "k.key", "id", "bits")
-    sizes = keyed.groupBy("pair", "key").agg(F.count("*").alias("n")).where("n > 1")
+    if segments is None:
+        n = nodes.count()
+        segments = next(k for most, k in RINGS if n <= most)
+    ring = Ring(segments)
+    keys = F.array(*(F.struct(F.lit(g).alias("group"), F.col("bits").bitwiseAND(F.lit(signed(sum(ring.masks[i] for i in group)))).alias("key")) for g, group in enumerate(ring.groups)))
+    keyed = nodes.select("bits", F.explode(keys).alias("k")).select("k.group", "k.key", "bits")
+    sizes = keyed.groupBy("group", "key").agg(F.count("*").alias("n")).where("n > 1")
     tiles = F.ceil(F.col("n") / tile)
     own = F.pmod(F.xxhash64("bits"), tiles)
     other = F.filter(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda u: (tiles == 1) | (u != own))
-    dealt = keyed.join(sizes, ["pair", "key"]).select("pair", "key", F.explode(F.transform(other, lambda u: F.least(u, own) * tiles + F.greatest(u, own))).alias("tile"), "id", "bits")
-    return dealt.repartition("pair", "key", "tile").sortWithinPartitions("pair", "key", "tile").mapInArrow(_links, "u long, v long")
+    dealt = keyed.join(sizes, ["group", "key"]).select("group", "key", F.explode(F.transform(other, lambda u: F.least(u, own) * tiles + F.greatest(u, own))).alias("tile"), "bits")
+    return dealt.repartition("group", "key", "tile").sortWithinPartitions("group", "key", "tile").mapInArrow(partial(_links, ring=ring), "u long, v long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -147,14 +154,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
     A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; four-word shingles count as often as they occur; a
     text of fewer words is one shingle, one of none (null included) has fingerprint zero and links like any other. Fingerprints
-    link at 4 or fewer differing bits, transitively. Rows with a null doc_id get a fingerprint and take part, but a component's id
-    is null only if no row in it has one. Repeated rows are kept. Other columns are ignored.
+    link at 4 or fewer differing bits, transitively. Rows with a null doc_id get a fingerprint and take part, so they may join others;
+    a component's id is null only if no row in it has one. Repeated rows are kept. Other columns are ignored; an empty table gives an
+    empty result. Rows of a hot fingerprint, and fingerprints of a large component, are dealt over several tasks in each join.
     """
-    prints = cut(simhash(docs))
-    nodes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("id")))
-    reached = components(near_links(nodes.where("id IS NOT NULL")))
-    named = nodes.join(reached, nodes["id"] == reached["node"], "left").select("bits", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "bits").select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
+    prints = cut(simhash(docs)).withColumn("salt", salt("doc_id"))
+    nodes = cut(prints.groupBy("bits").agg(F.min("doc_id").alias("id"), salts_of(F.col("salt")).alias("salts")))
+    reached = components(near_links(nodes.select("bits")))
+    placed = nodes.join(reached, nodes["bits"] == reached["node"], "left").select("bits", "id", "salts", F.coalesce("component", "bits").alias("root"), salt("bits").alias("of_root"))
+    roots = per_salt(placed.groupBy("root").agg(F.min("id").alias("component_id"), salts_of(F.col("of_root")).alias("all")), "all", "of_root")
+    named = per_salt(placed.join(roots, ["root", "of_root"]).select("bits", "salts", "component_id"))
+    return prints.join(named, ["bits", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
