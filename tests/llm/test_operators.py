@@ -117,9 +117,9 @@ def test_near_groups(awkward, empty, spark):
     assert {i for i, _ in kept} == {i for i, _, c in near_by_hand(rows_of(docs)) if i == c}
 
 
-@pytest.mark.parametrize("tile", [3, 4096])
-def test_links_connect_all_near_fingerprints(spark, tile):
-    """Random balls of fingerprints: the links' components are those of all pairs, whether buckets are cut into tiles or not."""
+@pytest.mark.parametrize(("tile", "segments"), [(3, 6), (4096, 6), (4096, 7), (50, 8)])
+def test_links_connect_all_near_fingerprints(spark, tile, segments):
+    """Random balls of fingerprints: the links' components are those of all pairs, whether buckets are cut into tiles or not, and for each ring."""
     rng = random.Random(tile)
     prints = set()
     for _ in range(12):
@@ -129,9 +129,10 @@ def test_links_connect_all_near_fingerprints(spark, tile):
             for _ in range(rng.randint(0, 5)):
                 x ^= 1 << rng.randrange(64)
             prints.add(x)
-    prints = sorted(prints)
-    nodes = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)], "id long, bits long")
-    found = {r["node"]: r["component"] for r in components(simhash.near_links(nodes, tile)).collect()}
+    prints = sorted(prints, key=lambda p: p - (1 << 64) if p >> 63 else p)
+    index = {p - (1 << 64) if p >> 63 else p: i for i, p in enumerate(prints)}
+    nodes = spark.createDataFrame([(p,) for p in index], "bits long")
+    found = {index[r["node"]]: index[r["component"]] for r in components(simhash.near_links(nodes, tile, segments)).collect()}
     parent = list(range(len(prints)))
 
     def root(x):
@@ -147,6 +148,21 @@ def test_links_connect_all_near_fingerprints(spark, tile):
     assert {i: found.get(i, i) for i in range(len(prints))} == {i: root(i) for i in range(len(prints))}
 
 
+def test_rows_without_ids_link_others(spark):
+    """A row without an id whose fingerprint is near two others' joins these, and gets their component."""
+    rng, near = random.Random(4), None
+    while near is None:
+        words = [rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"]) for _ in range(200)]
+        texts = [" ".join([*words[:i], "x" + str(k), *words[i + 1 :]]) for k, i in enumerate(rng.sample(range(200), 12))]
+        prints = [print_by_hand(t) for t in texts]
+        far = lambda i, j: (prints[i] ^ prints[j]).bit_count()
+        near = next(((i, j, k) for i in range(12) for j in range(12) for k in range(12) if 0 < far(i, j) <= 4 and 0 < far(j, k) <= 4 and far(i, k) > 4), None)
+    rows = [(5, texts[near[0]]), (None, texts[near[1]]), (3, texts[near[2]]), (None, "some other text that is far from all others here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(map(tuple, simhash.near_groups(docs).collect()))
+    assert found == near_by_hand(rows) and sum(c == 3 for _, _, c in found) == 3
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(8, 60)] + [(200, 200), (59, 61)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -176,7 +192,12 @@ def test_repeated_spans(awkward, empty, spark, monkeypatch, hot):
     for docs in (awkward, table(spark, SF, "documents")):
         assert Counter(map(tuple, suffix.repeated_spans(docs).drop("spans").collect())) == removed_by_hand(rows_of(docs))
     assert suffix.repeated_spans(empty).count() == 0
-    assert suffix.without_repeats(awkward).count() == awkward.count()
+
+    rows = awkward.unionByName(spark.createDataFrame([(1, "one " * 100, None, None, 400), (1, "x" + "".join(map(str, range(500)))[:399], None, None, 400)], SCHEMA), allowMissingColumns=True)
+    lost = suffix.without_repeats(rows)
+    kept = Counter((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in lost.where("text IS NOT NULL").collect() if r["text"].isascii())
+    expected = Counter({(i, sha): k for (i, _, _, _, sha), k in removed_by_hand(rows_of(rows.where("text IS NOT NULL"))).items()})
+    assert kept and not kept - expected and lost.columns == [*rows.columns, "n_removed"] and lost.count() == rows.count()
 
 
 def test_a_common_passage_in_different_texts_is_not_sorted_in_one_task(spark, monkeypatch):
@@ -420,7 +441,7 @@ def test_rows_in_another_order_each_time(spark, monkeypatch):
 
     cloudpickle.register_pickle_by_value(pieces)
     monkeypatch.setattr(pieces, "CHUNK_CHARS", 300)
-    monkeypatch.setattr(pieces, "BUCKET_WORDS", 5)
+    monkeypatch.setattr(pieces, "BUCKET_BYTES", 50)
     texts = [f"word{i} other{i % 7} third" for i in range(200)]
 
     def shuffled(batches):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tracemine.llm.common import cut, empty_if_null
+from tracemine.llm.common import cut, empty_if_null, per_salt, salt, salts_of
 
 #: Length of the repeated strings, and of the runs of starts that share an anchor.
 LENGTH, RUN = 200, 128
@@ -391,7 +391,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((sum(z - a for a, z in cuts), len(cuts), hashlib.sha256(kept).hexdigest(), [{"a": a, "z": z} for a, z in cuts]))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())])))
         columns = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("sha"), *columns], names=["sha", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield pa.RecordBatch.from_arrays([b.column("sha"), b.column("salts"), *columns], names=["sha", "salts", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -406,15 +406,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Anchors that occur more than HOT times are dealt by longer keys, one for each range of starts. A key that occurs more than HOT times too is
     not sorted at all: the digests (128 bits) of its strings meet, after each task has sent two of a kind, so no task holds more than HOT contexts of a key.
     """
+    rows, result = _judged(docs)
+    hashed = rows.select("doc_id", "sha", "salt", F.octet_length("text").cast("long").alias("n_bytes"))
+    return hashed.join(per_salt(result), ["sha", "salt"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with their texts' digests (``sha``) and salts; for each distinct text what it loses, and the salts that its rows have."""
     no_id = F.lit(-(1 << 63))
-    rows = docs.select("doc_id", F.coalesce("doc_id", no_id).alias("of"), empty_if_null("text").alias("text")).withColumn("sha", F.sha2("text", 256))
-    hashed = rows.select("doc_id", "of", "sha", F.octet_length("text").cast("long").alias("n_bytes"))
-    groups = hashed.groupBy("sha").agg(F.count("*").alias("copies"), F.min("of").alias("of"), F.max("n_bytes").alias("n_bytes"))
+    rows = docs.select("doc_id", F.coalesce("doc_id", no_id).alias("of"), empty_if_null("text").alias("text")).withColumns({"sha": F.sha2("text", 256), "salt": salt("doc_id")})
+    hashed = rows.select("of", "sha", "salt", F.octet_length("text").cast("long").alias("n_bytes"))
+    groups = hashed.groupBy("sha").agg(F.count("*").alias("copies"), F.min("of").alias("of"), F.max("n_bytes").alias("n_bytes"), salts_of(F.col("salt")).alias("salts"))
     texts = cut(groups.withColumn("id", F.monotonically_increasing_id()))
 
     places = rows.select("of", "sha", "text").join(texts.where(f"n_bytes >= {LENGTH}").select("of", "sha", "id"), ["of", "sha"]).select("id", "text").mapInArrow(_anchor_rows, "id long, at int, h long")
-    often = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    found = places.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("at", "h", "n")).alias("found"))
+    salted = places.withColumn("salt", salt("id"))
+    often = per_salt(salted.groupBy("h").agg(F.count("*").alias("n"), salts_of(F.col("salt")).alias("salts")).where("n > 1"))
+    found = salted.join(often, ["h", "salt"]).groupBy("id").agg(F.collect_list(F.struct("at", "h", "n")).alias("found"))
     hot = texts.select("of", "sha", "id").join(found.where(F.exists("found", lambda x: x["n"] > HOT)), "id")
     keys = rows.select("of", "sha", "text").join(hot, ["of", "sha"]).select("id", "text", "found").mapInArrow(partial(_range_keys, hot=HOT), "id long, at int, low int, key long")
     often = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("key")  # a HOTth of the keys at most
@@ -423,23 +431,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     contexts = rows.select("of", "sha", "text").join(found, ["of", "sha"]).select("id", "text", "found", "over").mapInArrow(partial(_contexts, hot=HOT), "key long, id long, at int, before int, bytes binary, low int, high int")
     spans = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_repeat_rows, "id long, a int, z int")
 
-    once = texts.where(f"copies = 1 OR n_bytes < {LENGTH}").select("of", "sha", "id").join(spans.groupBy("id").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "id", "left")
-    judged = rows.select("of", "sha", "text").join(once, ["of", "sha"]).select("sha", "text", "spans").mapInArrow(_removed, "sha string, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,z:int>>")
+    once = texts.where(f"copies = 1 OR n_bytes < {LENGTH}").select("of", "sha", "salts", "id").join(spans.groupBy("id").agg(F.collect_list(F.struct("a", "z")).alias("spans")), "id", "left")
+    judged = rows.select("of", "sha", "text").join(once, ["of", "sha"]).select("sha", "salts", "text", "spans").mapInArrow(_removed, "sha string, salts int, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a:int,z:int>>")
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("n_bytes").cast("int").alias("z")))
-    gone = texts.where(f"copies > 1 AND n_bytes >= {LENGTH}").select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), whole.alias("spans"))
-    result = judged.dropDuplicates(["sha"]).unionByName(gone)
-    return hashed.join(result, "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    gone = texts.where(f"copies > 1 AND n_bytes >= {LENGTH}").select("sha", "salts", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(""), 256).alias("kept_sha256"), whole.alias("spans"))
+    return rows, judged.dropDuplicates(["sha"]).unionByName(gone)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with all their columns; ``text`` has lost the bytes that repeated_spans removes, and ``n_removed`` says how many.
 
-    Spans may begin or end inside a character; what is left of such a character is dropped too. A null text stays null.
+    Spans may begin or end inside a character; what is left of such a character is dropped too. A null text stays null. Rows find what
+    their text loses by its digest, so rows that repeat a doc_id lose what their own texts do.
     """
-    spans = repeated_spans(docs).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__of"), "n_bytes", F.col("spans").alias("__spans"), F.col("n_removed").alias("__removed")).dropDuplicates(["__of", "n_bytes"])
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(-(1 << 63))), "__n": F.octet_length("text").cast("long")})
-    joined = keyed.join(spans, (F.col("__id") == F.col("__of")) & (F.col("__n") == F.col("n_bytes")), "left")
-    return joined.withColumns({"text": _cut_out("text", "__spans"), "n_removed": F.coalesce("__removed", F.lit(0))}).drop("__id", "__of", "__n", "n_bytes", "__spans", "__removed")
+    _, result = _judged(docs)
+    spans = per_salt(result.where("n_removed > 0").select(F.col("sha").alias("__of"), "salts", F.col("spans").alias("__spans"), F.col("n_removed").alias("__removed")), "salts", "__of_salt")
+    keyed = docs.withColumns({"__sha": F.sha2(empty_if_null("text"), 256), "__salt": salt("doc_id")})
+    joined = keyed.join(spans, (F.col("__sha") == F.col("__of")) & (F.col("__salt") == F.col("__of_salt")), "left")
+    return joined.withColumns({"text": _cut_out("text", "__spans"), "n_removed": F.coalesce("__removed", F.lit(0))}).drop("__sha", "__salt", "__of", "__of_salt", "__spans", "__removed")
 
 
 @F.pandas_udf(StringType())
