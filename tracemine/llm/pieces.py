@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from tracemine.llm.common import empty_if_null
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of encoded words.
 CHUNK_CHARS = 8_000_000
+#: Rows that are looked at together.
+ROWS = 500
 #: Bytes of text per bucket of units, and the least number of buckets per shuffle partition.
 BUCKET_BYTES, BUCKETS = 32 << 20, 4
 #: Characters of a unit up to which it goes through the relational lattice; longer ones are folded one by one where they occur, with the same result.
@@ -171,17 +174,27 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     chars = 0
 
     def chunk() -> pa.RecordBatch:
-        parts = [units(w) for w in index]
-        distinct = list(dict.fromkeys(u for p in parts for u in p))
-        order = np.argsort(np.fromiter((zlib.crc32(u.encode()) for u in distinct), np.int64, len(distinct)), kind="stable")
+        number: dict[str, int] = {}
+        units_of, unit_at = array("i"), array("i")
+        for w in index:
+            own = units(w)
+            units_of.append(len(own))
+            unit_at.extend([number.setdefault(u, len(number)) for u in own])
+        n_words = len(index)
+        index.clear()
+        order = np.argsort(np.fromiter((zlib.crc32(u.encode()) for u in number), np.int64, len(number)), kind="stable")
+        distinct = list(number)
+        number.clear()
         distinct = [distinct[i] for i in order.tolist()]
-        number = {u: i for i, u in enumerate(distinct)}
+        sorted_at = np.empty(len(distinct), np.int32)
+        sorted_at[order] = np.arange(len(distinct), dtype=np.int32)
         at = np.concatenate(places)
-        by_use = np.argsort(-np.bincount(at, minlength=len(index)), kind="stable")  # common words get small numbers, which take less room
-        rank = np.empty(len(index), np.int64)
-        rank[by_use] = np.arange(len(index))
-        parts = [parts[i] for i in by_use.tolist()]
-        numbers = (np.array(sizes), rank[at], np.fromiter(map(len, parts), np.int64, len(parts)), np.fromiter((number[u] for p in parts for u in p), np.int64))
+        by_use = np.argsort(-np.bincount(at, minlength=n_words), kind="stable")  # common words get small numbers, which take less room
+        rank = np.empty(n_words, np.int32)
+        rank[by_use] = np.arange(n_words, dtype=np.int32)
+        each = np.frombuffer(units_of, np.int32).astype(np.int64)
+        of_unit = _gathered(np.cumsum(each) - each, each, sorted_at[np.frombuffer(unit_at, np.int32)] if unit_at else np.zeros(0, np.int32), by_use)
+        numbers = (np.array(sizes), rank[at], each[by_use], of_unit)
         long_at = np.array([i for i, u in enumerate(distinct) if not _is_asked(u)], np.int64)
         sink = pa.BufferOutputStream()
         table = pa.table({"doc_id": pa.chunked_array(ids, pa.int64())})
@@ -191,19 +204,20 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = hashlib.blake2b(b"".join(parts_of), digest_size=16).hexdigest()
         return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in parts_of)], names=["chunk", "ids", "units", "long_at", *_NUMBERS])
 
-    for b in batches:
-        lo = 0
-        for i, text in enumerate(b.column("text").to_pylist()):
-            words = words_of(text)
-            sizes.append(len(words))
-            places.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words)))
-            chars += len(text)
-            if chars >= CHUNK_CHARS:
-                ids.append(b.column("doc_id").slice(lo, i + 1 - lo))
-                yield chunk()
-                index, ids, sizes, places, chars, lo = {}, [], [], [], 0, i + 1
-        if lo < len(b):
-            ids.append(b.column("doc_id").slice(lo))
+    for whole in batches:
+        for b in (whole.slice(i, ROWS) for i in range(0, len(whole), ROWS)):
+            lo = 0
+            for i, text in enumerate(b.column("text").to_pylist()):
+                words = words_of(text)
+                sizes.append(len(words))
+                places.append(np.fromiter([index.setdefault(w, len(index)) for w in words], np.int32, len(words)))
+                chars += len(text)
+                if chars >= CHUNK_CHARS:
+                    ids.append(b.column("doc_id").slice(lo, i + 1 - lo))
+                    yield chunk()
+                    ids, sizes, places, chars, lo = [], [], [], 0, i + 1
+            if lo < len(b):
+                ids.append(b.column("doc_id").slice(lo))
     if sizes:
         yield chunk()
 
@@ -332,18 +346,20 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     spelled = [bytes.fromhex(p) if kind == "byte" else p.encode() if kind == "piece" else b"" for p, _, kind in vocabulary(model)] + [b""]
     shared = encoded.sparkSession.sparkContext.broadcast(spelled)
 
-    @F.pandas_udf("string")
-    def text_of(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def text_of(column: pa.Array) -> pa.Array:
         table, sizes = np.frombuffer(b"".join(shared.value), np.uint8), np.fromiter(map(len, shared.value), np.int64)
         starts, last = np.cumsum(sizes) - sizes, len(sizes) - 1
-
-        def one(ids) -> str | None:
-            if ids is None:
-                return None
+        out: list[str | None] = []
+        for part in (column.slice(i, ROWS) for i in range(0, len(column), ROWS)):
+            lists = pa.chunked_array([part.fill_null([])]).combine_chunks() if part.null_count else part
+            ids = lists.flatten().to_numpy(zero_copy_only=False)
             at = np.where((ids < 0) | (ids > last), last, ids)
-            text = _gathered(starts, sizes, table, at).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
-            return text[1:] if text.startswith(" ") else text
-
-        return column.map(one, na_action=None)
+            raw = _gathered(starts, sizes, table, at).tobytes()
+            ends = np.concatenate(([0], np.cumsum(sizes[at])))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))].tolist()
+            for known, a, z in zip(part.is_valid().to_pylist(), ends, ends[1:], strict=False):
+                text = raw[a:z].decode("utf-8", "replace").replace(SPACE, " ")
+                out.append((text[1:] if text.startswith(" ") else text) if known else None)
+        return pa.array(out, pa.string())
 
     return encoded.withColumn("text", text_of("ids"))
