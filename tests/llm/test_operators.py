@@ -1,5 +1,6 @@
 """The text operators against brute force on small fixtures and on the smallest tables."""
 
+import functools
 import hashlib
 import random
 from collections import Counter, defaultdict
@@ -409,9 +410,13 @@ def best_by_hand(word, table, longest):
     return out
 
 
+@functools.cache
+def pieces_by_hand():
+    return {p: (-s, i) for i, (p, s, kind) in enumerate(pieces.vocabulary()) if kind == "piece" and s > -1e8}
+
+
 def ids_by_hand(text):
-    known = {p: (-s, i) for i, (p, s, kind) in enumerate(pieces.vocabulary()) if kind == "piece" and s > -1e8}
-    return tuple(x for w in pieces.words_of(text) for u in ([w] if w == "\n" else pieces.PART.findall(w)) for x in ([13] if u == "\n" else best_by_hand(u, known, 16)))
+    return tuple(x for w in pieces.words_of(text) for u in ([w] if w == "\n" else pieces.PART.findall(w)) for x in ([13] if u == "\n" else best_by_hand(u, pieces_by_hand(), 16)))
 
 
 def test_encode_and_decode(awkward, empty, spark, monkeypatch):
