@@ -20,7 +20,7 @@ from tracemine.llm.common import empty_if_null
 #: The vocabulary file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of encoded words.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 5_000_000
 #: Rows that are looked at together.
 ROWS = 500
 #: Bytes of text per bucket of units, and the least number of buckets per shuffle partition.
@@ -158,14 +158,14 @@ def _unpressed(raw: bytes) -> np.ndarray:
 
 
 _NUMBERS = ("docs", "words", "units_of", "unit_at")
-_CHUNK = "chunk string, ids binary, units binary, long_at binary, " + ", ".join(f"{k} binary" for k in _NUMBERS)
+_CHUNK = "chunk string, ids binary, units binary, " + ", ".join(f"{k} binary" for k in _NUMBERS)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's documents in chunks of about CHUNK_CHARS, each named by its contents.
 
     ids: the doc_ids, as an Arrow stream; docs: how many words each document has; words: the number of each word, by place; units_of: how many units each
-    word has; unit_at: the number of each of its units. units are the distinct ones, in the order of their hashes, of which buckets are ranges; long_at says which of them are not asked for.
+    word has; unit_at: the number of each of its units. units are the distinct ones, sorted.
     """
     index: dict[str, int] = {}
     ids: list[pa.Array] = []
@@ -182,12 +182,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unit_at.extend([number.setdefault(u, len(number)) for u in own])
         n_words = len(index)
         index.clear()
-        order = np.argsort(np.fromiter((zlib.crc32(u.encode()) for u in number), np.int64, len(number)), kind="stable")
-        distinct = list(number)
-        number.clear()
-        distinct = [distinct[i] for i in order.tolist()]
+        distinct = sorted(number)
         sorted_at = np.empty(len(distinct), np.int32)
-        sorted_at[order] = np.arange(len(distinct), dtype=np.int32)
+        sorted_at[np.fromiter(map(number.__getitem__, distinct), np.int64, len(distinct))] = np.arange(len(distinct), dtype=np.int32)
+        number.clear()
         at = np.concatenate(places)
         by_use = np.argsort(-np.bincount(at, minlength=n_words), kind="stable")  # common words get small numbers, which take less room
         rank = np.empty(n_words, np.int32)
@@ -195,14 +193,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = np.frombuffer(units_of, np.int32).astype(np.int64)
         of_unit = _gathered(np.cumsum(each) - each, each, sorted_at[np.frombuffer(unit_at, np.int32)] if unit_at else np.zeros(0, np.int32), by_use)
         numbers = (np.array(sizes), rank[at], each[by_use], of_unit)
-        long_at = np.array([i for i, u in enumerate(distinct) if not _is_asked(u)], np.int64)
         sink = pa.BufferOutputStream()
         table = pa.table({"doc_id": pa.chunked_array(ids, pa.int64())})
         with pa.ipc.new_stream(sink, table.schema) as writer:
             writer.write_table(table)
-        parts_of = [zstandard.compress(sink.getvalue().to_pybytes(), 1), zstandard.compress(" ".join(distinct).encode(), 3), *map(_pressed, (long_at, *numbers))]
+        parts_of = [zstandard.compress(sink.getvalue().to_pybytes(), 1), zstandard.compress(" ".join(distinct).encode(), 3), *map(_pressed, numbers)]
         name = hashlib.blake2b(b"".join(parts_of), digest_size=16).hexdigest()
-        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in parts_of)], names=["chunk", "ids", "units", "long_at", *_NUMBERS])
+        return pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.binary()) for x in parts_of)], names=["chunk", "ids", "units", *_NUMBERS])
 
     for whole in batches:
         for b in (whole.slice(i, ROWS) for i in range(0, len(whole), ROWS)):
@@ -230,20 +227,26 @@ def _names(raw: bytes) -> list[str]:
 
 def _asking(buckets: int):
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk and bucket the chunk's units in it, but for long ones and those with line ends, one in a line after the chunk's name."""
+        """For each chunk and bucket the chunk's units in it, but for those that are encoded in place, in lines after the chunk's name."""
         for b in batches:
-            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("units").to_pylist(), strict=True):
-                names = [u for u in _names(raw) if _is_asked(u)]
-                of = np.fromiter((zlib.crc32(u.encode()) * buckets >> 32 for u in names), np.int64, len(names))
+            for chunk, raw in zip(b.column("chunk").to_pylist(), b.column("units"), strict=True):
+                names = _names(raw.as_py())
+                order, of = _dealt(names, buckets)
                 ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) if len(of) else np.zeros(0, np.int64)
                 starts = np.concatenate(([0], ends[:-1])) if len(of) else ends
-                lines = ["\n".join((chunk, *names[a:z])) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
-                del names
+                lines = ["\n".join((chunk, *(names[i] for i in order[a:z]))) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(of[starts].astype(np.int32), pa.int32()), pa.array(lines, pa.string())], names=["bucket", "lines"])
 
     return asked
 
 
+def _dealt(names: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a chunk's units are asked for, by bucket and then in order, and the bucket of each."""
+    of = np.fromiter((zlib.crc32(u.encode()) % buckets if _is_asked(u) else buckets for u in names), np.int64, len(names))
+    order = np.argsort(of, kind="stable")[: int((of < buckets).sum())]
+    return order, of[order]
+
+
 def _is_asked(unit: str) -> bool:
     return len(unit) <= LONGEST_UNIT and "\n" not in unit
 
@@ -274,27 +277,28 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.nd
     return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
 
 
-def _assembler(model: str):
+def _assembler(model: str, buckets: int):
     def assemble(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         """Ids of each document of a chunk, put together from its units'. Units that were not asked for are encoded here."""
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         if not len(chunks):
             return schema.empty_table()
-        chunk = {k: chunks[k][0].as_py() for k in ("ids", "units", "long_at", *_NUMBERS)}  # chunks of the same name hold the same rows
-        long_at = _unpressed(chunk["long_at"])
+        chunk = {k: chunks[k][0].as_py() for k in ("ids", "units", *_NUMBERS)}  # chunks of the same name hold the same rows
+        names = _names(chunk["units"])
+        asked, _ = _dealt(names, buckets)
         rows = sorted(zip(answers["bucket"].to_pylist(), answers["sizes"].to_pylist(), answers["ids"].to_pylist(), strict=True))
         asked_sizes = np.concatenate([np.frombuffer(zstandard.decompress(n), np.uint8) for _, n, _ in rows] or [np.zeros(0, np.uint8)]).astype(np.int64)
         flat = [np.frombuffer(zstandard.decompress(x), np.uint16) for _, _, x in rows]
-        sizes, asked = np.zeros(len(asked_sizes) + len(long_at), np.int64), np.ones(len(asked_sizes) + len(long_at), bool)
-        asked[long_at] = False
-        starts = sizes.copy()
-        sizes[asked], starts[asked], total = asked_sizes, np.cumsum(asked_sizes) - asked_sizes, int(asked_sizes.sum())
-        if len(long_at):
-            own, names = Pieces(model), _names(chunk["units"])
-            for i in long_at.tolist():
-                ids = [own.byte_ids[10]] if names[i] == "\n" else own.encode(names[i])
-                starts[i], sizes[i], total = total, len(ids), total + len(ids)
-                flat.append(np.array(ids, np.uint16))
+        sizes, starts, total = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64), int(asked_sizes.sum())
+        sizes[asked], starts[asked] = asked_sizes, np.cumsum(asked_sizes) - asked_sizes
+        here = np.ones(len(names), bool)
+        here[asked] = False
+        own = Pieces(model) if here.any() else None
+        for i in np.flatnonzero(here).tolist():
+            ids = [own.byte_ids[10]] if names[i] == "\n" else own.encode(names[i])
+            starts[i], sizes[i], total = total, len(ids), total + len(ids)
+            flat.append(np.array(ids, np.uint16))
+        del names
         docs, words, units_of, unit_at = (_unpressed(chunk[k]) for k in _NUMBERS)
         values = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
         # ids by word, then by document
@@ -335,7 +339,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
     known = encode_words(distinct, piece_table(spark, model), byte_ids, ("bucket", "word")).withColumnRenamed("bucket", "of")
     answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, bucket int, sizes binary, ids binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model), "doc_id long, ids array<int>")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model, buckets), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
