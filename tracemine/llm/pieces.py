@@ -277,7 +277,7 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.nd
     return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
 
 
-def _assembler(model: str, buckets: int):
+def _assembler(model: str, buckets: int, newline: int):
     def assemble(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         """Ids of each document of a chunk, put together from its units'. Units that were not asked for are encoded here."""
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -293,9 +293,11 @@ def _assembler(model: str, buckets: int):
         sizes[asked], starts[asked] = asked_sizes, np.cumsum(asked_sizes) - asked_sizes
         here = np.ones(len(names), bool)
         here[asked] = False
-        own = Pieces(model) if here.any() else None
+        own = None
         for i in np.flatnonzero(here).tolist():
-            ids = [own.byte_ids[10]] if names[i] == "\n" else own.encode(names[i])
+            if names[i] != "\n" and own is None:
+                own = Pieces(model)
+            ids = [newline] if names[i] == "\n" else own.encode(names[i])
             starts[i], sizes[i], total = total, len(ids), total + len(ids)
             flat.append(np.array(ids, np.uint16))
         del names
@@ -339,7 +341,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
     known = encode_words(distinct, piece_table(spark, model), byte_ids, ("bucket", "word")).withColumnRenamed("bucket", "of")
     answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, bucket int, sizes binary, ids binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model, buckets), "doc_id long, ids array<int>")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model, buckets, byte_ids[10]), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
