@@ -20,7 +20,7 @@ from tracemine.llm.common import empty_if_null
 #: The vocabulary file.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of encoded words.
-CHUNK_CHARS = 5_000_000
+CHUNK_CHARS = 3_000_000
 #: Rows that are looked at together.
 ROWS = 500
 #: Bytes of text per bucket of units, and the least number of buckets per shuffle partition.
@@ -212,6 +212,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if chars >= CHUNK_CHARS:
                     ids.append(b.column("doc_id").slice(lo, i + 1 - lo))
                     yield chunk()
+                    pa.default_memory_pool().release_unused()
                     ids, sizes, places, chars, lo = [], [], [], 0, i + 1
             if lo < len(b):
                 ids.append(b.column("doc_id").slice(lo))
@@ -357,7 +358,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         table, sizes = np.frombuffer(b"".join(shared.value), np.uint8), np.fromiter(map(len, shared.value), np.int64)
         starts, last = np.cumsum(sizes) - sizes, len(sizes) - 1
         out: list[str | None] = []
-        for part in (column.slice(i, ROWS) for i in range(0, len(column), ROWS)):
+        for part in (column.slice(i, ROWS // 5) for i in range(0, len(column), ROWS // 5)):
             lists = pa.chunked_array([part.fill_null([])]).combine_chunks() if part.null_count else part
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             at = np.where((ids < 0) | (ids > last), last, ids)
@@ -366,6 +367,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             for known, a, z in zip(part.is_valid().to_pylist(), ends, ends[1:], strict=False):
                 text = raw[a:z].decode("utf-8", "replace").replace(SPACE, " ")
                 out.append((text[1:] if text.startswith(" ") else text) if known else None)
+        pa.default_memory_pool().release_unused()
         return pa.array(out, pa.string())
 
     return encoded.withColumn("text", text_of("ids"))
