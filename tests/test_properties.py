@@ -39,8 +39,10 @@ def closed_form(spark, events, limit):
     full = rows.join(byte, ["trace_id", "seq", "offset"], "left").groupBy("trace_id", "seq", "inputfile", "lval").agg(F.array_sort(F.collect_list(F.struct("offset", "ok", "dead_at"))).alias("b"))
     named = full.select("trace_id", "seq", "inputfile", "lval", F.transform("b", lambda x: F.coalesce(x["ok"], F.lit(False))).alias("usable"), F.transform("b", lambda x: x["dead_at"]).alias("deaths"), F.lit(False).alias("fake_dua"), F.col("lval").alias("ast_name"), F.array().cast("array<int>").alias("all_labels"))
     alive = S.first_dead_run(F.zip_with("usable", "deaths", lambda ok, d: ok & (d.isNull() | (d > F.col("seq")))))
-    # a candidate that is dead at once replaces its lvalue's DUA without being one
-    lives = mining.dua_lifetimes(named).join(named.select("trace_id", "seq", (alive["high"] > 0).alias("real")), ["trace_id", "seq"]).where("real")
+    labels = events.where("lval IS NOT NULL").select("trace_id", "seq", F.size(F.array_distinct(F.flatten(F.filter("labels", lambda b: b.isNotNull())))).alias("n_labels"))
+    many = (F.col("n_labels") >= 4) & (F.size(F.filter("usable", lambda ok: ok)) >= 4)
+    # a candidate that is no DUA leaves that of its lvalue as it is
+    lives = mining.dua_lifetimes(named.join(labels, ["trace_id", "seq"]).where(many & (alive["high"] > 0)).drop("n_labels"))
     return {(r["trace_id"], r["lval"], r["start"], r["end"], r["reason"]) for r in lives.collect()}
 
 
@@ -48,7 +50,36 @@ def test_lifetimes_equal_sequential_replay(spark):
     rng = random.Random(7)
     events = spark.createDataFrame(random_events(rng, 60, 40), EVENTS)
     exact = {tuple(r) for r in mining.replay_exact(events, 3, erase_siblings=False).select("trace_id", "lval", "seq", "end", "reason").collect()}
-    assert closed_form(spark, events, 3) == exact and len(exact) > 200
+    assert closed_form(spark, events, 3) == exact and len(exact) > 100
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_active_duas_equal_all_pairs(spark, strict):
+    """Dyadic intervals of lifetimes that are short, long, empty or without an end."""
+    rng = random.Random(12)
+    lives = [(f"t{rng.randrange(2)}", i, (a := rng.randrange(300)), None if rng.random() < 0.2 else a + rng.choice((0, 1, 2, 3, rng.randrange(200), 5000))) for i in range(150)]
+    probes = sorted({(f"t{rng.randrange(3)}", rng.randrange(420)) for _ in range(120)})
+    expected = sorted((t, p, i) for t, p in probes for u, i, a, z in lives if t == u and (a < p if strict else a <= p) and (z is None or p < z))
+    found = mining.active_duas(spark.createDataFrame(probes, "trace_id string, probe_seq long"), spark.createDataFrame(lives, "trace_id string, dua long, start long, end long"), strict)
+    assert sorted((r["trace_id"], r["probe_seq"], r["dua"]) for r in found.collect()) == expected and len(expected) > 100
+
+
+def test_what_is_no_dua_replaces_none(spark):
+    """A query with a gap, or with three labels only, leaves the live DUA of its lvalue alone; a fake one replaces it and is only replaced itself."""
+    whole = [[1], [2], [3], [4]]
+    events = [("t", 0, "v", whole, False), ("t", 1, "v", [[1], None, [2], [3]], False), ("t", 2, "v", [[1], [1], [2], [3]], False), ("t", 3, "w", whole, True), ("t", 4, None, [[1]], False), ("t", 5, None, [[1]], False), ("t", 6, "w", [[5], [6], [7], [8]], False)]
+    rows = spark.createDataFrame(events, "trace_id string, seq long, lval string, labels array<array<int>>, fake boolean")
+    found = {(r["lval"], r["seq"]): (r["end"], r["reason"]) for r in mining.replay_exact(rows, 1).collect()}
+    assert found == {("v", 0): (5, "died"), ("w", 3): (6, "replaced"), ("w", 6): (None, "alive")}
+
+
+def test_ranges_of_bugs(spark):
+    duas = spark.createDataFrame([(1, "in", 5, [1, 2], [True, False, True, True, True, True, True, False]), (2, "in", 6, [3], [True] * 9), (3, "in", 7, [4], [True, True, False, True, True])], "dua long, inputfile string, instr long, labels array<int>, viable array<boolean>")
+    ready = generation.dua_readiness(duas, spark.createDataFrame([("in", 1, 9)], "inputfile string, label int, death_instr long"))
+    assert {r["dua"]: (r["run_low"], r["run"], r["ready"]) for r in ready.collect()} == {1: (2, 5, 9), 2: (0, 9, 6), 3: (0, 2, 7)}
+    bugs = spark.createDataFrame([(1, 2), (3, 2), (2, 1)], "dua long, pad long")
+    found = {r["dua"]: (r["low"], r["high"], r["pad_low"], r["pad_high"]) for r in generation.with_ranges(bugs, ready, pad=8).collect()}
+    assert found == {1: (2, 6, 0, 8), 2: (0, 4, 0, 0)}
 
 
 def test_offline_bugs_equal_nested_loops(spark):

@@ -11,14 +11,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.functions.scalars import disjoint, first_dead_run
+from tracemine.functions.scalars import disjoint, first_dead_run, first_run_at_least, longest_run
 from tracemine.operators.mining import active_duas
 from tracemine.operators.replay import liveness_asof
 from tracemine.schemas import MAGIC
 
 
 def dua_readiness(duas: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Adds ``max_liveness`` (of its labels in the snapshot: ``inputfile``, ``label``, ``death_instr``; 0 without any) and ``ready``, the larger of that and instr."""
+    """Adds ``max_liveness`` (of its labels in the snapshot: ``inputfile``, ``label``, ``death_instr``; 0 without any) and ``ready``, the larger of that and instr.
+
+    If duas bring ``viable`` (whether each byte is), the longest run of viable bytes is added as well: ``run_low`` and ``run``, its first byte and its length.
+    """
+    if "viable" in duas.columns:
+        longest = longest_run(F.transform("viable", lambda v: F.when(v, True)))
+        duas = duas.withColumns({"run_low": longest["low"], "run": longest["high"] - longest["low"]})
     live = duas.select("dua", "inputfile", F.explode("labels").alias("label")).join(snapshot, ["inputfile", "label"]).groupBy("dua").agg(F.max("death_instr").alias("max_liveness"))
     joined = duas.join(live, "dua", "left").withColumn("max_liveness", F.coalesce("max_liveness", F.lit(0)).cast("long"))
     return joined.withColumn("ready", F.greatest("instr", "max_liveness"))
@@ -77,6 +83,17 @@ def padded_bugs(execs: DataFrame, duas: DataFrame, pad: int = 8) -> DataFrame:
     return _with_pads(pads.withColumnsRenamed({"dua": "pad", "newest_labels": "pad_labels"}), duas)
 
 
+def with_ranges(bugs: DataFrame, duas: DataFrame, pad: int = 0, n: int = MAGIC) -> DataFrame:
+    """Adds the bytes that a bug uses: ``low``, ``high``, the first n of its trigger's longest run, and with a pad ``pad_low``, ``pad_high``, the first ``pad`` bytes of the first run of so many in
+    its pad. bugs: ``dua`` and, with a pad, ``pad``; duas: ``dua``, ``viable``, ``run_low``, ``run``. Bugs whose trigger has no run of n bytes are dropped, so that rows fit dua_bytes."""
+    triggers = duas.where(F.col("run") >= n).select("dua", F.col("run_low").alias("low"), (F.col("run_low") + n).alias("high"))
+    out = bugs.join(triggers, "dua")
+    if pad:
+        first = first_run_at_least(F.transform("viable", lambda v: F.when(v, True)), pad)
+        out = out.join(duas.select(F.col("dua").alias("pad"), first["low"].alias("pad_low"), first["high"].alias("pad_high")), "pad")
+    return out
+
+
 def chaff_unused_bugs(execs: DataFrame) -> DataFrame:
     """One bug without a trigger per execution of a query point."""
     return execs.select("inputfile", "atp", "instr", F.lit(5).alias("kind"))
@@ -109,21 +126,21 @@ def ret_buffer_online(queries: DataFrame, lifetimes: DataFrame, need: int = 20)
 
 
 def pick_extra_duas(bugs: DataFrame, duas: DataFrame, n: int, tries: int = 2, seed: int = 0) -> DataFrame:
-    """bugs with ``extra_duas``: n DUAs of the same file that are older than the trigger, share no label with it or each other, and together with it have 4 n labels at least.
+    """bugs with ``extra_duas``: n DUAs of the same file that are older than the trigger and share no label with it or each other; with a real trigger they have 4 n labels at least together.
 
-    bugs: ``bug``, ``inputfile``, ``instr`` (the trigger's), ``labels``. In each round the ``tries`` first of the older DUAs in the order of md5(seed:round:bug:dua) are looked at,
+    bugs: ``bug``, ``inputfile``, ``instr`` (the trigger's), ``labels``, ``fake_dua`` (the trigger's). In each round the ``tries`` first of the older DUAs in the order of md5(seed:round:bug:dua) are looked at,
     and the first disjoint one is taken. Bugs with n older DUAs or fewer, or left short, are dropped. n is 2 at most, so rounds are unrolled.
     """
     older = duas.select("inputfile", F.col("dua").alias("x"), F.col("instr").alias("x_instr"), F.col("labels").alias("x_labels"))
-    now = bugs.select("bug", "inputfile", "instr", "labels", F.array().cast("array<bigint>").alias("extra_duas"))
+    now = bugs.select("bug", "inputfile", "instr", "labels", "fake_dua", F.array().cast("array<bigint>").alias("extra_duas"))
     for i in range(n):
         pairs = now.join(older, "inputfile").where("x_instr < instr")
         draw = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(i).cast("string"), F.col("bug").cast("string"), F.col("x").cast("string")))
         own = Window.partitionBy("bug")
         ranked = pairs.withColumns({"draw": draw, "n": F.count("*").over(own)}).where(F.col("n") > n).withColumn("rank", F.row_number().over(own.orderBy("draw", "x"))).where(F.col("rank") <= tries)
-        fit = ranked.where(disjoint("labels", "x_labels")).groupBy("bug").agg(F.min_by(F.struct("inputfile", "instr", F.concat("labels", "x_labels").alias("labels"), F.concat("extra_duas", F.array("x")).alias("extra_duas")), "rank").alias("b"))
+        fit = ranked.where(disjoint("labels", "x_labels")).groupBy("bug").agg(F.min_by(F.struct("inputfile", "instr", "fake_dua", F.concat("labels", "x_labels").alias("labels"), F.concat("extra_duas", F.array("x")).alias("extra_duas")), "rank").alias("b"))
         now = fit.select("bug", "b.*")
-    return now.where(F.size("labels") >= 4 * n).select("bug", "extra_duas")
+    return now.where(F.col("fake_dua") | (F.size("labels") >= 4 * n)).select("bug", "extra_duas")
 
 
 def bug_max_liveness(bugs: DataFrame, branches: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from tracemine.functions.scalars import count_viable, first_dead_run, is_header_
 from tracemine.schemas import MAGIC
 from tracemine.sources.logs import first_by
 
+#: Sizes of dyadic intervals, as powers of two: a trace has under 2**LEVELS entries.
+LEVELS = 48
 #: Fixed value: the length that values are capped to.
 MAX_LVAL = 100
 
@@ -120,22 +122,51 @@ def dua_lifetimes(found: DataFrame, branches: DataFrame | None = None, n: int =
     return rows.select(*found.columns, F.col("seq").alias("start"), F.when(end < never, F.greatest(end, F.col("seq"))).alias("end"), reason.alias("reason"))
 
 
-def active_duas(probes: DataFrame, lifetimes: DataFrame, width: int = 1024, strict: bool = False) -> DataFrame:
+def _shift(x, k, left: bool = False):
+    return F.call_function("shiftleft" if left else "shiftright", x, k)
+
+
+def cover(low, high):
+    """The dyadic intervals (``level``, ``place``: place * 2**level on) that make up [low, high], which hold whole numbers from 0 to 2**LEVELS - 1: two of a level at most."""
+
+    def parts(k):
+        size = _shift(F.lit(1).cast("bigint"), k, left=True)
+        first, last = _shift(low + size - 1, k), _shift(high + 1, k) - 1  # of the intervals of this level that lie within
+        whole = lambda x: (_shift(_shift(x, F.lit(1)), k + 1, left=True) >= low) & (_shift(_shift(x, F.lit(1)) + 1, k + 1, left=True) - 1 <= high)
+        ends = F.when(first <= last, F.array_distinct(F.array(first, last))).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(F.filter(ends, lambda x: ~whole(x)), lambda x: F.struct(k.alias("level"), x.alias("place")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), parts))
+
+
+def ancestors(at):
+    """The dyadic intervals that hold a number, one of each level."""
+    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), _shift(at, k).alias("place")))
+
+
+def active_duas(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -> DataFrame:
     """Pairs of probes (``trace_id``, ``probe_seq``) and DUAs (``start``, ``end``) alive there: start <= probe < end; with strict, start < probe.
 
-    Lifetimes are exploded over buckets of ``width`` seqs and equi-joined on (trace, bucket), so a single trace still spreads over many tasks; ends are capped at the last probe.
+    A lifetime is made up of dyadic intervals, two for each doubling of its length at most, and a probe lies in one of each size; they are equi-joined on (trace, size,
+    place). So each pair meets once, a long lifetime costs few rows, and a single trace spreads over many tasks. Sizes that no lifetime uses drop out of the join.
     """
     last = probes.groupBy("trace_id").agg(F.max("probe_seq").alias("__last"))
-    spans = lifetimes.join(last, "trace_id").withColumn("__to", F.least(F.coalesce(F.col("end") - 1, F.col("__last")), "__last")).where("start <= __to")
-    dealt = spans.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("__to") / width)))).drop("__last", "__to")
-    inside = (F.col("start") < F.col("probe_seq") if strict else F.col("start") <= F.col("probe_seq")) & (F.col("end").isNull() | (F.col("probe_seq") < F.col("end")))
-    return probes.withColumn("__bucket", F.floor(F.col("probe_seq") / width)).join(dealt, ["trace_id", "__bucket"]).where(inside).drop("__bucket")
+    low = F.col("start") + 1 if strict else F.col("start")
+    high = F.least(F.coalesce(F.col("end") - 1, F.col("__last")), "__last")
+    spans = lifetimes.join(last, "trace_id").where(low <= high).withColumn("__in", F.explode(cover(low, high))).drop("__last")
+    levels = [r[0] for r in spans.select("__in.level").distinct().collect()]  # LEVELS + 1 at most
+    dealt = spans.withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in")
+    own = F.filter(ancestors(F.col("probe_seq")), lambda x: x["level"].isin(levels))
+    asked = probes.withColumn("__in", F.explode(own)).withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in")
+    return asked.join(dealt, ["trace_id", "__level", "__place"]).drop("__level", "__place")
 
 
 def replay_exact(events: DataFrame, max_liveness: int, n: int = MAGIC, erase_siblings: bool = True) -> DataFrame:
     """``trace_id``, ``lval``, ``seq``, ``end``, ``reason`` of each DUA by replaying a trace entry by entry; for audits, a task per trace.
 
-    events: ``trace_id``, ``seq``, ``lval`` (null for a branch) and ``labels``: an array by byte for DUAs, one array in it for branches. With erase_siblings,
+    events: ``trace_id``, ``seq``, ``lval`` (null for a branch) and ``labels``: an array by byte for queries, one array in it for branches; queries may bring
+    ``num_tainted`` and ``fake``. A query is a DUA if it is fake, or has n tainted bytes, viable bytes and labels at least and n consecutive bytes that are not too
+    live then; only a DUA replaces the live one of its lvalue, and fake ones are only replaced. With erase_siblings,
     a DUA's death takes its labels off the index, so that siblings are not looked at again through them (which dua_lifetimes does not repeat).
     """
 
@@ -150,17 +181,29 @@ def replay_exact(events: DataFrame, max_liveness: int, n: int = MAGIC, erase_sib
             ok = [b is not None and all(live.get(x, 0) <= max_liveness for x in b) for b in labels]
             return not any(all(ok[i : i + n]) for i in range(len(ok) - n + 1))
 
+        def fake(r) -> bool:
+            return bool(getattr(r, "fake", False))
+
+        def real(r, labels: list) -> bool:
+            """Enough tainted and viable bytes, enough labels, and a run of bytes that are not too live; or a fake one."""
+            viable = [b for b in labels if b is not None]
+            tainted = getattr(r, "num_tainted", None)
+            many = len(viable) if tainted is None or pd.isna(tainted) else tainted
+            return fake(r) or (min(many, len(viable), len({x for b in viable for x in b})) >= n and not dead(labels))
+
         for r in rows.sort_values("seq").itertuples():
             labels = [None if b is None else [int(x) for x in b] for b in r.labels]
             if r.lval is not None:
+                if not real(r, labels):
+                    continue  # what is no DUA leaves the live one as it is
                 if r.lval in alive:
                     out.append((trace, r.lval, alive[r.lval][0], r.seq, "replaced"))
                     for b in alive[r.lval][1]:
                         for x in b or ():
                             by_label.get(x, set()).discard(r.lval)
                     del alive[r.lval]
-                if not dead(labels):
-                    alive[r.lval] = (r.seq, labels)
+                alive[r.lval] = (r.seq, labels)
+                if not fake(r):
                     for b in labels:
                         for x in b or ():
                             by_label.setdefault(x, set()).add(r.lval)
@@ -191,22 +234,22 @@ def dua_bytes(found: DataFrame) -> DataFrame:
 
 
 def dead_extents(rows: DataFrame, snapshot: DataFrame, max_liveness: int, max_tcn: int, max_card: int, size_min: int, size_max: int) -> DataFrame:
-    """Extents (queries) all of whose bytes are dead and uncomplicated: ``trace_id``, ``seq``, ``lval``, sizes, and least and most liveness, tcn, cardinality, labels.
+    """Extents (queries) all of whose bytes are dead and uncomplicated: ``trace_id``, ``seq``, ``lval``, sizes, least and most liveness, tcn, cardinality, labels, and the sorted ``labels``.
 
-    rows: bytes with labels. Extents of size_min to size_max bytes are reported.
+    rows: bytes with labels. Extents of size_min to size_max bytes are reported, so a row's labels are bounded by size_max times max_card.
     """
     key = ["trace_id", "seq", "lval"]
     each = rows.select(*key, "inputfile", "offset", "tcn", F.size("labels").alias("card"), F.explode("labels").alias("label"))
     live = each.join(snapshot, ["inputfile", "label"], "left").withColumn("liveness", F.coalesce("death_instr", F.lit(0)))
     ends = [f(c).cast("long").alias(f"{name}_{c}") for c in ("liveness", "tcn", "card", "label") for name, f in (("min", F.min), ("max", F.max))]
-    grouped = live.groupBy(*key, "inputfile").agg(F.countDistinct("offset").alias("size"), *ends)
+    grouped = live.groupBy(*key, "inputfile").agg(F.countDistinct("offset").alias("size"), F.sort_array(F.collect_set(F.col("label").cast("long"))).alias("labels"), *ends)
     return grouped.where(F.col("size").between(size_min, size_max) & (F.col("max_liveness") <= max_liveness) & (F.col("max_tcn") <= max_tcn) & (F.col("max_card") <= max_card))
 
 
 def extent_bytes(extents: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Adds ``file_bytes`` (hex): the input's bytes from the extent's first label to its last. corpus: ``inputfile``, ``content``."""
-    part = F.substring("content", F.col("min_label").cast("int") + 1, (F.col("max_label") - F.col("min_label")).cast("int") + 1)
-    return extents.join(corpus, "inputfile").withColumn("file_bytes", F.hex(part)).drop("content")
+    """Adds ``file_bytes`` (hex): the input's byte at each of the extent's labels, in the order of these; labels beyond the input give none. corpus: ``inputfile``, ``content``."""
+    at = F.transform("labels", lambda x: F.hex(F.substring(F.col("content"), x.cast("int") + 1, F.lit(1))))
+    return extents.join(corpus, "inputfile").withColumn("file_bytes", F.array_join(at, "")).drop("content")
 
 
 def mining_counters(log: DataFrame, period: int = 10_000) -> DataFrame:

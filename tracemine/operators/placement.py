@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.sources.logs import first_by
+from tracemine.sources.logs import first_by, numbered
 
 _MOD = 1 << 32
+#: Consecutive ids that may share a row.
+CHUNK = 10_000
 
 
 def bugs_by_location(bugs: DataFrame, atps: DataFrame) -> DataFrame:
-    """``loc``, ``atp_type``, ``bugs``: the sorted bugs of each place and kind of point."""
-    return bugs.join(atps.select("atp", "loc", F.col("type").alias("atp_type")), "atp").groupBy("loc", "atp_type").agg(F.array_sort(F.collect_list("bug")).alias("bugs"))
+    """``loc``, ``atp_type``, ``chunk``, ``bugs``: the sorted bugs of each place and kind of point, in chunks of ``CHUNK`` ids, so that no row grows with the table.
+
+    Chunk k holds the bugs whose id is from k * CHUNK to (k + 1) * CHUNK - 1.
+    """
+    placed = bugs.join(atps.select("atp", "loc", F.col("type").alias("atp_type")), "atp")
+    return placed.groupBy("loc", "atp_type", F.floor(F.col("bug") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list("bug")).alias("bugs"))
 
 
 def siphon_slots(bugs: DataFrame, dua_bytes: DataFrame, duas: DataFrame, traces: DataFrame) -> DataFrame:
     """``lval``, ``low``, ``high``, ``index`` (the step of the source trace) and ``slot``: dense ids of the values that bugs use, in the order of the first bug that does.
 
-    Extras count too, but for bugs of unused stacks. Numbering needs one order over all slots, which are few: the selected bugs' distinct values.
+    Extras count too, but for bugs of unused stacks. Slots are numbered over range partitions.
     """
     uses = bugs.select("bug", F.col("trigger").alias("dua_bytes"), F.lit(-1).alias("pos")).unionByName(bugs.where("kind <> 5").select("bug", F.posexplode("extra_duas").alias("pos", "dua_bytes")))
     full = uses.join(dua_bytes, "dua_bytes").join(duas.select("dua", "lval", "trace_index"), "dua").join(traces.select("index"), F.col("trace_index") == F.col("index"))
     first = first_by(full.select("lval", "low", "high", "index", "bug", "pos"), ["lval", "low", "high"], ["bug", "pos", "index"])
-    return first.select("lval", "low", "high", "index", (F.row_number().over(Window.orderBy("bug", "pos", "lval", "low", "high")) - 1).alias("slot"))
+    return numbered(first, ["bug", "pos", "lval", "low", "high"], "slot").select("lval", "low", "high", "index", "slot")
 
 
 def _draw(seed, salt: str, key, n):

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import path_value
 from tracemine.operators.selection import drawn
+from tracemine.sources.logs import numbered
 
 #: The kinds of bugs with three triggers, and of leaks.
 REL_WRITE, PRINTF_LEAK = 2, 3
+#: Consecutive ids that may share a row.
+CHUNK = 10_000
 
 
 def fuzz_labels(bugs: DataFrame, dua_bytes: DataFrame) -> DataFrame:
@@ -24,8 +27,8 @@ def fuzz_labels(bugs: DataFrame, dua_bytes: DataFrame) -> DataFrame:
 
 
 def pick_seeds(bugs: DataFrame, corpus: DataFrame, seed: int = 0) -> DataFrame:
-    """bugs with the ``name`` of an input each, drawn by md5: names are numbered once, and bugs join on a number."""
-    names = corpus.select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("bigint").alias("__no"))
+    """bugs with the ``name`` of an input each, drawn by md5: names are numbered once, over range partitions, and bugs join on a number."""
+    names = numbered(corpus.select("name"), ["name"], "__no").select("name", F.col("__no").cast("bigint").alias("__no"))
     n = corpus.count()
     number = F.conv(F.substring(drawn(seed, "bug"), 1, 8), 16, 10).cast("bigint") % max(1, n)
     return bugs.withColumn("__no", number).join(names, "__no").drop("__no")
@@ -116,10 +119,10 @@ def yield_with_ci(runs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def type_breakdown(bugs: DataFrame, validated: DataFrame) -> DataFrame:
-    """``kind``, ``potential``, ``potential_ids``, ``validated``, ``validated_ids`` (sorted). validated: distinct ``bug``s."""
+    """``kind``, ``chunk``, ``potential``, ``potential_ids``, ``validated``, ``validated_ids`` (sorted), in chunks of ``CHUNK`` consecutive ids, so that no row grows with the table. validated: distinct ``bug``s."""
     marked = bugs.join(validated.select("bug").distinct().withColumn("ok", F.lit(True)), "bug", "left")
     good = F.when(F.col("ok"), F.col("bug"))
-    return marked.groupBy("kind").agg(F.count("*").alias("potential"), F.array_sort(F.collect_list("bug")).alias("potential_ids"), F.count(good).alias("validated"), F.array_sort(F.collect_list(good)).alias("validated_ids"))
+    return marked.groupBy("kind", F.floor(F.col("bug") / CHUNK).alias("chunk")).agg(F.count("*").alias("potential"), F.array_sort(F.collect_list("bug")).alias("potential_ids"), F.count(good).alias("validated"), F.array_sort(F.collect_list(good)).alias("validated_ids"))
 
 
 def coverage_summary(lines: DataFrame) -> DataFrame:

@@ -129,16 +129,40 @@ def g8_ret_buffer_online(probes, rows, death):
     f"""SELECT bug, CAST(x AS STRING) AS extra FROM (SELECT bug, x, n_labels, row_number() OVER (PARTITION BY bug ORDER BY r) AS k FROM
           (SELECT b.dua AS bug, d.dua AS x, b.s AS bs, d.s AS ds, len(b.s) + len(d.s) AS n_labels, count(*) OVER (PARTITION BY b.dua) AS n, row_number() OVER (PARTITION BY b.dua ORDER BY md5(concat('0:0:', b.dua, ':', d.dua)), d.dua) AS r
            FROM (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE f.fake_dua) b JOIN (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d ON b.inputfile = d.inputfile AND d.instr < b.instr) c
-         WHERE n > 1 AND r <= 2 AND NOT list_has_any(bs, ds)) e WHERE k = 1 AND n_labels >= 4""",
+         WHERE n > 1 AND r <= 2 AND NOT list_has_any(bs, ds)) e WHERE k = 1""",
     duas="fx_dua", labels="fx_dua_label",
 )
 def g9_pick_extra_duas(duas, labels):
-    """Fake DUAs are the triggers of bugs."""
+    """Fake DUAs are the triggers of bugs, which need no number of labels."""
     sets = labels.groupBy("dua").agg(F.sort_array(F.collect_set("label")).alias("labels"))
     own = duas.select("dua", "inputfile", "instr", "fake_dua").join(sets, "dua")
     return G.pick_extra_duas(own.where("fake_dua").withColumnRenamed("dua", "bug"), own, 1).select("bug", shown("extra_duas").alias("extra"))
 
 
+def _older(i: int, bugs: str, seen: str) -> str:
+    """A round of picking: of each bug's older DUAs the first two by md5, and of these the first that shares no label with what the bug has."""
+    return f"""SELECT bug, inputfile, instr, s, xs, n_labels FROM (SELECT *, row_number() OVER (PARTITION BY bug ORDER BY r) AS k FROM
+                 (SELECT b.bug, b.inputfile, b.instr, list_concat(b.s, d.s) AS s, {seen} AS xs, len(b.s) + len(d.s) AS n_labels, list_has_any(b.s, d.s) AS meets, count(*) OVER (PARTITION BY b.bug) AS n,
+                         row_number() OVER (PARTITION BY b.bug ORDER BY md5(concat('0:{i}:', b.bug, ':', d.dua)), d.dua) AS r
+                  FROM ({bugs}) b JOIN (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d ON b.inputfile = d.inputfile AND d.instr < b.instr) c
+                 WHERE n > 2 AND r <= 2 AND NOT meets) e WHERE k = 1"""
+
+
+_FIRST_ONE, _NEXT_ONE = "CAST(d.dua AS STRING)", "concat(b.xs, ',', CAST(d.dua AS STRING))"
+_TRIGGERS = f"SELECT f.dua AS bug, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE NOT f.fake_dua"
+
+
+@query(
+    f"SELECT bug, xs AS extra FROM ({_older(1, _older(0, _TRIGGERS, _FIRST_ONE), _NEXT_ONE)}) z WHERE n_labels >= 8",
+    duas="fx_dua", labels="fx_dua_label",
+)
+def g9_pick_two_extra_duas(duas, labels):
+    """Real DUAs are the triggers of bugs with two extra DUAs each."""
+    sets = labels.groupBy("dua").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+    own = duas.select("dua", "inputfile", "instr", "fake_dua").join(sets, "dua")
+    return G.pick_extra_duas(own.where("NOT fake_dua").withColumnRenamed("dua", "bug"), own, 2).select("bug", shown("extra_duas").alias("extra"))
+
+
 @query(
     """SELECT bug, max(n) AS max_liveness FROM (SELECT d.dua AS bug, l.label, count(b.seq) AS n FROM fx_dua d JOIN fx_dua_label l ON d.dua = l.dua
        LEFT JOIN fx_branch b ON b.inputfile = d.inputfile AND b.label = l.label AND b.seq <= d.instr GROUP BY d.dua, l.label) x GROUP BY bug""",

@@ -126,13 +126,17 @@ def d10_active_duas(rows, death, probes):
     return D.active_duas(probes, lifetimes(rows, death).select("trace_id", "seq", "lval", "start", "end")).select("probe_seq", "seq", "lval")
 
 
-@query(rows="fx_bytes", branches="fx_branch")
+_BY_FILE = _LIFE.replace("PARTITION BY c.lval", "PARTITION BY c.inputfile, c.lval").replace("SELECT c.seq, c.lval,", "SELECT c.seq, c.inputfile, c.lval,").replace("SELECT seq, lval,", "SELECT inputfile AS trace_id, CAST(lval AS STRING) AS lval, seq,", 1)
+
+
+@query(_BY_FILE, rows="fx_bytes", branches="fx_branch")
 def d11_replay_exact(rows, branches):
-    """A trace per input file."""
-    b = tainted(rows).groupBy("inputfile", "seq", "lval").agg(F.transform(F.array_sort(F.collect_list(F.struct("offset", "labels"))), lambda x: x["labels"]).alias("labels"))
-    events = b.select(F.col("inputfile").alias("trace_id"), "seq", F.col("lval").cast("string").alias("lval"), "labels")
-    touched = branches.select(F.col("inputfile").alias("trace_id"), "seq", F.lit(None).cast("string").alias("lval"), F.array(F.array("label")).alias("labels"))
-    return D.replay_exact(events.unionByName(touched), LIMIT)
+    """A trace per input file. Each entry's own lvalue and file make an order that has no query and branch at the same place."""
+    b = tainted(rows).groupBy("inputfile", "seq", "lval").agg(F.max("num_tainted").alias("num_tainted"), F.transform(F.array_sort(F.collect_list(F.struct("offset", "labels"))), lambda x: x["labels"]).alias("labels"))
+    events = b.select(F.col("inputfile").alias("trace_id"), (F.col("seq") * 2 + 1).alias("seq"), F.col("lval").cast("string").alias("lval"), "labels", "num_tainted")
+    touched = branches.select(F.col("inputfile").alias("trace_id"), (F.col("seq") * 2).alias("seq"), F.lit(None).cast("string").alias("lval"), F.array(F.array("label")).alias("labels"))
+    found = D.replay_exact(events.unionByName(touched, allowMissingColumns=True), LIMIT, erase_siblings=False)
+    return found.select("trace_id", "lval", F.floor(F.col("seq") / 2).alias("seq"), F.floor(F.col("end") / 2).alias("end"), "reason")
 
 
 @query(
@@ -146,14 +150,14 @@ def d12_dua_bytes(slices, rows):
     return D.dua_bytes(found).select(F.col("dua_key").alias("dua"), "low", "high", shown(F.sort_array(F.col("all_labels").cast("array<string>"))).alias("labels"))
 
 
-_EXTENTS = """SELECT seq, lval, inputfile, count(DISTINCT offset_) AS size, max(live) AS max_liveness, min(live) AS min_liveness, CAST(max(tcn) AS BIGINT) AS max_tcn, CAST(min(label) AS BIGINT) AS min_label, CAST(max(label) AS BIGINT) AS max_label FROM
+_EXTENTS = """SELECT seq, lval, inputfile, count(DISTINCT offset_) AS size, max(live) AS max_liveness, min(live) AS min_liveness, CAST(max(tcn) AS BIGINT) AS max_tcn, CAST(min(label) AS BIGINT) AS min_label, CAST(max(label) AS BIGINT) AS max_label, list_sort(list(DISTINCT label)) AS labels FROM
     (SELECT e.*, coalesce(s.n, 0) AS live FROM (SELECT seq, lval, inputfile, offset_, tcn, unnest([label1, label2]) AS label FROM fx_bytes WHERE NOT untainted) e
      LEFT JOIN (SELECT inputfile, label, count(*) AS n FROM fx_branch GROUP BY inputfile, label) s ON e.inputfile = s.inputfile AND e.label = s.label) x
     GROUP BY seq, lval, inputfile HAVING count(DISTINCT offset_) BETWEEN 2 AND 5 AND max(live) <= 8 AND max(tcn) <= 5"""
 
 
 @query(
-    f"SELECT x.*, upper(hex(substr(c.text, CAST(x.min_label + 1 AS BIGINT), CAST(x.max_label - x.min_label + 1 AS BIGINT)))) AS file_bytes FROM ({_EXTENTS}) x JOIN (SELECT concat('in', CAST(event_id % 16 AS STRING)) AS inputfile, concat(max(props), min(props), max(event_type), min(event_type)) AS text FROM events GROUP BY event_id % 16) c ON x.inputfile = c.inputfile",
+    f"SELECT x.* EXCLUDE (labels), array_to_string(list_transform(x.labels, lambda l: upper(hex(substr(c.text, CAST(l + 1 AS BIGINT), 1)))), '') AS file_bytes FROM ({_EXTENTS}) x JOIN (SELECT concat('in', CAST(event_id % 16 AS STRING)) AS inputfile, concat(max(props), min(props), max(event_type), min(event_type)) AS text FROM events GROUP BY event_id % 16) c ON x.inputfile = c.inputfile",
     rows="fx_bytes", branches="fx_branch", corpus="SELECT concat('in', CAST(event_id % 16 AS STRING)) AS inputfile, CAST(concat(max(props), min(props), max(event_type), min(event_type)) AS BINARY) AS content FROM events GROUP BY event_id % 16",
 )
 def d13_dead_extents(rows, branches, corpus):

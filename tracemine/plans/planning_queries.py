@@ -10,11 +10,11 @@ from tracemine.plans.selection_queries import _BUGS, _BYTES, with_extras
 
 
 @query(
-    "SELECT a.file AS loc, a.type AS atp_type, string_agg(CAST(b.bug AS STRING), ',' ORDER BY b.bug) AS bugs FROM fx_bug b JOIN fx_atp a ON b.atp = a.atp GROUP BY a.file, a.type",
+    "SELECT a.file AS loc, a.type AS atp_type, CAST(b.bug // 10000 AS BIGINT) AS chunk, string_agg(CAST(b.bug AS STRING), ',' ORDER BY b.bug) AS bugs FROM fx_bug b JOIN fx_atp a ON b.atp = a.atp GROUP BY a.file, a.type, b.bug // 10000",
     atps="SELECT atp, file AS loc, type FROM fx_atp", **_BUGS,
 )
 def p1_bugs_by_location(bugs, extras, atps):
-    return P.bugs_by_location(bugs, atps).select("loc", "atp_type", shown("bugs").alias("bugs"))
+    return P.bugs_by_location(bugs, atps).select("loc", "atp_type", "chunk", shown("bugs").alias("bugs"))
 
 
 @query(

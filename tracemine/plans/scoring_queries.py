@@ -79,14 +79,14 @@ def r8_yield_with_ci(runs, bugs):
 
 
 @query(
-    f"""SELECT b.kind, count(*) AS potential, md5(string_agg(CAST(b.bug AS STRING), ',' ORDER BY b.bug)) AS potential_ids, count(v.bug) AS validated, md5(coalesce(string_agg(CAST(v.bug AS STRING), ',' ORDER BY v.bug), '')) AS validated_ids
-        FROM fx_bug b LEFT JOIN (SELECT DISTINCT fuzzed AS bug FROM ({_VALID}) x WHERE validated) v ON b.bug = v.bug GROUP BY b.kind""",
+    f"""SELECT b.kind, CAST(b.bug // 10000 AS BIGINT) AS chunk, count(*) AS potential, md5(string_agg(CAST(b.bug AS STRING), ',' ORDER BY b.bug)) AS potential_ids, count(v.bug) AS validated, md5(coalesce(string_agg(CAST(v.bug AS STRING), ',' ORDER BY v.bug), '')) AS validated_ids
+        FROM fx_bug b LEFT JOIN (SELECT DISTINCT fuzzed AS bug FROM ({_VALID}) x WHERE validated) v ON b.bug = v.bug GROUP BY b.kind, b.bug // 10000""",
     runs="fx_run", bugs=_KNOWN,
 )
 def r9_type_breakdown(runs, bugs):
     good = R.validate_runs(runs, bugs).where("validated").select(F.col("fuzzed").alias("bug"))
     found = R.type_breakdown(bugs, good)
-    return found.select("kind", "potential", F.md5(shown("potential_ids")).alias("potential_ids"), "validated", F.md5(shown("validated_ids")).alias("validated_ids"))
+    return found.select("kind", "chunk", "potential", F.md5(shown("potential_ids")).alias("potential_ids"), "validated", F.md5(shown("validated_ids")).alias("validated_ids"))
 
 
 @query(

@@ -50,19 +50,26 @@ def write_string_dict(df: DataFrame, path: str) -> None:
     df.orderBy("id").select(F.concat_ws("\t", F.col("id").cast("string"), "value").alias("value")).write.mode("overwrite").text(path)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the place of each row in the order of ``order``, from 0 on.
+
+    Rows are put in order by range partitions and numbered within each; only the partitions' counts meet in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    before = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return placed.join(F.broadcast(before), "__part").withColumn(name, rank + F.col("__before")).drop("__part", "__before")  # before has a row per partition
+
+
 def extend_string_dict(known: DataFrame, strings: DataFrame) -> DataFrame:
     """known (``id``, ``value``) and, with the next dense ids, the strings (``value``, ``seq``) that it lacks, in the order in which they are first seen.
 
     Ids must be dense, so new strings are counted by range partition first; only the partitions' counts meet in one task.
     """
     new = strings.groupBy("value").agg(F.min("seq").alias("seq")).join(known.select("value"), "value", "left_anti")
-    parts = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = new.repartitionByRange(parts, "seq", "value").withColumn("part", F.spark_partition_id())
-    before = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("seq", "value"))
     top = known.agg(F.coalesce(F.max("id"), F.lit(-1))).first()[0]
-    numbered = placed.join(before, "part").withColumn("rank", rank + F.col("before"))
-    return known.unionByName(numbered.select((F.col("rank") + top).cast("int").alias("id"), "value"))
+    return known.unionByName(numbered(new, ["seq", "value"], "rank").select((F.col("rank") + top + 1).cast("int").alias("id"), "value"))
 
 
 def read_function_facts(spark: SparkSession, path: str, fmt: str = "jsonl") -> dict[str, DataFrame]:

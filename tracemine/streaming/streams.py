@@ -32,7 +32,7 @@ def stream_counters(entries: DataFrame) -> DataFrame:
 def stream_dua_state(events: DataFrame, max_liveness: int, n: int = MAGIC) -> DataFrame:
     """Rows ``trace_id``, ``lval``, ``seq``, ``what``: DUAs that are born, replaced, or die, as events of their trace arrive (append mode).
 
-    events: ``trace_id``, ``seq``, ``lval`` (null for a branch), ``labels``: as for the exact replay. State per trace: label liveness and the live DUAs, whose bytes
+    events: ``trace_id``, ``seq``, ``lval`` (null for a branch), ``labels``: as for the exact replay; only a query that is a DUA replaces the live one of its lvalue. State per trace: label liveness and the live DUAs, whose bytes
     are bounded by the capped length; rows are put in order within a batch.
     """
 
@@ -47,9 +47,10 @@ def stream_dua_state(events: DataFrame, max_liveness: int, n: int = MAGIC) -> Da
         for r in pd.concat(list(batches)).sort_values("seq").itertuples():
             labels = [None if b is None else [int(x) for x in b] for b in r.labels]
             if r.lval is not None:
-                if alive.pop(r.lval, None) is not None:
-                    out.append((key[0], r.lval, r.seq, "replaced"))
-                if not dead(labels):
+                viable = [b for b in labels if b is not None]
+                if min(len(viable), len({x for b in viable for x in b})) >= n and not dead(labels):  # what is no DUA leaves the live one as it is
+                    if r.lval in alive:
+                        out.append((key[0], r.lval, r.seq, "replaced"))
                     alive[r.lval] = labels
                     out.append((key[0], r.lval, r.seq, "born"))
                 continue
