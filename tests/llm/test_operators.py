@@ -428,6 +428,8 @@ def test_encode_and_decode(awkward, empty, spark, monkeypatch):
     encoded = pieces.encode(docs)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in encoded.collect()) == expected
     assert Counter((r["doc_id"], r["text"]) for r in pieces.decode(encoded).collect()) == Counter(texts)
+    both = pieces.encode(docs, decoded=True)
+    assert Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in both.collect()) == Counter((r["doc_id"], tuple(r["ids"]), r["text"]) for r in pieces.decode(encoded).collect())
     assert pieces.encode(empty).count() == 0 and pieces.decode(pieces.encode(empty)).columns == ["doc_id", "ids", "text"]
 
 

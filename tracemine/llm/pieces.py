@@ -278,10 +278,10 @@ def _gathered(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray, at: np.nd
     return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[at] - ends + n, n)]
 
 
-def _assembler(model: str, buckets: int, newline: int):
+def _assembler(model: str, buckets: int, newline: int, spelled=None):
     def assemble(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        """Ids of each document of a chunk, put together from its units'. Units that were not asked for are encoded here."""
-        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+        """Ids of each document of a chunk, put together from its units'. Units that were not asked for are encoded here. With spelled (a broadcast), also what the ids decode to."""
+        schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), *([] if spelled is None else [("text", pa.string())])])
         if not len(chunks):
             return schema.empty_table()
         chunk = {k: chunks[k][0].as_py() for k in ("ids", "units", *_NUMBERS)}  # chunks of the same name hold the same rows
@@ -313,13 +313,16 @@ def _assembler(model: str, buckets: int, newline: int):
         lengths = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         doc_ids = pa.ipc.open_stream(zstandard.decompress(chunk["ids"])).read_all()["doc_id"].combine_chunks()
         lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
-        return pa.concat_tables([pa.table([doc_ids, lists], schema=schema)] * len(chunks))
+        del parts, by_word, docs, words, units_of, unit_at
+        columns = [doc_ids, lists] if spelled is None else [doc_ids, lists, _texts(lists, spelled.value)]
+        pa.default_memory_pool().release_unused()
+        return pa.concat_tables([pa.table(columns, schema=schema)] * len(chunks))
 
     return assemble
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """One row per document: ``doc_id``, ``ids``, the pieces of its whole text.
+def encode(docs: DataFrame, model: str = MODEL, decoded: bool = False) -> DataFrame:
+    """One row per document: ``doc_id``, ``ids``, the pieces of its whole text; if decoded, also ``text``, which the task that has put the ids together gets back from them, as decode does.
 
     Text is marked as SentencePiece does: spaces become space marks, with one before the text. Pieces do not cross from one word to the
     next, nor between letters, digits and other characters (see units). Null and empty texts have no ids. Rows that repeat are kept; other
@@ -342,7 +345,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     distinct = asked.select("bucket", F.posexplode(F.split("lines", "\n")).alias("line", "word")).where("line > 0").select("bucket", "word").distinct()
     known = encode_words(distinct, piece_table(spark, model), byte_ids, ("bucket", "word")).withColumnRenamed("bucket", "of")
     answers = asked.groupBy("bucket").cogroup(known.groupBy("of")).applyInArrow(_answered, "of string, bucket int, sizes binary, ids binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(_assembler(model, buckets, byte_ids[10]), "doc_id long, ids array<int>")
+    assemble = _assembler(model, buckets, byte_ids[10], spark.sparkContext.broadcast(_spelled(model)) if decoded else None)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("of")).applyInArrow(assemble, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -350,24 +354,33 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     Control ids and ids outside the vocabulary add nothing; null ids give null. Other columns stay as they are.
     """
-    spelled = [bytes.fromhex(p) if kind == "byte" else p.encode() if kind == "piece" else b"" for p, _, kind in vocabulary(model)] + [b""]
-    shared = encoded.sparkSession.sparkContext.broadcast(spelled)
+    shared = encoded.sparkSession.sparkContext.broadcast(_spelled(model))
 
     @F.arrow_udf("string")
     def text_of(column: pa.Array) -> pa.Array:
-        table, sizes = np.frombuffer(b"".join(shared.value), np.uint8), np.fromiter(map(len, shared.value), np.int64)
-        starts, last = np.cumsum(sizes) - sizes, len(sizes) - 1
-        out: list[str | None] = []
-        for part in (column.slice(i, ROWS // 5) for i in range(0, len(column), ROWS // 5)):
-            lists = pa.chunked_array([part.fill_null([])]).combine_chunks() if part.null_count else part
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            at = np.where((ids < 0) | (ids > last), last, ids)
-            raw = _gathered(starts, sizes, table, at).tobytes()
-            ends = np.concatenate(([0], np.cumsum(sizes[at])))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))].tolist()
-            for known, a, z in zip(part.is_valid().to_pylist(), ends, ends[1:], strict=False):
-                text = raw[a:z].decode("utf-8", "replace").replace(SPACE, " ")
-                out.append((text[1:] if text.startswith(" ") else text) if known else None)
-        pa.default_memory_pool().release_unused()
-        return pa.array(out, pa.string())
+        return _texts(column, shared.value)
 
     return encoded.withColumn("text", text_of("ids"))
+
+
+def _spelled(model: str) -> list[bytes]:
+    """The bytes of each id, and none for the place after the last."""
+    return [bytes.fromhex(p) if kind == "byte" else p.encode() if kind == "piece" else b"" for p, _, kind in vocabulary(model)] + [b""]
+
+
+def _texts(column: pa.Array, spelled: list[bytes]) -> pa.Array:
+    """What lists of ids decode to."""
+    table, sizes = np.frombuffer(b"".join(spelled), np.uint8), np.fromiter(map(len, spelled), np.int64)
+    starts, last = np.cumsum(sizes) - sizes, len(sizes) - 1
+    out: list[str | None] = []
+    for part in (column.slice(i, ROWS // 5) for i in range(0, len(column), ROWS // 5)):
+        lists = pa.chunked_array([part.fill_null([])]).combine_chunks() if part.null_count else part
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        at = np.where((ids < 0) | (ids > last), last, ids)
+        raw = _gathered(starts, sizes, table, at).tobytes()
+        ends = np.concatenate(([0], np.cumsum(sizes[at])))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))].tolist()
+        for known, a, z in zip(part.is_valid().to_pylist(), ends, ends[1:], strict=False):
+            text = raw[a:z].decode("utf-8", "replace").replace(SPACE, " ")
+            out.append((text[1:] if text.startswith(" ") else text) if known else None)
+    pa.default_memory_pool().release_unused()
+    return pa.array(out, pa.string())

@@ -41,8 +41,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document, decodes the pieces again, and gives both lengths, the ids and the decoded text's digest."""
-    encoded = pieces.encode(table(spark, sf_dir, "documents"))
-    decoded = pieces.decode(encoded)
+    decoded = pieces.encode(table(spark, sf_dir, "documents"), decoded=True)
     return decoded.select("doc_id", F.size("ids").alias("n_ids"), "ids", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
