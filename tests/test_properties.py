@@ -2,13 +2,14 @@
 
 import os
 import random
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tracemine.functions import scalars as S
-from tracemine.operators import generation, mining, replay, scoring, selection
+from tracemine.operators import generation, mining, ordered, replay, scoring, selection
 from tracemine.plans import registry
 from tracemine.streaming import streams
 
@@ -64,6 +65,51 @@ def test_active_duas_equal_all_pairs(spark, strict):
     assert sorted((r["trace_id"], r["probe_seq"], r["dua"]) for r in found.collect()) == expected and len(expected) > 100
 
 
+def test_ordered_passes_equal_loops_and_spread_a_key(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.9 else rng.choice(["a", None]), i, rng.choice([-1, 1]), rng.choice([None, None, "x", "y"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, seq long, step long, mark string").repartition(5)
+    parts = [r["n"] for r in ordered.placed(df, ["k"], "seq").groupBy("__part").agg(F.count("*").alias("n")).collect()]
+    assert max(parts) < len(rows) // 2
+    expected = {}
+    for key in ("hot", "a", None):
+        own = [r for r in rows if r[0] == key]
+        total = level = 0
+        last = None
+        for r, after in zip(own, [*own[1:], None], strict=True):
+            level, last = max(0, level + r[2]), r[3] or last
+            expected[r[1]] = (total, total + r[2], level, last, after and (after[1], after[2]))
+            total += r[2]
+    step = F.col("step")
+    out = ordered.sum_so_far(df, ["k"], "seq", step, "before")
+    out = ordered.sum_so_far(out, ["k"], "seq", step, "upto", ties=True)
+    out = ordered.with_next(ordered.last_so_far(ordered.lifted_sum(out, ["k"], "seq", step, "level"), ["k"], "seq", "mark", "last"), ["k"], "seq", ["step"], "next")
+    assert {r["seq"]: (r["before"], r["upto"], r["level"], r["last"], r["next"] and tuple(r["next"])) for r in out.collect()} == expected
+    none = df.limit(0)
+    assert ordered.sum_so_far(none, ["k"], "seq", step, "n").count() == ordered.with_next(none, ["k"], "seq", ["step"], "n").count() == 0
+
+
+def test_lifetimes_of_long_files(spark):
+    """seq of a large log's later splits is far above the number of its entries."""
+    far = 1 << 60
+    probes = spark.createDataFrame([("t", 5), ("t", far), ("t", far + 7)], "trace_id string, probe_seq long")
+    alive = spark.createDataFrame([("t", 1, 0, far + 7), ("t", 2, 5, None), ("t", 3, far, far + 1)], "trace_id string, dua long, start long, end long")
+    assert sorted((r["probe_seq"], r["dua"]) for r in mining.active_duas(probes, alive).collect()) == [(5, 1), (5, 2), (far, 1), (far, 2), (far, 3), (far + 7, 2)]
+
+
+def test_drawn_duas(spark):
+    """Sampled DUAs are eligible and different, all if they are few; and each is drawn about as often."""
+    duas = spark.createDataFrame([(f, d, r) for f in "ab" for d, r in ((1, 10), (2, 10), (3, 20), (4, 40))], "inputfile string, dua long, ready long")
+    execs = spark.createDataFrame([(f, f"p{i}", at) for f in "ab" for i in range(200) for at in (10, 11, 30, 99)], "inputfile string, atp string, instr long")
+    found = {}
+    for r in generation.chaff_sampled_bugs(execs, duas, kinds=(6,)).collect():
+        found.setdefault((r["inputfile"], r["atp"], r["instr"]), []).append(r["dua"])
+    assert {k[2] for k in found} == {11, 30, 99} and len(found) == 1200
+    assert all(len(set(v)) == 2 and set(v) <= ({1, 2} if k[2] == 11 else {1, 2, 3} if k[2] == 30 else {1, 2, 3, 4}) for k, v in found.items())
+    times = Counter(d for k, v in found.items() for d in v if k[2] == 99)
+    assert all(150 < times[d] < 250 for d in (1, 2, 3, 4))
+
+
 def test_what_is_no_dua_replaces_none(spark):
     """A query with a gap, or with three labels only, leaves the live DUA of its lvalue alone; a fake one replaces it and is only replaced itself."""
     whole = [[1], [2], [3], [4]]

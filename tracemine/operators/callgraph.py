@@ -5,11 +5,11 @@ Facts: fun (``name``, ``hasbody``), calls (``name``: the callee, ``containing_fu
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemine.operators.ordered import shared_folder
+
 #: The flags of functions that may be instrumented, and of those that may not.
 OK, BANNED = 0, 3
 
@@ -63,12 +63,7 @@ def fnptr_rule(judgement: DataFrame, assigns: DataFrame, enabled: bool = True) -
 
 def close_over_callers(judgement: DataFrame, calls: DataFrame) -> DataFrame:
     """Bans whatever a banned function calls, until nothing changes: a breadth-first search from the banned ones, cut by a checkpoint each round."""
-    sc = judgement.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = judgement.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(judgement.sparkSession)
     edges = calls.select(F.col("containing_function").alias("caller"), "name").distinct().join(judgement.select("name"), "name", "left_semi").checkpoint()
     banned, i = judgement.where(F.col("flag") != OK).select("name", F.lit(0).alias("round")).checkpoint(), 0
     while not banned.where(F.col("round") == i).isEmpty():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import disjoint, first_dead_run, first_run_at_least, longest_run
 from tracemine.operators.mining import active_duas
+from tracemine.operators.ordered import sum_so_far
 from tracemine.operators.replay import liveness_asof
 from tracemine.schemas import MAGIC
 
@@ -99,12 +100,40 @@ def chaff_unused_bugs(execs: DataFrame) -> DataFrame:
     return execs.select("inputfile", "atp", "instr", F.lit(5).alias("kind"))
 
 
+def _draw(seed: int, *columns):
+    """A whole number under 2**52, drawn by md5(seed:columns)."""
+    parts = [F.lit(seed).cast("string"), *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns)]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
+
+
+def _drawable(probes: DataFrame, at: str, duas: DataFrame, since: str, dua: str) -> tuple[DataFrame, DataFrame]:
+    """probes with ``eligible``, how many DUAs of their ``inputfile`` have since < at, and duas with ``rank``, how many of their file come before in the order of (since, dua).
+
+    So an eligible DUA is drawn as a rank below eligible and found by an equi-join on (inputfile, rank). Both are counted in one pass, which spreads a file by ranges.
+    """
+    order = lambda c, own, x: F.struct(F.col(c).cast("long").alias("at"), F.lit(own).alias("own"), x.cast("long").alias("dua"))
+    asked = probes.select("inputfile", order(at, 0, F.lit(None)).alias("order"), F.struct(*probes.columns).alias("probe"))
+    marked = asked.unionByName(duas.select("inputfile", order(since, 1, F.col(dua)).alias("order"), F.struct(*duas.columns).alias("dua")), allowMissingColumns=True)
+    counted = sum_so_far(marked, ["inputfile"], "order", F.col("dua").isNotNull(), "n")
+    return counted.where("probe IS NOT NULL").select("probe.*", F.col("n").alias("eligible")), counted.where("dua IS NOT NULL").select("dua.*", F.col("n").alias("rank"))
+
+
 def chaff_sampled_bugs(execs: DataFrame, duas: DataFrame, k: int = 2, seed: int = 0, kinds: Sequence[int] = (6, 7, 8)) -> DataFrame:
-    """Per execution up to k eligible DUAs, drawn by md5(seed:atp:instr:dua), each for every kind."""
-    pairs = execs.select("inputfile", "atp", "instr").join(duas.select("inputfile", "dua", "ready"), "inputfile").where("ready < instr")
-    draw = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), "atp", F.col("instr").cast("string"), F.col("dua").cast("string")))
-    kept = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("inputfile", "atp", "instr").orderBy(draw, "dua"))).where(F.col("rank") <= k)
-    return kept.select("inputfile", "atp", "instr", "dua", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
+    """Per execution k different eligible DUAs (all, if they are fewer), drawn by md5(seed:draw:atp:instr) without forming the pairs, each for every kind.
+
+    Of n eligible ones the i-th draw is a rank up to n - k + i; if it has been drawn, that upper rank itself is taken. So all sets of k are alike likely.
+    """
+    asked, ranked = _drawable(execs.select("inputfile", "atp", "instr"), "instr", duas.select("inputfile", "dua", "ready"), "ready", "dua")
+
+    def drawn(picks, i):
+        top = F.col("eligible") - k + i
+        rank = F.pmod(_draw(seed, i, "atp", "instr"), F.greatest(top + 1, F.lit(1)))
+        return F.array_append(picks, F.when(F.array_contains(picks, rank), top).otherwise(rank))
+
+    some = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), F.array().cast("array<bigint>"), drawn)
+    ranks = F.when(F.col("eligible") > k, some).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("eligible") - 1, F.lit(0))))
+    picked = asked.where("eligible > 0").withColumn("rank", F.explode(ranks)).join(ranked.select("inputfile", "rank", "dua"), ["inputfile", "rank"])
+    return picked.select("inputfile", "atp", "instr", "dua", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
 
 
 def online_bugs(probes: DataFrame, lifetimes: DataFrame, excluded: Sequence[int] = (), n: int = MAGIC, strict: bool = False) -> DataFrame:
@@ -128,18 +157,17 @@ def ret_buffer_online(queries: DataFrame, lifetimes: DataFrame, need: int = 20)
 def pick_extra_duas(bugs: DataFrame, duas: DataFrame, n: int, tries: int = 2, seed: int = 0) -> DataFrame:
     """bugs with ``extra_duas``: n DUAs of the same file that are older than the trigger and share no label with it or each other; with a real trigger they have 4 n labels at least together.
 
-    bugs: ``bug``, ``inputfile``, ``instr`` (the trigger's), ``labels``, ``fake_dua`` (the trigger's). In each round the ``tries`` first of the older DUAs in the order of md5(seed:round:bug:dua) are looked at,
-    and the first disjoint one is taken. Bugs with n older DUAs or fewer, or left short, are dropped. n is 2 at most, so rounds are unrolled.
+    bugs: ``bug``, ``inputfile``, ``instr`` (the trigger's), ``labels``, ``fake_dua`` (the trigger's). In each round up to ``tries`` of the older DUAs are drawn, by md5(seed:round:bug:try), and the first
+    disjoint one is taken. Bugs with n older DUAs or fewer, or left short, are dropped. n is 2 at most, so rounds are unrolled. Drawn ranks are equi-joined; no pairs are formed.
     """
-    older = duas.select("inputfile", F.col("dua").alias("x"), F.col("instr").alias("x_instr"), F.col("labels").alias("x_labels"))
-    now = bugs.select("bug", "inputfile", "instr", "labels", "fake_dua", F.array().cast("array<bigint>").alias("extra_duas"))
+    asked = bugs.select("bug", "inputfile", "instr", "labels", "fake_dua")
+    asked, older = _drawable(asked, "instr", duas.select("inputfile", F.col("dua").alias("x"), F.col("instr").alias("x_instr"), F.col("labels").alias("x_labels")), "x_instr", "x")
+    now = asked.where(F.col("eligible") > n).select("*", F.array().cast("array<bigint>").alias("extra_duas"))
     for i in range(n):
-        pairs = now.join(older, "inputfile").where("x_instr < instr")
-        draw = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.lit(i).cast("string"), F.col("bug").cast("string"), F.col("x").cast("string")))
-        own = Window.partitionBy("bug")
-        ranked = pairs.withColumns({"draw": draw, "n": F.count("*").over(own)}).where(F.col("n") > n).withColumn("rank", F.row_number().over(own.orderBy("draw", "x"))).where(F.col("rank") <= tries)
-        fit = ranked.where(disjoint("labels", "x_labels")).groupBy("bug").agg(F.min_by(F.struct("inputfile", "instr", "fake_dua", F.concat("labels", "x_labels").alias("labels"), F.concat("extra_duas", F.array("x")).alias("extra_duas")), "rank").alias("b"))
-        now = fit.select("bug", "b.*")
+        each = now.select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try")).withColumn("rank", F.pmod(_draw(seed, F.lit(i), "bug", "try"), F.col("eligible")))
+        fit = each.join(older.select("inputfile", "rank", "x", "x_labels"), ["inputfile", "rank"]).where(disjoint("labels", "x_labels"))
+        got = F.struct("inputfile", "fake_dua", "eligible", F.concat("labels", "x_labels").alias("labels"), F.concat("extra_duas", F.array("x")).alias("extra_duas"))
+        now = fit.groupBy("bug").agg(F.min_by(got, "try").alias("b")).select("bug", "b.*")
     return now.where(F.col("fake_dua") | (F.size("labels") >= 4 * n)).select("bug", "extra_duas")
 
 

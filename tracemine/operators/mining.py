@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import count_viable, first_dead_run, is_header_file, labels_in_range
+from tracemine.operators.ordered import sum_so_far
 from tracemine.schemas import MAGIC
 from tracemine.sources.logs import first_by
 
-#: Sizes of dyadic intervals, as powers of two: a trace has under 2**LEVELS entries.
-LEVELS = 48
+#: Sizes of dyadic intervals, as powers of two: seq is under 2**LEVELS, as read_trace_log makes it for files of under 2 TB.
+LEVELS = 61
 #: Fixed value: the length that values are capped to.
 MAX_LVAL = 100
 
@@ -261,7 +262,7 @@ def mining_counters(log: DataFrame, period: int = 10_000) -> DataFrame:
 
 def curtail(log: DataFrame, real: DataFrame, n: int) -> DataFrame:
     """The entries of each trace up to the one at which it has more than n real DUAs (``trace_id``, ``seq``)."""
-    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq"))
-    stop = real.withColumn("__rank", rank).where(F.col("__rank") == n + 1).select("trace_id", F.col("seq").alias("__stop"))
+    ranked = sum_so_far(real.select("trace_id", "seq"), ["trace_id"], "seq", F.lit(1), "__before")
+    stop = ranked.where(F.col("__before") == n).select("trace_id", F.col("seq").alias("__stop"))
     return log.join(stop, "trace_id", "left").where("__stop IS NULL OR seq <= __stop").drop("__stop")
 

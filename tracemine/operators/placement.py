@@ -109,7 +109,13 @@ def parse_solutions(lines: DataFrame) -> DataFrame:
 
 
 def locate_trigger_line(bugs: DataFrame, lines: DataFrame) -> DataFrame:
-    """``bug``, ``found_line``: of the lines (``file``, ``line``, ``text``) of its file that contain ``(0x<magic>`` the nearest to its old line; of two the first. Bugs without one have null."""
-    hits = bugs.join(lines.select("file", F.col("line").alias("at"), "text"), "file").where(F.col("text").contains(F.concat(F.lit("(0x"), F.lower(F.hex("magic")))))
+    """``bug``, ``found_line``: of the lines (``file``, ``line``, ``text``) of its file that contain ``(0x<magic>`` the nearest to its old line; of two the first. Bugs without one have null.
+
+    What a line holds after each ``(0x``, cut at every length that a magic value can have, is equi-joined to the bugs, so a bug meets only lines that match.
+    """
+    digits = F.explode(F.regexp_extract_all("text", F.lit("\\(0x([0-9a-f]{1,16})"), F.lit(1)))
+    cuts = lines.select("file", F.col("line").alias("at"), digits.alias("digits")).withColumn("size", F.explode(F.sequence(F.lit(1), F.length("digits"))))
+    values = cuts.select("file", "at", F.left("digits", F.col("size")).alias("hex")).distinct()
+    hits = bugs.withColumn("hex", F.lower(F.hex("magic"))).join(values, ["file", "hex"])
     nearest = hits.groupBy("bug").agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("line")), F.col("at"))).alias("found_line"))
     return bugs.select("bug").join(nearest, "bug", "left")

@@ -6,16 +6,15 @@ Entries have ``trace_id`` and ``seq``; order is (trace_id, seq). flatten_log mak
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import basename, is_header_file, parse_ast_loc, parse_c_int
+from tracemine.operators.mining import active_duas
+from tracemine.operators.ordered import last_so_far, lifted_sum, sum_so_far, with_next
 from tracemine.schemas import UNKNOWN_FILE
 from tracemine.sources.logs import first_by
 
-def _order():
-    return Window.partitionBy("trace_id").orderBy("seq")
-
 
 def flatten_log(log: DataFrame) -> DataFrame:
     """The nested log's scalars: ``instr``, ``filename`` (of fileTaintMatch, its basename), ``loc_id``, ``callee_file``, ``callee``, ``atp_type``."""
@@ -28,34 +27,24 @@ def flatten_log(log: DataFrame) -> DataFrame:
 
 
 def assign_input_file(entries: DataFrame) -> DataFrame:
-    """Adds ``inputfile``: the ``filename`` of the latest entry with one, its own included; UNKNOWN_FILE before the first.
-
-    Entries with a filename are few: they become intervals [seq, next seq) per trace, which are range-joined if they fit a broadcast. So
-    one long trace does not end up in one task.
-    """
-    marks = entries.where("filename IS NOT NULL").select(F.col("trace_id").alias("__trace"), F.col("seq").alias("__from"), F.col("filename").alias("__file"))
-    spans = marks.withColumn("__to", F.lead("__from").over(Window.partitionBy("__trace").orderBy("__from")))
-    inside = (F.col("trace_id") == F.col("__trace")) & (F.col("seq") >= F.col("__from")) & (F.col("__to").isNull() | (F.col("seq") < F.col("__to")))
-    return entries.join(spans, inside, "left").withColumn("inputfile", F.coalesce("__file", F.lit(UNKNOWN_FILE))).drop("__trace", "__from", "__to", "__file")
+    """Adds ``inputfile``: the ``filename`` of the latest entry with one, its own included; UNKNOWN_FILE before the first. A long trace is spread by ranges of seq."""
+    return last_so_far(entries, ["trace_id"], "seq", "filename", "__file").withColumn("inputfile", F.coalesce("__file", F.lit(UNKNOWN_FILE))).drop("__file")
 
 
 def assign_trace_index(entries: DataFrame) -> DataFrame:
     """Adds ``trace_index``: how many sourceTraceId entries of the trace come before this one."""
-    return entries.withColumn("trace_index", F.coalesce(F.sum((F.col("kind") == "sourceTraceId").cast("long")).over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return sum_so_far(entries, ["trace_id"], "seq", F.coalesce(F.col("kind") == "sourceTraceId", F.lit(False)), "trace_index")
 
 
 def source_traces(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """``trace_id``, ``index``, ``loc`` of the steps of the source trace, in order; dictionary: ``id``, ``value``. Steps without a location have a null loc."""
-    steps = entries.where("kind = 'sourceTraceId'").withColumn("index", F.row_number().over(_order()).cast("long") - 1)
+    steps = sum_so_far(entries.where("kind = 'sourceTraceId'"), ["trace_id"], "seq", F.lit(1), "index")
     return steps.join(dictionary, steps["loc_id"] == dictionary["id"], "left").select("trace_id", "index", parse_ast_loc("value").alias("loc"))
 
 
 def call_depths(calls: DataFrame) -> DataFrame:
     """Adds ``depth``, the open frames after each entry of calls (``is_call``): returns on an empty stack are ignored, so the sum of steps is lifted by its least value so far."""
-    step = F.when(F.col("is_call"), 1).otherwise(-1)
-    so_far = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = calls.withColumn("__sum", F.sum(step).over(so_far))
-    return summed.withColumn("depth", F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(so_far))).drop("__sum")
+    return lifted_sum(calls, ["trace_id"], "seq", F.when(F.col("is_call"), 1).otherwise(-1), "depth")
 
 
 def call_intervals(calls: DataFrame) -> DataFrame:
@@ -66,19 +55,19 @@ def call_intervals(calls: DataFrame) -> DataFrame:
     """
     deep = call_depths(calls)
     frame = deep.withColumn("frame", F.when(F.col("is_call"), F.col("depth")).otherwise(F.col("depth") + 1))
-    after = Window.partitionBy("trace_id", "frame").orderBy("seq")
-    paired = frame.withColumns({"__call": F.lead("is_call").over(after), "__next": F.lead("seq").over(after)})
-    closed = F.when(~F.col("__call"), F.col("__next"))
+    paired = with_next(frame, ["trace_id", "frame"], "seq", ["is_call"], "__next")
+    closed = F.when(~F.col("__next.is_call"), F.col("__next.seq"))
     return paired.where("is_call").select("trace_id", F.col("callee").alias("function"), F.col("callee_file").alias("file"), "depth", F.col("seq").alias("call_seq"), closed.alias("ret_seq"))
 
 
 def call_stack_at(probes: DataFrame, calls: DataFrame) -> DataFrame:
-    """``trace_id``, ``seq``, ``stack``: at each probe (``trace_id``, ``seq``) the open calls' functions, the oldest first; empty without any."""
-    spans = call_intervals(calls)
-    inside = (F.col("trace_id") == F.col("__trace")) & (F.col("call_seq") < F.col("seq")) & (F.col("ret_seq").isNull() | (F.col("ret_seq") > F.col("seq")))
-    joined = probes.join(spans.withColumnRenamed("trace_id", "__trace"), inside, "left")
-    frames = F.array_sort(F.collect_list(F.when(F.col("call_seq").isNotNull(), F.struct("depth", "function", "file"))))
-    return joined.groupBy("trace_id", "seq").agg(F.transform(frames, lambda f: F.struct(f["function"].alias("function"), f["file"].alias("file"))).alias("stack"))
+    """``trace_id``, ``seq``, ``stack``: at each probe (``trace_id``, ``seq``) the open calls' functions, the oldest first; empty without any. Calls are found as active DUAs are, by dyadic intervals."""
+    spans = call_intervals(calls).withColumnsRenamed({"call_seq": "start", "ret_seq": "end"})
+    frame = F.struct("depth", "function", "file")
+    inside = active_duas(probes.select("trace_id", F.col("seq").alias("probe_seq")).distinct(), spans, strict=True).select("trace_id", F.col("probe_seq").alias("seq"), frame.alias("__frame"))
+    frames = F.array_sort(F.collect_list("__frame"))  # nulls are left out
+    all_of = probes.select("trace_id", "seq", F.lit(None).cast(inside.schema["__frame"].dataType).alias("__frame")).unionByName(inside)
+    return all_of.groupBy("trace_id", "seq").agg(F.transform(frames, lambda f: F.struct(f["function"].alias("function"), f["file"].alias("file"))).alias("stack"))
 
 
 def call_stack_exact(calls: DataFrame, library: str = "") -> DataFrame:
@@ -146,14 +135,13 @@ def last_branch(branches: DataFrame) -> DataFrame:
 def liveness_asof(events: DataFrame, branches: DataFrame) -> DataFrame:
     """events (``inputfile``, ``label``, ``seq`` and others) with ``liveness``: the branches that the label decided up to then, those at the same seq included."""
     marked = events.withColumn("__branch", F.lit(0)).unionByName(branches.select("inputfile", "label", "seq").withColumn("__branch", F.lit(1)), allowMissingColumns=True)
-    so_far = Window.partitionBy("inputfile", "label").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.withColumn("liveness", F.sum("__branch").over(so_far)).where("__branch = 0").drop("__branch")
+    return sum_so_far(marked, ["inputfile", "label"], "seq", F.col("__branch"), "liveness", ties=True).where("__branch = 0").drop("__branch")
 
 
 def label_death(branches: DataFrame, max_liveness: int) -> DataFrame:
     """``inputfile``, ``label``, ``death_seq`` of the labels that come to decide more than max_liveness branches: the seq of the first one too many."""
-    rank = F.row_number().over(Window.partitionBy("inputfile", "label").orderBy("seq"))
-    return branches.withColumn("__rank", rank).where(F.col("__rank") == max_liveness + 1).select("inputfile", "label", F.col("seq").alias("death_seq"))
+    ranked = sum_so_far(branches.select("inputfile", "label", "seq"), ["inputfile", "label"], "seq", F.lit(1), "__before")
+    return ranked.where(F.col("__before") == max_liveness).select("inputfile", "label", F.col("seq").alias("death_seq"))
 
 
 def resolved(entries: DataFrame, dictionary: DataFrame, keep_headers: bool = False) -> DataFrame:

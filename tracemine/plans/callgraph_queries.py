@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracemine.operators import callgraph as N
+from tracemine.operators.ordered import shared_folder
 from tracemine.plans.registry import query, shown
-from tracemine.sources.logs import parse_whitelist
+from tracemine.sources.logs import read_whitelist, write_whitelist
 
 _CALLS = "SELECT name, containing_function, CAST(NULL AS STRING) AS arg, CAST(NULL AS STRING) AS info FROM fx_callgraph UNION ALL SELECT callee AS name, 'main' AS containing_function, arg, info FROM fx_passed"
 _TABLES = {"fun": "fx_fun", "rows": _CALLS, "assigns": "fx_assign"}
@@ -92,6 +95,8 @@ def n9_judgement_counts(fun, rows, assigns, edges):
 
 @query(f"{_CLOSED} SELECT 'df' AS tag, name AS function FROM closed WHERE flag = 0", **_EDGES)
 def s10_write_whitelist(fun, rows, assigns, edges):
-    """The lines that a whitelist of instrumentable functions has, read again."""
+    """A whitelist of instrumentable functions, written and read again."""
     names = N.instrumentable(N.close_over_callers(ruled(fun, rows, assigns), edges), [])
-    return parse_whitelist(names.select(F.concat_ws(" ", F.lit("NOFILENAME"), F.lit("df"), "name").alias("value")))
+    path = f"{shared_folder(names.sparkSession)}/whitelist-{uuid.uuid4().hex}"
+    write_whitelist(names.select(F.lit("df").alias("tag"), F.col("name").alias("function")), path)
+    return read_whitelist(names.sparkSession, path)

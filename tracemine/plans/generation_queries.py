@@ -89,9 +89,17 @@ def g5_chaff_unused_bugs(execs):
     return G.chaff_unused_bugs(execs)
 
 
+def _drawn(*parts: str) -> str:
+    """A whole number under 2**52 by the md5 of 0 and these."""
+    return "CAST(('0x' || substr(md5(concat('0:', " + ", ':', ".join(parts) + ")), 1, 13)) AS BIGINT)"
+
+
 @query(
-    f"""SELECT inputfile, atp, instr, dua, unnest([6, 7, 8]) AS kind FROM (SELECT e.inputfile, e.atp, e.instr, r.dua, row_number() OVER (PARTITION BY e.inputfile, e.atp, e.instr ORDER BY md5(concat('0:', e.atp, ':', e.instr, ':', r.dua)), r.dua) AS k
-        FROM (SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type = 3) e JOIN ({_READY}) r ON e.inputfile = r.inputfile AND r.ready < e.instr) x WHERE k <= 2""",
+    f"""SELECT p.inputfile, p.atp, p.instr, r.dua, unnest([6, 7, 8]) AS kind FROM
+          (SELECT inputfile, atp, instr, unnest(CASE WHEN n = 1 THEN [0] WHEN n = 2 THEN [0, 1] ELSE [a, CASE WHEN b = a THEN n - 1 ELSE b END] END) AS rank FROM
+            (SELECT *, {_drawn("'0'", "atp", "instr")} % greatest(n - 1, 1) AS a, {_drawn("'1'", "atp", "instr")} % n AS b FROM
+              (SELECT e.inputfile, e.atp, e.instr, count(*) AS n FROM (SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type = 3) e JOIN ({_READY}) r ON e.inputfile = r.inputfile AND r.ready < e.instr GROUP BY ALL) c) x) p
+        JOIN (SELECT dua, inputfile, row_number() OVER (PARTITION BY inputfile ORDER BY ready, dua) - 1 AS rank FROM ({_READY}) y) r ON r.inputfile = p.inputfile AND r.rank = p.rank""",
     execs="SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type = 3", **_DUAS,
 )
 def g6_chaff_sampled_bugs(execs, duas, labels, branches):
@@ -125,11 +133,25 @@ def g8_ret_buffer_online(probes, rows, death):
     return G.ret_buffer_online(probes, alive).drop("trace_id")
 
 
+def _triggers(which: str) -> str:
+    """Triggers with how many DUAs of their file are older."""
+    return f"""SELECT f.dua AS bug, f.inputfile, l.s, (SELECT count(*) FROM fx_dua o WHERE o.inputfile = f.inputfile AND o.instr < f.instr AND o.dua IN (SELECT dua FROM fx_dua_label)) AS n FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE {which}"""
+
+
+def _older(i: int, n: int, bugs: str, seen: str) -> str:
+    """A round of picking: of the two older DUAs drawn for each bug the first that shares no label with what the bug has."""
+    return f"""SELECT bug, inputfile, n, s, xs, n_labels FROM (SELECT b.bug, b.inputfile, b.n, list_concat(b.s, d.s) AS s, {seen} AS xs, len(b.s) + len(d.s) AS n_labels, row_number() OVER (PARTITION BY b.bug ORDER BY t.t) AS k
+               FROM ({bugs}) b CROSS JOIN (VALUES (0), (1)) t(t)
+               JOIN (SELECT f.dua, f.inputfile, l.s, row_number() OVER (PARTITION BY f.inputfile ORDER BY f.instr, f.dua) - 1 AS rank FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d
+                 ON d.inputfile = b.inputfile AND d.rank = {_drawn(f"'{i}'", "b.bug", "t.t")} % b.n
+               WHERE b.n > {n} AND NOT list_has_any(b.s, d.s)) e WHERE k = 1"""
+
+
+_FIRST_ONE, _NEXT_ONE = "CAST(d.dua AS STRING)", "concat(b.xs, ',', CAST(d.dua AS STRING))"
+
+
 @query(
-    f"""SELECT bug, CAST(x AS STRING) AS extra FROM (SELECT bug, x, n_labels, row_number() OVER (PARTITION BY bug ORDER BY r) AS k FROM
-          (SELECT b.dua AS bug, d.dua AS x, b.s AS bs, d.s AS ds, len(b.s) + len(d.s) AS n_labels, count(*) OVER (PARTITION BY b.dua) AS n, row_number() OVER (PARTITION BY b.dua ORDER BY md5(concat('0:0:', b.dua, ':', d.dua)), d.dua) AS r
-           FROM (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE f.fake_dua) b JOIN (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d ON b.inputfile = d.inputfile AND d.instr < b.instr) c
-         WHERE n > 1 AND r <= 2 AND NOT list_has_any(bs, ds)) e WHERE k = 1""",
+    f"SELECT bug, xs AS extra FROM ({_older(0, 1, _triggers('f.fake_dua'), _FIRST_ONE)}) z",
     duas="fx_dua", labels="fx_dua_label",
 )
 def g9_pick_extra_duas(duas, labels):
@@ -139,21 +161,8 @@ def g9_pick_extra_duas(duas, labels):
     return G.pick_extra_duas(own.where("fake_dua").withColumnRenamed("dua", "bug"), own, 1).select("bug", shown("extra_duas").alias("extra"))
 
 
-def _older(i: int, bugs: str, seen: str) -> str:
-    """A round of picking: of each bug's older DUAs the first two by md5, and of these the first that shares no label with what the bug has."""
-    return f"""SELECT bug, inputfile, instr, s, xs, n_labels FROM (SELECT *, row_number() OVER (PARTITION BY bug ORDER BY r) AS k FROM
-                 (SELECT b.bug, b.inputfile, b.instr, list_concat(b.s, d.s) AS s, {seen} AS xs, len(b.s) + len(d.s) AS n_labels, list_has_any(b.s, d.s) AS meets, count(*) OVER (PARTITION BY b.bug) AS n,
-                         row_number() OVER (PARTITION BY b.bug ORDER BY md5(concat('0:{i}:', b.bug, ':', d.dua)), d.dua) AS r
-                  FROM ({bugs}) b JOIN (SELECT f.dua, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua) d ON b.inputfile = d.inputfile AND d.instr < b.instr) c
-                 WHERE n > 2 AND r <= 2 AND NOT meets) e WHERE k = 1"""
-
-
-_FIRST_ONE, _NEXT_ONE = "CAST(d.dua AS STRING)", "concat(b.xs, ',', CAST(d.dua AS STRING))"
-_TRIGGERS = f"SELECT f.dua AS bug, f.inputfile, f.instr, l.s FROM fx_dua f JOIN {_SETS} l ON f.dua = l.dua WHERE NOT f.fake_dua"
-
-
 @query(
-    f"SELECT bug, xs AS extra FROM ({_older(1, _older(0, _TRIGGERS, _FIRST_ONE), _NEXT_ONE)}) z WHERE n_labels >= 8",
+    f"SELECT bug, xs AS extra FROM ({_older(1, 2, _older(0, 2, _triggers('NOT f.fake_dua'), _FIRST_ONE), _NEXT_ONE)}) z WHERE n_labels >= 8",
     duas="fx_dua", labels="fx_dua_label",
 )
 def g9_pick_two_extra_duas(duas, labels):

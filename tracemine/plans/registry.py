@@ -16,7 +16,7 @@ from tracemine.plans.adapters import view, with_adapters
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
-MODULES = ("scalar_queries", "replay_queries", "mining_queries", "generation_queries", "selection_queries", "planning_queries", "scoring_queries", "callgraph_queries")
+MODULES = ("scalar_queries", "replay_queries", "mining_queries", "generation_queries", "selection_queries", "planning_queries", "scoring_queries", "callgraph_queries", "source_queries")
 
 
 def query(sql: str | None = None, **inputs: str):
