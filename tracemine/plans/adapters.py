@@ -54,19 +54,24 @@ ADAPTERS = {
         SELECT concat('t', CAST(user_id % 8 AS STRING)) AS trace_id, event_id AS seq, CASE WHEN event_type = 'signup' THEN concat('f', regexp_extract(props, '([0-9]+)', 1)) END AS filename,
                CASE event_type WHEN 'signup' THEN 'fileTaintMatch' WHEN 'view' THEN 'sourceTraceId' WHEN 'error' THEN 'taintedBranch' WHEN 'click' THEN 'taintQueryPri' ELSE 'attackPoint' END AS kind,
                CAST(event_id % 40 AS BIGINT) AS loc_id FROM events""",
-    "fx_dict": "SELECT CAST(c_custkey AS INT) AS id, concat(CAST(c_custkey AS STRING), ':5:', CAST(c_custkey + 1 AS STRING), ':9:', CASE WHEN c_custkey % 5 = 0 THEN 'a.h' ELSE concat('f', CAST(c_nationkey AS STRING), '.c') END) AS value FROM customer WHERE c_mktsegment <> 'MACHINERY'",
+    "fx_dict": "SELECT CAST(c_custkey AS INT) AS id, concat(CAST(c_custkey AS STRING), ':5:', CAST(c_custkey + 1 AS STRING), ':9:', CASE WHEN c_custkey % 5 = 0 THEN 'a.h' ELSE concat('f', CAST(c_nationkey AS STRING), '.c') END) AS value FROM customer",
     "fx_call": """
         SELECT concat('t', CAST(conv_id % 50 AS STRING)) AS trace_id, conv_id * 100 + turn AS seq, (length(text) % 5 < 3) AS is_call, concat('fn', CAST(length(text) % 9 AS STRING)) AS callee,
                concat('f', CAST(length(text) % 4 AS STRING)) AS callee_file FROM conversations""",
     "fx_elem": """
         SELECT 't' AS trace_id, l_orderkey AS seq, CAST(l_linenumber AS INT) AS pos, l_partkey AS ptr, concat('in', CAST(l_suppkey % 4 AS STRING)) AS inputfile, CAST(l_suppkey % 20 AS INT) AS label1,
                CAST(l_quantity AS INT) AS label2, l_extendedprice AS price FROM lineitem""",
-    "fx_fun": "SELECT concat('p', CAST(p_partkey % 300 AS STRING)) AS name, (p_partkey % 7 <> 0) AS hasbody FROM part UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)) AS name, (s_suppkey % 9 <> 0) AS hasbody FROM supplier",
-    "fx_callgraph": "SELECT DISTINCT concat('p', CAST(l_partkey % 300 AS STRING)) AS name, concat('s', CAST(l_suppkey AS STRING)) AS containing_function FROM lineitem WHERE l_quantity < 3 UNION SELECT DISTINCT concat('s', CAST(l_suppkey AS STRING)) AS name, concat('p', CAST(l_partkey % 300 AS STRING)) AS containing_function FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 1",
-    "fx_passed": "SELECT concat('p', CAST(l_partkey % 300 AS STRING)) AS arg, concat('s', CAST(l_suppkey AS STRING)) AS callee, CASE WHEN l_linenumber = 1 THEN 'function' ELSE 'var' END AS info FROM lineitem WHERE l_discount > 0.08",
-    "fx_assign": "SELECT DISTINCT concat('p', CAST(p_partkey % 300 AS STRING)) AS name FROM part WHERE p_size = 7",
+    "fx_fun": "SELECT concat('p', CAST(p_partkey AS STRING)) AS name, (p_partkey % 7 <> 0) AS hasbody FROM part UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)) AS name, (s_suppkey % 9 <> 0) AS hasbody FROM supplier",
+    "fx_callgraph": """
+        SELECT DISTINCT concat(CASE WHEN r = 2 THEN 's' ELSE 'p' END, CAST(CASE WHEN r = 2 THEN l_suppkey ELSE l_partkey END AS STRING)) AS name,
+               CASE r WHEN 1 THEN concat('s', CAST(l_suppkey AS STRING)) WHEN 2 THEN concat('p', CAST(l_partkey AS STRING)) ELSE concat('o', CAST(l_orderkey AS STRING)) END AS containing_function
+        FROM (SELECT *, CASE WHEN l_quantity < 3 THEN 1 WHEN l_quantity > 49 AND l_linenumber = 1 THEN 2 ELSE 3 END AS r FROM lineitem) x""",
+    "fx_passed": """
+        SELECT concat('p', CAST(l_partkey AS STRING)) AS arg, concat('s', CAST(l_suppkey AS STRING)) AS callee,
+               CASE WHEN l_linenumber = 1 AND l_discount > 0.08 THEN 'function' ELSE 'var' END AS info FROM lineitem""",
+    "fx_assign": "SELECT DISTINCT concat('p', CAST(p_partkey AS STRING)) AS name FROM part WHERE p_size = 7",
     "fx_step": "SELECT event_id AS index, concat('f', CAST(user_id % 50 AS STRING)) AS file, CAST(event_id % 40 AS INT) AS line, CAST(event_id % 9 AS INT) AS column_ FROM events",
-    "fx_frame": "SELECT l_orderkey AS bug, CAST(l_linenumber AS INT) AS pos, max(concat('p', CAST(l_partkey % 300 AS STRING))) AS function FROM lineitem WHERE l_discount > 0.04 GROUP BY l_orderkey, l_linenumber",
+    "fx_frame": "SELECT l_orderkey AS bug, CAST(l_linenumber AS INT) AS pos, max(concat('p', CAST(l_partkey AS STRING))) AS function FROM lineitem GROUP BY l_orderkey, l_linenumber",
     "fx_path": "SELECT CAST(user_id AS BIGINT) AS run, event_id AS i, CASE WHEN event_id % 13 = 0 THEN 'LX' ELSE translate(CAST(event_id % 1000 AS STRING), '0123456789', 'LRLRLRLRLR') END AS path FROM events",
     "fx_line": "SELECT doc_id AS report, n_chars AS line_no, concat('TOTAL ', CASE WHEN doc_id % 3 = 0 THEN 'none' ELSE concat(CAST(doc_id % 100 AS STRING), '.', CAST(n_chars % 100 AS STRING), '% 7.0%') END) AS line FROM documents",
 }

@@ -77,12 +77,12 @@ def w7_label_sets(rows):
 
 
 @query(
-    f"""SELECT DISTINCT trace_id, inputfile, seq, label FROM (SELECT e.trace_id, e.inputfile, e.seq, unnest([s.x.a, s.x.b]) AS label FROM fx_elem e JOIN {_SETS} s ON e.ptr = s.ptr AND s.x.s <= e.seq WHERE e.pos = 1)""",
+    f"""SELECT DISTINCT trace_id, inputfile, seq, label FROM (SELECT e.trace_id, e.inputfile, e.seq, unnest([s.x.a, s.x.b]) AS label FROM fx_elem e JOIN {_SETS} s ON e.ptr = s.ptr AND s.x.s <= e.seq)""",
     rows="fx_elem",
 )
 def w8_branch_labels(rows):
     elements = _elements(rows)
-    return W.branch_labels(rows.where("pos = 1"), W.label_sets(elements))
+    return W.branch_labels(rows, W.label_sets(elements))
 
 
 @query("SELECT inputfile, label, count(*) AS death_instr FROM fx_branch GROUP BY inputfile, label", branches="fx_branch")
