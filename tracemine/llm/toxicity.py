@@ -92,9 +92,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_D
 
 def graded(texts: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``grade`` to training texts. Labels tell only toxic from clean, so severity is derived: a toxic text's grade is the number of its words whose stem marks
-    toxicity (a share of MARK of the training texts with it is toxic), 1 at least and GRADES at most; clean ones have grade 0. The FEATURES commonest marks are used."""
+    toxicity (a share of MARK of the training texts with it is toxic), 1 at least and GRADES at most; clean ones have grade 0. All marks count; the
+    driver gets them, as they come from the bounded sample and have MARKED letters at most."""
     stem = (F.length("word") == MARKED + 1) & F.col("word").endswith("-") | (F.length("word") <= MARKED) & ~F.col("word").endswith("-")
-    marks = {r["word"] for r in counts.where(stem & (F.col("a") >= MARK * F.col("k"))).orderBy(F.desc("k"), "word").limit(FEATURES).collect()}
+    marks = {r["word"] for r in counts.where(stem & (F.col("a") >= MARK * F.col("k"))).collect()}
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
