@@ -6,11 +6,13 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemine.functions import scalars as S
-from tracemine.operators import generation, mining, ordered, replay, scoring, selection
+from tracemine.operators import generation, mining, ordered, placement, replay, scoring, selection
 from tracemine.plans import registry
+from tracemine.sources import logs
 from tracemine.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -89,6 +91,34 @@ def test_ordered_passes_equal_loops_and_spread_a_key(spark):
     assert ordered.sum_so_far(none, ["k"], "seq", step, "n").count() == ordered.with_next(none, ["k"], "seq", ["step"], "n").count() == 0
 
 
+@pytest.mark.parametrize("parts", [4, 8, 200])
+def test_numbers_are_dense_whatever_the_partitions(spark, parts):
+    """With columns beside the order, of which the counts need none, and more rows than a range partitioning samples."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        rows = spark.range(100_000).select((F.col("id") * 7919 % 100_003).alias("k"), F.col("id").alias("other"), F.lit("x").alias("more"))
+        got = logs.numbered(rows, ["k"], "no")
+        wrong = got.withColumn("less", F.lag("k").over(Window.orderBy("no"))).where("less >= k OR (less IS NULL AND no <> 0)")
+        assert got.agg(F.count("*"), F.countDistinct("no"), F.min("no"), F.max("no")).first() == (100_000, 100_000, 0, 99_999) and wrong.isEmpty()
+        known = logs.extend_string_dict(spark.createDataFrame([(3, "old")], "id int, value string"), rows.select(F.concat(F.lit("s"), "k").alias("value"), F.col("other").alias("seq")))
+        assert known.agg(F.count("*"), F.countDistinct("id"), F.min("id"), F.max("id")).first() == (100_001, 100_001, 3, 100_003)
+        picked = scoring.pick_seeds(rows.limit(50).select(F.col("k").alias("bug")), rows.select(F.col("k").cast("string").alias("name"), "other"))
+        assert picked.count() == 50 and picked.where("name IS NULL").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_slots_of_triggers_and_extras(spark):
+    """Each list has its own slots; a value that two DUAs give is read at two places and has one slot."""
+    bugs = spark.createDataFrame([(1, 0, 10, [30]), (2, 5, 20, [10]), (3, 1, 40, [20, 30])], "bug long, kind int, trigger long, extra_duas array<long>")
+    cut = spark.createDataFrame([(10, 1, 0, 4), (20, 2, 0, 4), (30, 3, 2, 6), (40, 4, 0, 4)], "dua_bytes long, dua long, low int, high int")
+    duas = spark.createDataFrame([(1, "v", 100), (2, "v", 101), (3, "w", 100), (4, "u", 999)], "dua long, lval string, trace_index long")
+    steps = spark.createDataFrame([(100, "a:1"), (101, "a:2")], "index long, loc string")
+    found = sorted(tuple(r) for r in placement.siphon_slots(bugs, cut, duas, steps).select("list", "lval", "low", "loc", "slot").collect())
+    assert found == [("extra", "v", 0, "a:2", 1), ("extra", "w", 2, "a:1", 0), ("trigger", "v", 0, "a:1", 0), ("trigger", "v", 0, "a:2", 0)]
+
+
 def test_lifetimes_of_long_files(spark):
     """seq of a large log's later splits is far above the number of its entries."""
     far = 1 << 60

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.sources.logs import first_by, numbered
+from tracemine.operators.ordered import shared_folder
+from tracemine.sources.logs import numbered
 
 _MOD = 1 << 32
 #: Consecutive ids that may share a row.
@@ -22,14 +23,22 @@ def bugs_by_location(bugs: DataFrame, atps: DataFrame) -> DataFrame:
 
 
 def siphon_slots(bugs: DataFrame, dua_bytes: DataFrame, duas: DataFrame, traces: DataFrame) -> DataFrame:
-    """``lval``, ``low``, ``high``, ``index`` (the step of the source trace) and ``slot``: dense ids of the values that bugs use, in the order of the first bug that does.
+    """``list``, ``lval``, ``low``, ``high``, ``loc``, ``slot``: where the values that bugs use are read, and the slot that each is kept in.
 
-    Extras count too, but for bugs of unused stacks. Slots are numbered over range partitions.
+    Triggers and extras have a list of slots each (``trigger``, ``extra``), with dense ids in the order of the first bug, and of the place in its extras, that uses the value; extras of bugs
+    of unused stacks do not count. A value is read at the place of the source trace's step at which its DUA was seen, so one that several DUAs give is read
+    at several places but has one slot. Values whose step is not in traces (``index``, ``loc``) are not placed. Slots are numbered over range partitions.
     """
-    uses = bugs.select("bug", F.col("trigger").alias("dua_bytes"), F.lit(-1).alias("pos")).unionByName(bugs.where("kind <> 5").select("bug", F.posexplode("extra_duas").alias("pos", "dua_bytes")))
-    full = uses.join(dua_bytes, "dua_bytes").join(duas.select("dua", "lval", "trace_index"), "dua").join(traces.select("index"), F.col("trace_index") == F.col("index"))
-    first = first_by(full.select("lval", "low", "high", "index", "bug", "pos"), ["lval", "low", "high"], ["bug", "pos", "index"])
-    return numbered(first, ["bug", "pos", "lval", "low", "high"], "slot").select("lval", "low", "high", "index", "slot")
+    uses = bugs.select(F.lit("trigger").alias("list"), "bug", F.lit(0).alias("pos"), F.col("trigger").alias("dua_bytes"))
+    uses = uses.unionByName(bugs.where("kind <> 5").select(F.lit("extra").alias("list"), "bug", F.posexplode("extra_duas").alias("pos", "dua_bytes")))
+    value = ["list", "lval", "low", "high"]
+    full = uses.join(dua_bytes, "dua_bytes").join(duas.select("dua", "lval", F.col("trace_index").alias("index")), "dua").join(traces.select("index", "loc"), "index")
+    shared_folder(bugs.sparkSession)
+    reads = full.groupBy(*value, "loc").agg(F.min(F.struct("bug", "pos")).alias("first")).checkpoint()  # used by both lists and by the result
+    firsts = reads.groupBy(*value).agg(F.min("first").alias("first")).select(*value, "first.bug", "first.pos")
+    order = ["bug", "pos", "lval", "low", "high"]
+    slots = numbered(firsts.where("list = 'trigger'"), order, "slot").unionByName(numbered(firsts.where("list = 'extra'"), order, "slot"))
+    return reads.select(*value, "loc").join(slots.select(*value, "slot"), value)
 
 
 def _draw(seed, salt: str, key, n):

@@ -17,11 +17,16 @@ def p1_bugs_by_location(bugs, extras, atps):
     return P.bugs_by_location(bugs, atps).select("loc", "atp_type", "chunk", shown("bugs").alias("bugs"))
 
 
+_USES = """SELECT 'trigger' AS list, bug, 0 AS pos, trigger_ AS dua_bytes FROM fx_bug UNION ALL SELECT 'extra' AS list, bug, pos, dua_bytes FROM fx_bug_extra WHERE bug % 9 <> 5"""
+_READS = f"""SELECT u.list, d.lval, t.low, t.high, concat(s.file, ':', s.line, ':', s.column_) AS loc, min(struct_pack(bug := u.bug, pos := u.pos)) AS first FROM ({_USES}) u
+            JOIN fx_dua_bytes t ON u.dua_bytes = t.dua_bytes JOIN fx_dua d ON t.dua = d.dua JOIN fx_step s ON s.index = d.trace_index GROUP BY ALL"""
+
+
 @query(
-    """SELECT lval, low, high, idx AS "index", CAST(row_number() OVER (ORDER BY bug, pos, lval, low, high) - 1 AS INT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY lval, low, high ORDER BY bug, pos, idx) AS r FROM
-       (SELECT u.bug, u.pos, d.lval, t.low, t.high, s.index AS idx FROM (SELECT bug, trigger_ AS dua_bytes, -1 AS pos FROM fx_bug UNION ALL SELECT e.bug, e.dua_bytes, e.pos FROM fx_bug_extra e WHERE e.bug % 9 <> 5) u
-        JOIN fx_dua_bytes t ON u.dua_bytes = t.dua_bytes JOIN fx_dua d ON t.dua = d.dua JOIN fx_step s ON s.index = d.trace_index) x) y WHERE r = 1""",
-    dua_bytes=_BYTES, duas="fx_dua", traces="fx_step", **_BUGS,
+    f"""SELECT r.list, r.lval, r.low, r.high, r.loc, CAST(z.slot AS BIGINT) AS slot FROM ({_READS}) r JOIN
+        (SELECT list, lval, low, high, row_number() OVER (PARTITION BY list ORDER BY min(first), lval, low, high) - 1 AS slot FROM ({_READS}) x GROUP BY list, lval, low, high) z
+        ON r.list = z.list AND r.lval = z.lval AND r.low = z.low AND r.high = z.high""",
+    dua_bytes=_BYTES, duas="fx_dua", traces="SELECT index, concat(file, ':', CAST(line AS STRING), ':', CAST(column_ AS STRING)) AS loc FROM fx_step", **_BUGS,
 )
 def p2_siphon_slots(bugs, extras, dua_bytes, duas, traces):
     return P.siphon_slots(with_extras(bugs, extras), dua_bytes, duas, traces)

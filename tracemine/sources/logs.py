@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemine.operators.ordered import shared_folder
 from tracemine.schemas import KINDS, PLOG
 
 #: One function fact per row; exactly one of the structs is set.
@@ -53,10 +54,12 @@ def write_string_dict(df: DataFrame, path: str) -> None:
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds ``name``: the place of each row in the order of ``order``, from 0 on.
 
-    Rows are put in order by range partitions and numbered within each; only the partitions' counts meet in one task.
+    Rows are put in order by range partitions and numbered within each; only the partitions' counts meet in one task. The placed rows are written to the
+    checkpoint folder: counts and rows are two uses of them, and range bounds are drawn anew each time that a partitioning is evaluated.
     """
+    shared_folder(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).checkpoint()
     before = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
     return placed.join(F.broadcast(before), "__part").withColumn(name, rank + F.col("__before")).drop("__part", "__before")  # before has a row per partition
