@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemine.llm import exact, imatch, langid, minhash, mixing, pieces, quality, simhash, suffix, toxicity, urlfilter
+from tracemine.llm import alignment, exact, imatch, langid, minhash, mixing, pieces, quality, simhash, suffix, toxicity, urlfilter, vectorcodes
 from tracemine.llm.common import held_out, table
 
 
@@ -59,12 +59,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"), size=4)
 
 
 def queries() -> dict:
-    named = (op1_language_id, op2_simhash_near_dedup, op3_url_filters, op4_suffix_array_dedup, op5_toxicity, op6_exact_dedup, op7_sentencepiece, op8_imatch, op9_mixing, op10_quality, op13_minhash_near_dedup)
+    named = (op1_language_id, op2_simhash_near_dedup, op3_url_filters, op4_suffix_array_dedup, op5_toxicity, op6_exact_dedup, op7_sentencepiece, op8_imatch, op9_mixing, op10_quality, op11_vector_codes, op12_token_alignment, op13_minhash_near_dedup)
     return {f.__name__: f for f in named}
 
 
