@@ -138,14 +138,14 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: str, model: str, spans: boo
         counts = np.zeros(len(pairs), np.int64)
         np.add.at(counts, places, np.repeat(used, sizes[:, 4]))
 
-        def batch(n: int, kind: int, **columns) -> pa.RecordBatch:
-            fixed = {"chunk": pa.array(np.full(n, chunk)), "kind": pa.array(np.full(n, kind, np.int32))} | columns
-            return pa.RecordBatch.from_arrays([fixed[f.name].cast(f.type) if f.name in fixed else pa.nulls(n, f.type) for f in schema], schema=schema)
+        def batch(size: int, kind: int, columns: dict) -> pa.RecordBatch:
+            fixed = {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int32))} | columns
+            return pa.RecordBatch.from_arrays([fixed[f.name].cast(f.type) if f.name in fixed else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-        yield batch(len(pairs), 0, place=pa.array(np.arange(len(pairs), dtype=np.int32)), a=pa.array(pairs >> 32), b=pa.array(pairs & 0xFFFFFFFF), n=pa.array(counts))
-        yield batch(1, 1, units=pa.array([sizes[:, 4].astype(np.int32).tobytes()]), pairs=pa.array([places.astype(np.int32).tobytes()]))
+        yield batch(len(pairs), 0, {"place": pa.array(np.arange(len(pairs))), "a": pa.array(pairs >> 32), "b": pa.array(pairs & 0xFFFFFFFF), "n": pa.array(counts)})
+        yield batch(1, 1, {"units": pa.array([sizes[:, 4].astype(np.int32).tobytes()]), "pairs": pa.array([places.astype(np.int32).tobytes()])})
         names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "units")
-        yield batch(len(docs), 2, **{k: pa.array([d[j] for d in docs], schema.field(k).type) for j, k in enumerate(names)})
+        yield batch(len(docs), 2, {k: pa.array([d[j] for d in docs], schema.field(k).type) for j, k in enumerate(names)})
 
     for b in batches:
         ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()

@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def banded(nodes: DataFrame) -> DataFrame:
     """``key``, ``node``, ``salt``, ``n``: members of the buckets, one for each band's bins, that hold several nodes (``node``, ``signature``)."""
     width = 2 * BAND
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("signature", width * i + 1, width)) for i in range(BANDS)))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
     keyed = nodes.select("node", F.explode(keys).alias("key"), salt("node").alias("salt"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), salts_of(F.col("salt")).alias("salts")).where("n > 1")
     return keyed.join(per_salt(sizes), ["key", "salt"])
@@ -145,17 +145,19 @@ def _proposed(batches: Iterator[pa.RecordBatch], least: int, partners: int | Non
     names = ("key", "i", "j", "side", "node", "component")
 
     def pairs(own: dict, bits: np.ndarray) -> pa.RecordBatch:
-        u, v = [], []
+        u, v, more = [], [], []
         left, right = np.flatnonzero(own["side"] == 0), np.flatnonzero(own["side"] == 1)
         for at in left.tolist():
             equal = (bits[right] == bits[at]).sum(axis=1)
             equal[own["component"][right] == own["component"][at]] = -1
             hits = np.flatnonzero(equal >= least)
-            if partners is not None and len(hits) > partners:
+            over = partners is not None and len(hits) > partners
+            if over:
                 hits = hits[np.lexsort((own["node"][right[hits]], -equal[hits]))[:partners]]
             u += [own["node"][at]] * len(hits)
             v += own["node"][right[hits]].tolist()
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            more += [over] * len(hits)
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(more, pa.bool_())], names=["u", "v", "more"])
 
     rest: tuple | None = None
     for b in batches:
@@ -174,10 +176,10 @@ def _proposed(batches: Iterator[pa.RecordBatch], least: int, partners: int | Non
 
 
 def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: int, partners: int | None) -> DataFrame:
-    """Distinct edges ``u`` < ``v`` between members of a bucket that are not in one component yet (labels: ``node``, ``component``) and agree in ``least`` bins at least.
+    """Distinct edges ``u`` < ``v``, and ``more``, between members of a bucket that are not in one component yet (labels: ``node``, ``component``) and agree in ``least`` bins at least.
 
     Buckets in one component are done. Of buckets with the same members one is looked at. In each, the members outside its largest component are compared with all,
-    by their signatures and in tiles of TILE members a side; ``partners`` keeps the likeliest of each.
+    by their signatures and in tiles of TILE members a side; ``partners`` keeps the likeliest of each, and ``more`` says that there were others.
     """
     own = buckets.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
@@ -188,8 +190,17 @@ def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: in
     right = rows.select("key", upto(minor_tiles).alias("i"), F.pmod(F.xxhash64("node"), all_tiles).alias("j"), F.lit(1).alias("side"), "node", "component")
     left = rows.where("component <> major").select("key", F.pmod(F.xxhash64("node"), minor_tiles).alias("i"), upto(all_tiles).alias("j"), F.lit(0).alias("side"), "node", "component")
     dealt = left.unionByName(right).join(nodes.select("node", "signature"), "node")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_proposed, least=least, partners=partners), "u long, v long")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_proposed, least=least, partners=partners), "u long, v long, more boolean")
+    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("more").alias("more"))
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (``node``, ``component``, for nodes that are no root) after the components at both ends of each link are joined."""
+    root = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"root_{k}"))
+    ends = links.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    joined = cut(components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))))
+    over = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return cut(labels.join(over, "component", "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(joined))
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -209,15 +220,18 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     buckets = cut(banded(nodes))
     tested = cut(stars(buckets))
     texts = written(_texts(docs, buckets.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")))
-    links = cut(confirmed(tested, texts, size, percent))
-    labels = components(links)
+    labels = components(confirmed(tested, texts, size, percent))
+    least = round(BINS * (percent / 100 - SLACK))
     for partners in (PARTNERS, None):
-        new = cut(proposals(buckets, labels, nodes, round(BINS * (percent / 100 - SLACK)), partners).join(tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")), ["u", "v"], "left_anti"))
-        if new.isEmpty():
-            break
+        known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        found = cut(proposals(buckets, labels, nodes, least, partners))
+        proposed, more = found.agg(F.count("*"), F.coalesce(F.max("more"), F.lit(False))).first()
+        new = found.select("u", "v").join(known, ["u", "v"], "left_anti")
+        if proposed:
+            labels = merged(labels, confirmed(new, texts, size, percent))
+        if not more:
+            break  # each member has proposed all that it may link with
         tested = tested.unionByName(new)
-        links = links.unionByName(cut(confirmed(new, texts, size, percent)))
-        labels = components(links)
     placed = nodes.select("node", "digest", "id", "salts").join(labels, "node", "left").select("digest", "id", "salts", F.coalesce("component", "node").alias("root"), salt("node").alias("of_root"))
     roots = per_salt(placed.groupBy("root").agg(F.min("id").alias("component_id"), salts_of(F.col("of_root")).alias("all")), "all", "of_root")
     named = per_salt(placed.join(roots, ["root", "of_root"]).select("digest", "salts", "component_id"))
