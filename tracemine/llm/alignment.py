@@ -63,7 +63,7 @@ class Unit:
         cuts, links = groups_of(ends_a, ends_b) if ok else ([], [])
         self.ok, self.n_a, self.n_b, self.n_groups = ok, len(a), len(b), len(cuts)
         self.links = [(a[i] << 32) | b[j] for i, j in links]
-        starts = [(0, 0), *cuts[:-1]]
+        starts = [(0, 0), *cuts][: len(cuts)]
         self.groups = ";".join(f"{','.join(map(str, a[s:e]))}|{','.join(map(str, b[t:f]))}" for (s, t), (e, f) in zip(starts, cuts, strict=True))
 
 

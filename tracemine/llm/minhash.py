@@ -19,9 +19,9 @@ SHINGLE, PERCENT = 5, 80
 BAND, BANDS = 6, 48
 BINS = BAND * BANDS
 #: Pairs of a bucket whose shares of equal bins are so much below the least similarity are not compared: it is five standard deviations or more.
-SLACK = 0.2
-#: Members of a bucket on each side of one comparison of signatures; partners that a member proposes in the first round after the stars.
-TILE, PARTNERS = 4096, 4
+SLACK = 0.15
+#: Members of a bucket on each side of one comparison; partners that a member proposes in the first round after the stars.
+TILE, PARTNERS = 512, 4
 #: Tasks that the members of one star are dealt to.
 RAYS = 64
 
@@ -79,10 +79,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``salt``, ``n``: members of the buckets, one for each band's bins, that hold several nodes (``node``, ``signature``)."""
+    """``key``, ``band``, ``node``, ``salt``, ``n``: members of the buckets, one for each band's bins, that hold several nodes (``node``, ``signature``)."""
     width = 2 * BAND
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
-    keyed = nodes.select("node", F.explode(keys).alias("key"), salt("node").alias("salt"))
+    keyed = nodes.select("node", F.posexplode(keys).alias("band", "key"), salt("node").alias("salt"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), salts_of(F.col("salt")).alias("salts")).where("n > 1")
     return keyed.join(per_salt(sizes), ["key", "salt"])
 
@@ -107,9 +107,18 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(_words, "digest binary, words binary").join(wanted.select("node", "digest"), "digest").select("node", "words").dropDuplicates(["node"])
 
 
-def _set(words: bytes, size: int) -> set:
+def _set(words: bytes, size: int) -> set[bytes]:
     parts = words.split(b" ")
-    return set(zip(*(parts[i:] for i in range(size)), strict=False)) if len(parts) >= size else {tuple(parts)}
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    return {words[a:b] for a, b in zip(starts, ends[size - 1 :].tolist() or [len(words)], strict=False)}
+
+
+def _linked(a: set, b: set, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _alike(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -122,11 +131,7 @@ def _alike(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
             if other is None:
                 centre = _set(words[i].as_py(), size)
                 continue
-            own = _set(words[i].as_py(), size)
-            if 100 * min(len(own), len(centre)) < percent * max(len(own), len(centre)):
-                continue
-            both = len(own & centre)
-            if 100 * both >= percent * (len(own) + len(centre) - both):
+            if _linked(_set(words[i].as_py(), size), centre, percent):
                 found.append(i)
         yield pa.RecordBatch.from_arrays([u.take(pa.array(found, pa.int64())), v.take(pa.array(found, pa.int64()))], names=["u", "v"])
 
@@ -140,58 +145,76 @@ def confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.mapInArrow(partial(_alike, size=size, percent=percent), "u long, v long")
 
 
-def _proposed(batches: Iterator[pa.RecordBatch], least: int, partners: int | None) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, node, component, signature) come by (key, i, j): members of side 0 are compared with all of side 1."""
-    names = ("key", "i", "j", "side", "node", "component")
-
-    def pairs(own: dict, bits: np.ndarray) -> pa.RecordBatch:
-        u, v, more = [], [], []
-        left, right = np.flatnonzero(own["side"] == 0), np.flatnonzero(own["side"] == 1)
-        for at in left.tolist():
-            equal = (bits[right] == bits[at]).sum(axis=1)
-            equal[own["component"][right] == own["component"][at]] = -1
-            hits = np.flatnonzero(equal >= least)
-            over = partners is not None and len(hits) > partners
-            if over:
-                hits = hits[np.lexsort((own["node"][right[hits]], -equal[hits]))[:partners]]
-            u += [own["node"][at]] * len(hits)
-            v += own["node"][right[hits]].tolist()
-            more += [over] * len(hits)
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(more, pa.bool_())], names=["u", "v", "more"])
-
-    rest: tuple | None = None
+def _tiles(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list | np.ndarray]]:
+    """The rows of each (key, i, j), which come together, as columns."""
+    rest: dict | None = None
     for b in batches:
         now = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
-        bits = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint16).reshape(-1, BINS)
         if rest is not None:
-            now, bits = {k: np.concatenate((rest[0][k], now[k])) for k in names}, np.concatenate((rest[1], bits))
-        new = (np.diff(now["key"]) != 0) | (np.diff(now["i"]) != 0) | (np.diff(now["j"]) != 0)
-        ends = np.flatnonzero(new) + 1
+            now = {k: np.concatenate((rest[k], now[k])) for k in names}
+        ends = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["i"]) != 0) | (np.diff(now["j"]) != 0)) + 1
         for a, z in zip([0, *ends[:-1]], ends, strict=False):
-            yield pairs({k: x[a:z] for k, x in now.items()}, bits[a:z])
-        last = ends[-1] if len(ends) else 0
-        rest = ({k: x[last:] for k, x in now.items()}, bits[last:])
-    if rest is not None and len(rest[1]):
-        yield pairs(*rest)
-
+            yield {k: x[a:z] for k, x in now.items()}
+        rest = {k: x[ends[-1] if len(ends) else 0 :] for k, x in now.items()}
+    if rest is not None and len(rest["key"]):
+        yield rest
 
-def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, least: int, partners: int | None) -> DataFrame:
-    """Distinct edges ``u`` < ``v``, and ``more``, between members of a bucket that are not in one component yet (labels: ``node``, ``component``) and agree in ``least`` bins at least.
 
-    Buckets in one component are done. Of buckets with the same members one is looked at. In each, the members outside its largest component are compared with all,
-    by their signatures and in tiles of TILE members a side; ``partners`` keeps the likeliest of each, and ``more`` says that there were others.
+def _proposed(batches: Iterator[pa.RecordBatch], percent: int, partners: int | None) -> Iterator[pa.RecordBatch]:
+    """In each tile members of side 0 are compared with all of side 1. A row per member that has a part in a proposal: ``others`` are the partners it proposes."""
+    least = round(BINS * (percent / 100 - SLACK))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
+    for t in _tiles(batches, ("key", "i", "j", "band", "side", "node", "component", "major", "n_shingles", "signature")):
+        bits = np.frombuffer(b"".join(t["signature"]), np.uint16).reshape(-1, BINS)
+        node, component, n = t["node"], t["component"], t["n_shingles"]
+        right, proposed, more = np.flatnonzero(t["side"] == 1), {}, set()
+        for at in np.flatnonzero(t["side"] == 0).tolist():
+            fit = (component[right] != component[at]) & (100 * np.minimum(n[right], n[at]) >= percent * np.maximum(n[right], n[at]))
+            if partners is None:  # two members outside the largest component meet on either side
+                fit &= (component[right] == t["major"][right]) | (node[right] > node[at])
+            near = right[fit]
+            same = bits[near] == bits[at]
+            equal = same.sum(axis=1)
+            hits = np.flatnonzero(equal >= least)
+            # a pair is proposed in the first band that it shares
+            hits = hits[same[hits].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1) == t["band"][at]]
+            if partners is not None and len(hits) > partners:
+                hits = hits[np.lexsort((node[near[hits]], -equal[hits]))[:partners]]
+                more.add(int(node[at]))
+            if len(hits):
+                proposed[int(node[at])] = node[near[hits]].tolist()
+        used = sorted({*proposed, *(v for vs in proposed.values() for v in vs)})
+        where = [np.full(len(used), t[k][0]) for k in ("key", "i", "j")]
+        columns = (*where, used, [proposed.get(v, []) for v in used], [v in more for v in used])
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "i", "j", "node", "others", "more"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The proposals of a tile that are links."""
+    for t in _tiles(batches, ("key", "i", "j", "node", "others", "words")):
+        sets = {v: _set(w, size) for v, w in zip(t["node"].tolist(), t["words"], strict=True)}
+        found = [(u, v) for u, vs in zip(t["node"].tolist(), t["others"], strict=True) for v in vs.tolist() if _linked(sets[u], sets[v], percent)]
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+
+def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, partners: int | None) -> DataFrame:
+    """``key``, ``i``, ``j``, ``node``, ``others``, ``more``: members of a bucket's tile with those that they may link with, which are not in their component yet (labels: ``node``, ``component``).
+
+    Buckets in one component are done. Of buckets with the same members one is looked at. In each, the members outside its largest component are compared with all, by the
+    sizes of their sets and by their signatures, in tiles of TILE members a side; ``partners`` keeps the likeliest of each, and ``more`` says that there were others.
     """
-    own = buckets.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = own.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    live = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0")
-    live = live.groupBy("n", "sum").agg(F.min(F.struct("key", "major", "minor")).alias("b")).select("n", "b.*")
+    own = buckets.select("key", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = own.groupBy("key", "band", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+    live = parts.groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0")
+    live = live.groupBy("n", "sum").agg(F.min(F.struct("band", "key", "major", "minor")).alias("b")).select("n", "b.key", "b.major", "b.minor")
     rows, all_tiles, minor_tiles = own.join(live, "key"), F.ceil(F.col("n") / TILE), F.ceil(F.col("minor") / TILE)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    right = rows.select("key", upto(minor_tiles).alias("i"), F.pmod(F.xxhash64("node"), all_tiles).alias("j"), F.lit(1).alias("side"), "node", "component")
-    left = rows.where("component <> major").select("key", F.pmod(F.xxhash64("node"), minor_tiles).alias("i"), upto(all_tiles).alias("j"), F.lit(0).alias("side"), "node", "component")
-    dealt = left.unionByName(right).join(nodes.select("node", "signature"), "node")
-    found = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_proposed, least=least, partners=partners), "u long, v long, more boolean")
-    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("more").alias("more"))
+    rest = ("band", "node", "component", "major")
+    right = rows.select("key", upto(minor_tiles).alias("i"), F.pmod(F.xxhash64("node"), all_tiles).alias("j"), F.lit(1).alias("side"), *rest)
+    left = rows.where("component <> major").select("key", F.pmod(F.xxhash64("node"), minor_tiles).alias("i"), upto(all_tiles).alias("j"), F.lit(0).alias("side"), *rest)
+    dealt = left.unionByName(right).join(nodes.select("node", "n_shingles", "signature"), "node")
+    schema = "key long, i long, j long, node long, others array<long>, more boolean"
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_proposed, percent=percent, partners=partners), schema)
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,7 +230,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """One row per document: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id that links reach, its own included), ``kept`` (doc_id = component_id).
 
     A-Z are lower-cased; words are ``[^\\x20\\x09-\\x0D]+`` of the whole text; the set has the distinct shingles of ``size`` words, or the whole sequence where words are fewer.
-    Texts link if 100 times the intersection is ``percent`` times the union at least; every link is confirmed on full sets. Null, empty and blank texts have an empty
+    Texts link if 100 times the intersection is ``percent`` times the union at least (the bands are made for 80 or more); every link is confirmed on full sets. Null, empty and blank texts have an empty
     set and link with nothing. Texts of equal words are one node. Candidates are the stars of the bands' buckets; where a bucket is not one component after that, members
     outside its largest one propose their likeliest partners by signature, and then all that may be links. So pairs of a group that is connected are never listed,
     and links between different texts are missed only with the bands' probability. Repeated rows are kept; rows with a null doc_id take part, and a component's id is null only if no
@@ -215,23 +238,19 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """
     prints = written(signatures(docs, size))
     salted = prints.select("doc_id", "digest", "n_shingles", salt("doc_id").alias("salt"))
-    distinct = prints.where("n_shingles > 0").withColumn("salt", salt("doc_id")).groupBy("digest").agg(F.min("doc_id").alias("id"), salts_of(F.col("salt")).alias("salts"), F.first("signature").alias("signature"))
+    distinct = prints.where("n_shingles > 0").withColumn("salt", salt("doc_id")).groupBy("digest").agg(F.min("doc_id").alias("id"), salts_of(F.col("salt")).alias("salts"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     buckets = cut(banded(nodes))
-    tested = cut(stars(buckets))
     texts = written(_texts(docs, buckets.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")))
-    labels = components(confirmed(tested, texts, size, percent))
-    least = round(BINS * (percent / 100 - SLACK))
+    labels = components(confirmed(cut(stars(buckets)), texts, size, percent))
     for partners in (PARTNERS, None):
-        known = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        found = cut(proposals(buckets, labels, nodes, least, partners))
+        found = cut(proposals(buckets, labels, nodes, percent, partners))
         proposed, more = found.agg(F.count("*"), F.coalesce(F.max("more"), F.lit(False))).first()
-        new = found.select("u", "v").join(known, ["u", "v"], "left_anti")
         if proposed:
-            labels = merged(labels, confirmed(new, texts, size, percent))
+            tiles = found.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+            labels = merged(labels, tiles.mapInArrow(partial(_checked, size=size, percent=percent), "u long, v long"))
         if not more:
             break  # each member has proposed all that it may link with
-        tested = tested.unionByName(new)
     placed = nodes.select("node", "digest", "id", "salts").join(labels, "node", "left").select("digest", "id", "salts", F.coalesce("component", "node").alias("root"), salt("node").alias("of_root"))
     roots = per_salt(placed.groupBy("root").agg(F.min("id").alias("component_id"), salts_of(F.col("of_root")).alias("all")), "all", "of_root")
     named = per_salt(placed.join(roots, ["root", "of_root"]).select("digest", "salts", "component_id"))

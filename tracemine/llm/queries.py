@@ -98,7 +98,43 @@ _IMATCH = f"""
     FROM nexts n JOIN versions e ON e.k = n.k AND e.v = 1 JOIN prints a ON a.k = n.k AND a.v = 0 JOIN prints b ON b.k = n.k AND b.v = 1 JOIN near x ON x.k = n.k AND x.what = 'near_edited' JOIN near y ON y.k = n.k AND y.what = 'near_next'
 """
 
+_NEAREST = "arg_min(c.e, struct_pack(d := list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, c.x) + list_inner_product(c.x, c.x), e := c.e))"
+
+
+def _codes_sql() -> str:
+    """Rounds of exact k-means: vectors of whole numbers are lists of doubles, whose inner products are exact at this size."""
+    k, n = vectorcodes.PARTS, vectorcodes.ENTRIES
+    sql = f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vectorcodes.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, t.p, v[t.p * (len(v) // {k}) + 1 : (t.p + 1) * (len(v) // {k})] AS x FROM kept, range({k}) t(p)),
+        c0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) y WHERE e < {n})"""
+    for i in range(vectorcodes.ROUNDS):
+        sql += f""", a{i} AS MATERIALIZED (SELECT x.p, {_NEAREST} AS e, any_value(x.x) AS x FROM parts x JOIN c{i} c ON x.p = c.p GROUP BY x.p, x.vec_id),
+        m{i} AS MATERIALIZED (SELECT p, e, list(floor(s / n) ORDER BY i) AS x FROM (SELECT p, e, i, sum(val) AS s, count(*) AS n FROM (SELECT p, e, unnest(x) AS val, unnest(range(len(x))) AS i FROM a{i}) u GROUP BY p, e, i) w GROUP BY p, e),
+        c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON c.p = m.p AND c.e = m.e)"""
+    last = vectorcodes.ROUNDS
+    return sql + f""", coded AS MATERIALIZED (SELECT x.vec_id, x.p, {_NEAREST} AS e, any_value(x.x) AS x FROM parts x JOIN c{last} c ON x.p = c.p GROUP BY x.vec_id, x.p),
+        each AS (SELECT a.vec_id, string_agg(printf('%02x', a.e), '' ORDER BY a.p) AS code, CAST(sum(list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, c.x) + list_inner_product(c.x, c.x)) AS BIGINT) AS error
+                 FROM coded a JOIN c{last} c ON a.p = c.p AND a.e = c.e GROUP BY a.vec_id),
+        book AS (SELECT sha256(string_agg(CAST(CAST(val AS BIGINT) AS STRING), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM (SELECT p, e, unnest(x) AS val, unnest(range(len(x))) AS i FROM c{last}) b)
+        SELECT k.vec_id, each.code, each.error, CAST(sum(each.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error, book.codebooks_sha256 FROM kept k JOIN each ON each.vec_id = k.vec_id, book"""
+
+
+_NEAR = """
+    WITH RECURSIVE split AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    sets AS MATERIALIZED (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END)) AS s FROM split),
+    firsts AS MATERIALIZED (SELECT doc_id, len(s) AS n, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(s, '|'))) END AS rep FROM sets),
+    each AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS g FROM firsts WHERE doc_id = rep),
+    links AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS c FROM each x JOIN each y ON x.g = y.g AND x.doc_id < y.doc_id AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n GROUP BY x.doc_id, y.doc_id) p WHERE 100 * c >= 80 * (m + n - c)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT a AS doc_id, b AS other FROM ways UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON r.other = w.a),
+    least AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+    SELECT f.doc_id, CAST(f.n AS BIGINT) AS n_shingles, least(f.rep, coalesce(l.other, f.rep)) AS component_id, f.doc_id = least(f.rep, coalesce(l.other, f.rep)) AS kept FROM firsts f LEFT JOIN least l ON f.rep = l.doc_id
+"""
+
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
+    "op13_minhash_near_dedup": _NEAR,
     "op8_imatch": _IMATCH,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
