@@ -150,12 +150,93 @@ def test_what_is_no_dua_replaces_none(spark):
 
 
 def test_ranges_of_bugs(spark):
-    duas = spark.createDataFrame([(1, "in", 5, [1, 2], [True, False, True, True, True, True, True, False]), (2, "in", 6, [3], [True] * 9), (3, "in", 7, [4], [True, True, False, True, True])], "dua long, inputfile string, instr long, labels array<int>, viable array<boolean>")
-    ready = generation.dua_readiness(duas, spark.createDataFrame([("in", 1, 9)], "inputfile string, label int, death_instr long"))
-    assert {r["dua"]: (r["run_low"], r["run"], r["ready"]) for r in ready.collect()} == {1: (2, 5, 9), 2: (0, 9, 6), 3: (0, 2, 7)}
+    """Longest runs give triggers and pads; with first, the first run that is long enough gives the pad."""
+    bytes_of = lambda text: [None if c == "." else [i % 5, 9] for i, c in enumerate(text)]
+    duas = spark.createDataFrame([(1, "in", 5, bytes_of("x.xxxxx.")), (2, "in", 6, bytes_of("xxxxxxxx.xxxxxxxxx")), (3, "in", 7, bytes_of("xx.xx"))], "dua long, inputfile string, instr long, byte_labels array<array<int>>")
+    ready = generation.dua_readiness(generation.byte_ranges(duas, pad=8), spark.createDataFrame([("in", 1, 9)], "inputfile string, label int, death_instr long"))
+    assert {r["dua"]: (r["run_low"], r["run"], r["ready"], r["low"], r["high"], r["pad_low"]) for r in ready.collect()} == {1: (2, 5, 5, 2, 6, None), 2: (9, 9, 9, 9, 13, 9), 3: (0, 2, 9, None, None, None)}
+    assert {r["dua"]: r["trigger_labels"] for r in ready.collect()} == {1: [0, 2, 3, 4, 9], 2: [0, 1, 2, 4, 9], 3: None}
+    assert generation.byte_ranges(duas, pad=8, first=True).where("dua = 2").select("pad_low", "pad_high").first() == (0, 8)
     bugs = spark.createDataFrame([(1, 2), (3, 2), (2, 1)], "dua long, pad long")
-    found = {r["dua"]: (r["low"], r["high"], r["pad_low"], r["pad_high"]) for r in generation.with_ranges(bugs, ready, pad=8).collect()}
-    assert found == {1: (2, 6, 0, 8), 2: (0, 4, 0, 0)}
+    assert {(r["dua"], r["low"], r["pad_low"]) for r in generation.with_ranges(bugs, ready, pads=True).collect()} == {(1, 2, 9), (2, 9, None)}
+
+
+@pytest.mark.parametrize("first", [1, 2, 64])
+def test_pads_equal_nested_loops(spark, first):
+    """Triggers that share labels with the pad make executions look further back."""
+    rng = random.Random(6)
+    duas = [(i, f"in{rng.randrange(2)}", rng.randrange(4), rng.randrange(90), rng.sample(range(8), 2)) for i in range(160)]
+    duas = [(*d, max(d[3], rng.randrange(100))) for d in duas]
+    pads = sorted({(f"in{rng.randrange(2)}", f"a{rng.randrange(3)}", rng.randrange(110), rng.randrange(160)) for _ in range(40)})
+    labels = {d[0]: d[4] for d in duas}
+    expected = {}
+    for f, a, at, pad in sorted(pads, key=lambda p: p[2]):
+        for lval in range(4):
+            fit = [(-d[3], -d[0], d[0]) for d in duas if d[1] == f and d[2] == lval and d[5] < at and d[0] != pad and not set(d[4]) & set(labels[pad])]
+            if fit:
+                best = (at, *min(fit), pad)
+                expected[f, a, lval] = min(expected.get((f, a, lval), best), best)
+    own = spark.createDataFrame(duas, "dua long, inputfile string, lval long, instr long, labels array<int>, ready long")
+    asked = spark.createDataFrame([(*p, labels[p[3]]) for p in pads], "inputfile string, atp string, instr long, pad long, pad_labels array<int>")
+    found = {(r["inputfile"], r["atp"], r["lval"]): (r["instr"], r["dua"], r["pad"]) for r in generation._with_pads(asked, own, first).collect()}
+    assert found == {k: (v[0], v[3], v[4]) for k, v in expected.items()} and len(found) > 15
+
+
+def test_pads_form_few_rows(spark):
+    """Rows that executions look at are executions times lvalues, not times DUAs, where labels do not conflict; and a hot file spreads over ranges."""
+    duas = spark.range(6000).select(F.col("id").alias("dua"), F.lit("in").alias("inputfile"), (F.col("id") % 3).alias("lval"), F.col("id").alias("instr"), F.array((F.col("id") % 50 + 100).cast("int")).alias("labels"), F.col("id").alias("ready"))
+    pads = spark.range(200).select(F.lit("in").alias("inputfile"), F.concat(F.lit("a"), F.col("id")).alias("atp"), (F.col("id") * 29 + 50).alias("instr"), F.lit(0).cast("long").alias("pad"), F.array(F.lit(1)).alias("pad_labels"))
+    counted = []
+    real = generation.disjoint
+    try:
+        seen = spark.sparkContext.accumulator(0)
+        count = F.udf(lambda x: seen.add(1) or x, "boolean")
+        generation.disjoint = lambda a, b: count(real(a, b))
+        counted.append(generation._with_pads(pads, duas).count())
+    finally:
+        generation.disjoint = real
+    assert counted == [600] and seen.value <= 200 * 3 * 2 * 2  # twice, should a round be evaluated again
+    marked = duas.select("inputfile", F.col("ready").alias("at"), F.struct("instr", "dua").alias("own"))
+    parts = [r["n"] for r in ordered.placed(marked, ["inputfile"], "at").groupBy("__part").agg(F.count("*").alias("n")).collect()]
+    assert max(parts) < 6000 // 3
+    newest = ordered.greatest_before(marked, ["inputfile"], "at", "own", "newest").where("at = 5000").first()["newest"]
+    assert (newest["instr"], newest["dua"]) == (4999, 4999)
+
+
+def test_extremes_before_and_after(spark):
+    """Rows that tie in order do not count for each other; keys may be null; rows come over several ranges."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), rng.randrange(200), rng.choice([None, *range(50)])) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, at long, v long").repartition(4)
+    out = ordered.least_after(ordered.greatest_before(df, ["k"], "at", "v", "before"), ["k"], "at", "v", "after").collect()
+    pick = lambda f, xs: f([x for x in xs if x is not None], default=None)
+    assert len(out) == 700
+    for r in out:
+        own = [x for x in rows if x[0] == r["k"]]
+        assert r["before"] == pick(max, [x[2] for x in own if x[1] < r["at"]]) and r["after"] == pick(min, [x[2] for x in own if x[1] > r["at"]])
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_staircases_equal_all_windows(spark, strict):
+    """The step a probe meets is the first window alive there and free of the excluded labels."""
+    rng = random.Random(2)
+    lives = []
+    for i in range(60):
+        size, start = rng.randint(1, 9), rng.randrange(40)
+        labels = [None if rng.random() < 0.1 else rng.sample(range(12), 2) for _ in range(size)]
+        lives.append(("t", f"v{i % 7}", i, start, None if rng.random() < 0.3 else start + rng.randrange(60), labels, [None if rng.random() < 0.3 else rng.randrange(100) for _ in range(size)]))
+    probes = [("t", p, f"a{p}") for p in range(0, 110, 3)]
+    expected = set()
+    for _, p, a in probes:
+        for _, lval, i, start, end, labels, deaths in lives:
+            ok = [b is not None and not {3, 4} & set(b) and (d is None or d > p) for b, d in zip(labels, deaths, strict=True)]
+            low = next((k for k in range(len(ok) - 3) if all(ok[k : k + 4])), None)
+            if (start < p if strict else start <= p) and (end is None or p < end) and low is not None:
+                expected.add((p, a, lval, i, low, low + 4))
+    df = spark.createDataFrame(lives, "trace_id string, lval string, dua long, start long, end long, labels array<array<int>>, deaths array<long>")
+    found = generation.online_bugs(spark.createDataFrame(probes, "trace_id string, probe_seq long, atp string"), df, [3, 4], strict=strict)
+    rows = [tuple(r) for r in found.select("probe_seq", "atp", "lval", "dua", "low", "high").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected and len(expected) > 60
 
 
 def test_offline_bugs_equal_nested_loops(spark):

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.functions.scalars import disjoint, first_dead_run, first_run_at_least, longest_run
+from tracemine.functions.scalars import disjoint, first_run_at_least, labels_in_range, longest_run
 from tracemine.operators.mining import active_duas
-from tracemine.operators.ordered import sum_so_far
+from tracemine.operators.ordered import greatest_before, least_after, shared_folder, sum_so_far
 from tracemine.operators.replay import liveness_asof
 from tracemine.schemas import MAGIC
 
@@ -21,11 +21,7 @@ from tracemine.schemas import MAGIC
 def dua_readiness(duas: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Adds ``max_liveness`` (of its labels in the snapshot: ``inputfile``, ``label``, ``death_instr``; 0 without any) and ``ready``, the larger of that and instr.
 
-    If duas bring ``viable`` (whether each byte is), the longest run of viable bytes is added as well: ``run_low`` and ``run``, its first byte and its length.
     """
-    if "viable" in duas.columns:
-        longest = longest_run(F.transform("viable", lambda v: F.when(v, True)))
-        duas = duas.withColumns({"run_low": longest["low"], "run": longest["high"] - longest["low"]})
     live = duas.select("dua", "inputfile", F.explode("labels").alias("label")).join(snapshot, ["inputfile", "label"]).groupBy("dua").agg(F.max("death_instr").alias("max_liveness"))
     joined = duas.join(live, "dua", "left").withColumn("max_liveness", F.coalesce("max_liveness", F.lit(0)).cast("long"))
     return joined.withColumn("ready", F.greatest("instr", "max_liveness"))
@@ -34,15 +30,14 @@ def dua_readiness(duas: DataFrame, snapshot: DataFrame) -> DataFrame:
 def offline_bugs(execs: DataFrame, duas: DataFrame) -> DataFrame:
     """``inputfile``, ``atp``, ``lval``, ``instr``, ``dua``: for each point and lvalue the earliest execution with an eligible DUA, and the newest such DUA.
 
-    The first execution after the least ready of an lvalue is found in one ordered pass per (file, point) over executions and lvalues, the newest
-    DUA before it in another per (file, lvalue). So work grows with points times lvalues, as the result does, not with executions times DUAs.
+    The first execution after the least ready of an lvalue is found in one ordered pass over the executions and lvalues of each (file, point), the newest
+    DUA before it in another over each (file, lvalue). So work grows with points times lvalues, as the result does, not with executions times DUAs, and passes spread a key by ranges.
     """
     firsts = duas.groupBy("inputfile", "lval").agg(F.min("ready").alias("at"))
     points = execs.select("inputfile", "atp").distinct()
     asked = points.join(firsts, "inputfile").select("inputfile", "atp", "lval", "at", F.lit(None).cast("long").alias("exec"))
     hits = execs.select("inputfile", "atp", F.lit(None).cast(duas.schema["lval"].dataType).alias("lval"), F.col("instr").alias("at"), F.col("instr").alias("exec"))
-    later = Window.partitionBy("inputfile", "atp").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
-    chosen = asked.unionByName(hits).withColumn("next", F.min("exec").over(later)).where("lval IS NOT NULL AND next IS NOT NULL").select("inputfile", "atp", "lval", F.col("next").alias("instr"))
+    chosen = least_after(asked.unionByName(hits), ["inputfile", "atp"], "at", "exec", "next").where("lval IS NOT NULL AND next IS NOT NULL").select("inputfile", "atp", "lval", F.col("next").alias("instr"))
     return _newest(chosen, duas, ["inputfile", "lval"])
 
 
@@ -52,8 +47,7 @@ def _newest(probes: DataFrame, duas: DataFrame, keys: list[str], extra: Sequence
     known = duas.select(*keys, F.col("ready").alias("at"), value.alias("own"))
     rest = [c for c in probes.columns if c not in keys]
     marked = probes.select(*keys, F.col("instr").alias("at"), F.struct(*rest).alias("probe")).unionByName(known, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    found = marked.withColumn("newest", F.max("own").over(before)).where("probe IS NOT NULL AND newest IS NOT NULL")
+    found = greatest_before(marked, keys, "at", "own", "newest").where("probe IS NOT NULL AND newest IS NOT NULL")
     return found.select(*keys, *(F.col(f"probe.{c}").alias(c) for c in rest), F.col("newest.dua").alias("dua"), *(F.col(f"newest.{c}").alias(f"newest_{c}") for c in extra))
 
 
@@ -63,10 +57,38 @@ def _first_per_combo(cands: DataFrame) -> DataFrame:
     return cands.groupBy("inputfile", "atp", "lval").agg(best.alias("b")).select("inputfile", "atp", "lval", "b.instr", "b.dua", "b.pad")
 
 
-def _with_pads(pads: DataFrame, duas: DataFrame) -> DataFrame:
-    own = duas.select("inputfile", "lval", "dua", F.col("instr").alias("dua_instr"), "ready", "labels")
-    pairs = pads.join(own, "inputfile").where((F.col("ready") < F.col("instr")) & (F.col("dua") != F.col("pad")) & disjoint("labels", "pad_labels"))
-    return _first_per_combo(pairs)
+def _own_labels(duas: DataFrame, use: str):
+    """Labels of the bytes that a DUA gives as a trigger or as a pad, if duas bring them (``trigger_labels``, ``pad_labels``); else those of all its bytes."""
+    return F.col(f"{use}_labels") if f"{use}_labels" in duas.columns else F.col("labels")
+
+
+def _with_pads(pads: DataFrame, duas: DataFrame, first: int = 2, faster: int = 4) -> DataFrame:
+    """Per (file, point, lvalue) the earliest of the padded executions (``inputfile``, ``atp``, ``instr``, ``pad``, ``pad_labels``) with a trigger that shares no label with the pad, and the newest such trigger.
+
+    The DUAs of an lvalue are numbered in the order of instr by one ordered pass, which also tells each execution how many are older. Then an execution looks back, newest first, at ``first`` of them
+    and at ``faster`` times as many in each round after, by an equi-join on the number, until one is ready and disjoint. Only those without one go on, and none that is
+    later than one that has been found for its point and lvalue. So rows are executions times lvalues, times what conflicts of labels add.
+    """
+    shared_folder(duas.sparkSession)
+    probes = pads.select("inputfile", "atp", "instr", "pad", "pad_labels").distinct().withColumn("probe", F.monotonically_increasing_id()).checkpoint()
+    firsts = duas.groupBy("inputfile", "lval").agg(F.min("ready").alias("from"))
+    asked = probes.select("probe", "inputfile", "atp", "instr").join(firsts, "inputfile").where(F.col("from") < F.col("instr")).drop("from")
+    own = duas.select("inputfile", "lval", "dua", F.col("instr").alias("dua_instr"), "ready", _own_labels(duas, "trigger").alias("labels"))
+    asked, ranked = _drawable(asked, "instr", own, "dua_instr", "dua", ["inputfile", "lval"])
+    ranked = ranked.drop("eligible").checkpoint()
+    left = asked.where("eligible > 0").checkpoint()
+    combo, width, found = ["inputfile", "atp", "lval"], first, None
+    pad = probes.select("probe", "pad", "pad_labels")
+    while not left.isEmpty():
+        looked = left.withColumn("rank", F.explode(F.sequence(F.greatest(F.col("eligible") - width, F.lit(0)), F.col("eligible") - 1)))
+        fit = looked.join(ranked, ["inputfile", "lval", "rank"]).where("ready < instr").join(pad, "probe").where((F.col("dua") != F.col("pad")) & disjoint("labels", "pad_labels"))
+        best = fit.groupBy("probe", *combo, "instr").agg(F.max(F.struct("rank", "dua", "dua_instr", "pad")).alias("b")).select("probe", *combo, "instr", "b.dua", "b.dua_instr", "b.pad").checkpoint()
+        found = best if found is None else found.unionByName(best)
+        done = best.groupBy(*combo).agg(F.min("instr").alias("__done"))
+        rest = left.where(F.col("eligible") > width).withColumn("eligible", F.col("eligible") - width).join(best.select("probe", "lval"), ["probe", "lval"], "left_anti")
+        left = rest.join(done, combo, "left").where("__done IS NULL OR instr <= __done").drop("__done").checkpoint()
+        width *= faster
+    return _first_per_combo(left.select(*combo, "instr", F.lit(None).cast("long").alias("dua"), F.lit(None).cast("long").alias("dua_instr"), F.lit(None).cast("long").alias("pad")) if found is None else found)
 
 
 def ret_buffer_bugs(execs: DataFrame, duas: DataFrame, need: int = 20) -> DataFrame:
@@ -74,25 +96,38 @@ def ret_buffer_bugs(execs: DataFrame, duas: DataFrame, need: int = 20) -> DataFr
 
     The trigger is another eligible DUA that shares no label with the pad. Returns ``inputfile``, ``atp``, ``lval``, ``instr``, ``dua``, ``pad``.
     """
-    pads = duas.where(F.col("run") >= need).select("inputfile", "loc", "instr", F.col("dua").alias("pad"), F.col("labels").alias("pad_labels"))
+    pads = duas.where(F.col("run") >= need).select("inputfile", "loc", "instr", F.col("dua").alias("pad"), _own_labels(duas, "pad").alias("pad_labels"))
     return _with_pads(execs.join(pads, ["inputfile", "loc", "instr"]), duas)
 
 
 def padded_bugs(execs: DataFrame, duas: DataFrame, pad: int = 8) -> DataFrame:
     """Bugs whose pad is the newest eligible DUA with a ``run`` of pad bytes at least, found by an as-of pass; triggers as in ret_buffer_bugs."""
-    pads = _newest(execs.select("inputfile", "atp", "instr").distinct(), duas.where(F.col("run") >= pad), ["inputfile"], ["labels"])
-    return _with_pads(pads.withColumnsRenamed({"dua": "pad", "newest_labels": "pad_labels"}), duas)
+    long = duas.where(F.col("run") >= pad).withColumn("pad_labels", _own_labels(duas, "pad"))
+    pads = _newest(execs.select("inputfile", "atp", "instr").distinct(), long, ["inputfile"], ["pad_labels"])
+    return _with_pads(pads.withColumnsRenamed({"dua": "pad", "newest_pad_labels": "pad_labels"}), duas)
 
 
-def with_ranges(bugs: DataFrame, duas: DataFrame, pad: int = 0, n: int = MAGIC) -> DataFrame:
-    """Adds the bytes that a bug uses: ``low``, ``high``, the first n of its trigger's longest run, and with a pad ``pad_low``, ``pad_high``, the first ``pad`` bytes of the first run of so many in
-    its pad. bugs: ``dua`` and, with a pad, ``pad``; duas: ``dua``, ``viable``, ``run_low``, ``run``. Bugs whose trigger has no run of n bytes are dropped, so that rows fit dua_bytes."""
-    triggers = duas.where(F.col("run") >= n).select("dua", F.col("run_low").alias("low"), (F.col("run_low") + n).alias("high"))
-    out = bugs.join(triggers, "dua")
+def byte_ranges(duas: DataFrame, pad: int = 0, first: bool = False, n: int = MAGIC) -> DataFrame:
+    """What DUAs give by their bytes. duas: ``byte_labels``, the labels of each byte, null where it is not viable.
+
+    Adds ``labels`` (of all bytes), ``run_low`` and ``run`` (the longest run of viable bytes), and of a run of n at least ``low``, ``high``, ``trigger_labels``: its first n bytes. With pad, of a run of so many bytes ``pad_low``, ``pad_high``,
+    ``pad_labels``: the first ones of the longest run or, with first, of the first run that is long enough. What does not exist is null.
+    """
+    there = F.transform("byte_labels", lambda b: F.when(b.isNotNull(), True))
+    longest = longest_run(there)
+    out = duas.withColumns({"labels": labels_in_range("byte_labels", F.lit(0), F.size("byte_labels")), "run_low": longest["low"], "run": longest["high"] - longest["low"]})
+    sliced = lambda low, size: {"low": low, "high": low + size, "labels": labels_in_range("byte_labels", low, low + size)}
+    ranges = {("trigger_labels" if k == "labels" else k): F.when(F.col("run") >= n, v) for k, v in sliced(F.col("run_low"), n).items()}
     if pad:
-        first = first_run_at_least(F.transform("viable", lambda v: F.when(v, True)), pad)
-        out = out.join(duas.select(F.col("dua").alias("pad"), first["low"].alias("pad_low"), first["high"].alias("pad_high")), "pad")
-    return out
+        start = first_run_at_least(there, pad)["low"] if first else F.col("run_low")
+        ranges |= {f"pad_{k}": F.when(F.col("run") >= pad, v) for k, v in sliced(start, pad).items()}
+    return out.withColumns(ranges)
+
+
+def with_ranges(bugs: DataFrame, duas: DataFrame, pads: bool = False) -> DataFrame:
+    """Adds the bytes that a bug uses, as byte_ranges gives them: ``low``, ``high``, ``trigger_labels`` and, with pads, ``pad_low``, ``pad_high``. Bugs (``dua`` and, with pads, ``pad``) whose trigger has no such bytes are dropped, so that rows fit dua_bytes."""
+    out = bugs.join(duas.where("low IS NOT NULL").select("dua", "low", "high", "trigger_labels"), "dua")
+    return out.join(duas.select(F.col("dua").alias("pad"), "pad_low", "pad_high"), "pad") if pads else out
 
 
 def chaff_unused_bugs(execs: DataFrame) -> DataFrame:
@@ -106,15 +141,15 @@ def _draw(seed: int, *columns):
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long")
 
 
-def _drawable(probes: DataFrame, at: str, duas: DataFrame, since: str, dua: str) -> tuple[DataFrame, DataFrame]:
-    """probes with ``eligible``, how many DUAs of their ``inputfile`` have since < at, and duas with ``rank``, how many of their file come before in the order of (since, dua).
+def _drawable(probes: DataFrame, at: str, duas: DataFrame, since: str, dua: str, keys: Sequence[str] = ("inputfile",)) -> tuple[DataFrame, DataFrame]:
+    """probes with ``eligible``, how many DUAs of their keys have since < at, and duas with ``rank``, how many of their keys come before in the order of (since, dua).
 
-    So an eligible DUA is drawn as a rank below eligible and found by an equi-join on (inputfile, rank). Both are counted in one pass, which spreads a file by ranges.
+    So an eligible DUA is drawn as a rank below eligible and found by an equi-join on keys and rank. Both are counted in one pass, which spreads a key by ranges.
     """
     order = lambda c, own, x: F.struct(F.col(c).cast("long").alias("at"), F.lit(own).alias("own"), x.cast("long").alias("dua"))
-    asked = probes.select("inputfile", order(at, 0, F.lit(None)).alias("order"), F.struct(*probes.columns).alias("probe"))
-    marked = asked.unionByName(duas.select("inputfile", order(since, 1, F.col(dua)).alias("order"), F.struct(*duas.columns).alias("dua")), allowMissingColumns=True)
-    counted = sum_so_far(marked, ["inputfile"], "order", F.col("dua").isNotNull(), "n")
+    asked = probes.select(*keys, order(at, 0, F.lit(None)).alias("order"), F.struct(*probes.columns).alias("probe"))
+    marked = asked.unionByName(duas.select(*keys, order(since, 1, F.col(dua)).alias("order"), F.struct(*duas.columns).alias("dua")), allowMissingColumns=True)
+    counted = sum_so_far(marked, list(keys), "order", F.col("dua").isNotNull(), "n")
     return counted.where("probe IS NOT NULL").select("probe.*", F.col("n").alias("eligible")), counted.where("dua IS NOT NULL").select("dua.*", F.col("n").alias("rank"))
 
 
@@ -136,16 +171,36 @@ def chaff_sampled_bugs(execs: DataFrame, duas: DataFrame, k: int = 2, seed: int
     return picked.select("inputfile", "atp", "instr", "dua", F.explode(F.array(*map(F.lit, kinds))).alias("kind"))
 
 
+def staircase(lifetimes: DataFrame, excluded: Sequence[int] = (), n: int = MAGIC, strict: bool = False) -> DataFrame:
+    """A row for each step of a DUA: ``trace_id``, ``lval``, ``dua``, the ``start`` and ``end`` between which the window ``low`` to ``high`` is the first one to use.
+
+    Windows are n bytes that are there and free of the excluded labels, and die with the first of their bytes. A window is a step if it outlives all windows before it; it
+    is the first one alive from the death of the step before to its own. So steps rise, each is a lifetime of its own, and a DUA has few. With strict, a DUA may not be used at its own start.
+    """
+    ban, never = F.array(*map(F.lit, excluded)).cast("array<int>"), F.lit(1 << 62)
+    byte = F.zip_with("labels", "deaths", lambda b, d: F.when(F.coalesce(b.isNotNull() & ~F.arrays_overlap(b, ban), F.lit(False)), F.coalesce(d, never)).otherwise(F.lit(-1)))
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(0), F.size("__byte") - n) + 1), lambda i: F.when(F.size("__byte") >= n, F.array_min(F.slice("__byte", i, F.lit(n)))).otherwise(F.lit(-1)))
+
+    def step(s, i):
+        death = F.get(F.col("__windows"), i)
+        return F.when(death > s["top"], F.struct(death.alias("top"), F.array_append(s["steps"], F.struct(i.alias("low"), s["top"].alias("from"), death.alias("to"))).alias("steps"))).otherwise(s)
+
+    begin = F.struct(F.lit(-1).cast("long").alias("top"), F.array().cast("array<struct<low: int, from: bigint, to: bigint>>").alias("steps"))
+    steps = F.aggregate(F.sequence(F.lit(0), F.size("__windows") - 1), begin, step, lambda s: s["steps"])
+    each = lifetimes.withColumn("__byte", byte).withColumn("__windows", windows).select("trace_id", "lval", "dua", "start", "end", F.explode(steps).alias("s"))
+    first = F.greatest(F.col("start") + int(strict), F.col("s.from"))
+    last = F.least(F.coalesce("end", never), F.col("s.to"))
+    out = each.select("trace_id", "lval", "dua", F.col("s.low").alias("low"), (F.col("s.low") + n).alias("high"), first.alias("start"), F.when(last < never, last).alias("end"))
+    return out.where("end IS NULL OR start < end")
+
+
 def online_bugs(probes: DataFrame, lifetimes: DataFrame, excluded: Sequence[int] = (), n: int = MAGIC, strict: bool = False) -> DataFrame:
     """Every DUA active at an attack point is a trigger: probes (``trace_id``, ``probe_seq``, ``atp``) with its ``lval``, ``dua`` and the first n bytes that are alive
     and free of the excluded labels (``low``, ``high``); DUAs without such bytes are dropped.
 
-    lifetimes: ``trace_id``, ``start``, ``end``, ``lval``, ``dua``, ``labels`` and ``deaths`` by byte.
+    lifetimes: ``trace_id``, ``start``, ``end``, ``lval``, ``dua``, ``labels`` and ``deaths`` by byte. These are looked at once per DUA, for its steps; probes are joined to steps, so a pair carries keys and bounds only.
     """
-    pairs = active_duas(probes, lifetimes, strict=strict)
-    ban = F.array(*map(F.lit, excluded)).cast("array<int>")
-    ok = F.zip_with("labels", "deaths", lambda b, d: F.coalesce(b.isNotNull() & (d.isNull() | (d > F.col("probe_seq"))) & ~F.arrays_overlap(b, ban), F.lit(False)))
-    return pairs.withColumn("run", first_dead_run(ok, n)).where("run.high > 0").select("trace_id", "probe_seq", "atp", "lval", "dua", "run.low", "run.high")
+    return active_duas(probes, staircase(lifetimes, excluded, n, strict)).select("trace_id", "probe_seq", "atp", "lval", "dua", "low", "high")
 
 
 def ret_buffer_online(queries: DataFrame, lifetimes: DataFrame, need: int = 20) -> DataFrame:

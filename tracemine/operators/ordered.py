@@ -76,3 +76,26 @@ def last_so_far(df: DataFrame, keys: list[str], order: str, column: str, name: s
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     lasts = lasts.select("__part", *keys, F.last(f"__last.{column}", ignorenulls=True).over(before).alias("__earlier"))
     return _joined(rows, lasts, keys).withColumn(name, F.coalesce("__own", "__earlier")).drop("__part", "__own", "__earlier")
+
+
+def _extreme(df: DataFrame, keys: list[str], order: str, value: str, name: str, after: bool) -> DataFrame:
+    """Adds ``name``: the least value over the key's rows of a greater order (after), or the greatest over those of a lesser one. Rows that tie share a part, so other parts' rows never tie."""
+    pick, both = (F.min, F.least) if after else (F.max, F.greatest)
+    rows = placed(df, keys, order)
+    own = Window.partitionBy("__part", *keys).orderBy(order)
+    own = own.rangeBetween(1, Window.unboundedFollowing) if after else own.rangeBetween(Window.unboundedPreceding, -1)
+    others = Window.partitionBy(*keys).orderBy("__part")  # a row per part
+    others = others.rowsBetween(1, Window.unboundedFollowing) if after else others.rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("__part", *keys).agg(pick(value).alias("__of_part")).withColumn("__others", pick("__of_part").over(others)).drop("__of_part")
+    found = _joined(rows.withColumn("__own", pick(value).over(own)), totals, keys)
+    return found.withColumn(name, both("__own", "__others")).drop("__part", "__own", "__others")
+
+
+def greatest_before(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the greatest value over the rows of the key whose order (a long) is less; null without one."""
+    return _extreme(df, keys, order, value, name, after=False)
+
+
+def least_after(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the least value over the rows of the key whose order (a long) is greater; null without one."""
+    return _extreme(df, keys, order, value, name, after=True)

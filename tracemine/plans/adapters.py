@@ -22,6 +22,10 @@ ADAPTERS = {
                CAST(l.l_quantity AS INT) % 7 AS tcn, CAST(l.l_partkey % 20 AS INT) AS label1, CAST(l.l_suppkey % 20 AS INT) AS label2,
                (l.l_linenumber = 4 AND l.l_returnflag = 'N') AS untainted
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
+    "fx_gbyte": """
+        SELECT g AS dua, g * 16 AS instr, g % 40 AS lval, concat('in', CAST(g % 8 AS STRING)) AS inputfile, concat('f', CAST(g % 10 AS STRING)) AS loc, untainted,
+               CAST(row_number() OVER (PARTITION BY g ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS INT) AS byte_off, CAST(l_partkey % 200 AS INT) AS label1, CAST(l_suppkey % 200 AS INT) AS label2
+        FROM (SELECT *, CAST((l_orderkey - l_orderkey % 16) / 16 AS BIGINT) AS g, (l_quantity < 4) AS untainted FROM lineitem) l""",
     "fx_bytes": """
         SELECT 't' AS trace_id, instr AS seq, inputfile, lval, byte_off AS offset_, instr * 8 + byte_off AS ptr, tcn, label1, label2, count(*) OVER (PARTITION BY instr) AS len,
                sum(CASE WHEN untainted THEN 0 ELSE 1 END) OVER (PARTITION BY instr) AS num_tainted, untainted FROM fx_qbyte""",

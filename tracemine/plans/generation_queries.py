@@ -84,6 +84,84 @@ def g4_padded_bugs(execs, duas, labels, branches):
     return G.padded_bugs(execs, ready_duas(duas, labels, branches))
 
 
+def _long_runs(order: str, where: str = "TRUE") -> str:
+    """Of each DUA of many bytes one run of tainted ones."""
+    return f"""(SELECT dua, low, n FROM (SELECT *, row_number() OVER (PARTITION BY dua ORDER BY {order}) AS k FROM (SELECT dua, CAST(min(byte_off) AS INT) AS low, count(*) AS n FROM
+               (SELECT dua, byte_off, byte_off - row_number() OVER (PARTITION BY dua ORDER BY byte_off) AS g FROM fx_gbyte WHERE NOT untainted) x GROUP BY dua, g) y WHERE {where}) z WHERE k = 1)"""
+
+
+def _slice(runs: str, size: int) -> str:
+    """Distinct labels of the first ``size`` bytes of runs that have so many."""
+    return f"(SELECT r.dua, r.low, list_sort(list(DISTINCT e.label)) AS s FROM {runs} r JOIN (SELECT dua, byte_off, unnest([label1, label2]) AS label FROM fx_gbyte WHERE NOT untainted) e ON e.dua = r.dua AND e.byte_off >= r.low AND e.byte_off < r.low + {size} WHERE r.n >= {size} GROUP BY r.dua, r.low)"
+
+
+_LONGEST = _long_runs("n DESC, low")
+_READY_BYTES = f"""SELECT d.dua, d.inputfile, d.lval, d.instr, d.loc, CAST(coalesce(m.live, 0) AS BIGINT) AS max_liveness, CAST(greatest(d.instr, coalesce(m.live, 0)) AS BIGINT) AS ready, CAST(r.low AS INT) AS run_low, CAST(r.n AS INT) AS run, t.low AS low, t.low + 4 AS high, t.s AS s
+             FROM (SELECT DISTINCT dua, inputfile, lval, instr, loc FROM fx_gbyte) d JOIN {_LONGEST} r ON r.dua = d.dua LEFT JOIN {_slice(_LONGEST, 4)} t ON t.dua = d.dua
+             LEFT JOIN (SELECT e.dua, max(s.death_instr) AS live FROM (SELECT dua, inputfile, unnest([label1, label2]) AS label FROM fx_gbyte WHERE NOT untainted) e JOIN {_LIVE} s ON s.inputfile = e.inputfile AND s.label = e.label GROUP BY e.dua) m ON m.dua = d.dua"""
+
+
+def ready_bytes(rows, branches, pad=0, first=False):
+    """DUAs of many bytes, with their ranges; those without a viable byte are none."""
+    labels = F.when(~F.col("untainted"), F.sort_array(F.array_distinct(F.array("label1", "label2"))))
+    byte = F.transform(F.array_sort(F.collect_list(F.struct("byte_off", labels.alias("labels")))), lambda x: x["labels"])
+    duas = G.byte_ranges(rows.groupBy("dua", "inputfile", "lval", "instr", "loc").agg(byte.alias("byte_labels")), pad, first)
+    snapshot = liveness_snapshot(branches).withColumn("death_instr", F.col("death_instr") * SCALE)
+    return G.dua_readiness(duas.where("run > 0"), snapshot)
+
+
+_BYTES = {"rows": "fx_gbyte", "branches": "fx_branch"}
+
+
+@query(f"SELECT dua, inputfile, lval, instr, max_liveness, ready, run_low, run, low, high, coalesce(array_to_string(s, ','), '') AS labels FROM ({_READY_BYTES}) x", **_BYTES)
+def g1_readiness_from_bytes(rows, branches):
+    """Longest runs, and the labels of the four bytes that a trigger takes."""
+    found = ready_bytes(rows, branches)
+    return found.select("dua", "inputfile", "lval", "instr", "max_liveness", "ready", "run_low", "run", "low", "high", F.coalesce(shown("trigger_labels"), F.lit("")).alias("labels"))
+
+
+@query(
+    f"""SELECT inputfile, atp, lval, instr, dua, low, high FROM (SELECT e.inputfile, e.atp, r.lval, e.instr, r.dua, r.low, r.high, row_number() OVER (PARTITION BY e.inputfile, e.atp, r.lval ORDER BY e.instr, r.instr DESC, r.dua DESC) AS k
+        FROM (SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type < 2) e JOIN ({_READY_BYTES}) r ON e.inputfile = r.inputfile AND r.ready < e.instr AND r.run >= 4) x WHERE k = 1""",
+    execs="SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type < 2", **_BYTES,
+)
+def g2_triggers_from_bytes(execs, rows, branches):
+    duas = ready_bytes(rows, branches).where("low IS NOT NULL")
+    return G.with_ranges(G.offline_bugs(execs, duas), duas).drop("trigger_labels")
+
+
+def _padded_sql(execs: str, pads: str) -> str:
+    """execs with their ``pad``; pads: ``dua``, ``low``, ``s``."""
+    return f"""SELECT inputfile, atp, lval, instr, dua, low, high, pad, pad_low, labels FROM (SELECT *, {_FIRST} FROM
+        (SELECT e.inputfile, e.atp, e.instr, e.pad, p.low AS pad_low, t.lval, t.dua, t.instr AS dua_instr, t.low, t.high, array_to_string(t.s, ',') AS labels FROM ({execs}) e JOIN {pads} p ON p.dua = e.pad
+         JOIN ({_READY_BYTES}) t ON t.inputfile = e.inputfile AND t.ready < e.instr AND t.dua <> e.pad AND t.run >= 4 WHERE NOT list_has_any(p.s, t.s)) x) y WHERE k = 1"""
+
+
+def _padded(found, duas):
+    return G.with_ranges(found, duas, pads=True).select("inputfile", "atp", "lval", "instr", "dua", "low", "high", "pad", "pad_low", shown("trigger_labels").alias("labels"))
+
+
+@query(_padded_sql(f"SELECT inputfile, concat('q', loc) AS atp, instr, dua AS pad FROM ({_READY_BYTES}) q WHERE run >= 20", _slice(_long_runs("low", "n >= 20"), 20)), **_BYTES)
+def g3_pads_from_bytes(rows, branches):
+    """Every DUA's own place is a query point there; the pad is the first 20 bytes of its first run of so many, whatever their liveness."""
+    duas = ready_bytes(rows, branches, 20, first=True).where("low IS NOT NULL")
+    return _padded(G.ret_buffer_bugs(duas.select("inputfile", F.concat(F.lit("q"), "loc").alias("atp"), "loc", "instr"), duas), duas)
+
+
+@query(
+    _padded_sql(
+        f"""SELECT e.inputfile, e.atp, e.instr, arg_max(p.dua, (p.instr, p.dua)) AS pad FROM (SELECT DISTINCT inputfile, atp, instr FROM fx_exec WHERE atp_type = 2) e
+            JOIN ({_READY_BYTES}) p ON p.inputfile = e.inputfile AND p.ready < e.instr AND p.run >= 8 GROUP BY e.inputfile, e.atp, e.instr""",
+        _slice(_LONGEST, 8),
+    ),
+    execs="SELECT inputfile, atp, instr FROM fx_exec WHERE atp_type = 2", **_BYTES,
+)
+def g4_pads_from_bytes(execs, rows, branches):
+    """The pad is the first eight bytes of the longest run of the newest DUA that has so many."""
+    duas = ready_bytes(rows, branches, 8).where("low IS NOT NULL")
+    return _padded(G.padded_bugs(execs, duas), duas)
+
+
 @query("SELECT inputfile, atp, instr, 5 AS kind FROM fx_exec WHERE atp_type = 3", execs="SELECT * FROM fx_exec WHERE atp_type = 3")
 def g5_chaff_unused_bugs(execs):
     return G.chaff_unused_bugs(execs)
