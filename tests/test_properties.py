@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemine.functions import scalars as S
-from tracemine.operators import generation, mining, ordered, placement, replay, scoring, selection
+from tracemine.operators import generation, lives, mining, ordered, placement, replay, scoring, selection
 from tracemine.plans import registry
 from tracemine.sources import logs
 from tracemine.streaming import streams
@@ -45,8 +45,8 @@ def closed_form(spark, events, limit):
     labels = events.where("lval IS NOT NULL").select("trace_id", "seq", F.size(F.array_distinct(F.flatten(F.filter("labels", lambda b: b.isNotNull())))).alias("n_labels"))
     many = (F.col("n_labels") >= 4) & (F.size(F.filter("usable", lambda ok: ok)) >= 4)
     # a candidate that is no DUA leaves that of its lvalue as it is
-    lives = mining.dua_lifetimes(named.join(labels, ["trace_id", "seq"]).where(many & (alive["high"] > 0)).drop("n_labels"))
-    return {(r["trace_id"], r["lval"], r["start"], r["end"], r["reason"]) for r in lives.collect()}
+    spans = mining.dua_lifetimes(named.join(labels, ["trace_id", "seq"]).where(many & (alive["high"] > 0)).drop("n_labels"))
+    return {(r["trace_id"], r["lval"], r["start"], r["end"], r["reason"]) for r in spans.collect()}
 
 
 def test_lifetimes_equal_sequential_replay(spark):
@@ -56,6 +56,53 @@ def test_lifetimes_equal_sequential_replay(spark):
     assert closed_form(spark, events, 3) == exact and len(exact) > 100
 
 
+def mixed_events(rng, traces, n, groups=6):
+    """Events of several groups of lvalues and labels, with fake and nodua ones; a branch touches labels of several groups."""
+    out = []
+    for t in range(traces):
+        for seq in range(n):
+            g = rng.randrange(groups)
+            if rng.random() < 0.5:
+                labels = [None if rng.random() < 0.1 else [g * 10 + rng.randrange(6)] for _ in range(rng.randint(4, 7))]
+                v = rng.randrange(3)
+                out.append((f"t{t}", seq, f"v{g}.{v}", labels, rng.choice([None, 3, 4, 7]), v == 2 and g % 2 == 0, v == 1 and g % 3 == 0))
+            else:
+                out.append((f"t{t}", seq, None, [rng.sample(range(groups * 10), 9)], None, None, None))
+    return out
+
+
+MIXED = EVENTS + ", num_tainted int, fake boolean, nodua boolean"
+
+
+def whole_replay(events, limit, erase):
+    """Each trace in one piece."""
+    out = set()
+    for t in sorted({e[0] for e in events}):
+        rule, since = lives.Lives(limit, 4, erase, {}, {}, {}), {}
+        for _, seq, lval, labels, tainted, fake, nodua in sorted((e for e in events if e[0] == t), key=lambda e: e[1]):
+            for v, born, what in rule.query(seq, lval, labels, tainted, bool(fake), bool(nodua)) if lval else rule.branch(labels[0]):
+                if what == "born":
+                    since[v] = born
+                else:
+                    out.add((t, v, since.pop(v), seq, what))
+        out |= {(t, v, born, None, "alive") for v, born in since.items()}
+    return out
+
+
+@pytest.mark.parametrize("erase", [False, True])
+def test_shards_of_a_trace_are_replayed_apart(spark, erase):
+    """Rows are those of the whole trace; one trace makes many tasks' groups, and no label is in two of them."""
+    events = mixed_events(random.Random(3), 2, 300)
+    df = spark.createDataFrame(events, MIXED).repartition(4)
+    found = [tuple(r) for r in mining.replay_exact(df, 15, erase_siblings=erase).select("trace_id", "lval", "seq", "end", "reason").collect()]
+    assert len(found) == len(set(found)) and set(found) == whole_replay(events, 15, erase) and len(found) > 100
+    assert {r[4] for r in found} == {"alive", "died", "replaced"}
+    sizes = lives.shard_sizes(df).collect()
+    assert all(sum(r["trace_id"] == t for r in sizes) >= 6 for t in ("t0", "t1")) and all(r["lvals"] <= 3 for r in sizes)
+    labels = lives.with_shards(df).select("trace_id", "shard", F.explode(F.flatten(F.filter("labels", lambda b: b.isNotNull()))).alias("label")).distinct()
+    assert labels.groupBy("trace_id", "label").count().where("count > 1").isEmpty()
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_active_duas_equal_all_pairs(spark, strict):
     """Dyadic intervals of lifetimes that are short, long, empty or without an end."""
@@ -154,7 +201,7 @@ def test_ranges_of_bugs(spark):
     bytes_of = lambda text: [None if c == "." else [i % 5, 9] for i, c in enumerate(text)]
     duas = spark.createDataFrame([(1, "in", 5, bytes_of("x.xxxxx.")), (2, "in", 6, bytes_of("xxxxxxxx.xxxxxxxxx")), (3, "in", 7, bytes_of("xx.xx"))], "dua long, inputfile string, instr long, byte_labels array<array<int>>")
     ready = generation.dua_readiness(generation.byte_ranges(duas, pad=8), spark.createDataFrame([("in", 1, 9)], "inputfile string, label int, death_instr long"))
-    assert {r["dua"]: (r["run_low"], r["run"], r["ready"], r["low"], r["high"], r["pad_low"]) for r in ready.collect()} == {1: (2, 5, 5, 2, 6, None), 2: (9, 9, 9, 9, 13, 9), 3: (0, 2, 9, None, None, None)}
+    assert {r["dua"]: (r["run_low"], r["run"], r["ready"], r["low"], r["high"], r["pad_low"]) for r in ready.collect()} == {1: (2, 5, 9, 2, 6, None), 2: (9, 9, 9, 9, 13, 9), 3: (0, 2, 9, None, None, None)}
     assert {r["dua"]: r["trigger_labels"] for r in ready.collect()} == {1: [0, 2, 3, 4, 9], 2: [0, 1, 2, 4, 9], 3: None}
     assert generation.byte_ranges(duas, pad=8, first=True).where("dua = 2").select("pad_low", "pad_high").first() == (0, 8)
     bugs = spark.createDataFrame([(1, 2), (3, 2), (2, 1)], "dua long, pad long")
@@ -223,7 +270,7 @@ def test_staircases_equal_all_windows(spark, strict):
     lives = []
     for i in range(60):
         size, start = rng.randint(1, 9), rng.randrange(40)
-        labels = [None if rng.random() < 0.1 else rng.sample(range(12), 2) for _ in range(size)]
+        labels = [None if rng.random() < 0.1 else rng.sample(range(40), 2) for _ in range(size)]
         lives.append(("t", f"v{i % 7}", i, start, None if rng.random() < 0.3 else start + rng.randrange(60), labels, [None if rng.random() < 0.3 else rng.randrange(100) for _ in range(size)]))
     probes = [("t", p, f"a{p}") for p in range(0, 110, 3)]
     expected = set()
@@ -276,17 +323,41 @@ def test_runs_do_not_depend_on_partitioning(spark):
     assert pick(bugs) == pick(bugs.repartition(5)) and len(pick(bugs)) == 39
 
 
-def test_rel_write_values_solve_the_trigger():
-    for magic in (3, 0x41424344, 0x7A7A7A7B, 0xFFFFFFFF, 5, 2**31):
-        a, b, c = scoring.rel_write_values(magic)
+def test_rel_write_values_solve_the_trigger(spark):
+    magics = [3, 0x41424344, 0x7A7A7A7B, 0xFFFFFFFF, 5, 2**31, 0, 1, 2]
+    rows = spark.createDataFrame([(m,) for m in magics], "magic long")
+    for magic, a, b, c in rows.select("magic", *scoring.rel_write_values("magic")).collect():
         value = [(a + b) * c, a * b - c, (a + 2) * (b + 1) * (c + 3)][magic % 3]
         assert value % 2**32 == magic
 
 
-def test_mutation(spark):
-    jobs = spark.createDataFrame([(1, 0, 0x44434241, [[1, 2, 3, 4]], "a", b"0123456789"), (2, 0, 0x44434241, [[8, 9, 10, 11]], "a", b"0123456789")], "bug long, kind int, magic long, lists array<array<int>>, name string, content binary")
-    assert {r["bug"]: bytes(r["content"]) for r in scoring.mutate_inputs(jobs).collect()} == {1: b"0ABCD56789", 2: b"01234567AB"}
-    assert bytes(scoring.mutate_inputs(jobs.where("bug = 1"), knob=7).first()["content"]) == b"0AB\x07\x0056789"
+def mutated_by_hand(jobs, knob):
+    out = {}
+    for bug, kind, magic, lists, content, solution in jobs:
+        raw = bytearray(content)
+        if kind == scoring.REL_WRITE:
+            values = solution or [[magic, 0, 1], [magic, 1, 0], [(magic * pow(9, -1, 1 << 32) - 2) % (1 << 32), 8, (1 << 32) - 2]][magic % 3]
+        else:
+            values = [magic if knob is None else knob << 16 | magic & 0xFFFF, *[magic] * len(lists)]
+        for labels, value in zip(lists, values, strict=False):
+            for at, byte in zip(labels[:4], (value & 0xFFFFFFFF).to_bytes(4, "little"), strict=False):
+                if 0 <= at < len(raw):
+                    raw[at] = byte
+        out[bug] = bytes(raw)
+    return out
+
+
+@pytest.mark.parametrize("knob", [None, 7])
+def test_mutation(spark, knob):
+    """Runs that touch, overlap, come backwards or leave the input; empty inputs and lists."""
+    rng = random.Random(4)
+    jobs = [(1, 0, 0x44434241, [[1, 2, 3, 4]], b"0123456789", None), (2, 0, 0x44434241, [[8, 9, 10, 11]], b"0123456789", None), (3, 2, 0x44434241, [[0, 1, 2, 3], [4, 5, 6, 7], [2, 3, 9, 9]], b"0123456789", [1, 2, 1 << 31])]
+    jobs += [(i, rng.randrange(4), rng.randrange(1 << 32), [[rng.randrange(40) for _ in range(rng.randrange(7))] for _ in range(rng.randrange(4))], bytes(rng.randrange(256) for _ in range(rng.randrange(45))), None) for i in range(4, 120)]
+    df = spark.createDataFrame([(*j[:4], "a", *j[4:]) for j in jobs], "bug long, kind int, magic long, lists array<array<int>>, name string, content binary, solution array<long>")
+    assert {r["bug"]: bytes(r["content"]) for r in scoring.mutate_inputs(df, knob).collect()} == mutated_by_hand(jobs, knob)
+    if knob is None:
+        assert {r["bug"]: bytes(r["content"]) for r in scoring.mutate_inputs(df.where("bug < 3").drop("solution")).collect()} == {1: b"0ABCD56789", 2: b"01234567AB"}
+    assert scoring.mutate_inputs(df.limit(1).withColumn("content", F.lit(None).cast("binary")), knob).first()["content"] is None
 
 
 def test_scalars(spark):
@@ -311,9 +382,13 @@ def test_streams(spark, tmp_path, what):
         out, mode = streams.stream_counters(source.withColumn("kind", F.when(F.col("lval").isNull(), "branch").otherwise("query"))), "complete"
     else:
         out, mode = streams.stream_liveness(source.where("lval IS NULL").select(F.col("trace_id").alias("inputfile"), F.explode(F.flatten("labels")).alias("label"))), "complete"
+    for k, v in streams.STATE_STORE.items():
+        spark.conf.set(k, v)
     query = out.writeStream.outputMode(mode).format("memory").queryName(f"out_{what}").option("checkpointLocation", str(tmp_path / "ck")).start()
     query.processAllAvailable()
     query.stop()
+    for k in streams.STATE_STORE:
+        spark.conf.unset(k)
     rows = spark.sql(f"SELECT * FROM out_{what}").collect()
     if what == "state":
         exact = mining.replay_exact(spark.createDataFrame(events, EVENTS), 3, erase_siblings=False).collect()
@@ -325,6 +400,29 @@ def test_streams(spark, tmp_path, what):
         assert sum(r["death_instr"] for r in rows) == sum(len(e[3][0]) for e in events if e[2] is None)
 
 
+def test_state_of_a_trace_outlives_batches(spark, tmp_path):
+    """A trace comes in many batches, with fake and nodua DUAs; entries that come after later ones are reported, and change nothing."""
+    events = mixed_events(random.Random(11), 2, 120, groups=2)
+    late = [("t0", 40, None, [list(range(20))], None, None, None), ("t1", 0, "v0.0", [[1], [2], [3], [4]], None, None, None)]
+    for i, part in enumerate([[e for e in events if e[1] // 30 == k] for k in range(4)]):
+        spark.createDataFrame(part + (late if i == 2 else []), MIXED).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(MIXED).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for k, v in streams.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        query = streams.stream_dua_state(source, 8).writeStream.outputMode("append").format("memory").queryName("out_batches").option("checkpointLocation", str(tmp_path / "ck")).start()
+        query.processAllAvailable()
+        query.stop()
+    finally:
+        for k in streams.STATE_STORE:
+            spark.conf.unset(k)
+    rows = [tuple(r) for r in spark.sql("SELECT trace_id, lval, seq, since, what FROM out_batches").collect()]
+    assert {r for r in rows if r[4] == "late"} == {("t0", None, 40, None, "late"), ("t1", "v0.0", 0, None, "late")}
+    exact = whole_replay(events, 8, False)
+    assert {(t, v, s) for t, v, s, _, what in rows if what == "born"} == {r[:3] for r in exact}
+    assert {(t, v, since, s, what) for t, v, s, since, what in rows if what in ("died", "replaced")} == {r for r in exact if r[4] != "alive"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_duckdb(spark, name):
     db = duckdb.connect()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import count_viable, first_dead_run, is_header_file, labels_in_range
+from tracemine.operators.lives import Lives, given, plain, with_shards
 from tracemine.operators.ordered import sum_so_far
 from tracemine.schemas import MAGIC
 from tracemine.sources.logs import first_by
@@ -163,69 +164,32 @@ def active_duas(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -
 
 
 def replay_exact(events: DataFrame, max_liveness: int, n: int = MAGIC, erase_siblings: bool = True) -> DataFrame:
-    """``trace_id``, ``lval``, ``seq``, ``end``, ``reason`` of each DUA by replaying a trace entry by entry; for audits, a task per trace.
+    """``trace_id``, ``lval``, ``seq``, ``end``, ``reason`` of each DUA by replaying traces entry by entry; for audits.
 
     events: ``trace_id``, ``seq``, ``lval`` (null for a branch) and ``labels``: an array by byte for queries, one array in it for branches; queries may bring
-    ``num_tainted`` and ``fake``. A query is a DUA if it is fake, or has n tainted bytes, viable bytes and labels at least and n consecutive bytes that are not too
-    live then; only a DUA replaces the live one of its lvalue, and fake ones are only replaced. With erase_siblings,
-    a DUA's death takes its labels off the index, so that siblings are not looked at again through them (which dua_lifetimes does not repeat).
+    ``num_tainted``, ``fake`` and ``nodua``. The rule is that of ``Lives``; with erase_siblings, siblings of a DUA that died are not looked at again through its labels (which dua_lifetimes does not repeat).
+    A trace is cut into shards, whose lvalues share no label with others, and each is replayed in a task of its own; shard_sizes tells how large they are.
     """
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        live: dict[int, int] = {}
-        alive: dict[str, tuple[int, list]] = {}
-        by_label: dict[int, set[str]] = {}
-        out = []
-        trace = rows["trace_id"].iloc[0]
-
-        def dead(labels: list) -> bool:
-            ok = [b is not None and all(live.get(x, 0) <= max_liveness for x in b) for b in labels]
-            return not any(all(ok[i : i + n]) for i in range(len(ok) - n + 1))
-
-        def fake(r) -> bool:
-            return bool(getattr(r, "fake", False))
-
-        def real(r, labels: list) -> bool:
-            """Enough tainted and viable bytes, enough labels, and a run of bytes that are not too live; or a fake one."""
-            viable = [b for b in labels if b is not None]
-            tainted = getattr(r, "num_tainted", None)
-            many = len(viable) if tainted is None or pd.isna(tainted) else tainted
-            return fake(r) or (min(many, len(viable), len({x for b in viable for x in b})) >= n and not dead(labels))
-
+        trace, out, since = rows["trace_id"].iloc[0], [], {}
+        lives = Lives(max_liveness, n, erase_siblings, {}, {}, {})
         for r in rows.sort_values("seq").itertuples():
-            labels = [None if b is None else [int(x) for x in b] for b in r.labels]
-            if r.lval is not None:
-                if not real(r, labels):
-                    continue  # what is no DUA leaves the live one as it is
-                if r.lval in alive:
-                    out.append((trace, r.lval, alive[r.lval][0], r.seq, "replaced"))
-                    for b in alive[r.lval][1]:
-                        for x in b or ():
-                            by_label.get(x, set()).discard(r.lval)
-                    del alive[r.lval]
-                alive[r.lval] = (r.seq, labels)
-                if not fake(r):
-                    for b in labels:
-                        for x in b or ():
-                            by_label.setdefault(x, set()).add(r.lval)
-                continue
-            touched = {x for b in labels for x in b or ()}
-            for x in touched:
-                live[x] = live.get(x, 0) + 1
-            for lval in sorted({v for x in touched for v in by_label.get(x, ())}):
-                if lval in alive and dead(alive[lval][1]):
-                    seq, own = alive.pop(lval)
-                    out.append((trace, lval, seq, r.seq, "died"))
-                    for b in own:
-                        for x in b or ():
-                            if erase_siblings:
-                                by_label.pop(x, None)
-                            else:
-                                by_label.get(x, set()).discard(lval)
-        out += [(trace, lval, seq, None, "alive") for lval, (seq, _) in alive.items()]
+            labels = plain(r.labels)
+            if r.lval is None:
+                happened = lives.branch(x for b in labels for x in b or ())
+            else:
+                happened = lives.query(r.seq, r.lval, labels, given(r, "num_tainted"), bool(given(r, "fake", False)), bool(given(r, "nodua", False)))
+            for lval, seq, what in happened:
+                if what == "born":
+                    since[lval] = seq
+                else:
+                    out.append((trace, lval, seq, r.seq, what))
+                    del since[lval]
+        out += [(trace, lval, seq, None, "alive") for lval, seq in since.items()]
         return pd.DataFrame(out, columns=["trace_id", "lval", "seq", "end", "reason"]).astype({"end": "Int64"})
 
-    return events.groupBy("trace_id").applyInPandas(replay, "trace_id string, lval string, seq long, end long, reason string")
+    return with_shards(events).groupBy("trace_id", "shard").applyInPandas(replay, "trace_id string, lval string, seq long, end long, reason string")
 
 
 def dua_bytes(found: DataFrame) -> DataFrame:

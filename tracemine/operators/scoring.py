@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.functions.scalars import path_value
+from tracemine.functions.scalars import knob_value, pack_le32, path_value
 from tracemine.operators.selection import drawn
 from tracemine.sources.logs import numbered
 
@@ -34,45 +30,43 @@ def pick_seeds(bugs: DataFrame, corpus: DataFrame, seed: int = 0) -> DataFrame:
     return bugs.withColumn("__no", number).join(names, "__no").drop("__no")
 
 
-def rel_write_values(magic: int) -> tuple[int, int, int]:
+def rel_write_values(magic) -> list[Column]:
     """Three values that fulfil a REL_WRITE trigger, by the magic modulo 3."""
-    form = magic % 3
-    if form == 0:
-        return magic, 0, 1
-    if form == 1:
-        return magic, 1, 0
+    magic = F.col(magic) if isinstance(magic, str) else magic
+    form, zero, one = magic % 3, F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
     inverse = pow(9, -1, 1 << 32)  # with b = 8 and c = 2**32 - 2: (a + 2) * 9 * 1
-    return (magic * inverse - 2) % (1 << 32), 8, (1 << 32) - 2
+    solved = F.pmod(magic.cast("decimal(20,0)") * F.lit(inverse).cast("decimal(12,0)") - 2, F.lit(1 << 32).cast("decimal(12,0)")).cast("bigint")
+    pick = lambda *of: F.when(form == 0, of[0]).when(form == 1, of[1]).otherwise(of[2])
+    return [pick(magic, magic, solved), pick(zero, one, F.lit(8).cast("bigint")), pick(one, zero, F.lit((1 << 32) - 2))]
 
 
 def mutate_inputs(jobs: DataFrame, knob: int | None = None) -> DataFrame:
     """``bug``, ``name``, ``content``: inputs with the first four labels of each list overwritten by the bug's magic, the lowest byte first.
 
-    jobs: ``bug``, ``kind``, ``magic``, ``lists``, ``name``, ``content``; REL_WRITE gets three values, from ``solution`` if it is there and not null, else by the magic.
-    With a knob the trigger's value carries it in its upper half. Labels beyond the input are ignored.
+    jobs: ``bug``, ``kind``, ``magic``, ``lists``, ``name``, ``content``; REL_WRITE gets three values, from ``solution`` if it is there and not null, else by the magic, and lists beyond the third are not written.
+    With a knob the trigger's value (of the first list) carries it in its upper half. Labels beyond the input are ignored; of writes to one byte the last one counts. A null input stays null.
+    Writes to bytes that follow one another are one run, and an input is copied once per run.
     """
-    solved = "solution" in jobs.columns
-
-    def mutated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                raw = bytearray(r.content)
-                if r.kind == REL_WRITE:
-                    own = getattr(r, "solution", None) if solved else None
-                    values = [int(x) for x in own] if own is not None else rel_write_values(int(r.magic))
-                elif knob is not None:
-                    values = [knob << 16 | int(r.magic) & 0xFFFF, *[int(r.magic)] * len(r.lists)]
-                else:
-                    values = [int(r.magic)] * len(r.lists)
-                for labels, value in zip(r.lists, values, strict=False):
-                    for at, byte in zip(list(labels)[:4], struct.pack("<I", value & 0xFFFFFFFF), strict=False):
-                        if 0 <= at < len(raw):
-                            raw[at] = byte
-                out.append((r.bug, r.name, bytes(raw)))
-            yield pd.DataFrame(out, columns=["bug", "name", "content"])
-
-    return jobs.mapInPandas(mutated, "bug long, name string, content binary")
+    magic = F.col("magic").cast("bigint")
+    plain = [magic if knob is None else knob_value("magic", knob), magic]
+    values = F.transform("lists", lambda _, i: F.when(i == 0, plain[0]).otherwise(plain[1]))
+    three = F.array(*rel_write_values(magic))
+    if "solution" in jobs.columns:
+        three = F.coalesce(F.col("solution").cast("array<bigint>"), three)
+    values = F.when(F.col("kind") == REL_WRITE, three).otherwise(values)
+    ends = F.length("content")
+    bytes_of = lambda labels, i: F.transform(F.slice(labels, 1, 4), lambda at, k: F.struct(at.cast("int").alias("at"), F.substring(pack_le32(F.get(values, i)), k + 1, F.lit(1)).alias("bytes")))
+    writes = F.filter(F.flatten(F.transform("lists", bytes_of)), lambda w: w["at"].between(0, ends - 1) & w["bytes"].isNotNull())
+
+    def run(runs, w):
+        last = F.get(runs, F.size(runs) - 1)
+        longer = F.struct(last["at"].alias("at"), F.concat(last["bytes"], w["bytes"]).alias("bytes"))
+        follows = F.coalesce(last["at"] + F.length(last["bytes"]) == w["at"], F.lit(False))
+        return F.when(follows, F.array_append(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), longer)).otherwise(F.array_append(runs, w))
+
+    runs = F.aggregate(writes, F.array().cast("array<struct<at: int, bytes: binary>>"), run)
+    written = F.aggregate(F.col("__runs"), F.col("content"), lambda raw, r: F.overlay(raw, r["bytes"], r["at"] + 1))
+    return jobs.withColumn("__runs", runs).select("bug", "name", written.alias("content"))
 
 
 def generated_inputs(states: DataFrame) -> DataFrame:

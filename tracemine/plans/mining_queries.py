@@ -139,6 +139,40 @@ def d11_replay_exact(rows, branches):
     return found.select("trace_id", "lval", F.floor(F.col("seq") / 2).alias("seq"), F.floor(F.col("end") / 2).alias("end"), "reason")
 
 
+#: DUAs of lvalues divisible by 13 are fake, those divisible by 11 bear a name with nodua.
+_KINDS = f"""SELECT inputfile AS trace_id, lval, seq, CASE WHEN least(death, nxt) = 4611686018427387904 THEN NULL ELSE least(death, nxt) END AS "end",
+    CASE WHEN least(death, nxt) = 4611686018427387904 THEN 'alive' WHEN nxt <= death THEN 'replaced' ELSE 'died' END AS reason FROM
+    (SELECT c.seq, c.inputfile, c.lval, CASE WHEN c.lval % 13 = 0 THEN 4611686018427387904 WHEN c.lval % 11 = 0 THEN least(coalesce(w.death, -1), coalesce(t.touched, 4611686018427387904)) ELSE w.death END AS death,
+            coalesce(lead(c.seq) OVER (PARTITION BY c.inputfile, c.lval ORDER BY c.seq), 4611686018427387904) AS nxt
+     FROM ({_CANDS}) c LEFT JOIN {_WINDOW} w ON c.seq = w.seq
+     LEFT JOIN (SELECT e.seq, min(b.seq) AS touched FROM (SELECT seq, inputfile, unnest([label1, label2]) AS label FROM fx_bytes WHERE NOT untainted) e JOIN fx_branch b ON b.inputfile = e.inputfile AND b.label = e.label AND b.seq > e.seq GROUP BY e.seq) t ON t.seq = c.seq
+     WHERE c.real OR c.lval % 13 = 0) z"""
+
+
+@query(_KINDS, rows="fx_bytes", death="fx_death", branches="fx_branch")
+def d9_lifetimes_of_all_kinds(rows, death, branches):
+    """Also of fake DUAs, which are only replaced, and of those that die with the first branch that touches them."""
+    found = candidates(rows, death).withColumn("fake_dua", F.col("lval") % 13 == 0).where("real OR fake_dua")
+    name = F.when(F.col("lval") % 11 == 0, "nodua x").otherwise("x")
+    named = found.withColumns({"trace_id": F.col("inputfile"), "usable": F.transform("ptrs", lambda p: p.isNotNull()), "ast_name": name})
+    return D.dua_lifetimes(named, branches).select("trace_id", "lval", "seq", "end", "reason")
+
+
+def all_kinds(rows, branches):
+    """The entries of a trace per input file, with fake and nodua ones: a query has an odd seq, a branch an even one."""
+    b = tainted(rows).where("num_tainted > 0").groupBy("inputfile", "seq", "lval").agg(F.max("num_tainted").alias("num_tainted"), F.transform(F.array_sort(F.collect_list(F.struct("offset", "labels"))), lambda x: x["labels"]).alias("labels"))
+    kinds = {"fake": F.col("lval") % 13 == 0, "nodua": F.col("lval") % 11 == 0}
+    events = b.withColumns(kinds).select(F.col("inputfile").alias("trace_id"), (F.col("seq") * 2 + 1).alias("seq"), F.col("lval").cast("string").alias("lval"), "labels", "num_tainted", *kinds)
+    touched = branches.select(F.col("inputfile").alias("trace_id"), (F.col("seq") * 2).alias("seq"), F.lit(None).cast("string").alias("lval"), F.array(F.array("label")).alias("labels"))
+    return events.unionByName(touched, allowMissingColumns=True)
+
+
+@query(f"SELECT trace_id, CAST(lval AS STRING) AS lval, seq, \"end\", reason FROM ({_KINDS}) y", rows="fx_bytes", branches="fx_branch")
+def d11_replay_of_all_kinds(rows, branches):
+    found = D.replay_exact(all_kinds(rows, branches), LIMIT, erase_siblings=False)
+    return found.select("trace_id", "lval", F.floor(F.col("seq") / 2).alias("seq"), F.floor(F.col("end") / 2).alias("end"), "reason")
+
+
 @query(
     """SELECT b.dua, CAST(b.low AS INT) AS low, CAST(b.high AS INT) AS high, coalesce(string_agg(DISTINCT CAST(q.label1 AS STRING), ',' ORDER BY CAST(q.label1 AS STRING)), '') AS labels
        FROM fx_dua_bytes b LEFT JOIN fx_qbyte q ON q.instr = b.dua AND q.byte_off >= b.low AND q.byte_off < b.high GROUP BY b.dua, b.low, b.high""",

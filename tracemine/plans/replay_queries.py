@@ -42,7 +42,14 @@ def w4_call_stack_at(calls):
     return W.call_stack_at(calls.select("trace_id", "seq"), calls).select("trace_id", "seq", F.array_join(F.col("stack.function"), ">").alias("stack"))
 
 
-@query(calls="fx_call")
+@query(
+    """WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY seq) AS k FROM fx_call),
+       replay AS (SELECT trace_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS seq, CAST([] AS VARCHAR[]) AS frames FROM (SELECT DISTINCT trace_id FROM fx_call) t
+                  UNION ALL SELECT r.trace_id, n.k, n.seq, CASE WHEN n.is_call THEN list_append(r.frames, n.callee) WHEN r.frames[-1] = n.callee THEN r.frames[:-2] ELSE r.frames END
+                  FROM replay r JOIN numbered n ON n.trace_id = r.trace_id AND n.k = r.k + 1)
+       SELECT trace_id, seq, array_to_string(frames, '>') AS stack FROM replay WHERE k > 0""",
+    calls="fx_call",
+)
 def w4_call_stack_exact(calls):
     return W.call_stack_exact(calls)
 

@@ -25,7 +25,22 @@ def r1_fuzz_labels(bugs, extras, dua_bytes, labels):
     return found.select("bug", F.array_join(F.transform("lists", lambda x: F.array_join(x.cast("array<string>"), ",")), ";").alias("lists"))
 
 
-@query(dua_bytes=_BYTES, labels="fx_dua_label", corpus="SELECT CAST(doc_id AS STRING) AS name, encode(coalesce(text, ''), 'UTF-8') AS content FROM documents", **_BUGS)
+_VALUE = """CASE WHEN b.kind <> 2 THEN b.magic ELSE CASE b.magic % 3 WHEN 0 THEN [b.magic, 0, 1][l.pos + 1] WHEN 1 THEN [b.magic, 1, 0][l.pos + 1]
+            ELSE [CAST((CAST(b.magic AS HUGEINT) * 954437177 - 2 + 4294967296) % 4294967296 AS BIGINT), 8, 4294967294][l.pos + 1] END END"""
+_MUTATED = f"""
+    WITH inputs AS (SELECT CAST(doc_id AS STRING) AS name, hex(encode(coalesce(text, ''))) AS h, row_number() OVER (ORDER BY CAST(doc_id AS STRING)) - 1 AS no FROM documents),
+    jobs AS (SELECT b.bug, b.kind, b.magic, i.name, i.h FROM fx_bug b JOIN inputs i ON i.no = CAST(('0x' || substr(md5(concat('0:', b.bug)), 1, 8)) AS BIGINT) % (SELECT count(*) FROM documents)),
+    lists AS (SELECT u.bug, row_number() OVER (PARTITION BY u.bug ORDER BY u.pos) - 1 AS pos, list_sort(list(DISTINCT l.label))[1:4] AS labels FROM {_USES} u JOIN fx_dua_bytes t ON u.dua_bytes = t.dua_bytes JOIN fx_dua_label l ON t.dua = l.dua GROUP BY u.bug, u.pos),
+    valued AS (SELECT b.bug, l.pos, l.labels, {_VALUE} AS value FROM jobs b JOIN lists l ON b.bug = l.bug),
+    writes AS (SELECT bug, pos, unnest(labels) AS ofs, unnest(range(len(labels))) AS i, value FROM valued WHERE value IS NOT NULL),
+    bytes AS (SELECT w.bug, w.ofs, arg_max(printf('%02X', (w.value >> (8 * w.i)) & 255), w.pos * 4 + w.i) AS b FROM writes w JOIN jobs j ON j.bug = w.bug WHERE w.ofs * 2 < length(j.h) GROUP BY w.bug, w.ofs),
+    parts AS (SELECT bug, ofs, b, coalesce(lag(ofs) OVER (PARTITION BY bug ORDER BY ofs) + 1, 0) AS since FROM bytes),
+    heads AS (SELECT p.bug, string_agg(substr(j.h, p.since * 2 + 1, (p.ofs - p.since) * 2) || p.b, '' ORDER BY p.ofs) AS head, max(p.ofs) AS last FROM parts p JOIN jobs j ON j.bug = p.bug GROUP BY p.bug)
+    SELECT j.bug, j.name, sha256(unhex(coalesce(h.head || substr(j.h, h.last * 2 + 3), j.h))) AS sha FROM jobs j JOIN (SELECT DISTINCT bug FROM lists) x ON x.bug = j.bug LEFT JOIN heads h ON h.bug = j.bug
+"""
+
+
+@query(_MUTATED, dua_bytes=_BYTES, labels="fx_dua_label", corpus="SELECT CAST(doc_id AS STRING) AS name, encode(coalesce(text, ''), 'UTF-8') AS content FROM documents", **_BUGS)
 def r2_mutate_inputs(bugs, extras, dua_bytes, labels, corpus):
     full = with_extras(bugs, extras)
     jobs = R.pick_seeds(full.select("bug", "kind", "magic"), corpus).join(R.fuzz_labels(full, _labelled(dua_bytes, labels)), "bug").join(corpus, "name")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemine.operators.ordered import shared_folder
+from tracemine.plans.mining_queries import _KINDS, LIMIT, all_kinds
 from tracemine.plans.registry import query
 from tracemine.sources import logs as S
 from tracemine.streaming import streams as T
@@ -123,16 +124,24 @@ def s12_truncate_for_rerun(bugs, sets, viable):
     return one.unionByName(two).unionByName(three)
 
 
-def _followed(rows: DataFrame, operator) -> DataFrame:
-    """What a streaming operator has emitted, in update mode, when it has followed rows to their end, some files a batch."""
+def _followed(rows: DataFrame, operator, mode: str = "update", order: str | None = None, batches: int = 3) -> DataFrame:
+    """What a streaming operator has emitted when it has followed rows to their end, some files a batch; with order, rows arrive in that many batches, each beyond the one before."""
     spark, path = rows.sparkSession, _folder(rows.sparkSession)
-    rows.write.parquet(f"{path}/in")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    if order is None:
+        rows.write.parquet(f"{path}/in")
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    else:
+        kept = rows.checkpoint()
+        low, high = kept.agg(F.min(order), F.max(order)).first()
+        part = F.least(F.floor((F.col(order) - (low or 0)) * batches / ((high or 0) - (low or 0) + 1)), F.lit(batches - 1))
+        for i in range(batches):  # files are followed in the order in which they were written
+            kept.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    writer = operator(arriving).writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    writer = operator(arriving).writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
     writer.foreachBatch(keep).start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
@@ -147,3 +156,21 @@ def t1_stream_liveness(rows):
 def t3_stream_counters(rows):
     """The last update of each kind."""
     return _followed(rows, T.stream_counters).groupBy("kind").agg(F.max("n").alias("n"))
+
+
+@query(f"SELECT trace_id, CAST(lval AS STRING) AS lval, seq, \"end\", reason FROM ({_KINDS}) y", rows="fx_bytes", branches="fx_branch")
+def t2_stream_dua_state(rows, branches):
+    """What the stream says of each DUA, put together: when it was born, and its end."""
+    spark = rows.sparkSession
+    before = {k: spark.conf.get(k, None) for k in T.STATE_STORE}
+    try:
+        for k, v in T.STATE_STORE.items():
+            spark.conf.set(k, v)
+        said = _followed(all_kinds(rows, branches), lambda events: T.stream_dua_state(events, LIMIT), "append", "seq")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    ends = said.where("what IN ('replaced', 'died')").select("trace_id", "lval", "since", F.col("seq").alias("end"), F.col("what").alias("reason"))
+    born = said.where("what = 'born'").select("trace_id", "lval", F.col("seq").alias("since"))
+    whole = born.join(ends, ["trace_id", "lval", "since"], "left")
+    return whole.select("trace_id", "lval", F.floor(F.col("since") / 2).alias("seq"), F.floor(F.col("end") / 2).alias("end"), F.coalesce("reason", F.lit("alive")).alias("reason"))
