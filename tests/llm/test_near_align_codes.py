@@ -9,21 +9,28 @@ import duckdb
 import numpy as np
 import pytest
 import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.test_operators import SCHEMA, SF, awkward, empty, rows_of  # noqa: F401
-from tracemine.llm import alignment, minhash, queries, vectorcodes
+from tracemine.llm import alignment, minhash, neargroups, queries, simhash, vectorcodes
 from tracemine.llm.common import table
 
 # MinHash
 
 
-def groups_by_hand(rows, size, percent):
-    """Every pair of different texts is compared; rows that share a text are one node."""
+def split(t):
+    """A text's words, lower-cased."""
+    low = t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return [x for x in low.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
+
+
+def roots_by_hand(texts, size, percent):
+    """Every pair of different texts is compared. The set of each text, and what finds the root of its group."""
     sets = {}
-    for _, t in rows:
-        w = [x for x in t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
+    for t in texts:
+        w = split(t)
         sets[t] = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
     texts = [t for t in sets if sets[t]]
     root = {t: t for t in texts}
@@ -38,6 +45,12 @@ def groups_by_hand(rows, size, percent):
             both = len(sets[a] & sets[b])
             if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 root[top(a)] = top(b)
+    return sets, top
+
+
+def groups_by_hand(rows, size, percent):
+    """Rows that share a text are one node."""
+    sets, top = roots_by_hand([t for _, t in rows], size, percent)
     ids = defaultdict(list)
     for i, t in rows:
         if sets[t] and i is not None:
@@ -73,7 +86,7 @@ def near_rows(seed):
 @pytest.mark.parametrize(("size", "percent", "tile"), [(4, 80, 4096), (5, 80, 7), (4, 85, 16)])
 def test_near_groups_equal_all_pairs(spark, monkeypatch, size, percent, tile):
     """Small tiles deal one bucket to many tasks."""
-    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(neargroups, "TILE", tile)
     rows = near_rows(size)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_groups(docs, size, percent).collect())
@@ -99,6 +112,93 @@ def test_densified_bins_agree_as_often_as_sets_are_alike():
     assert (minhash.signature(np.array([5], np.uint64)) == 5).all()
 
 
+# near-dedup by a wide SimHash
+
+
+def kept_by_hand(rows, size=5, percent=80):
+    """Of each group the row with the smallest doc_id, null last, then the smallest digest of words; blank texts all stay."""
+    sets, top = roots_by_hand([t for _, t in rows], size, percent)
+    first, out = {}, Counter()
+    for i, t in rows:
+        if not sets[t]:
+            out[i, t] += 1
+            continue
+        words = " ".join(split(t))
+        key = (i is None, i or 0, xxhash.xxh3_128_digest(words.encode()))
+        if top(t) not in first or key < first[top(t)][1]:
+            first[top(t)] = ((i, words), key)
+    return out, Counter(v[0] for v in first.values())
+
+
+def check_kept(found, rows, **how):
+    """Rows of equal words and doc_id may stand for each other."""
+    blank, first = kept_by_hand(rows, **how)
+    assert Counter((i, t) for i, t in found if not split(t)) == blank
+    assert Counter((i, " ".join(split(t))) for i, t in found if split(t)) == first
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, awkward, empty):  # noqa: F811
+    """Rows of one doc_id and different texts are judged each; of repeated rows one stays; rows without a doc_id give way to others."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, c), (None, "x y"), (4, " "), (5, ""), (6, b.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("clash"))
+    found = simhash.near_dedup(docs)
+    assert found.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"][:3]) for r in found.collect()) == sorted([("1", "a0 "), ("2", "b0 "), ("3", "c0 "), ("None", "x y"), ("4", " "), ("5", "")])
+    check_kept(rows_of(simhash.near_dedup(awkward)), rows_of(awkward))
+    assert simhash.near_dedup(empty).count() == 0 and simhash.near_dedup(empty).columns == empty.columns
+
+
+def test_near_dedup_finds_planted_copies_and_leaves_others(spark):
+    """Copies at a similarity of 0.8 to 0.95 go, nine in ten at least; texts that are at 0.4 to 0.78 to another stay, as do all others."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8)))
+    copies, rows = set(), []
+    for i in range(260):
+        base = [word() for _ in range(rng.randint(60, 400))]
+        rows.append((len(rows), " ".join(base)))
+        shingles = {tuple(base[k : k + 5]) for k in range(len(base) - 4)}
+        other, want = list(base), rng.uniform(0.8, 0.95) if i % 2 else rng.uniform(0.4, 0.78)
+        while True:
+            tried = list(other)
+            tried[rng.randrange(len(tried))] = word()
+            own = {tuple(tried[k : k + 5]) for k in range(len(tried) - 4)}
+            if len(own & shingles) / len(own | shingles) < want:
+                break
+            other = tried
+        if i % 2:
+            copies.add(len(rows))
+        elif len({tuple(tried[k : k + 5]) for k in range(len(tried) - 4)} & shingles) / len(own | shingles) < 0.8:
+            other = tried
+        rows.append((len(rows), " ".join(other)))
+    left = {i for i, _ in rows_of(simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)))}
+    gone = {i for i, _ in rows} - left
+    assert gone <= copies and len(gone) >= 0.97 * len(copies)
+
+
+def test_near_dedup_of_documents(spark):
+    rows = rows_of(table(spark, SF, "documents"))
+    check_kept(rows_of(simhash.near_dedup(table(spark, SF, "documents"))), rows)
+
+
+def test_pigeonring_is_a_filter_only():
+    """What is within the distance has a viable chain; what is not is never returned."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, 32, dtype=np.uint8)
+    prints = [base.tobytes()]
+    for i in range(400):
+        x = np.unpackbits(base)
+        x[rng.permutation(256)[: rng.integers(20, 80)]] ^= 1
+        if i % 4 == 0:  # all differences side by side
+            x = np.unpackbits(base)
+            x[: rng.integers(20, 80)] ^= 1
+        prints.append(np.packbits(x).tobytes())
+    ring = simhash.WideRing(1000)
+    found, close, _ = ring.near(ring.read(prints), 0, np.arange(1, 401), 80)
+    apart = [sum((a ^ b).bit_count() for a, b in zip(p, prints[0], strict=True)) for p in prints[1:]]
+    assert {int(i): -int(c) for i, c in zip(found, close, strict=True)} == {i: d for i, d in enumerate(apart, 1) if d <= simhash.WIDE_DISTANCE}
+
+
 # alignment
 
 

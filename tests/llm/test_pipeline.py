@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import SCHEMA, SF, awkward, empty, ids_by_hand, near_by_hand, rows_of, words_of  # noqa: F401
+from tests.llm.test_near_align_codes import kept_by_hand, split
+from tests.llm.test_operators import SCHEMA, SF, awkward, empty, ids_by_hand, rows_of, words_of  # noqa: F401
 from tracemine.llm import mixing, quality
 from tracemine.llm.common import DOCUMENT_COLUMNS, table
 
@@ -25,8 +26,8 @@ def rows_by_hand(spark, docs, labels):
         if (-1 if r[0] is None else r[0]) == largest[r[1] or ""]:
             once.setdefault(r[1] or "", r)
     rows = list(once.values())
-    keep = {(i, c) for i, _, c in near_by_hand([(i, t or "") for i, t, _ in rows])}
-    rows = [r for r in rows if r[0] is None or (r[0], r[0]) in keep]
+    blank, first = kept_by_hand([(i, t or "") for i, t, _ in rows])
+    rows = [r for r in rows if (r[0], r[1] or "") in blank or (r[0], " ".join(split(r[1] or ""))) in first]
     left = spark.createDataFrame(rows, "doc_id long, text string, source string")
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left).collect()}
     sizes = Counter()

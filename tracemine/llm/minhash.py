@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemine.llm.common import components, cut, empty_if_null, per_salt, salt, salts_of, written
+from tracemine.llm.common import per_salt, salt, salts_of
+from tracemine.llm.neargroups import PERCENT, SHINGLE, labelled
 
-#: Words of a shingle and the least similarity, in hundredths, of a link.
-SHINGLE, PERCENT = 5, 80
 #: Bins of a band, and bands. A link at 0.8 shares none of the bands with a probability of 5 in ten million.
 BAND, BANDS = 6, 48
 BINS = BAND * BANDS
 #: Pairs of a bucket whose shares of equal bins are so much below the least similarity are not compared: it is five standard deviations or more.
 SLACK = 0.15
-#: Members of a bucket on each side of one comparison; partners that a member proposes in the first round after the stars.
-TILE, PARTNERS = 512, 4
-#: Tasks that the members of one star are dealt to.
-RAYS = 64
 
 
 @cache
@@ -33,21 +26,6 @@ def _donors() -> np.ndarray:
     return draws.reshape(BINS, BINS).argsort(axis=1).argsort(axis=1).astype(np.uint16)
 
 
-def normal(text: str) -> bytes:
-    """A text's words, A-Z lower-cased, with a space between."""
-    return b" ".join(text.encode().lower().split())  # bytes: A-Z and ASCII white space only
-
-
-def shingle_hashes(words: bytes, size: int) -> np.ndarray:
-    """The distinct hashes, in order, of a text's shingles; a text of fewer words is one shingle."""
-    parts = words.split(b" ")
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    stops = ends[size - 1 :].tolist() or [len(words)]
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(words[a:b]) for a, b in zip(starts, stops, strict=False)]), ">u8").astype(np.uint64))
-
-
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The least hash of each of BINS ranges of hashes, as 16 bits. An empty bin takes the value of the first bin in its own order that is not, so equal shares stay the similarity however few hashes there are."""
     bins = ((hashes >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)
@@ -61,169 +39,27 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        digests, counts, signatures = [], [], []
-        for t in b.column("text"):
-            words = normal(t.as_py())
-            hashes = shingle_hashes(words, size) if words else ()
-            digests.append(xxhash.xxh3_128_digest(words))
-            counts.append(len(hashes))
-            signatures.append(signature(hashes).tobytes() if words else None)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "digest", "n_shingles", "signature"])
-
-
-def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id``, the ``digest`` of the text's words, ``n_shingles`` (distinct ones) and the ``signature``, null where there is no word."""
-    return docs.select("doc_id", empty_if_null("text").alias("text")).mapInArrow(partial(_signed, size=size), "doc_id long, digest binary, n_shingles long, signature binary")
-
-
-def banded(nodes: DataFrame) -> DataFrame:
-    """``key``, ``band``, ``node``, ``salt``, ``n``: members of the buckets, one for each band's bins, that hold several nodes (``node``, ``signature``)."""
-    width = 2 * BAND
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
-    keyed = nodes.select("node", F.posexplode(keys).alias("band", "key"), salt("node").alias("salt"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), salts_of(F.col("salt")).alias("salts")).where("n > 1")
-    return keyed.join(per_salt(sizes), ["key", "salt"])
-
-
-def stars(buckets: DataFrame) -> DataFrame:
-    """Distinct edges ``u``, ``v``: each member of a bucket with the bucket's centre, the member that shares most buckets with others. So n members give n - 1 candidates, and a text that many are copies of is their centre."""
-    score = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
-    centres = buckets.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"), salts_of(F.col("salt")).alias("salts"))
-    return buckets.join(per_salt(centres), ["key", "salt"]).where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = [normal(t.as_py()) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())], names=["digest", "words"])
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node``, ``words`` of the wanted nodes (``node``, ``digest``, ``id``: a doc_id that has the text), from the documents again."""
-    ids = wanted.select(F.col("id").alias("__id")).distinct()
-    rows = docs.select("doc_id", empty_if_null("text").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.select("text").mapInArrow(_words, "digest binary, words binary").join(wanted.select("node", "digest"), "digest").select("node", "words").dropDuplicates(["node"])
-
+class Bands:
+    """Signatures of BINS bins; the bins of a band are a key."""
 
-def _set(words: bytes, size: int) -> set[bytes]:
-    parts = words.split(b" ")
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    return {words[a:b] for a, b in zip(starts, ends[size - 1 :].tolist() or [len(words)], strict=False)}
+    prunes = False
 
+    def sign(self, hashes: np.ndarray) -> bytes:
+        return signature(hashes).tobytes()
 
-def _linked(a: set, b: set, percent: int) -> bool:
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _alike(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (u, ray, v, words) come by star; the first of a star, without v, has the words of its centre."""
-    centre: set = set()
-    for b in batches:
-        u, v, words = (b.column(k) for k in ("u", "v", "words"))
-        found = []
-        for i, other in enumerate(v.to_pylist()):
-            if other is None:
-                centre = _set(words[i].as_py(), size)
-                continue
-            if _linked(_set(words[i].as_py(), size), centre, percent):
-                found.append(i)
-        yield pa.RecordBatch.from_arrays([u.take(pa.array(found, pa.int64())), v.take(pa.array(found, pa.int64()))], names=["u", "v"])
-
-
-def confirmed(edges: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of edges whose full sets of shingles are alike enough. A centre's words go once to each of the tasks that its members are dealt to."""
-    rays = edges.withColumn("ray", F.pmod(F.xxhash64("v"), F.lit(RAYS)).cast("int"))
-    members = rays.join(texts.select(F.col("node").alias("v"), "words"), "v").select("u", "ray", "v", "words")
-    centres = rays.select("u", "ray").distinct().join(texts.select(F.col("node").alias("u"), "words"), "u").select("u", "ray", F.lit(None).cast("long").alias("v"), "words")
-    both = centres.unionByName(members).repartition("u", "ray").sortWithinPartitions("u", "ray", F.asc_nulls_first("v"))
-    return both.mapInArrow(partial(_alike, size=size, percent=percent), "u long, v long")
-
-
-def _tiles(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list | np.ndarray]]:
-    """The rows of each (key, i, j), which come together, as columns."""
-    rest: dict | None = None
-    for b in batches:
-        now = {k: b.column(k).to_numpy(zero_copy_only=False) for k in names}
-        if rest is not None:
-            now = {k: np.concatenate((rest[k], now[k])) for k in names}
-        ends = np.flatnonzero((np.diff(now["key"]) != 0) | (np.diff(now["i"]) != 0) | (np.diff(now["j"]) != 0)) + 1
-        for a, z in zip([0, *ends[:-1]], ends, strict=False):
-            yield {k: x[a:z] for k, x in now.items()}
-        rest = {k: x[ends[-1] if len(ends) else 0 :] for k, x in now.items()}
-    if rest is not None and len(rest["key"]):
-        yield rest
-
-
-def _proposed(batches: Iterator[pa.RecordBatch], percent: int, partners: int | None) -> Iterator[pa.RecordBatch]:
-    """In each tile members of side 0 are compared with all of side 1. A row per member that has a part in a proposal: ``others`` are the partners it proposes."""
-    least = round(BINS * (percent / 100 - SLACK))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
-    for t in _tiles(batches, ("key", "i", "j", "band", "side", "node", "component", "major", "n_shingles", "signature")):
-        bits = np.frombuffer(b"".join(t["signature"]), np.uint16).reshape(-1, BINS)
-        node, component, n = t["node"], t["component"], t["n_shingles"]
-        right, proposed, more = np.flatnonzero(t["side"] == 1), {}, set()
-        for at in np.flatnonzero(t["side"] == 0).tolist():
-            fit = (component[right] != component[at]) & (100 * np.minimum(n[right], n[at]) >= percent * np.maximum(n[right], n[at]))
-            if partners is None:  # two members outside the largest component meet on either side
-                fit &= (component[right] == t["major"][right]) | (node[right] > node[at])
-            near = right[fit]
-            same = bits[near] == bits[at]
-            equal = same.sum(axis=1)
-            hits = np.flatnonzero(equal >= least)
-            # a pair is proposed in the first band that it shares
-            hits = hits[same[hits].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1) == t["band"][at]]
-            if partners is not None and len(hits) > partners:
-                hits = hits[np.lexsort((node[near[hits]], -equal[hits]))[:partners]]
-                more.add(int(node[at]))
-            if len(hits):
-                proposed[int(node[at])] = node[near[hits]].tolist()
-        used = sorted({*proposed, *(v for vs in proposed.values() for v in vs)})
-        where = [np.full(len(used), t[k][0]) for k in ("key", "i", "j")]
-        columns = (*where, used, [proposed.get(v, []) for v in used], [v in more for v in used])
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["key", "i", "j", "node", "others", "more"])
-
-
-def _checked(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The proposals of a tile that are links."""
-    for t in _tiles(batches, ("key", "i", "j", "node", "others", "words")):
-        sets = {v: _set(w, size) for v, w in zip(t["node"].tolist(), t["words"], strict=True)}
-        found = [(u, v) for u, vs in zip(t["node"].tolist(), t["others"], strict=True) for v in vs.tolist() if _linked(sets[u], sets[v], percent)]
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-
-def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, partners: int | None) -> DataFrame:
-    """``key``, ``i``, ``j``, ``node``, ``others``, ``more``: members of a bucket's tile with those that they may link with, which are not in their component yet (labels: ``node``, ``component``).
-
-    Buckets in one component are done. Of buckets with the same members one is looked at. In each, the members outside its largest component are compared with all, by the
-    sizes of their sets and by their signatures, in tiles of TILE members a side; ``partners`` keeps the likeliest of each, and ``more`` says that there were others.
-    """
-    own = buckets.select("key", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = own.groupBy("key", "band", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    live = parts.groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0")
-    live = live.groupBy("n", "sum").agg(F.min(F.struct("band", "key", "major", "minor")).alias("b")).select("n", "b.key", "b.major", "b.minor")
-    rows, all_tiles, minor_tiles = own.join(live, "key"), F.ceil(F.col("n") / TILE), F.ceil(F.col("minor") / TILE)
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    rest = ("band", "node", "component", "major")
-    right = rows.select("key", upto(minor_tiles).alias("i"), F.pmod(F.xxhash64("node"), all_tiles).alias("j"), F.lit(1).alias("side"), *rest)
-    left = rows.where("component <> major").select("key", F.pmod(F.xxhash64("node"), minor_tiles).alias("i"), upto(all_tiles).alias("j"), F.lit(0).alias("side"), *rest)
-    dealt = left.unionByName(right).join(nodes.select("node", "n_shingles", "signature"), "node")
-    schema = "key long, i long, j long, node long, others array<long>, more boolean"
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_proposed, percent=percent, partners=partners), schema)
+    def keyed(self, nodes: DataFrame) -> DataFrame:
+        width = 2 * BAND
+        keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * width + 1, F.lit(width))))
+        return nodes.select("node", F.posexplode(keys).alias("band", "key"))
 
+    def read(self, signatures: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, BINS)
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (``node``, ``component``, for nodes that are no root) after the components at both ends of each link are joined."""
-    root = lambda k: labels.select(F.col("node").alias(k), F.col("component").alias(f"root_{k}"))
-    ends = links.join(root("u"), "u", "left").join(root("v"), "v", "left")
-    joined = cut(components(ends.select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))))
-    over = joined.select(F.col("node").alias("component"), F.col("component").alias("now"))
-    return cut(labels.join(over, "component", "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(joined))
+    def near(self, prints: np.ndarray, at: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        same = prints[others] == prints[at]
+        equal = same.sum(axis=1)
+        hits = np.flatnonzero(equal >= round(BINS * (percent / 100 - SLACK)))
+        return others[hits], equal[hits], same[hits].reshape(-1, BANDS, BAND).all(axis=2).argmax(axis=1)
 
 
 def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -236,22 +72,9 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     and links between different texts are missed only with the bands' probability. Repeated rows are kept; rows with a null doc_id take part, and a component's id is null only if no
     row of it has one. Other columns are ignored; an empty table gives an empty result.
     """
-    prints = written(signatures(docs, size))
-    salted = prints.select("doc_id", "digest", "n_shingles", salt("doc_id").alias("salt"))
-    distinct = prints.where("n_shingles > 0").withColumn("salt", salt("doc_id")).groupBy("digest").agg(F.min("doc_id").alias("id"), salts_of(F.col("salt")).alias("salts"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
-    buckets = cut(banded(nodes))
-    texts = written(_texts(docs, buckets.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")))
-    labels = components(confirmed(cut(stars(buckets)), texts, size, percent))
-    for partners in (PARTNERS, None):
-        found = cut(proposals(buckets, labels, nodes, percent, partners))
-        proposed, more = found.agg(F.count("*"), F.coalesce(F.max("more"), F.lit(False))).first()
-        if proposed:
-            tiles = found.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            labels = merged(labels, tiles.mapInArrow(partial(_checked, size=size, percent=percent), "u long, v long"))
-        if not more:
-            break  # each member has proposed all that it may link with
-    placed = nodes.select("node", "digest", "id", "salts").join(labels, "node", "left").select("digest", "id", "salts", F.coalesce("component", "node").alias("root"), salt("node").alias("of_root"))
+    rows, nodes, labels = labelled(docs, size, percent, Bands())
+    salted = rows.withColumn("salt", salt("doc_id"))
+    placed = nodes.join(labels, "node", "left").select("digest", "id", "salts", F.coalesce("component", "node").alias("root"), salt("node").alias("of_root"))
     roots = per_salt(placed.groupBy("root").agg(F.min("id").alias("component_id"), salts_of(F.col("of_root")).alias("all")), "all", "of_root")
     named = per_salt(placed.join(roots, ["root", "of_root"]).select("digest", "salts", "component_id"))
     found = salted.where("n_shingles > 0").join(named, ["digest", "salt"]).select("doc_id", "n_shingles", "component_id")

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tracemine.llm.common import components, cut, empty_if_null, per_salt, salt, salts_of, signed
+from tracemine.llm.neargroups import PERCENT, labelled, normal
+from tracemine.llm.neargroups import SHINGLE as SHINGLES
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Distinct fingerprints up to which rings of so many segments are used: about as many as the values of a bucket's key, so buckets stay small.
@@ -167,7 +171,113 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, ["bits", "salt"]).select("doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each group of near copies the one with the smallest doc_id. Rows without a doc_id stay."""
-    drop = near_groups(docs).where("doc_id != component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+#: Fingerprints of the similarity search: so many bits; a link at 0.8 differs in 15% of them, and in more than WIDE_DISTANCE with a probability of 1%.
+WIDE, WIDE_DISTANCE = 256, 52
+#: What a link's bits agree in at least; the expected number of keys that a link at 0.8 shares, so that it misses all with a probability of 2%.
+AGREE, SHARED = 0.85, 4
+#: Segments of the ring, and the most that the first l segments of a viable chain may differ by.
+SEGMENTS = 16
+BUDGETS = [WIDE_DISTANCE * k // SEGMENTS for k in range(1, SEGMENTS + 1)]
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The 256-bit SimHash of a set of 64-bit hashes, each of which is stretched to as many bits."""
+    x = hashes[:, None] + (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    bits = np.unpackbits(x.view(np.uint8).reshape(len(hashes), -1), axis=1)
+    return np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).tobytes()
+
+
+@cache
+def _places(bits: int, keys: int) -> np.ndarray:
+    """Which bits each key samples, drawn once for all."""
+    draws = [[xxhash.xxh64_intdigest(f"{k} {i}", SEED) for i in range(WIDE)] for k in range(keys)]
+    return np.array(draws, np.uint64).reshape(keys, WIDE).argsort(axis=1)[:, :bits]
+
+
+def sampled(prints: np.ndarray, bits: int, keys: int) -> np.ndarray:
+    """For each fingerprint (a row of 32 bytes) so many keys: the values of samples of its bits."""
+    unpacked, out = np.unpackbits(prints, axis=1), np.zeros((len(prints), keys), np.int64)
+    for i, at in enumerate(_places(bits, keys).T):
+        out |= unpacked[:, at].astype(np.int64) << i
+    return out
+
+
+def _keys(batches: Iterator[pa.RecordBatch], bits: int, keys: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            found = sampled(np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint8).reshape(-1, WIDE // 8), bits, keys)
+            band = np.tile(np.arange(keys), b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), keys)), pa.array(band), pa.array(found.ravel() | band << bits)], names=["node", "band", "key"])
+
+
+class WideRing:
+    """256-bit SimHash; keys are samples of bits, which grow with the logarithm of the number of nodes, so that buckets of unlike texts stay small."""
+
+    prunes = True
+
+    def __init__(self, nodes: int | None = None):
+        self.nodes = nodes
+
+    @property
+    def bits(self) -> int:
+        return max(12, math.ceil(math.log2(self.nodes + 1)) + 1)
+
+    @property
+    def keys(self) -> int:
+        return math.ceil(SHARED / AGREE**self.bits)
+
+    def sign(self, hashes: np.ndarray) -> bytes:
+        return wide_fingerprint(hashes)
+
+    def keyed(self, nodes: DataFrame) -> DataFrame:
+        self.nodes = nodes.count()
+        return nodes.select("node", "signature").mapInArrow(partial(_keys, bits=self.bits, keys=self.keys), "node long, band long, key long")
+
+    def read(self, signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, WIDE // 8)
+        return raw.view(np.uint16), sampled(raw, self.bits, self.keys)
+
+    def near(self, prints: tuple[np.ndarray, np.ndarray], at: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pigeonring: some chain of consecutive segments stays within its budget at each length; what has such a chain is checked in full."""
+        words, values = prints
+        apart = np.bitwise_count(words[others] ^ words[at])
+        viable = np.zeros(len(others), bool)
+        for start in range(SEGMENTS):
+            left, total = np.flatnonzero(~viable), 0
+            for n, most in enumerate(BUDGETS):
+                total = total + apart[left, (start + n) % SEGMENTS].astype(np.int64)
+                left, total = left[total <= most], total[total <= most]
+                if not len(left):
+                    break
+            viable[left] = True
+        left = np.flatnonzero(viable)
+        whole = apart[left].sum(axis=1, dtype=np.int64)
+        left, whole = left[whole <= WIDE_DISTANCE], whole[whole <= WIDE_DISTANCE]
+        return others[left], -whole, (values[others[left]] == values[at]).argmax(axis=1)
+
+
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [normal(t.as_py() or "") for t in b.column("text")]
+        digests = pa.array([xxhash.xxh3_128_digest(w) if w else None for w in words], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns, digests], names=[*b.schema.names, "__digest"])
+
+
+def near_dedup(docs: DataFrame, size: int = SHINGLES, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of near copies, repeated rows and texts of equal words included, the first one by doc_id (null last, then by the text's digest).
+
+    Texts are near copies if their sets of ``size``-word shingles have a similarity of ``percent`` hundredths at least, directly or through others. Candidates are found by a 256-bit SimHash: nodes that share
+    a sample of bits, pruned by pigeonring and the full distance, and confirmed on full sets; so none is dropped that is not alike, and at 0.8 about 97% of the links are found (a test measures recall).
+    Rows are told apart by doc_id and text, so rows of one doc_id and different texts are judged each. Null, empty and blank texts link with nothing and stay. Columns may have any names but those that
+    start with two underscores; an empty table gives an empty result.
+    """
+    _, nodes, labels = labelled(docs, size, percent, WideRing())
+    placed = nodes.join(labels, "node", "left").select(F.coalesce("component", "node").alias("root"), F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("first"))
+    stay = placed.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.digest").alias("__stay"), F.col("f.id").alias("__id"))
+    schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
+    keyed = cut(docs.mapInArrow(_with_digest, schema))
+    kept = keyed.join(stay, (F.col("__digest") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__digest"])
+    return kept.unionByName(keyed.where("__digest IS NULL")).drop("__digest")
