@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemine.llm.common import cut
+from tracemine.llm.common import cut, per_salt, salt, salts_of
 
 #: The rules as (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -20,9 +18,7 @@ DAMPING, THRESHOLD = 0.85, 0.1
 #: What all further rounds together may still add to the scores of all hosts together.
 TOLERANCE = 1e-6
 #: Rounds between checkpoints, at which the mass left is looked at.
-CUT_EVERY = 5
-#: Steps (two for an edge) and seeds up to which the rounds are run on the driver, where one takes no jobs.
-LOCAL = 100_000
+CUT_EVERY = 8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed pattern: the host of an absolute link in a page.
@@ -58,21 +54,6 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both.select("e.src", "e.dst", F.lit(1.0).alias("weight"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def _rounds_here(steps: DataFrame, start: DataFrame, damping: float, tolerance: float) -> DataFrame:
-    """``kind``, ``host``, ``mass`` after the same rounds as in propagated, for graphs that fit the driver."""
-    moves, seeds = steps.toArrow(), start.toArrow()
-    places: dict[tuple[str, str], int] = {}
-    at = lambda t, host: np.array([places.setdefault(x, len(places)) for x in zip(t["kind"].to_pylist(), t[host].to_pylist(), strict=True)], np.int64)
-    src, dst, first = at(moves, "host"), at(moves, "dst"), at(seeds, "host")
-    share, mass = moves["share"].to_numpy(), np.bincount(first, weights=seeds["mass"].to_numpy(), minlength=len(places))
-    left = mass
-    while left.sum() / (1 - damping) * damping / (1 - damping) > tolerance:
-        left = np.bincount(dst, weights=left[src] * share, minlength=len(places))
-        mass = mass + left
-    kinds, hosts = zip(*places, strict=True) if places else ((), ())
-    return steps.sparkSession.createDataFrame(pa.table({"kind": pa.array(kinds, pa.string()), "host": pa.array(hosts, pa.string()), "mass": pa.array(mass, pa.float64())}))
-
-
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host``, ``trust``, ``distrust``: personalised PageRank from seeds (``host``, ``good``, ``bad``: 0 or 1), for distrust along reversed edges.
 
@@ -88,9 +69,8 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol
         seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("good").alias("mass")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("mass")))).alias("s"))
         .select("host", "s.kind", (F.col("s.mass") * (1 - damping)).alias("mass")).where("mass > 0")
     )
-    local = max(steps.count(), start.count()) <= LOCAL
-    now = _rounds_here(steps, start, damping, tolerance) if local else start.withColumn("left", F.col("mass"))
-    while not local and (now.agg(F.sum("left")).first()[0] or 0.0) / (1 - damping) * damping / (1 - damping) > tolerance:
+    now = start.withColumn("left", F.col("mass"))
+    while (now.agg(F.sum("left")).first()[0] or 0.0) / (1 - damping) * damping / (1 - damping) > tolerance:
         for _ in range(CUT_EVERY):
             moved = now.where("left > 0").join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("left") * F.col("share")).alias("left"))
             both = now.withColumn("left", F.lit(0.0)).unionByName(moved.withColumn("mass", F.col("left")))
@@ -106,15 +86,19 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     The longest rule that fits decides. Where none does, the host's scores do: it is blocked if its distrust exceeds its trust by more
     than the threshold. Seeds are hosts of which rules allow (trusted) or block (blocked) at least ``seed_share`` of the pages. Edges are the
     absolute links in ``html`` and the steps between a host and its parent domain. Null urls, and urls without ``://``, have an empty host
-    and path, no rule and no scores, so they are allowed. Null html has no links. Repeated rows are kept; other columns are ignored.
+    and path, no rule and no scores, so they are allowed. Null html has no links. Repeated rows are kept, and each counts towards its host's share; other columns are ignored; an empty table gives an empty result.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = parts.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     is_kind = lambda v: F.avg((F.coalesce("fit.verdict", F.lit("")) == v).cast("double"))
-    shares = ruled.where("host != ''").groupBy("host").agg(is_kind("allow").alias("good"), is_kind("block").alias("bad"))
+    ruled = ruled.withColumn("salt", salt("page_id"))
+    shares = ruled.where("host != ''").groupBy("host").agg(is_kind("allow").alias("good"), is_kind("block").alias("bad"), salts_of(F.col("salt")).alias("salts"))
     seeds = shares.select("host", *((F.col(k) >= seed_share).cast("double").alias(k) for k in ("good", "bad")))
     scores = propagated(host_edges(parts.select("host", "html")), seeds)
-    judged = ruled.select("page_id", "host", "path", "fit").join(scores.withColumnRenamed("host", "of"), F.col("host") == F.col("of"), "left")
+    # pages of a hot host are dealt over several tasks; those without a host have no scores
+    salted = per_salt(scores.join(shares.select("host", "salts"), "host"))
+    known = ruled.where("host != ''").select("page_id", "host", "path", "fit", "salt").join(salted, ["host", "salt"], "left").drop("salt")
+    judged = known.unionByName(ruled.where("host = ''").select("page_id", "host", "path", "fit"), allowMissingColumns=True)
     score = lambda k: F.round(F.coalesce(k, F.lit(0.0)), 9).alias(k)
     out = judged.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("by_rule"), score("trust"), score("distrust"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("distrust") - F.col("trust") > threshold, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
