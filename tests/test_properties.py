@@ -1,5 +1,6 @@
 """Closed forms against sequential models on random inputs, and the queries against DuckDB."""
 
+import glob
 import os
 import random
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracemine.functions import scalars as S
-from tracemine.operators import generation, lives, mining, ordered, placement, replay, scoring, selection
+from tracemine.operators import callgraph, cleaning, generation, lives, mining, ordered, placement, replay, scoring, selection
 from tracemine.plans import registry
 from tracemine.sources import logs
 from tracemine.streaming import streams
@@ -166,6 +167,36 @@ def test_slots_of_triggers_and_extras(spark):
     assert found == [("extra", "v", 0, "a:2", 1), ("extra", "w", 2, "a:1", 0), ("trigger", "v", 0, "a:1", 0), ("trigger", "v", 0, "a:2", 0)]
 
 
+def test_scopes_equal_all_pairs(spark):
+    """Nested, equal, empty and neighbouring bodies; the rows that the join forms are the rows returned."""
+    rng = random.Random(9)
+    bodies = [(f"f{rng.randrange(2)}", f"g{i}", (a := rng.randrange(60)), rng.randrange(80), a + rng.choice([0, 0, 3, 40]), rng.randrange(80)) for i in range(70)]
+    duas = [(i, f"f{rng.randrange(3)}", rng.randrange(110), rng.randrange(80)) for i in range(300)]
+    expected = sorted((d, f, g) for d, f, line, c in duas for h, g, bl, bc, el, ec in bodies if f == h and (bl, bc) <= (line, c) <= (el, ec))
+    found = cleaning.dua_scope_join(spark.createDataFrame(duas, "dua long, file string, line int, column int"), spark.createDataFrame(bodies, "file string, function string, begin_line int, begin_column int, end_line int, end_column int"))
+    assert sorted(tuple(r) for r in found.collect()) == expected and len(expected) > 500
+
+
+def test_closure_writes_each_name_once(spark):
+    """A chain with a hub and a cycle: rounds write what they reach, and nothing else."""
+    judgement = spark.createDataFrame([("bad", 3), *((f"n{i}", 0) for i in range(12)), ("free", 0)], "name string, flag int")
+    edges = [("bad", "n0"), *((f"n{i}", f"n{i + 1}") for i in range(8)), ("n8", "n2"), ("n3", "n9"), ("free", "n11"), ("n9", "gone")]
+    before = set(glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/closure-*"))
+    closed = callgraph.close_over_callers(judgement, spark.createDataFrame([(b, a) for a, b in edges], "name string, containing_function string"))
+    assert {r["name"] for r in closed.where("flag = 0").collect()} == {"n10", "n11", "free"}
+    (path,) = set(glob.glob(spark.sparkContext.getCheckpointDir().removeprefix("file:") + "/closure-*")) - before
+    written = [r["name"] for r in spark.read.schema("name string").parquet(*glob.glob(f"{path}/round=*")).collect()]
+    assert len(written) == len(set(written)) == 11
+
+
+def test_callers_come_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(callgraph, "CHUNK", 10)
+    calls = spark.range(95).select(F.lit("hub").alias("name"), F.format_string("c%03d", F.col("id") % 45).alias("containing_function"), F.array().cast("array<struct<name:string,info:string>>").alias("args"))
+    none = spark.createDataFrame([], "name string, hasbody boolean")
+    rows = callgraph.function_index(none, calls, none)["callers"].orderBy("chunk").collect()
+    assert [r["chunk"] for r in rows] == [0, 1, 2, 3, 4] and [x for r in rows for x in r["callers"]] == [f"c{i:03d}" for i in range(45)] and max(len(r["callers"]) for r in rows) == 10
+
+
 def test_lifetimes_of_long_files(spark):
     """seq of a large log's later splits is far above the number of its entries."""
     far = 1 << 60

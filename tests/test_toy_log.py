@@ -1,6 +1,7 @@
 """A toy log through reader, replay, mining and generation."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,6 +75,31 @@ def test_reader_keeps_order_and_kinds(log, spark, tmp_path):
         logs.read_trace_log(spark, str(tmp_path), "xml")
 
 
+def test_one_array_is_read_by_several_tasks(spark, tmp_path):
+    """Braces, brackets, quotes and backslashes in strings, nested objects, no line ends, elements that are no objects; order and numbers are kept."""
+    rng = random.Random(1)
+    text = lambda: "".join(rng.choice('{}[]"\\,: ab\n\té') for _ in range(rng.randrange(25)))
+    entries = [{"instr": str(i), "fileTaintMatch": {"filename": text()}} if i % 3 else {"instr": str(i), "taintedBranch": {"taintQuery": [{"ptr": text(), "offset": k} for k in range(rng.randrange(4))]}} for i in range(3000)]
+    for indent in (None, 1):
+        path = tmp_path / f"log{indent}.json"
+        path.write_text(json.dumps([7, *entries[:10], "}{", *entries[10:]], indent=indent, ensure_ascii=False))
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        try:
+            assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 8
+            rows = logs.read_trace_log(spark, str(path), "json_array").orderBy("seq").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [r["seq"] for r in rows] == list(range(3000)) and [r["instr"] for r in rows] == [str(i) for i in range(3000)]
+        for r, e in zip(rows, entries, strict=True):
+            if "fileTaintMatch" in e:
+                assert r["kind"] == "fileTaintMatch" and r["fileTaintMatch"]["filename"] == e["fileTaintMatch"]["filename"]
+            else:
+                assert [q["ptr"] for q in r["taintedBranch"]["taintQuery"]] == [q["ptr"] for q in e["taintedBranch"]["taintQuery"]]
+    (tmp_path / "none.json").write_text("[]")
+    assert logs.read_trace_log(spark, str(tmp_path / "none.json"), "json_array").count() == 0
+
+
 def test_carried_values(log, order):
     flat = replay.assign_trace_index(replay.assign_input_file(replay.flatten_log(log))).collect()
     files = {order[r["seq"]]: (r["inputfile"], r["trace_index"], r["instr"]) for r in flat}

@@ -5,13 +5,17 @@ Facts: fun (``name``, ``hasbody``), calls (``name``: the callee, ``containing_fu
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemine.operators.ordered import shared_folder
+from tracemine.operators.ordered import shared_folder, sum_so_far
 
 #: The flags of functions that may be instrumented, and of those that may not.
 OK, BANNED = 0, 3
+#: Callers that may share a row.
+CHUNK = 10_000
 
 
 def functions_passed_as_args(calls: DataFrame) -> DataFrame:
@@ -33,8 +37,13 @@ def function_counts(fun: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def function_index(fun: DataFrame, calls: DataFrame, assigns: DataFrame) -> dict[str, DataFrame]:
-    """``defined``: distinct names with a body; ``assigned``: distinct names; ``callers``: ``name``, ``callers`` (sorted)."""
-    callers = calls.groupBy("name").agg(F.sort_array(F.collect_set("containing_function")).alias("callers"))
+    """``defined``: distinct names with a body; ``assigned``: distinct names; ``callers``: ``name``, ``chunk``, ``callers`` (sorted): chunk k holds the callers from k * CHUNK on, so no row grows with the table.
+
+    Callers are numbered by an ordered pass, which spreads a function that all others call.
+    """
+    each = calls.where("containing_function IS NOT NULL").select("name", "containing_function").distinct()
+    placed = sum_so_far(each, ["name"], "containing_function", F.lit(1), "__rank")
+    callers = placed.groupBy("name", F.floor(F.col("__rank") / CHUNK).alias("chunk")).agg(F.sort_array(F.collect_list("containing_function")).alias("callers"))
     return {"defined": fun.where("hasbody").select("name").distinct(), "assigned": assigns.select("name").distinct(), "callers": callers}
 
 
@@ -62,16 +71,21 @@ def fnptr_rule(judgement: DataFrame, assigns: DataFrame, enabled: bool = True) -
 
 
 def close_over_callers(judgement: DataFrame, calls: DataFrame) -> DataFrame:
-    """Bans whatever a banned function calls, until nothing changes: a breadth-first search from the banned ones, cut by a checkpoint each round."""
-    shared_folder(judgement.sparkSession)
+    """Bans whatever a banned function calls, until nothing changes: a breadth-first search from the banned ones.
+
+    A round writes the names that it reaches, and those only, as a folder of its own in the checkpoint folder; what was reached before is read from the folders of the rounds before, and never written again.
+    """
+    spark = judgement.sparkSession
+    path = f"{shared_folder(spark)}/closure-{uuid.uuid4().hex}"
     edges = calls.select(F.col("containing_function").alias("caller"), "name").distinct().join(judgement.select("name"), "name", "left_semi").checkpoint()
-    banned, i = judgement.where(F.col("flag") != OK).select("name", F.lit(0).alias("round")).checkpoint(), 0
-    while not banned.where(F.col("round") == i).isEmpty():
-        frontier = banned.where(F.col("round") == i).select(F.col("name").alias("caller"))
-        reached = edges.join(frontier, "caller", "left_semi").select("name").distinct().join(banned.select("name"), "name", "left_anti")
-        i += 1
-        banned = banned.unionByName(reached.withColumn("round", F.lit(i))).checkpoint()
-    return _ban(judgement, banned)
+    of = lambda *rounds: spark.read.schema("name string").parquet(*(f"{path}/round={i}" for i in rounds))
+    judgement.where(F.col("flag") != OK).select("name").distinct().write.parquet(f"{path}/round=0")
+    last = 0
+    while not of(last).isEmpty():
+        reached = edges.join(of(last).withColumnRenamed("name", "caller"), "caller", "left_semi").select("name").distinct().join(of(*range(last + 1)), "name", "left_anti")
+        last += 1
+        reached.write.parquet(f"{path}/round={last}")
+    return _ban(judgement, of(*range(last + 1)))
 
 
 def instrumentable(judgement: DataFrame, blacklist: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemine.operators.mining import active_duas
+
 #: The first kind of chaff; the one whose extra DUAs are not looked at.
 FIRST_CHAFF, STACK_UNUSED = 5, 5
 
@@ -54,7 +56,12 @@ def discard_unscoped(duas: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def dua_scope_join(duas: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Pairs of DUAs (``dua``, ``file``, ``line``, ``column``) and function bodies (``file``, ``function``, and begin and end line and column) that hold them: an equi-join on the file with ranges."""
-    place = F.struct(F.col("line").alias("l"), F.col("column").alias("c"))
-    edge = lambda k: F.struct(F.col(f"{k}_line").alias("l"), F.col(f"{k}_column").alias("c"))
-    return duas.join(bodies, "file").where((edge("begin") <= place) & (place <= edge("end"))).select("dua", "file", "function")
+    """Pairs of DUAs (``dua``, ``file``, ``line``, ``column``) and function bodies (``file``, ``function``, and begin and end line and column) that hold them.
+
+    A place is one number, the line above the column; bodies are made up of dyadic intervals of such places, and a DUA lies in one of each size. So pairs are found by an equi-join, a file spreads over
+    many tasks, and the rows formed are those returned, however bodies nest. Lines are under 2**29, columns under 2**32.
+    """
+    place = lambda line, column: F.col(line).cast("bigint") * (1 << 32) + F.col(column).cast("bigint")
+    probes = duas.select("dua", F.col("file").alias("trace_id"), place("line", "column").alias("probe_seq"))
+    spans = bodies.select("function", F.col("file").alias("trace_id"), place("begin_line", "begin_column").alias("start"), (place("end_line", "end_column") + 1).alias("end"))
+    return active_duas(probes, spans).select("dua", F.col("trace_id").alias("file"), "function")

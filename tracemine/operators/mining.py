@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import count_viable, first_dead_run, is_header_file, labels_in_range
 from tracemine.operators.lives import Lives, given, plain, with_shards
-from tracemine.operators.ordered import sum_so_far
+from tracemine.operators.ordered import shared_folder, sum_so_far, with_next
 from tracemine.schemas import MAGIC
 from tracemine.sources.logs import first_by
 
@@ -118,7 +118,7 @@ def dua_lifetimes(found: DataFrame, branches: DataFrame | None = None, n: int =
         marked = rows.where("ast_name LIKE '%nodua%' AND NOT fake_dua").select("trace_id", "lval", "seq", "inputfile", F.explode("all_labels").alias("label"))
         touched = marked.join(branches.select("inputfile", "label", F.col("seq").alias("__at")), ["inputfile", "label"]).where("__at > seq").groupBy("trace_id", "lval", "seq").agg(F.min("__at").alias("__touched"))
         rows = rows.join(touched, ["trace_id", "lval", "seq"], "left").withColumn("__death", F.least("__death", F.coalesce("__touched", never))).drop("__touched")
-    rows = rows.withColumn("__next", F.coalesce(F.lead("seq").over(Window.partitionBy("trace_id", "lval").orderBy("seq")), never))
+    rows = with_next(rows, ["trace_id", "lval"], "seq", [], "__after").withColumn("__next", F.coalesce("__after.seq", never))
     end = F.least("__next", "__death")
     reason = F.when(end == never, "alive").when(F.col("__next") <= F.col("__death"), "replaced").otherwise("died")
     return rows.select(*found.columns, F.col("seq").alias("start"), F.when(end < never, F.greatest(end, F.col("seq"))).alias("end"), reason.alias("reason"))
@@ -156,8 +156,9 @@ def active_duas(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -
     low = F.col("start") + 1 if strict else F.col("start")
     high = F.least(F.coalesce(F.col("end") - 1, F.col("__last")), "__last")
     spans = lifetimes.join(last, "trace_id").where(low <= high).withColumn("__in", F.explode(cover(low, high))).drop("__last")
-    levels = [r[0] for r in spans.select("__in.level").distinct().collect()]  # LEVELS + 1 at most
-    dealt = spans.withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in")
+    shared_folder(spans.sparkSession)
+    dealt = spans.withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in").checkpoint()  # for the levels, and for the join
+    levels = [r[0] for r in dealt.select("__level").distinct().collect()]  # LEVELS + 1 at most
     own = F.filter(ancestors(F.col("probe_seq")), lambda x: x["level"].isin(levels))
     asked = probes.withColumn("__in", F.explode(own)).withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in")
     return asked.join(dealt, ["trace_id", "__level", "__place"]).drop("__level", "__place")

@@ -54,9 +54,14 @@ def n2_functions_passed_as_args(fun, rows, assigns):
     return N.functions_passed_as_args(with_args(rows))
 
 
-@query("SELECT name, string_agg(DISTINCT containing_function, ',' ORDER BY containing_function) AS callers FROM (SELECT name, containing_function FROM fx_callgraph UNION SELECT callee AS name, 'main' AS containing_function FROM fx_passed) x GROUP BY name", **_TABLES)
-def n3_function_index(fun, rows, assigns):
-    return N.function_index(fun, with_args(rows), assigns)["callers"].select("name", shown("callers").alias("callers"))
+@query(
+    """SELECT name, chunk, string_agg(containing_function, ',' ORDER BY containing_function) AS callers FROM (SELECT *, (row_number() OVER (PARTITION BY name ORDER BY containing_function) - 1) // 10000 AS chunk FROM
+       (SELECT name, containing_function FROM fx_callgraph UNION SELECT callee AS name, 'main' AS containing_function FROM fx_passed) x) y GROUP BY name, chunk""",
+    edges="fx_callgraph", **_TABLES,
+)
+def n3_function_index(fun, rows, assigns, edges):
+    calls = with_args(rows)
+    return N.function_index(fun, calls, assigns)["callers"].select("name", "chunk", shown("callers").alias("callers"))
 
 
 @query(f"SELECT name, flag FROM {_INITIAL}", **_TABLES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemine.operators.ordered import shared_folder
@@ -44,6 +44,25 @@ def s1_read_trace_log(rows):
     return log.select("instr", "kind", F.col("fileTaintMatch.filename").alias("filename"), F.coalesce("sourceTraceId.astLocId", "attackPoint.srcInfo.astLocId").alias("loc_id"))
 
 
+@query(
+    """SELECT concat(trace_id, ':', seq) AS instr, kind, filename, CASE WHEN kind IN ('sourceTraceId', 'attackPoint') THEN loc_id END AS loc_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS seq FROM fx_entry""",
+    rows="fx_entry",
+)
+def s1_read_json_arrays(rows):
+    """A root array per trace, whose names of files hold braces, quotes and backslashes; seq is the entry's number in it."""
+    spark, path = rows.sparkSession, _folder(rows.sparkSession)
+    odd = "}{\\\"]["
+    named = rows.withColumn("filename", F.concat(F.lit(odd), "filename"))
+    text = F.to_json(F.struct(*_entries(named).columns))
+    each = _entries(named).select(text.alias("value"), F.split("instr", ":")[0].alias("trace_id"), F.split("instr", ":")[1].cast("long").alias("seq"))
+    first = F.row_number().over(Window.partitionBy("trace_id").orderBy("seq")) == 1
+    lines = each.withColumn("value", F.concat(F.when(first, "[").otherwise(","), "value")).unionByName(each.groupBy("trace_id").agg(F.max("seq").alias("seq")).withColumn("value", F.lit("]")))
+    lines.repartition("trace_id").sortWithinPartitions("trace_id", "seq", "value").select("value", "trace_id").write.partitionBy("trace_id").text(path)
+    log = S.read_trace_log(spark, path, "json_array")
+    name = F.expr("substr(fileTaintMatch.filename, 7)")
+    return log.select("instr", "kind", name.alias("filename"), F.coalesce("sourceTraceId.astLocId", "attackPoint.srcInfo.astLocId").alias("loc_id"), "seq")
+
+
 _STRINGS = "SELECT CAST(c_custkey AS INT) AS id, concat(c_name, chr(9), c_mktsegment) AS value FROM customer"
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemine.operators.ordered import shared_folder
+from tracemine.operators.ordered import shared_folder, sum_so_far
 from tracemine.schemas import KINDS, PLOG
 
 #: One function fact per row; exactly one of the structs is set.
@@ -23,17 +23,51 @@ FACTS = (
 def read_trace_log(spark: SparkSession, path: str, fmt: str = "jsonl") -> DataFrame:
     """The entries of the logs at path with ``trace_id`` (the file), ``seq`` (their order in it) and ``kind``.
 
-    fmt ``jsonl`` has an entry per line and is read in parallel, ``json_array`` one array per file. seq grows in file order but is not dense:
-    it is the place of the split in its file, and the place of the entry in the split. Entries that are not JSON objects of the schema have kind null.
+    fmt ``jsonl`` has an entry per line, ``json_array`` one array of objects per file; both are read in parallel, also within a file. For lines seq grows in file order but is not dense:
+    it is the place of the split in its file, and the place of the entry in the split. For arrays it is the entry's number. Lines that are not JSON objects of the schema have kind null, and so have such objects of an array.
     """
-    reader = spark.read.schema(PLOG)
     if fmt == "json_array":
-        reader = reader.option("multiLine", True)
-    elif fmt != "jsonl":
+        return _with_kind(read_json_array(spark, path))
+    if fmt != "jsonl":
         raise ValueError(f"fmt is jsonl or json_array, not {fmt}")
-    place = F.monotonically_increasing_id()  # within a partition it grows by one with each entry
-    rows = reader.json(path).select("*", F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("__block"), place.alias("__place"))
-    return _with_kind(rows.withColumn("seq", F.col("__block") * F.lit(1 << 20) + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)))).drop("__block", "__place")
+    rows = spark.read.schema(PLOG).json(path).select("*", F.col("_metadata.file_path").alias("trace_id"), _place().alias("seq"))
+    return _with_kind(rows)
+
+
+def _place():
+    """Grows in the order of a file: the place of the split, and the place of the row in the partition, where it grows by one with each row."""
+    return F.col("_metadata.file_block_start") * F.lit(1 << 20) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+
+
+#: Fixed patterns: what follows a backslash; a string of JSON, or the rest of a text in which one is not closed; what precedes the next object of an array.
+_ESCAPED, _STRING, _BETWEEN = r"\\.", r'"[^"]*+(?:"|\z)', r'^(?:[^{"]++|"(?:[^"\\]++|\\.)*+")*+'
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str = PLOG) -> DataFrame:
+    """The objects in the root arrays of the files at path: the columns of schema, ``trace_id`` (the file) and ``seq`` (the object's number in it, from 0 on).
+
+    A file is read as pieces that end with a closing brace, wherever that stands, so byte ranges of one file are read by several tasks. A quote without a backslash opens or closes a string; so
+    how many of them there were before a piece tells whether it begins in a string, and with that its braces and brackets outside of strings, how deep it ends. Both are sums over
+    ordered ranges, as is the number of pieces that ended an object of the root array before, which puts an object's pieces together. Elements that are not objects are left out; an object that does not fit the schema is null in all columns.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("trace_id"), _place().alias("at"), "value")
+    # what is escaped holds no quote that counts, and no brace
+    bare = F.regexp_replace("value", _ESCAPED, "")
+    inside = F.concat(F.lit('"'), bare)  # as it reads if it begins in a string
+    outside = lambda text: F.regexp_replace(text, _STRING, "")
+    many = lambda text, chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    # whether the brace that ends a piece closes an object depends on whether the piece ends in a string
+    quotes, odd = many(bare, '"'), lambda n: n % 2 == 1
+    depth = lambda text, n: many(outside(text), "{[") - many(outside(text), "]") - F.when(odd(n), 0).otherwise(1)
+    slim = pieces.select("trace_id", "at", quotes.alias("quotes"), depth(bare, quotes).alias("plain"), depth(inside, quotes + 1).alias("quoted"))
+    known = sum_so_far(slim, ["trace_id"], "at", F.col("quotes"), "before")
+    known = known.select("trace_id", "at", F.when(odd(F.col("before")), F.col("quoted")).otherwise(F.col("plain")).alias("step"), odd(F.col("before") + F.col("quotes")).alias("open"))
+    level = sum_so_far(known, ["trace_id"], "at", F.col("step"), "level")
+    ends = level.select("trace_id", "at", ((F.col("level") + F.col("step") == 1) & ~F.col("open")).alias("ends"))
+    numbered = sum_so_far(ends, ["trace_id"], "at", F.col("ends").cast("int"), "seq").select("trace_id", "at", "seq", "ends")
+    parts = pieces.join(numbered, ["trace_id", "at"]).groupBy("trace_id", "seq").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("p"), F.max("ends").alias("whole"))
+    text = F.regexp_replace(F.concat(F.array_join(F.col("p.value"), "}"), F.lit("}")), _BETWEEN, "")
+    return parts.where("whole").select(F.from_json(text, schema).alias("o"), "trace_id", "seq").select("o.*", "trace_id", "seq")
 
 
 def _with_kind(log: DataFrame) -> DataFrame:
