@@ -1,6 +1,7 @@
 """Closed forms against sequential models on random inputs, and the queries against DuckDB."""
 
 import glob
+import hashlib
 import os
 import random
 from collections import Counter
@@ -197,6 +198,45 @@ def test_callers_come_in_chunks(spark, monkeypatch):
     assert [r["chunk"] for r in rows] == [0, 1, 2, 3, 4] and [x for r in rows for x in r["callers"]] == [f"c{i:03d}" for i in range(45)] and max(len(r["callers"]) for r in rows) == 10
 
 
+def test_free_ranges_equal_draws_by_hand(spark):
+    """Extra DUAs are drawn from the active older ones in the order of their interval's size, start and number; what is dead, taken or newer is never used."""
+    rng = random.Random(21)
+    lives = []
+    for i in range(120):
+        size, start = rng.randint(3, 9), i * 3 + rng.randrange(3)
+        labels = [None if rng.random() < 0.1 else rng.sample(range(400), 2) for _ in range(size)]
+        lives.append(("t", i, start, None if rng.random() < 0.3 else start + rng.randrange(1, 200), labels, [None if rng.random() < 0.5 else start + rng.randrange(250) for _ in range(size)]))
+    bugs = [(b, "t", p := rng.randrange(400), rng.randrange(p + 1), rng.sample(range(400), 8), rng.random() < 0.3) for b in range(150)]
+    last, expected = max(b[2] for b in bugs), {}
+    for bug, _, p, before, labels, _ in bugs:
+        active = []
+        for _, i, start, end, byte_labels, deaths in lives:
+            high = last if end is None else min(end - 1, last)
+            if start < before and start <= p <= high:
+                level = max(k for k in range(12) if p >> k << k >= start and ((p >> k) + 1 << k) - 1 <= high)
+                active.append((level, start, i, byte_labels, deaths))
+        active.sort(key=lambda a: a[:3])
+        known, got = set(labels), []
+        for i in range(2):
+            for k in range(2):
+                if len(active) <= 2:
+                    break
+                _, _, dua, byte_labels, deaths = active[int(hashlib.md5(f"5:{i}:{bug}:{k}".encode()).hexdigest()[:13], 16) % len(active)]
+                ok = [b is not None and (d is None or d > p) and not set(b) & known for b, d in zip(byte_labels, deaths, strict=True)]
+                low = next((x for x in range(len(ok) - 3) if all(ok[x : x + 4])), None)
+                if low is not None:
+                    got.append((dua, low))
+                    known |= {x for b in byte_labels[low : low + 4] for x in b}
+                    break
+            if len(got) <= i:
+                break
+        if len(got) == 2:
+            expected[bug] = got
+    rows = spark.createDataFrame(lives, "trace_id string, dua long, start long, end long, labels array<array<int>>, deaths array<long>")
+    found = generation.pick_free_ranges(spark.createDataFrame(bugs, "bug long, trace_id string, probe_seq long, start long, labels array<int>, fake_dua boolean"), rows, 2, seed=5)
+    assert {r["bug"]: list(zip(r["extra_duas"], r["extra_lows"], strict=True)) for r in found.collect()} == expected and len(expected) > 10
+
+
 def test_lifetimes_of_long_files(spark):
     """seq of a large log's later splits is far above the number of its entries."""
     far = 1 << 60

@@ -11,8 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.functions.scalars import disjoint, first_run_at_least, labels_in_range, longest_run
-from tracemine.operators.mining import active_duas
+from tracemine.functions.scalars import disjoint, first_dead_run, first_run_at_least, labels_in_range, longest_run
+from tracemine.operators.mining import active_duas, dyadic
 from tracemine.operators.ordered import greatest_before, least_after, shared_folder, sum_so_far
 from tracemine.operators.replay import liveness_asof
 from tracemine.schemas import MAGIC
@@ -226,6 +226,43 @@ def pick_extra_duas(bugs: DataFrame, duas: DataFrame, n: int, tries: int = 2, se
     return now.where(F.col("fake_dua") | (F.size("labels") >= 4 * n)).select("bug", "extra_duas")
 
 
+def pick_free_ranges(bugs: DataFrame, lifetimes: DataFrame, n: int, tries: int = 2, seed: int = 0, size: int = MAGIC) -> DataFrame:
+    """bugs with ``extra_duas`` and ``extra_lows``: n DUAs that are active at the bug's probe and older than its trigger, and of each the first ``size`` bytes that are alive there and free of all labels so far.
+
+    bugs: ``bug``, ``trace_id``, ``probe_seq``, ``start`` (the trigger's), ``labels`` (those of the trigger's bytes and of what was chosen before), ``fake_dua`` (the trigger's). lifetimes: ``trace_id``, ``dua``, ``start``, ``end``,
+    ``labels`` and ``deaths`` by byte. In each round up to ``tries`` of the active older DUAs are drawn by md5(seed:round:bug:try), and the first with such bytes is taken; its bytes' labels count from then on.
+    Bugs with n such DUAs or fewer, or left short, are dropped, and so are those of real triggers with fewer than 4 n labels in the end.
+
+    A lifetime lies in dyadic intervals, of which a probe meets one of each size. The older ones in an interval are counted by an ordered pass, so a draw is a rank below the sum of these counts, which says
+    the interval and the rank in it, and is found by an equi-join: no pairs of bugs and active DUAs are formed.
+    """
+    shared_folder(bugs.sparkSession)
+    asked, dealt = dyadic(bugs.select("bug", "trace_id", "probe_seq", "start"), lifetimes.select("trace_id", "dua", "start", "end"))
+    keys = ["trace_id", "__level", "__place"]
+    counted, ranked = _drawable(asked, "start", dealt.select(*keys, "dua", F.col("start").alias("x_start")), "x_start", "dua", keys)
+    ranked = ranked.select(*keys, "dua", "rank").checkpoint()
+    node = F.struct(F.col("__level").alias("level"), F.col("__place").alias("place"), F.col("eligible").alias("n"))
+    nodes = counted.where("eligible > 0").groupBy("bug").agg(F.array_sort(F.collect_list(node)).alias("nodes"), F.sum("eligible").alias("older"))  # an interval of each size
+    now = bugs.join(nodes.where(F.col("older") > n), "bug").select("bug", "trace_id", "probe_seq", "labels", "fake_dua", "nodes", "older", F.array().cast("array<bigint>").alias("extra_duas"), F.array().cast("array<int>").alias("extra_lows")).checkpoint()
+
+    def located(s, x):
+        """The interval that holds the rank, and the rank in it; s: how many ranks are left, and the interval found."""
+        here = s["found"].isNull() & (s["left"] < x["n"])
+        return F.struct(F.when(s["found"].isNotNull() | here, s["left"]).otherwise(s["left"] - x["n"]).alias("left"), F.when(here, F.struct(x["level"].alias("level"), x["place"].alias("place"))).otherwise(s["found"]).alias("found"))
+
+    for i in range(n):
+        each = now.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("drawn", F.pmod(_draw(seed, F.lit(i), "bug", "try"), F.col("older")))
+        begin = F.struct(F.col("drawn").alias("left"), F.lit(None).cast("struct<level: int, place: bigint>").alias("found"))
+        each = each.withColumn("at", F.aggregate("nodes", begin, located)).withColumns({"__level": F.col("at.found.level"), "__place": F.col("at.found.place"), "rank": F.col("at.left")})
+        full = each.drop("at", "drawn").join(ranked, [*keys, "rank"]).join(lifetimes.select("dua", F.col("labels").alias("x_labels"), F.col("deaths").alias("x_deaths")), "dua")
+        ok = F.zip_with("x_labels", "x_deaths", lambda b, d: F.coalesce(b.isNotNull() & (d.isNull() | (d > F.col("probe_seq"))) & disjoint(b, F.col("labels")), F.lit(False)))
+        fit = full.withColumn("run", first_dead_run(ok, size)).where("run.high > 0")
+        both = F.array_union("labels", labels_in_range("x_labels", F.col("run.low"), F.col("run.high")))
+        got = F.struct("trace_id", "probe_seq", both.alias("labels"), "fake_dua", "nodes", "older", F.array_append("extra_duas", F.col("dua")).alias("extra_duas"), F.array_append("extra_lows", F.col("run.low")).alias("extra_lows"))
+        now = fit.groupBy("bug").agg(F.min_by(got, "try").alias("b")).select("bug", "b.*")
+    return now.where(F.col("fake_dua") | (F.size("labels") >= 4 * n)).select("bug", "extra_duas", "extra_lows")
+
+
 def bug_max_liveness(bugs: DataFrame, branches: DataFrame) -> DataFrame:
     """``bug``, ``max_liveness``: the most branches that a label of the trigger (``labels``) had decided when the bug was made (``seq``)."""
     events = bugs.select("bug", "inputfile", "seq", F.explode("labels").alias("label"))

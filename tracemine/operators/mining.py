@@ -146,12 +146,8 @@ def ancestors(at):
     return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: F.struct(k.alias("level"), _shift(at, k).alias("place")))
 
 
-def active_duas(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -> DataFrame:
-    """Pairs of probes (``trace_id``, ``probe_seq``) and DUAs (``start``, ``end``) alive there: start <= probe < end; with strict, start < probe.
-
-    A lifetime is made up of dyadic intervals, two for each doubling of its length at most, and a probe lies in one of each size; they are equi-joined on (trace, size,
-    place). So each pair meets once, a long lifetime costs few rows, and a single trace spreads over many tasks. Sizes that no lifetime uses drop out of the join.
-    """
+def dyadic(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """probes and lifetimes, dealt to dyadic intervals (``__level``, ``__place`` of a trace): a probe meets each lifetime that holds it in one of them."""
     last = probes.groupBy("trace_id").agg(F.max("probe_seq").alias("__last"))
     low = F.col("start") + 1 if strict else F.col("start")
     high = F.least(F.coalesce(F.col("end") - 1, F.col("__last")), "__last")
@@ -161,6 +157,16 @@ def active_duas(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -
     levels = [r[0] for r in dealt.select("__level").distinct().collect()]  # LEVELS + 1 at most
     own = F.filter(ancestors(F.col("probe_seq")), lambda x: x["level"].isin(levels))
     asked = probes.withColumn("__in", F.explode(own)).withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in")
+    return asked, dealt
+
+
+def active_duas(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -> DataFrame:
+    """Pairs of probes (``trace_id``, ``probe_seq``) and DUAs (``start``, ``end``) alive there: start <= probe < end; with strict, start < probe.
+
+    A lifetime is made up of dyadic intervals, two for each doubling of its length at most, and a probe lies in one of each size; they are equi-joined on (trace, size,
+    place). So each pair meets once, a long lifetime costs few rows, and a single trace spreads over many tasks. Sizes that no lifetime uses drop out of the join.
+    """
+    asked, dealt = dyadic(probes, lifetimes, strict)
     return asked.join(dealt, ["trace_id", "__level", "__place"]).drop("__level", "__place")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracemine.functions.scalars import labels_in_range
 from tracemine.operators import generation as G
 from tracemine.operators.attack import bug_kinds_for_atp
 from tracemine.operators.replay import liveness_snapshot
@@ -250,6 +251,46 @@ def g9_pick_two_extra_duas(duas, labels):
     return G.pick_extra_duas(own.where("NOT fake_dua").withColumnRenamed("dua", "bug"), own, 2).select("bug", shown("extra_duas").alias("extra"))
 
 
+_LIVES = f"({_LIFE})"
+_LAST = "(SELECT max(probe_seq) AS last FROM (" + _PROBES + ") q)"
+#: The DUAs active at each probe, each with the size of the dyadic interval of its lifetime that holds the probe.
+_ACTIVE = f"""(SELECT p.probe_seq, l.seq, CAST(list_max(list_filter(range(0, 40), lambda k: (p.probe_seq >> k) << k >= l.seq AND ((p.probe_seq >> k) + 1 << k) - 1 <= least(coalesce(l."end" - 1, x.last), x.last))) AS INT) AS level
+    FROM ({_PROBES}) p JOIN {_LIVES} l ON l.seq <= p.probe_seq AND (l."end" IS NULL OR p.probe_seq < l."end"), {_LAST} x)"""
+#: A bug per probe: its trigger is the newest active DUA, of which it takes the first four bytes that are alive.
+_NEWEST = f"""(SELECT probe_seq AS bug, seq AS start FROM (SELECT probe_seq, seq, row_number() OVER (PARTITION BY probe_seq ORDER BY seq DESC) AS k FROM {_ACTIVE} a) y WHERE k = 1)"""
+
+
+def _windows(pairs: str, labels: str) -> str:
+    """The first four bytes of pairs' DUAs (``bug``, ``seq``, ``s`` and others) that are alive at the bug and free of the labels s, with their labels ``w``."""
+    return f"""SELECT c.*, f.low, (SELECT list(DISTINCT z.label) FROM (SELECT unnest([label1, label2]) AS label, seq, offset_ FROM {_DEADBYTES} d) z WHERE z.seq = c.seq AND z.offset_ >= f.low AND z.offset_ < f.low + 4) AS w FROM ({pairs}) c JOIN
+        (SELECT bug, seq, min(low) AS low FROM (SELECT bug, seq, min(offset_) AS low, count(*) AS n FROM (SELECT *, offset_ - row_number() OVER (PARTITION BY bug, seq ORDER BY offset_) AS g FROM
+          (SELECT DISTINCT c.bug, c.seq, b.offset_ FROM ({pairs}) c JOIN {_DEADBYTES} b ON b.seq = c.seq WHERE NOT b.untainted AND (b.dead_at IS NULL OR b.dead_at > c.bug) AND {labels}) x) y GROUP BY bug, seq, g) z WHERE n >= 4 GROUP BY bug, seq) f
+        ON f.bug = c.bug AND f.seq = c.seq"""
+
+
+def _free(i: int, bugs: str) -> str:
+    """A round of picking a free range for bugs (``bug``, ``s``)."""
+    ranks = f"(SELECT a.probe_seq AS bug, a.seq, row_number() OVER (PARTITION BY a.probe_seq ORDER BY a.level, a.seq) - 1 AS rank, count(*) OVER (PARTITION BY a.probe_seq) AS n FROM {_ACTIVE} a JOIN {_NEWEST} t ON t.bug = a.probe_seq AND a.seq < t.start)"
+    pairs = f"SELECT b.bug, b.s, r.seq, t.t FROM ({bugs}) b CROSS JOIN (VALUES (0), (1)) t(t) JOIN {ranks} r ON r.bug = b.bug AND r.n > 1 AND r.rank = {_drawn(f"'{i}'", 'b.bug', 't.t')} % r.n"
+    return f"SELECT bug, list_concat(s, w) AS s, concat(q.seq, '@', q.low) AS xs FROM (SELECT *, row_number() OVER (PARTITION BY bug ORDER BY t) AS k FROM ({_windows(pairs, 'NOT list_contains(c.s, b.label1) AND NOT list_contains(c.s, b.label2)')}) v) q WHERE k = 1"
+
+
+_TRIGGERED = f"SELECT bug, w AS s FROM ({_windows(f'SELECT bug, start AS seq, CAST([] AS INT[]) AS s FROM {_NEWEST} n', 'TRUE')}) h"
+
+
+@query(f"SELECT bug, xs AS extra FROM ({_free(0, _TRIGGERED)}) o WHERE len(list_distinct(s)) >= 4", probes=_PROBES, **_ROWS)
+def g9_pick_free_ranges(probes, rows, death):
+    """An extra DUA for a bug at each probe whose trigger is the newest active DUA."""
+    alive = lifetimes(rows, death).withColumn("dua", F.col("seq"))
+    steps = G.online_bugs(probes, alive)
+    newest = steps.groupBy("trace_id", "probe_seq").agg(F.max(F.struct("dua", "low")).alias("t")).select("trace_id", "probe_seq", F.col("t.dua").alias("dua"), F.col("t.low").alias("low"))
+    own = alive.select("dua", "start", F.col("labels").alias("own"))
+    taken = labels_in_range("own", F.col("low"), F.col("low") + 4)
+    bugs = newest.join(own, "dua").select(F.col("probe_seq").alias("bug"), "trace_id", "probe_seq", "start", taken.alias("labels"), F.lit(False).alias("fake_dua"))
+    found = G.pick_free_ranges(bugs, alive, 1)
+    return found.select("bug", F.array_join(F.zip_with("extra_duas", "extra_lows", lambda d, at: F.concat(d.cast("string"), F.lit("@"), at.cast("string"))), ",").alias("extra"))
+
+
 @query(
     """SELECT bug, max(n) AS max_liveness FROM (SELECT d.dua AS bug, l.label, count(b.seq) AS n FROM fx_dua d JOIN fx_dua_label l ON d.dua = l.dua
        LEFT JOIN fx_branch b ON b.inputfile = d.inputfile AND b.label = l.label AND b.seq <= d.instr GROUP BY d.dua, l.label) x GROUP BY bug""",
