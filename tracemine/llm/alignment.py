@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,7 +19,7 @@ from tracemine.llm.common import cut, empty_if_null, written
 #: The vocabulary files.
 BYTE_BPE, PIECES = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of the documents that share one table of units; characters of the units that a task remembers.
-CHUNK_CHARS, REMEMBERED = 3_000_000, 6_000_000
+CHUNK_CHARS, REMEMBERED = 3_000_000, 4_000_000
 #: Where a text may be cut for both tokenizers: a space between characters that are none. A's words start with such a space, and so do B's pieces.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: The characters by which byte-level vocabularies write the bytes; others than these ranges follow from 256 on, in order.
@@ -35,10 +34,10 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def byte_ends(spans: list[tuple[int, int]], vague: list[bool], tokens: list[bytes]) -> list[int]:
-    """Where each token ends, in bytes. Spans (start, end, in bytes) are coarse cuts; the end of a vague one, which shares a character with its neighbours, is refined by its decoded bytes."""
+def byte_ends(ends: list[int], vague: list[bool], tokens: list[bytes]) -> list[int]:
+    """Where each token ends, in bytes. ``ends`` of spans are coarse cuts; that of a vague token, which shares a character with its neighbours, is refined by its decoded bytes."""
     out, at = [], 0
-    for (_, end), unsure, token in zip(spans, vague, tokens, strict=True):
+    for end, unsure, token in zip(ends, vague, tokens, strict=True):
         at = at + len(token) if unsure else end
         out.append(at)
     return out
@@ -46,11 +45,20 @@ def byte_ends(spans: list[tuple[int, int]], vague: list[bool], tokens: list[byte
 
 def groups_of(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """The groups that common ends cut the tokens into, as how many tokens of each side there are up to their ends; and the pairs of tokens, as their places, that end together."""
-    cuts, links = [], []
-    for e in sorted(set(ends_a) & set(ends_b)):
-        a, b = bisect_right(ends_a, e), bisect_right(ends_b, e)
-        cuts.append((a, b))
-        links += [(i, j) for i in range(bisect_left(ends_a, e), a) for j in range(bisect_left(ends_b, e), b)]
+    cuts, links, i, j, n, m = [], [], 0, 0, len(ends_a), len(ends_b)
+    while i < n and j < m:
+        if ends_a[i] < ends_b[j]:
+            i += 1
+        elif ends_a[i] > ends_b[j]:
+            j += 1
+        else:
+            e, first, start = ends_a[i], i, j
+            while i < n and ends_a[i] == e:  # several, if a token has no bytes
+                i += 1
+            while j < m and ends_b[j] == e:
+                j += 1
+            cuts.append((i, j))
+            links += [(x, y) for x in range(first, i) for y in range(start, j)]
     return cuts, links
 
 
@@ -64,7 +72,7 @@ class Unit:
         self.ok, self.n_a, self.n_b, self.n_groups = ok, len(a), len(b), len(cuts)
         self.links = [(a[i] << 32) | b[j] for i, j in links]
         starts = [(0, 0), *cuts][: len(cuts)]
-        self.groups = ";".join(f"{','.join(map(str, a[s:e]))}|{','.join(map(str, b[t:f]))}" for (s, t), (e, f) in zip(starts, cuts, strict=True))
+        self.groups = ";".join([f"{','.join(map(str, a[s:e]))}|{','.join(map(str, b[t:f]))}" for (s, t), (e, f) in zip(starts, cuts, strict=True)])
 
 
 class Tokenizers:
@@ -103,16 +111,21 @@ class Tokenizers:
 
     def _unit(self, text: str, a, b) -> Unit:
         whole = (" " + text).encode()
-        ids_a, ids_b = a.ids, [p.id for p in b.pieces]
+        ids_a, pieces = a.ids, [(p.id, p.end) for p in b.pieces]
+        ids_b = [i for i, _ in pieces]
         tokens_a, tokens_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
         if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
             return Unit(ids_a, ids_b, [], [], False)
         # A's offsets count characters, of which tokens may share one; B's count the text's bytes, and pieces of single bytes have none of their own
-        at = list(range(len(whole) + 1)) if len(whole) == len(text) + 1 else np.concatenate(([0], np.cumsum([len(c.encode()) for c in " " + text]))).tolist()
         offsets = a.offsets
-        spans_a, vague_a = [(at[s], at[e]) for s, e in offsets], [s < e for (_, e), (s, _) in zip(offsets, [*offsets[1:], (len(text) + 1, 0)], strict=True)]
-        spans_b, vague_b = [(p.begin + 1, p.end + 1) for p in b.pieces], [self.is_byte[i] for i in ids_b]
-        return Unit(ids_a, ids_b, byte_ends(spans_a, vague_a, tokens_a), byte_ends(spans_b, vague_b, tokens_b), True)
+        if len(whole) == len(text) + 1:
+            ends_a = [e for _, e in offsets]
+        else:
+            at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in " " + text]))).tolist()
+            vague = [s < e for (_, e), (s, _) in zip(offsets, [*offsets[1:], (len(text) + 1, 0)], strict=True)]
+            ends_a = byte_ends([at[e] for _, e in offsets], vague, tokens_a)
+        ends_b = byte_ends([e + 1 for _, e in pieces], [self.is_byte[i] for i in ids_b], tokens_b)
+        return Unit(ids_a, ids_b, ends_a, ends_b, True)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: str, model: str, spans: bool) -> Iterator[pa.RecordBatch]:
@@ -125,10 +138,10 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: str, model: str, spans: boo
         each = [np.array([place.setdefault(u, len(place)) for u in both.cut(t)], np.int32) for t in texts]
         units = both.encode(list(place))
         sizes = np.array([[u.ok, u.n_a, u.n_b, u.n_groups, len(u.links)] for u in units], np.int64).reshape(-1, 5)
-        docs, used = [], np.zeros(len(units), np.int64)
+        docs, used = [], []
         for i, own in zip(ids, each, strict=True):
             if len(own) and sizes[own, 0].all():
-                used += np.bincount(own, minlength=len(units))
+                used.append(own)
                 said = ";".join([units[k].groups for k in own.tolist()])
                 docs.append((i, *sizes[own, 1:].sum(axis=0).tolist(), hashlib.sha256(said.encode()).hexdigest(), said if spans else None, own.tobytes()))
             else:
@@ -136,7 +149,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: str, model: str, spans: boo
         links = np.array([x for u in units for x in u.links], np.int64)
         pairs, places = np.unique(links, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
-        np.add.at(counts, places, np.repeat(used, sizes[:, 4]))
+        times = np.bincount(np.concatenate(used), minlength=len(units)) if used else np.zeros(len(units), np.int64)
+        np.add.at(counts, places, np.repeat(times, sizes[:, 4]))
 
         def batch(size: int, kind: int, columns: dict) -> pa.RecordBatch:
             fixed = {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int32))} | columns

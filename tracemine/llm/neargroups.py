@@ -37,6 +37,9 @@ class Scheme(Protocol):
     def read(self, signatures: list[bytes]) -> Any:
         """Fingerprints in the form that ``near`` takes."""
 
+    def allows(self, one: list[bytes], other: list[bytes]) -> np.ndarray:
+        """Which pairs of fingerprints are not ruled out."""
+
     def near(self, prints: Any, at: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the places in others those that may link with at, how close they are (larger is closer), and the first band that each shares with it."""
 
@@ -87,19 +90,16 @@ def stars(buckets: DataFrame) -> DataFrame:
     return buckets.join(per_salt(centres), ["key", "salt"]).where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
 
 
-def _maybe(batches: Iterator[pa.RecordBatch], percent: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
+def _maybe(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        prints = scheme.read([*b.column("one").to_pylist(), *b.column("other").to_pylist()])
-        n = b.num_rows
-        keep = [i for i in range(n) if len(scheme.near(prints, i, np.array([n + i]), percent)[0])]
-        at = pa.array(keep, pa.int64())
+        at = pa.array(np.flatnonzero(scheme.allows(b.column("one").to_pylist(), b.column("other").to_pylist())))
         yield pa.RecordBatch.from_arrays([b.column("u").take(at), b.column("v").take(at)], names=["u", "v"])
 
 
-def not_ruled_out(edges: DataFrame, nodes: DataFrame, percent: int, scheme: Scheme) -> DataFrame:
+def not_ruled_out(edges: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     """Those of edges that the fingerprints allow."""
     of = lambda k, name: nodes.select(F.col("node").alias(k), F.col("signature").alias(name))
-    return edges.join(of("u", "one"), "u").join(of("v", "other"), "v").mapInArrow(partial(_maybe, percent=percent, scheme=scheme), "u long, v long")
+    return edges.join(of("u", "one"), "u").join(of("v", "other"), "v").mapInArrow(partial(_maybe, scheme=scheme), "u long, v long")
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     """
     own = buckets.select("key", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = own.groupBy("key", "band", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    live = parts.groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0")
+    live = parts.groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0 AND n > 2")  # the star of a bucket of two is all of it
     live = live.groupBy("n", "sum").agg(F.min(F.struct("band", "key", "major", "minor")).alias("b")).select("n", "b.key", "b.major", "b.minor")
     rows, all_tiles, minor_tiles = own.join(live, "key"), F.ceil(F.col("n") / TILE), F.ceil(F.col("minor") / TILE)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
@@ -242,7 +242,7 @@ def labelled(docs: DataFrame, size: int, percent: int, scheme: Scheme) -> tuple[
     buckets = cut(buckets_of(nodes, scheme))
     texts = written(_texts(docs, buckets.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")))
     edges = stars(buckets)
-    labels = components(confirmed(cut(not_ruled_out(edges, nodes, percent, scheme) if scheme.prunes else edges), texts, size, percent))
+    labels = components(confirmed(cut(not_ruled_out(edges, nodes, scheme) if scheme.prunes else edges), texts, size, percent))
     for partners in (PARTNERS, None):
         found = cut(proposals(buckets, labels, nodes, percent, partners, scheme))
         proposed, more = found.agg(F.count("*"), F.coalesce(F.max("more"), F.lit(False))).first()

@@ -223,7 +223,7 @@ class WideRing:
 
     @property
     def bits(self) -> int:
-        return max(12, math.ceil(math.log2(self.nodes + 1)) + 1)
+        return max(12, math.ceil(math.log2(self.nodes + 1)) + 2)
 
     @property
     def keys(self) -> int:
@@ -240,25 +240,34 @@ class WideRing:
         raw = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, WIDE // 8)
         return raw.view(np.uint16), sampled(raw, self.bits, self.keys)
 
+    def allows(self, one: list[bytes], other: list[bytes]) -> np.ndarray:
+        found = np.zeros(len(one), bool)
+        words = [np.frombuffer(b"".join(x), np.uint16).reshape(-1, SEGMENTS) for x in (one, other)]
+        found[_within(np.bitwise_count(words[0] ^ words[1]))[0]] = True
+        return found
+
     def near(self, prints: tuple[np.ndarray, np.ndarray], at: int, others: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pigeonring: some chain of consecutive segments stays within its budget at each length; what has such a chain is checked in full."""
         words, values = prints
-        apart = np.bitwise_count(words[others] ^ words[at])
-        viable = np.zeros(len(others), bool)
-        for start in range(SEGMENTS):
-            left, total = np.flatnonzero(~viable), 0
-            for n, most in enumerate(BUDGETS):
-                total = total + apart[left, (start + n) % SEGMENTS].astype(np.int64)
-                left, total = left[total <= most], total[total <= most]
-                if not len(left):
-                    break
-            viable[left] = True
-        left = np.flatnonzero(viable)
-        whole = apart[left].sum(axis=1, dtype=np.int64)
-        left, whole = left[whole <= WIDE_DISTANCE], whole[whole <= WIDE_DISTANCE]
+        left, whole = _within(np.bitwise_count(words[others] ^ words[at]))
         return others[left], -whole, (values[others[left]] == values[at]).argmax(axis=1)
 
 
+def _within(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of differences by segment whose sum is WIDE_DISTANCE or less, and the sums. Pigeonring: of these some chain of consecutive segments stays within its budget at each length; only rows with such a chain are summed."""
+    viable = np.zeros(len(apart), bool)
+    for start in range(SEGMENTS):
+        left, total = np.flatnonzero(~viable), 0
+        for n, most in enumerate(BUDGETS):
+            total = total + apart[left, (start + n) % SEGMENTS].astype(np.int64)
+            left, total = left[total <= most], total[total <= most]
+            if not len(left):
+                break
+        viable[left] = True
+    left = np.flatnonzero(viable)
+    whole = apart[left].sum(axis=1, dtype=np.int64)
+    return left[whole <= WIDE_DISTANCE], whole[whole <= WIDE_DISTANCE]
+
+
 def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words = [normal(t.as_py() or "") for t in b.column("text")]
