@@ -197,7 +197,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: ``doc_id``, ``lang_pred``, ``score``, ``n_words``, and ``spans``: array of (``lang``, ``words``), runs of words in one language.
 
     A text's language is the one that labels most of its letters (ties: first by code point); score is its share of them. A null text,
-    one without a letter, or a model without languages gives ``und``, score 0 and no span. The whole text is read.
+    one without a letter, or a model without languages gives ``und``, score 0 and no span. The whole text is read. Rows that repeat are labelled alike and each kept, also without a doc_id; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -161,7 +161,10 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def quality(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
-    """One row per document: ``doc_id``, ``score`` (0 to 1, rounded to 9 places), ``predicted`` (1 if score >= accept). Null texts count as empty, and are scored like others."""
+    """One row per document: ``doc_id``, ``score`` (0 to 1, rounded to 9 places), ``predicted`` (1 if score >= accept). Null texts count as empty, and are scored like others.
+
+    Rows that repeat are scored alike and each kept, also without a doc_id; other columns are ignored, whatever their names; an empty table gives an empty result. Of labels that differ for one doc_id the largest counts.
+    """
     scored = docs.select("doc_id", scorer(docs, model)(empty_if_null("text")).alias("s")).select("doc_id", F.round("s", 9).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= accept).cast("int"))
 

@@ -9,10 +9,15 @@ from tracemine.llm import alignment, exact, imatch, langid, minhash, mixing, pie
 from tracemine.llm.common import held_out, table
 
 
+def _held_out():
+    """Rows without a doc_id are not held out."""
+    return F.coalesce(held_out(), F.lit(False))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score", "n_words", F.size("spans").alias("n_spans"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +37,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = toxicity.training_texts(docs, table(spark, sf_dir, "labels"))
     counts = toxicity.feature_counts(texts)
     model = toxicity.fit(toxicity.graded(texts, counts), counts)
-    return toxicity.toxicity(docs, model).withColumn("held_out", held_out())
+    return toxicity.toxicity(docs, model).withColumn("held_out", _held_out())
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 
 
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,8 @@ def fit(training: DataFrame, counts: DataFrame | None = None, grades: int = GRAD
 def toxicity(docs: DataFrame, model: Model, flag: float = FLAG) -> DataFrame:
     """One row per document: ``doc_id``, ``severity`` (the expected grade), ``grade`` (the likeliest; ties: the lower), ``score`` (P(grade > 0)), ``predicted`` (1 if score >= flag).
 
-    Null texts count as empty; a text without a feature gets the thresholds' probabilities. The whole text is read. Numbers are rounded to 9 places.
+    Null texts count as empty; a text without a feature gets the thresholds' probabilities. The whole text is read. Numbers are rounded to 9 places. Rows that repeat are graded alike and
+    each kept, also without a doc_id; other columns are ignored, whatever their names; an empty table gives an empty result. Of labels that differ for one doc_id the largest counts.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
