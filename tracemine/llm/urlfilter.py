@@ -18,7 +18,7 @@ DAMPING, THRESHOLD = 0.85, 0.1
 #: What all further rounds together may still add to the scores of all hosts together.
 TOLERANCE = 1e-6
 #: Rounds between checkpoints, at which the mass left is looked at.
-CUT_EVERY = 8
+CUT_EVERY = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed pattern: the host of an absolute link in a page.
