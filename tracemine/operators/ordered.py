@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written once as a table in the checkpoint folder. A checkpoint would run the last stage twice, for a count and for the files."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def placed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Adds ``__part``: rows by range of (keys, order); those that tie share a part. Written to the checkpoint folder, as parts must not change between two uses."""
-    shared_folder(df.sparkSession)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()).checkpoint()
+    return written(df.repartitionByRange(parts, *keys, order).withColumn("__part", F.spark_partition_id()))
 
 
 def _joined(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
