@@ -59,9 +59,11 @@ def dua_scope_join(duas: DataFrame, bodies: DataFrame) -> DataFrame:
     """Pairs of DUAs (``dua``, ``file``, ``line``, ``column``) and function bodies (``file``, ``function``, and begin and end line and column) that hold them.
 
     A place is one number, the line above the column; bodies are made up of dyadic intervals of such places, and a DUA lies in one of each size. So pairs are found by an equi-join, a file spreads over
-    many tasks, and the rows formed are those returned, however bodies nest. Lines are under 2**29, columns under 2**32.
+    many tasks, and the rows formed are those returned, however bodies nest. Lines are under 2**29, columns under 2**32. A place that many DUAs share is looked up once.
     """
     place = lambda line, column: F.col(line).cast("bigint") * (1 << 32) + F.col(column).cast("bigint")
     probes = duas.select("dua", F.col("file").alias("trace_id"), place("line", "column").alias("probe_seq"))
+    places = probes.select("trace_id", "probe_seq").distinct()
     spans = bodies.select("function", F.col("file").alias("trace_id"), place("begin_line", "begin_column").alias("start"), (place("end_line", "end_column") + 1).alias("end"))
-    return active_duas(probes, spans).select("dua", F.col("trace_id").alias("file"), "function")
+    inside = active_duas(places, spans).select("trace_id", "probe_seq", "function")
+    return probes.join(inside, ["trace_id", "probe_seq"]).select("dua", F.col("trace_id").alias("file"), "function")
