@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemine.operators.ordered import shared_folder
+from tracemine.operators.ordered import shared_folder, written
 
 
 class Lives:
@@ -103,6 +103,7 @@ def with_shards(events: DataFrame) -> DataFrame:
 
     A branch comes once to each shard that has a label of it, with those labels only; so shards can be replayed apart. Lvalues without labels are shards of their own.
     """
+    events = written(events)
     each = F.explode(F.array_distinct(F.flatten(F.filter("labels", lambda b: b.isNotNull())))).alias("label")
     own = events.where("lval IS NOT NULL").select("trace_id", "lval", each).distinct()
     least = own.groupBy("trace_id", "lval").agg(F.min("label").alias("least"))

@@ -5,13 +5,15 @@ Bytes are rows: ``trace_id``, ``seq`` (the query), ``inputfile``, ``lval``, ``of
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemine.functions.scalars import count_viable, first_dead_run, is_header_file, labels_in_range
 from tracemine.operators.lives import Lives, given, plain, with_shards
-from tracemine.operators.ordered import shared_folder, sum_so_far, with_next
+from tracemine.operators.ordered import least_after, sum_so_far, with_next, written
 from tracemine.schemas import MAGIC
 from tracemine.sources.logs import first_by
 
@@ -49,23 +51,31 @@ def byte_death(rows: DataFrame, death: DataFrame) -> DataFrame:
     return rows.join(each.groupBy(*key).agg(F.min("death_seq").alias("dead_at")), key, "left")
 
 
-def dua_candidates(rows: DataFrame, n: int = MAGIC) -> DataFrame:
+def dua_candidates(rows: DataFrame, n: int = MAGIC, death: DataFrame | None = None) -> DataFrame:
     """One row per query: arrays by offset, label union, maxima, and whether it is real now.
 
-    rows: bytes with ``viable``, ``dead_at``, ``len`` and ``num_tainted``. Real: num_tainted, viable bytes and labels are n each at least, and n consecutive
+    rows: bytes with ``viable``, ``len``, ``num_tainted`` and, without death, ``dead_at``. With death (``inputfile``, ``label``, ``death_seq``), that is looked up once per query and label instead of once per byte. Real: num_tainted, viable bytes and labels are n each at least, and n consecutive
     viable bytes are not too live yet. Columns: ``trace_id``, ``seq``, ``inputfile``, ``lval``, ``ptrs``, ``tcns``, ``labels``, ``deaths``, ``all_labels``, ``max_tcn``,
     ``max_cardinality``, ``low``, ``high``, ``real``; arrays have null where a byte is not viable. A query without viable bytes has no row.
     """
     kept = rows.where("viable")
-    byte = F.map_from_entries(F.array_sort(F.collect_list(F.struct("offset", F.struct("ptr", "tcn", "labels", "dead_at")))))
+    parts = ["ptr", "tcn", "labels", *(["dead_at"] if death is None else [])]
     grouped = kept.groupBy("trace_id", "seq").agg(
         F.first("inputfile").alias("inputfile"), F.first("lval").alias("lval"), F.max("len").cast("int").alias("len"), F.max("num_tainted").alias("num_tainted"),
-        byte.alias("b"), F.max("tcn").alias("max_tcn"), F.max(F.size("labels")).alias("max_cardinality"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("offset", F.struct(*parts))))).alias("b"), F.max("tcn").alias("max_tcn"), F.max(F.size("labels")).alias("max_cardinality"),
     )
-    at = lambda k: F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.try_element_at("b", i)[k])
-    arrays = grouped.select("*", at("ptr").alias("ptrs"), at("tcn").alias("tcns"), at("labels").alias("labels"), at("dead_at").alias("deaths"))
+    slots = F.transform(F.sequence(F.lit(0), F.col("len") - 1), lambda i: F.try_element_at("b", i))
+    arrays = grouped.withColumn("slots", slots).drop("b").withColumns({"ptrs": F.col("slots.ptr"), "tcns": F.col("slots.tcn"), "labels": F.col("slots.labels")})
+    if death is None:
+        arrays = arrays.withColumn("deaths", F.col("slots.dead_at")).drop("slots")
+    else:
+        arrays = written(arrays.drop("slots").withColumn("all_labels", labels_in_range("labels", F.lit(0), F.size("labels"))))
+        each = arrays.select("trace_id", "seq", "inputfile", F.explode("all_labels").alias("label")).join(death, ["inputfile", "label"])
+        dying = each.groupBy("trace_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("label", "death_seq"))).alias("dying"))
+        first = lambda b: F.array_min(F.transform(b, lambda x: F.try_element_at("dying", x)))
+        arrays = arrays.join(dying, ["trace_id", "seq"], "left").withColumn("deaths", F.transform("labels", first)).drop("dying")
     alive = F.zip_with("ptrs", "deaths", lambda p, d: p.isNotNull() & (d.isNull() | (d > F.col("seq"))))
-    ready = arrays.withColumns({"run": first_dead_run(alive, n), "all_labels": labels_in_range("labels", F.lit(0), F.size("labels"))})
+    ready = arrays.withColumn("run", first_dead_run(alive, n)).withColumn("all_labels", F.col("all_labels") if death is not None else labels_in_range("labels", F.lit(0), F.size("labels")))
     real = (F.col("num_tainted") >= n) & (count_viable("ptrs") >= n) & (F.size("all_labels") >= n) & (F.col("run.high") > 0)
     return ready.select("trace_id", "seq", "inputfile", "lval", "ptrs", "tcns", "labels", "deaths", "all_labels", "max_tcn", "max_cardinality", F.col("run.low").alias("low"), F.col("run.high").alias("high"), real.alias("real"))
 
@@ -116,9 +126,11 @@ def dua_lifetimes(found: DataFrame, branches: DataFrame | None = None, n: int =
     rows = found.withColumn("__death", F.when(F.col("fake_dua"), never).otherwise(last))
     if branches is not None:
         marked = rows.where("ast_name LIKE '%nodua%' AND NOT fake_dua").select("trace_id", "lval", "seq", "inputfile", F.explode("all_labels").alias("label"))
-        touched = marked.join(branches.select("inputfile", "label", F.col("seq").alias("__at")), ["inputfile", "label"]).where("__at > seq").groupBy("trace_id", "lval", "seq").agg(F.min("__at").alias("__touched"))
+        both = marked.unionByName(branches.select("inputfile", "label", "seq", F.col("seq").alias("__at")), allowMissingColumns=True)
+        first = least_after(both, ["inputfile", "label"], "seq", "__at", "__first").where("__at IS NULL AND __first IS NOT NULL")
+        touched = first.groupBy("trace_id", "lval", "seq").agg(F.min("__first").alias("__touched"))
         rows = rows.join(touched, ["trace_id", "lval", "seq"], "left").withColumn("__death", F.least("__death", F.coalesce("__touched", never))).drop("__touched")
-    rows = with_next(rows, ["trace_id", "lval"], "seq", [], "__after").withColumn("__next", F.coalesce("__after.seq", never))
+    rows = with_next(written(rows), ["trace_id", "lval"], "seq", [], "__after").withColumn("__next", F.coalesce("__after.seq", never))
     end = F.least("__next", "__death")
     reason = F.when(end == never, "alive").when(F.col("__next") <= F.col("__death"), "replaced").otherwise("died")
     return rows.select(*found.columns, F.col("seq").alias("start"), F.when(end < never, F.greatest(end, F.col("seq"))).alias("end"), reason.alias("reason"))
@@ -152,8 +164,7 @@ def dyadic(probes: DataFrame, lifetimes: DataFrame, strict: bool = False) -> tup
     low = F.col("start") + 1 if strict else F.col("start")
     high = F.least(F.coalesce(F.col("end") - 1, F.col("__last")), "__last")
     spans = lifetimes.join(last, "trace_id").where(low <= high).withColumn("__in", F.explode(cover(low, high))).drop("__last")
-    shared_folder(spans.sparkSession)
-    dealt = spans.withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in").checkpoint()  # for the levels, and for the join
+    dealt = written(spans.withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in"))  # for the levels, and for the join
     levels = [r[0] for r in dealt.select("__level").distinct().collect()]  # LEVELS + 1 at most
     own = F.filter(ancestors(F.col("probe_seq")), lambda x: x["level"].isin(levels))
     asked = probes.withColumn("__in", F.explode(own)).withColumns({"__level": F.col("__in.level"), "__place": F.col("__in.place")}).drop("__in")
@@ -175,28 +186,35 @@ def replay_exact(events: DataFrame, max_liveness: int, n: int = MAGIC, erase_sib
 
     events: ``trace_id``, ``seq``, ``lval`` (null for a branch) and ``labels``: an array by byte for queries, one array in it for branches; queries may bring
     ``num_tainted``, ``fake`` and ``nodua``. The rule is that of ``Lives``; with erase_siblings, siblings of a DUA that died are not looked at again through its labels (which dua_lifetimes does not repeat).
-    A trace is cut into shards, whose lvalues share no label with others, and each is replayed in a task of its own; shard_sizes tells how large they are.
+    A trace is cut into shards, whose lvalues share no label with others, and each is replayed in order in one task; shard_sizes tells how large they are. A task reads batch by batch,
+    and keeps what is alive only: a number per label, a DUA per lvalue.
     """
 
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        trace, out, since = rows["trace_id"].iloc[0], [], {}
-        lives = Lives(max_liveness, n, erase_siblings, {}, {}, {})
-        for r in rows.sort_values("seq").itertuples():
-            labels = plain(r.labels)
-            if r.lval is None:
-                happened = lives.branch(x for b in labels for x in b or ())
-            else:
-                happened = lives.query(r.seq, r.lval, labels, given(r, "num_tainted"), bool(given(r, "fake", False)), bool(given(r, "nodua", False)))
-            for lval, seq, what in happened:
-                if what == "born":
-                    since[lval] = seq
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, lives, since = None, None, {}
+        framed = lambda out: pd.DataFrame(out, columns=["trace_id", "lval", "seq", "end", "reason"]).astype({"seq": "int64", "end": "Int64"})
+        for rows in batches:
+            out = []
+            for r in rows.itertuples():
+                if shard != (r.trace_id, r.shard):
+                    out += [(shard[0], lval, seq, None, "alive") for lval, seq in since.items()]
+                    shard, lives, since = (r.trace_id, r.shard), Lives(max_liveness, n, erase_siblings, {}, {}, {}), {}
+                labels = plain(r.labels)
+                if r.lval is None:
+                    happened = lives.branch(x for b in labels for x in b or ())
                 else:
-                    out.append((trace, lval, seq, r.seq, what))
-                    del since[lval]
-        out += [(trace, lval, seq, None, "alive") for lval, seq in since.items()]
-        return pd.DataFrame(out, columns=["trace_id", "lval", "seq", "end", "reason"]).astype({"end": "Int64"})
-
-    return with_shards(events).groupBy("trace_id", "shard").applyInPandas(replay, "trace_id string, lval string, seq long, end long, reason string")
+                    happened = lives.query(r.seq, r.lval, labels, given(r, "num_tainted"), bool(given(r, "fake", False)), bool(given(r, "nodua", False)))
+                for lval, seq, what in happened:
+                    if what == "born":
+                        since[lval] = seq
+                    else:
+                        out.append((r.trace_id, lval, seq, r.seq, what))
+                        del since[lval]
+            yield framed(out)
+        yield framed([(shard[0], lval, seq, None, "alive") for lval, seq in since.items()])
+
+    dealt = with_shards(events).repartition("trace_id", "shard").sortWithinPartitions("trace_id", "shard", "seq")
+    return dealt.mapInPandas(replay, "trace_id string, lval string, seq long, end long, reason string")
 
 
 def dua_bytes(found: DataFrame) -> DataFrame:
