@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemine.operators.ordered import shared_folder
+from tracemine.operators.ordered import shared_folder, written
 from tracemine.plans.mining_queries import _KINDS, LIMIT, all_kinds
 from tracemine.plans.registry import query
 from tracemine.sources import logs as S
@@ -143,18 +143,23 @@ def s12_truncate_for_rerun(bugs, sets, viable):
     return one.unionByName(two).unionByName(three)
 
 
+#: Rows of a batch, so that what a task of a stream takes at once does not grow with the table.
+BATCH_ROWS = 2_000_000
+
+
 def _followed(rows: DataFrame, operator, mode: str = "update", order: str | None = None, batches: int = 3) -> DataFrame:
-    """What a streaming operator has emitted when it has followed rows to their end, some files a batch; with order, rows arrive in that many batches, each beyond the one before."""
+    """What a streaming operator has emitted when it has followed rows to their end, some files a batch; with order, rows arrive in that many batches or, if they are many, in batches of about BATCH_ROWS, each beyond the one before."""
     spark, path = rows.sparkSession, _folder(rows.sparkSession)
     if order is None:
         rows.write.parquet(f"{path}/in")
         arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
     else:
-        kept = rows.checkpoint()
-        low, high = kept.agg(F.min(order), F.max(order)).first()
-        part = F.least(F.floor((F.col(order) - (low or 0)) * batches / ((high or 0) - (low or 0) + 1)), F.lit(batches - 1))
+        kept = written(rows)
+        batches = max(batches, -(-kept.count() // BATCH_ROWS))
+        kept.repartitionByRange(batches, order).withColumn("batch", F.spark_partition_id()).write.partitionBy("batch").parquet(f"{path}/dealt")
+        dealt = spark.read.schema(rows.withColumn("batch", F.lit(0)).schema).parquet(f"{path}/dealt")
         for i in range(batches):  # files are followed in the order in which they were written
-            kept.where(part == i).coalesce(1).write.mode("append").parquet(f"{path}/in")
+            dealt.where(F.col("batch") == i).select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{path}/in")
         arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
 
     def keep(batch: DataFrame, number: int) -> None:
