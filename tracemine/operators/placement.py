@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemine.operators.ordered import shared_folder
+from tracemine.operators.ordered import greatest_before, least_after, shared_folder
 from tracemine.sources.logs import numbered
 
 _MOD = 1 << 32
@@ -120,11 +120,16 @@ def parse_solutions(lines: DataFrame) -> DataFrame:
 def locate_trigger_line(bugs: DataFrame, lines: DataFrame) -> DataFrame:
     """``bug``, ``found_line``: of the lines (``file``, ``line``, ``text``) of its file that contain ``(0x<magic>`` the nearest to its old line; of two the first. Bugs without one have null.
 
-    What a line holds after each ``(0x``, cut at every length that a magic value can have, is equi-joined to the bugs, so a bug meets only lines that match.
+    What a line holds after each ``(0x``, cut at every length that a magic value can have, is put in order with the lines that bugs ask for, each of these once; ordered passes give the matching line before and the one after, so neither many bugs nor many lines of a value multiply.
     """
     digits = F.explode(F.regexp_extract_all("text", F.lit("\\(0x([0-9a-f]{1,16})"), F.lit(1)))
     cuts = lines.select("file", F.col("line").alias("at"), digits.alias("digits")).withColumn("size", F.explode(F.sequence(F.lit(1), F.length("digits"))))
     values = cuts.select("file", "at", F.left("digits", F.col("size")).alias("hex")).distinct()
-    hits = bugs.withColumn("hex", F.lower(F.hex("magic"))).join(values, ["file", "hex"])
+    asked = bugs.select("bug", "file", "line", F.lower(F.hex("magic")).alias("hex")).withColumn("order", F.coalesce(F.col("line").cast("long") * 2 + 1, F.lit(-(1 << 62))))
+    places = asked.where("hex IS NOT NULL").select("file", "hex", "order").distinct()
+    marked = places.unionByName(values.withColumn("order", F.col("at").cast("long") * 2), allowMissingColumns=True)
+    before = greatest_before(marked, ["file", "hex"], "order", "at", "before")
+    both = least_after(before, ["file", "hex"], "order", "at", "after").where("at IS NULL").select("file", "hex", "order", F.explode(F.filter(F.array("before", "after"), lambda x: x.isNotNull())).alias("at"))
+    hits = asked.join(both, ["file", "hex", "order"])
     nearest = hits.groupBy("bug").agg(F.min_by("at", F.struct(F.abs(F.col("at") - F.col("line")), F.col("at"))).alias("found_line"))
     return bugs.select("bug").join(nearest, "bug", "left")
