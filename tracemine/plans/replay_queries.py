@@ -64,7 +64,7 @@ def w5_call_intervals(calls):
     calls="fx_call",
 )
 def w6_call_traces(calls):
-    return W.call_traces(W.call_stack_at(calls.select("trace_id", "seq"), calls)).select("caller", "file")
+    return W.call_traces_at(calls.select("trace_id", "seq"), calls).select("caller", "file")
 
 
 _SETS = "(SELECT trace_id, ptr, arg_min(struct_pack(f := inputfile, a := label1, b := label2, s := seq), (seq, pos, price)) AS x FROM fx_elem WHERE label2 % 3 <> 0 GROUP BY trace_id, ptr)"
