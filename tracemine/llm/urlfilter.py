@@ -19,6 +19,8 @@ DAMPING, THRESHOLD = 0.85, 0.1
 TOLERANCE = 1e-6
 #: Rounds between checkpoints, at which the mass left is looked at.
 CUT_EVERY = 5
+#: Scores of so many hosts share a task.
+HOSTS_PER_TASK = 50_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed pattern: the host of an absolute link in a page.
@@ -69,12 +71,18 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tol
         seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("good").alias("mass")), F.struct(F.lit("distrust").alias("kind"), F.col("bad").alias("mass")))).alias("s"))
         .select("host", "s.kind", (F.col("s.mass") * (1 - damping)).alias("mass")).where("mass > 0")
     )
-    now = start.withColumn("left", F.col("mass"))
+    # an edge to itself keeps what a host has got, so a round reads the scores once and plans grow by one join a round
+    known = cut(steps.select("kind", "host").unionByName(steps.select("kind", F.col("dst").alias("host"))).unionByName(start.select("kind", "host")).distinct())
+    steps = cut(steps.unionByName(known.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))))
+    # scores of few hosts are kept in few partitions: a round's shuffle writes files for each of them
+    tasks = 1 + known.count() // HOSTS_PER_TASK
+    few = lambda df: df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+    now = few(start.withColumn("left", F.col("mass")))
     while (now.agg(F.sum("left")).first()[0] or 0.0) / (1 - damping) * damping / (1 - damping) > tolerance:
         for _ in range(CUT_EVERY):
-            moved = now.where("left > 0").join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("left") * F.col("share")).alias("left"))
-            both = now.withColumn("left", F.lit(0.0)).unionByName(moved.withColumn("mass", F.col("left")))
-            now = both.groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("left").alias("left"))
+            moved, stays = F.col("left") * F.col("share"), F.col("share").isNull()
+            sent = now.join(steps, ["kind", "host"]).where(stays | (F.col("left") > 0))
+            now = few(sent.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.when(stays, F.col("mass")).otherwise(moved)).alias("mass"), F.sum(F.when(stays, 0.0).otherwise(moved)).alias("left")))
         now = cut(now)
     by_kind = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(0.0)) / (1 - damping)
     return now.groupBy("host").agg(by_kind("trust").alias("trust"), by_kind("distrust").alias("distrust"))
