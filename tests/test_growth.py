@@ -72,3 +72,39 @@ def test_rounds_of_url_scores_do_not_double_plans(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "cut", lambda df: seen.append(df._jdf.queryExecution().logical().toString().count("Join")) or real(df))
     scores = urlfilter.propagated(edges, spark.createDataFrame([("a", 1.0, 0.0)], "host string, good double, bad double"))
     assert scores.agg(F.sum("trust")).first()[0] > 6.6 and max(seen) <= urlfilter.CUT_EVERY
+
+
+def test_deep_stacks_are_not_gathered(spark):
+    """A trace whose stack only gets deeper: frames of all stacks are a hundred times its entries, so none is put together from rows of frames."""
+    n = 400
+    calls = spark.range(n).select(F.lit("t").alias("trace_id"), F.col("id").alias("seq"), (F.col("id") % 5 < 4).alias("is_call"), F.concat(F.lit("f"), F.col("id") % 7).alias("callee"), F.lit("x").alias("callee_file"))
+    found = replay.call_stack_at(calls.select("trace_id", "seq"), calls)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    stack, expected = [], {}
+    for seq in range(n):
+        if seq % 5 == 4:
+            stack.pop()
+        expected[seq] = list(stack)
+        if seq % 5 < 4:
+            stack.append(f"f{seq % 7}")
+    assert {r["seq"]: [f["function"] for f in r["stack"]] for r in found.collect()} == expected and sum(map(len, expected.values())) > 40_000
+
+
+def test_stacks_at_any_probe(spark):
+    rng = random.Random(5)
+    entries = {t: sorted(rng.sample(range(300), 120)) for t in ("a", "b", "c")}
+    calls = [(t, s, rng.random() < p, rng.choice(["f", "g", None]), f"x{s % 3}") for (t, seqs), p in zip(entries.items(), (0.8, 0.5, 0.3), strict=True) for s in seqs]
+    probes = [(t, s) for t in ("a", "b", "c", "none", None) for s in [*rng.sample(range(310), 150), 5, 5, None]]
+    expected = {}
+    for t, s in probes:
+        stack = []
+        for trace, at, is_call, name, file in calls:
+            if trace == t and s is not None and (at < s or at == s and not is_call):
+                stack = [*stack, (name, file)] if is_call else stack[:-1]
+        expected[t, s] = stack
+    known = spark.createDataFrame([*calls, (None, 1, True, "f", "x"), ("a", None, True, "f", "x")], "trace_id string, seq long, is_call boolean, callee string, callee_file string")
+    asked = spark.createDataFrame(probes, "trace_id string, seq long")
+    found = replay.call_stack_at(asked, known).collect()
+    assert {(r["trace_id"], r["seq"]): [tuple(f) for f in r["stack"]] for r in found} == expected and len(found) == len(expected)
+    assert replay.call_stack_at(asked.limit(0), known).count() == 0
+    assert all(r["stack"] == [] for r in replay.call_stack_at(asked, known.limit(0)).collect())

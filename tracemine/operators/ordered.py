@@ -53,8 +53,8 @@ def sum_so_far(df: DataFrame, keys: list[str], order: str, value, name: str, tie
     return summed.withColumn(name, F.col("__own") + F.col("__before")).drop("__part", "__value", "__own", "__before")
 
 
-def lifted_sum(df: DataFrame, keys: list[str], order: str, step, name: str) -> DataFrame:
-    """Adds ``name``: the sum of step up to each row, less its least value so far where that is below 0: a level that steps down from 0 leave at 0."""
+def lifted_sum(df: DataFrame, keys: list[str], order: str, step, name: str, part: str = "__no") -> DataFrame:
+    """Adds ``name``: the sum of step up to each row, less its least value so far where that is below 0: a level that steps down from 0 leave at 0. ``part`` names a column for the row's range."""
     so_far = Window.partitionBy("__part", *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = placed(df.withColumn("__step", step.cast("long")), keys, order).withColumn("__sum", F.sum("__step").over(so_far)).withColumn("__least", F.min("__sum").over(so_far))
     totals = rows.groupBy("__part", *keys).agg(F.sum("__step").alias("__total"), F.min("__sum").alias("__low"))
@@ -62,7 +62,7 @@ def lifted_sum(df: DataFrame, keys: list[str], order: str, step, name: str) -> D
     totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0)))
     totals = totals.withColumn("__floor", F.least(F.lit(0), F.min(F.col("__before") + F.col("__low")).over(before))).drop("__total", "__low")
     level = F.col("__before") + F.col("__sum") - F.least("__floor", F.col("__before") + F.col("__least"))
-    return _joined(rows, totals, keys).withColumn(name, level).drop("__part", "__step", "__sum", "__least", "__before", "__floor")
+    return _joined(rows, totals, keys).withColumn(name, level).withColumnRenamed("__part", part).drop("__no", "__step", "__sum", "__least", "__before", "__floor")
 
 
 def with_next(df: DataFrame, keys: list[str], order: str, columns: list[str], name: str) -> DataFrame:
