@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracemine.llm import urlfilter
 from tracemine.operators import callgraph, cleaning, generation, mining, placement, replay
+from tracemine.plans import adapters, registry
 
 
 def test_pads_look_at_the_first_executions(spark, monkeypatch):
@@ -108,3 +109,17 @@ def test_stacks_at_any_probe(spark):
     assert {(r["trace_id"], r["seq"]): [tuple(f) for f in r["stack"]] for r in found} == expected and len(found) == len(expected)
     assert replay.call_stack_at(asked.limit(0), known).count() == 0
     assert all(r["stack"] == [] for r in replay.call_stack_at(asked, known.limit(0)).collect())
+
+
+def test_tasks_follow_the_rows_of_orders(spark, monkeypatch):
+    """Bytes of a larger table are dealt to more tasks than the session's, so a task's rows stay as many; d1 looks at its elements once."""
+    sf = "/root/testdata/sf0.001"
+    found = {}
+    for most in (10**9, 100):
+        monkeypatch.setattr(adapters, "ROWS_OF_TASK", most)
+        found[most] = registry.queries()["d1_query_bytes"](spark, sf)
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in found.values()]
+    assert "RepartitionByExpression" not in plans[0] and "RepartitionByExpression" in plans[1] and plans[0].count("Join") == 5
+    tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
+    assert adapters.view(spark, sf, "fx_bytes").rdd.getNumPartitions() == tasks > 8
+    assert sorted(map(tuple, found[100].collect())) == sorted(map(tuple, found[10**9].collect())) != []

@@ -23,14 +23,14 @@ LEVELS = 61
 MAX_LVAL = 100
 
 
-def query_bytes(queries: DataFrame, elements: DataFrame, sets: DataFrame, max_lval_size: int = MAX_LVAL) -> DataFrame:
+def query_bytes(queries: DataFrame, elements: DataFrame, sets: DataFrame, max_lval_size: int = MAX_LVAL, keep: tuple[str, ...] = ()) -> DataFrame:
     """Tainted bytes of the queries with the labels of their pointers, first seen at or before the query.
 
     queries: ``trace_id``, ``seq``, ``inputfile``, ``lval``, ``filename``, ``len``, ``instr``; those in header files are dropped. elements: ``trace_id``, ``seq``,
-    ``offset``, ``ptr``, ``tcn``; offsets from the capped length on are dropped, as are pointers not known yet.
+    ``offset``, ``ptr``, ``tcn`` and others to ``keep``; offsets from the capped length on are dropped, as are pointers not known yet.
     """
     capped = queries.where(~is_header_file("filename")).withColumn("len", F.least("len", F.lit(max_lval_size)))
-    inside = elements.select("trace_id", "seq", "offset", "ptr", "tcn").join(capped, ["trace_id", "seq"]).where("offset < len")
+    inside = elements.select("trace_id", "seq", "offset", "ptr", "tcn", *keep).join(capped, ["trace_id", "seq"]).where("offset < len")
     known = sets.select("trace_id", "ptr", "labels", "first_seq")
     return inside.join(known, ["trace_id", "ptr"]).where("first_seq <= seq").drop("first_seq")
 
