@@ -123,3 +123,9 @@ def test_tasks_follow_the_rows_of_orders(spark, monkeypatch):
     tasks = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 100)
     assert adapters.view(spark, sf, "fx_bytes").rdd.getNumPartitions() == tasks > 8
     assert sorted(map(tuple, found[100].collect())) == sorted(map(tuple, found[10**9].collect())) != []
+
+
+def test_fake_duas_take_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(adapters, "ROWS_OF_TASK", 100)
+    found = registry.queries()["d4_fake_duas"](spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString() and found.rdd.getNumPartitions() > 8 and found.count() > 0
