@@ -240,13 +240,21 @@ def labelled(docs: DataFrame, size: int, percent: int, scheme: Scheme) -> tuple[
     distinct = prints.where("n_shingles > 0").withColumn("salt", salt("doc_id")).groupBy("digest").agg(F.min("doc_id").alias("id"), salts_of(F.col("salt")).alias("salts"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     nodes = cut(distinct.withColumn("node", F.monotonically_increasing_id()))
     buckets = cut(buckets_of(nodes, scheme))
-    texts = written(_texts(docs, buckets.select("node").distinct().join(nodes.select("node", "digest", "id"), "node")))
+    read = lambda wanted: written(_texts(docs, wanted.distinct().join(nodes.select("node", "digest", "id"), "node")))
     edges = stars(buckets)
-    labels = components(confirmed(cut(not_ruled_out(edges, nodes, scheme) if scheme.prunes else edges), texts, size, percent))
+    if scheme.prunes:  # few members of the buckets are alike, so only their texts are read
+        edges = cut(not_ruled_out(edges, nodes, scheme))
+        texts = read(edges.select(F.explode(F.array("u", "v")).alias("node")))
+    else:
+        texts = read(buckets.select("node"))
+        edges = cut(edges)
+    labels = components(confirmed(edges, texts, size, percent))
     for partners in (PARTNERS, None):
         found = cut(proposals(buckets, labels, nodes, percent, partners, scheme))
         proposed, more = found.agg(F.count("*"), F.coalesce(F.max("more"), F.lit(False))).first()
         if proposed:
+            if scheme.prunes:
+                texts = read(found.select("node"))
             tiles = found.join(texts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
             labels = merged(labels, tiles.mapInArrow(partial(_checked, size=size, percent=percent), "u long, v long"))
         if not more:

@@ -287,6 +287,8 @@ def near_dedup(docs: DataFrame, size: int = SHINGLES, percent: int = PERCENT) ->
     placed = nodes.join(labels, "node", "left").select(F.coalesce("component", "node").alias("root"), F.struct(F.col("id").isNull().alias("none"), "id", "digest").alias("first"))
     stay = placed.groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.digest").alias("__stay"), F.col("f.id").alias("__id"))
     schema = StructType([*docs.schema.fields, StructField("__digest", BinaryType())])
-    keyed = cut(docs.mapInArrow(_with_digest, schema))
-    kept = keyed.join(stay, (F.col("__digest") == F.col("__stay")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__digest"])
-    return kept.unionByName(keyed.where("__digest IS NULL")).drop("__digest")
+    keyed = docs.mapInArrow(_with_digest, schema)
+    key = ["__digest", "__id", "__none"]  # columns, so that rows that repeat meet where the join has put them
+    of = lambda name: {"__none": F.col(name).isNull(), "__id": F.coalesce(F.col(name), F.lit(0).cast("long"))}
+    kept = keyed.where("__digest IS NOT NULL").withColumns(of("doc_id")).join(stay.withColumns(of("__id")).withColumnRenamed("__stay", "__digest"), key, "left_semi").dropDuplicates(key)
+    return kept.drop("__id", "__none").unionByName(keyed.where("__digest IS NULL")).drop("__digest")
