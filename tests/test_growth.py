@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tracemine.llm import urlfilter
+from tracemine.llm import neargroups, simhash, urlfilter
 from tracemine.operators import callgraph, cleaning, generation, mining, placement, replay
 from tracemine.plans import adapters, registry
 
@@ -129,3 +129,12 @@ def test_fake_duas_take_as_many_tasks_as_rows_ask_for(spark, monkeypatch):
     monkeypatch.setattr(adapters, "ROWS_OF_TASK", 100)
     found = registry.queries()["d4_fake_duas"](spark, "/root/testdata/sf0.001")
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString() and found.rdd.getNumPartitions() > 8 and found.count() > 0
+
+
+def test_near_dedup_reads_texts_of_likely_candidates_only(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(60)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + " more", texts[1] + " more"])), "doc_id long, text string")
+    seen, real = [], neargroups._texts
+    monkeypatch.setattr(neargroups, "_texts", lambda rows, wanted: seen.append(wanted.count()) or real(rows, wanted))
+    assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == set(range(300)) and max(seen) < 20
