@@ -1,10 +1,12 @@
 """Work that must not grow faster than the input."""
 
 import random
+import sys
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tracemine.llm import neargroups, simhash, urlfilter
+from tracemine.llm import alignment, neargroups, simhash, urlfilter
 from tracemine.operators import callgraph, cleaning, generation, mining, placement, replay
 from tracemine.plans import adapters, registry
 
@@ -138,3 +140,23 @@ def test_near_dedup_reads_texts_of_likely_candidates_only(spark, monkeypatch):
     seen, real = [], neargroups._texts
     monkeypatch.setattr(neargroups, "_texts", lambda rows, wanted: seen.append(wanted.count()) or real(rows, wanted))
     assert {r["doc_id"] for r in simhash.near_dedup(docs).collect()} == set(range(300)) and max(seen) < 20
+
+
+def test_units_are_aligned_together():
+    """Calls in Python do not grow with the units that are new; results do not depend on which units come together, or on those whose bytes are not their tokens'."""
+    both, rng = alignment.Tokenizers(), random.Random(7)
+    both.bytes_a[both.a.encode(" q", add_special_tokens=False).ids[-1]] = b"??"  # units of this token are not their tokens' bytes
+    units = sorted({"".join(rng.choice("abq é漢\U0001f600\t<>'1") for _ in range(rng.randrange(1, 12))) for _ in range(500)})
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(frame.f_code.co_name) if event == "call" and frame.f_code.co_filename == alignment.__file__ and frame.f_code.co_name[0] != "<" else None)
+    try:
+        found = both.encode(units)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 50
+    sizes, said, links = found
+    assert 0 < sizes[:, 0].sum() < len(units)
+    both._forget()
+    one = [both.encode([u]) for u in reversed(units)][::-1]
+    assert [x[1][0] for x in one] == said and [x[0][0].tolist() for x in one] == sizes.tolist() and np.concatenate([x[2] for x in one]).tolist() == links.tolist()
+    assert [s.count("|") for s in said] == sizes[:, 3].tolist() and all(not s for s, good in zip(said, sizes[:, 0], strict=True) if not good)

@@ -7,6 +7,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,49 +35,45 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in PLAIN} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def refined(ends: np.ndarray, vague: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where each of consecutive tokens ends, in bytes. ``ends`` of spans are coarse cuts; that of a vague token, which shares a character with its neighbours, is the end before it and the ``sizes`` of its decoded bytes."""
+    so_far = np.cumsum(sizes)
+    last = np.maximum.accumulate(np.where(vague, -1, np.arange(len(ends))))  # the token, this one or before, whose span is its own
+    return so_far + np.where(last >= 0, ends[last] - so_far[last], 0)
+
+
+def grouped(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How many tokens of each side there are up to each common end, how many links each has, and the links: the places of all pairs of tokens that end together (several, if a token has no bytes)."""
+    common = np.intersect1d(ends_a, ends_b)
+    (first_a, upto_a), (first_b, upto_b) = ([np.searchsorted(e, common, side) for side in ("left", "right")] for e in (ends_a, ends_b))
+    of_b = upto_b - first_b
+    n = (upto_a - first_a) * of_b
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return upto_a, upto_b, n, np.repeat(first_a, n) + at // np.repeat(of_b, n), np.repeat(first_b, n) + at % np.repeat(of_b, n)
+
+
 def byte_ends(ends: list[int], vague: list[bool], tokens: list[bytes]) -> list[int]:
-    """Where each token ends, in bytes. ``ends`` of spans are coarse cuts; that of a vague token, which shares a character with its neighbours, is refined by its decoded bytes."""
-    out, at = [], 0
-    for end, unsure, token in zip(ends, vague, tokens, strict=True):
-        at = at + len(token) if unsure else end
-        out.append(at)
-    return out
+    """``refined`` for the tokens of one text."""
+    return refined(np.array(ends, np.int64), np.array(vague, bool), np.array([len(t) for t in tokens], np.int64)).tolist()
 
 
 def groups_of(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """The groups that common ends cut the tokens into, as how many tokens of each side there are up to their ends; and the pairs of tokens, as their places, that end together."""
-    cuts, links, i, j, n, m = [], [], 0, 0, len(ends_a), len(ends_b)
-    while i < n and j < m:
-        if ends_a[i] < ends_b[j]:
-            i += 1
-        elif ends_a[i] > ends_b[j]:
-            j += 1
-        else:
-            e, first, start = ends_a[i], i, j
-            while i < n and ends_a[i] == e:  # several, if a token has no bytes
-                i += 1
-            while j < m and ends_b[j] == e:
-                j += 1
-            cuts.append((i, j))
-            links += [(x, y) for x in range(first, i) for y in range(start, j)]
-    return cuts, links
-
-
-class Unit:
-    """Tokens of a piece of text that both tokenizers encode by itself: their numbers, their groups as text, and the linked ids; without ``ok`` their bytes are not the text's."""
-
-    __slots__ = ("groups", "links", "n_a", "n_b", "n_groups", "ok")
-
-    def __init__(self, a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], ok: bool):
-        cuts, links = groups_of(ends_a, ends_b) if ok else ([], [])
-        self.ok, self.n_a, self.n_b, self.n_groups = ok, len(a), len(b), len(cuts)
-        self.links = [(a[i] << 32) | b[j] for i, j in links]
-        starts = [(0, 0), *cuts][: len(cuts)]
-        self.groups = ";".join([f"{','.join(map(str, a[s:e]))}|{','.join(map(str, b[t:f]))}" for (s, t), (e, f) in zip(starts, cuts, strict=True)])
+    """``grouped`` for the tokens of one text: how many of each side there are up to each common end, and the pairs."""
+    upto_a, upto_b, _, x, y = grouped(np.array(ends_a, np.int64), np.array(ends_b, np.int64))
+    return list(zip(upto_a.tolist(), upto_b.tolist(), strict=True)), list(zip(x.tolist(), y.tolist(), strict=True))
+
+
+def _pick(values: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values of the runs at ``at``, where run i has sizes[i] of them."""
+    starts, n = np.cumsum(sizes) - sizes, sizes[at]
+    return values[np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
 class Tokenizers:
-    """Both tokenizers and what they have encoded. Units that repeat are encoded once while REMEMBERED characters of them are kept."""
+    """Both tokenizers and what they have encoded. Units, which both encode by themselves, are encoded together, and once while REMEMBERED characters of them are kept.
+
+    Of each unit kept: in ``sizes`` whether its tokens' bytes are its own, and the numbers of its tokens, groups and links; in ``said`` its groups as text; in ``links`` the linked ids, of all units in one row.
+    """
 
     def __init__(self, bpe: str = BYTE_BPE, model: str = PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores
@@ -86,46 +83,99 @@ class Tokenizers:
         self.a, self.b = Tokenizer.from_file(bpe), SentencePieceProcessor(model_file=model)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         of, size = byte_of(), self.b.get_piece_size()
-        self.bytes_a = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
-        self.is_byte = [self.b.is_byte(i) for i in range(size)]
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()
+        self.is_byte = np.array([self.b.is_byte(i) for i in range(size)])
         names = [self.b.id_to_piece(i) for i in range(size)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if raw else p.replace("▁", " ").encode() for p, raw in zip(names, self.is_byte, strict=True)]
+        self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: Each id with what follows it: within a side of a group or at its end; for B also at a unit's end.
+        self.written = np.array([f"{i}{c}" for n, ends in ((len(self.bytes_a), ",|"), (size, ",;\n")) for i in range(n) for c in ends], object)
         self.joins = any(re.search("[^▁]▁", p) for p in names)  # then spaces inside pieces do not cut
-        self.known: dict[str, Unit] = {}
-        self.chars = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.said: list[str] = []
+        self.sizes, self.links, self.chars = np.zeros((0, 5), np.int64), np.zeros(0, np.int64), 0
 
     def cut(self, text: str) -> list[str]:
         """The units of a text, without the space before each."""
         return [] if not text else [text] if self.joins else BETWEEN.split(text)
 
-    def encode(self, units: list[str]) -> list[Unit]:
+    def encode(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The ``sizes``, ``said`` and ``links`` of distinct units."""
         if self.chars > REMEMBERED:
-            self.known.clear()
-            self.chars = 0
+            self._forget()
         new = [u for u in units if u not in self.known]
-        protos = self.b.encode(new, return_type="proto", num_threads=1) if new else []
-        for u, a, b in zip(new, self.a.encode_batch([" " + u for u in new], add_special_tokens=False), protos, strict=True):
-            self.known[u] = self._unit(u, a, b)
-            self.chars += len(u)
-        return [self.known[u] for u in units]
-
-    def _unit(self, text: str, a, b) -> Unit:
-        whole = (" " + text).encode()
-        ids_a, pieces = a.ids, [(p.id, p.end) for p in b.pieces]
-        ids_b = [i for i, _ in pieces]
-        tokens_a, tokens_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
-            return Unit(ids_a, ids_b, [], [], False)
+        if new:
+            sizes, said, links = self._new(new)
+            self.known.update(zip(new, range(len(self.said), len(self.said) + len(new)), strict=True))
+            self.said += said
+            self.sizes, self.links = np.concatenate((self.sizes, sizes)), np.concatenate((self.links, links))
+            self.chars += sum(map(len, new))
+        at = np.array([self.known[u] for u in units], np.int64)
+        return self.sizes[at], [self.said[i] for i in at.tolist()], _pick(self.links, self.sizes[:, 4], at)
+
+    def _new(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        found = self.a.encode_batch([" " + u for u in units], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        n_a = np.array([len(x) for x in ids], np.int64)
+        ids_a = np.fromiter(chain.from_iterable(ids), np.int64, n_a.sum())
         # A's offsets count characters, of which tokens may share one; B's count the text's bytes, and pieces of single bytes have none of their own
-        offsets = a.offsets
-        if len(whole) == len(text) + 1:
-            ends_a = [e for _, e in offsets]
-        else:
-            at = np.concatenate(([0], np.cumsum([len(c.encode()) for c in " " + text]))).tolist()
-            vague = [s < e for (_, e), (s, _) in zip(offsets, [*offsets[1:], (len(text) + 1, 0)], strict=True)]
-            ends_a = byte_ends([at[e] for _, e in offsets], vague, tokens_a)
-        ends_b = byte_ends([e + 1 for _, e in pieces], [self.is_byte[i] for i in ids_b], tokens_b)
-        return Unit(ids_a, ids_b, ends_a, ends_b, True)
+        spans_a = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)), np.int64, 2 * len(ids_a)).reshape(-1, 2)
+        pieces = [s.pieces for s in self.b.encode(units, return_type="proto", num_threads=1)]
+        n_b = np.array([len(x) for x in pieces], np.int64)
+        ids_b, spans_b = np.array([(p.id, p.end) for x in pieces for p in x], np.int64).reshape(-1, 2).T
+
+        text = "".join([" " + u for u in units])
+        chars = np.array([len(u) + 1 for u in units], np.int64)
+        ok = self._whole(text, chars, n_a, ids_a, n_b, ids_b)
+        sizes = np.stack((ok, n_a, n_b, np.zeros_like(n_a), np.zeros_like(n_a)), axis=1)
+        if not ok.all():
+            own_a, own_b, text = np.repeat(ok, n_a), np.repeat(ok, n_b), "".join([" " + u for u, good in zip(units, ok.tolist(), strict=True) if good])
+            ids_a, spans_a, ids_b, spans_b, n_a, n_b, chars = ids_a[own_a], spans_a[own_a], ids_b[own_b], spans_b[own_b], n_a[ok], n_b[ok], chars[ok]
+
+        start, firsts = _starts(text), np.cumsum(chars) - chars
+        unit_a, unit_b = np.repeat(np.arange(len(chars)), n_a), np.repeat(np.arange(len(chars)), n_b)
+        spans_a = spans_a + firsts[unit_a][:, None]
+        vague = np.append(spans_a[1:, 0] < spans_a[:-1, 1], False)[: len(spans_a)]
+        # a place between units, so that no token of one ends where a token of the next starts
+        ends_a = refined(start[spans_a[:, 1]], vague, self.sizes_a[ids_a]) + unit_a
+        ends_b = refined(start[firsts[unit_b]] + 1 + spans_b, self.is_byte[ids_b], self.sizes_b[ids_b]) + unit_b
+        upto_a, upto_b, n, x, y = grouped(ends_a, ends_b)
+        unit = unit_a[upto_a - 1]
+        sizes[ok, 3] = np.bincount(unit, minlength=len(chars))
+        sizes[ok, 4] = np.bincount(unit_a[x], minlength=len(chars))
+
+        group_a, group_b = (np.repeat(np.arange(len(unit)), np.diff(upto, prepend=0)) for upto in (upto_a, upto_b))  # common ends include those of units, so each token has a group
+        last_a, last_b = np.zeros((2, max(len(ids_a), len(ids_b))), np.int64)
+        last_a[upto_a - 1] = last_b[upto_b - 1] = 1
+        last_b[np.cumsum(n_b) - 1] = 2
+        codes = np.zeros(len(ids_a) + len(ids_b), np.int64)
+        codes[np.arange(len(ids_a)) + np.append(0, upto_b)[group_a]] = 2 * ids_a + last_a[: len(ids_a)]
+        codes[np.arange(len(ids_b)) + upto_a[group_b]] = 2 * len(self.bytes_a) + 3 * ids_b + last_b[: len(ids_b)]
+        lines = iter("".join(self.written[codes].tolist()).split("\n"))
+        return sizes, [next(lines) if good else "" for good in ok.tolist()], ids_a[x] << 32 | ids_b[y]
+
+    def _whole(self, text: str, chars: np.ndarray, n_a: np.ndarray, ids_a: np.ndarray, n_b: np.ndarray, ids_b: np.ndarray) -> np.ndarray:
+        """Which of the units that text is made of are the joined bytes of their tokens, on both sides."""
+        whole, ends = text.encode(), _starts(text)[np.cumsum(chars)]
+        ok = np.ones(len(chars), bool)
+        for n, ids, tokens, sizes in ((n_a, ids_a, self.bytes_a, self.sizes_a), (n_b, ids_b, self.bytes_b, self.sizes_b)):
+            joined, stops = b"".join([tokens[i] for i in ids.tolist()]), np.append(0, np.cumsum(sizes[ids]))[np.cumsum(n)]
+            if joined != whole or (stops != ends).any():
+                places = zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), np.append(0, stops[:-1]).tolist(), stops.tolist(), strict=True)
+                ok &= np.array([whole[a:b] == joined[s:t] for a, b, s, t in places], bool)
+        return ok
+
+
+def _starts(text: str) -> np.ndarray:
+    """Where each character of a text starts in its bytes, and where the last one ends."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: str, model: str, spans: bool) -> Iterator[pa.RecordBatch]:
@@ -136,20 +186,18 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: str, model: str, spans: boo
     def rows(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
         place: dict[str, int] = {}
         each = [np.array([place.setdefault(u, len(place)) for u in both.cut(t)], np.int32) for t in texts]
-        units = both.encode(list(place))
-        sizes = np.array([[u.ok, u.n_a, u.n_b, u.n_groups, len(u.links)] for u in units], np.int64).reshape(-1, 5)
+        sizes, groups, links = both.encode(list(place))
         docs, used = [], []
         for i, own in zip(ids, each, strict=True):
             if len(own) and sizes[own, 0].all():
                 used.append(own)
-                said = ";".join([units[k].groups for k in own.tolist()])
+                said = ";".join([groups[k] for k in own.tolist()])
                 docs.append((i, *sizes[own, 1:].sum(axis=0).tolist(), hashlib.sha256(said.encode()).hexdigest(), said if spans else None, own.tobytes()))
             else:
                 docs.append((i, 0, 0, 0, 0, "", "" if spans else None, b""))
-        links = np.array([x for u in units for x in u.links], np.int64)
         pairs, places = np.unique(links, return_inverse=True)
         counts = np.zeros(len(pairs), np.int64)
-        times = np.bincount(np.concatenate(used), minlength=len(units)) if used else np.zeros(len(units), np.int64)
+        times = np.bincount(np.concatenate(used), minlength=len(place)) if used else np.zeros(len(place), np.int64)
         np.add.at(counts, places, np.repeat(times, sizes[:, 4]))
 
         def batch(size: int, kind: int, columns: dict) -> pa.RecordBatch:
