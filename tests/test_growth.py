@@ -160,3 +160,17 @@ def test_units_are_aligned_together():
     one = [both.encode([u]) for u in reversed(units)][::-1]
     assert [x[1][0] for x in one] == said and [x[0][0].tolist() for x in one] == sizes.tolist() and np.concatenate([x[2] for x in one]).tolist() == links.tolist()
     assert [s.count("|") for s in said] == sizes[:, 3].tolist() and all(not s for s, good in zip(said, sizes[:, 0], strict=True) if not good)
+
+
+def test_few_texts_are_moved(spark):
+    docs = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    wanted = docs.where("doc_id IS NULL OR doc_id % 250 = 0").select(F.coalesce("doc_id", F.lit(-1)).alias("node"), F.col("doc_id").alias("id"))
+    likely = {r["doc_id"] for r in neargroups.likely(docs, wanted.select(F.col("id").alias("__id"))).collect()}
+    assert likely >= {None, *range(250, 5000, 250)} and len(likely) < 60
+    found = neargroups._texts(docs, docs.select("text").mapInArrow(neargroups._words, "digest binary, words binary").join(wanted.withColumn("words", F.concat(F.lit("text "), F.coalesce("id", F.lit(0))).cast("binary")), "words").select("node", "digest", "id"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("<=>") < plan.index("__map")  # the maps are looked at before texts are dealt by doc_id
+    assert {(r["node"], bytes(r["words"])) for r in found.collect()} == {(-1, b"text 0"), *((i, b"text %d" % i) for i in range(250, 5000, 250))}
+    buckets = spark.createDataFrame([(1, 0, 10, 0, 2), (1, 0, 11, 0, 2)], "key long, band long, node long, salt int, n long")
+    labels, nodes = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([(10, 5, bytes(32)), (11, 5, bytes(32))], "node long, n_shingles long, signature binary")
+    assert neargroups.proposals(buckets, labels, nodes, 80, 4, simhash.WideRing(10)).count() == 0

@@ -20,6 +20,8 @@ SHINGLE, PERCENT = 5, 80
 TILE, PARTNERS = 512, 4
 #: Tasks that the members of one star are dealt to.
 RAYS = 64
+#: Bits of one of Spark's bitmaps, and how many of them tell which doc_ids are likely to be wanted.
+MAP_BITS, MAPS = 32768, 256
 
 
 class Scheme(Protocol):
@@ -108,10 +110,22 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(w) for w in words], pa.binary()), pa.array(words, pa.binary())], names=["digest", "words"])
 
 
+def likely(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (``doc_id``, ``text``) but for most of those whose doc_id is not in ids (``__id``), so that a join on it moves few texts. The bits of hashes that ids have are set in MAPS maps of MAP_BITS bits, whatever the
+    number of ids: 1 MB for all tasks. Where ids are so many that most bits are set, more rows stay; none is lost."""
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(MAPS * MAP_BITS))
+    place = hashed(F.col("__id"))
+    maps = ids.select(F.floor(place / MAP_BITS).alias("__map"), (place % MAP_BITS).alias("__bit")).repartition("__map").groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    at = hashed(F.col("doc_id"))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at % MAP_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(maps), F.floor(at / MAP_BITS) == F.col("__map"))
+    return found.where(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(1) == 1).select(*rows.columns)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``node``, ``words`` of the wanted nodes (``node``, ``digest``, ``id``: a doc_id that has the text), from the documents again."""
     ids = wanted.select(F.col("id").alias("__id")).distinct()
-    rows = docs.select("doc_id", empty_if_null("text").alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    rows = likely(docs.select("doc_id", empty_if_null("text").alias("text")), ids).join(ids, F.col("doc_id").eqNullSafe(F.col("__id")))  # a semi-join would be done before what likely does
     return rows.select("text").mapInArrow(_words, "digest binary, words binary").join(wanted.select("node", "digest"), "digest").select("node", "words").dropDuplicates(["node"])
 
 
@@ -207,9 +221,10 @@ def proposals(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent:
     Buckets in one component are done. Of buckets with the same members one is looked at. In each, the members outside its largest component are compared with all, by the
     sizes of their sets and by their fingerprints, in tiles of TILE members a side; ``partners`` keeps the likeliest of each, and ``more`` says that there were others.
     """
-    own = buckets.select("key", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = buckets.where("n > 2")  # the star of a bucket of two is all of it
+    own = several.select("key", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = own.groupBy("key", "band", "component").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    live = parts.groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0 AND n > 2")  # the star of a bucket of two is all of it
+    live = parts.groupBy("key", "band").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"), F.sum("sum").alias("sum")).where("minor > 0")
     live = live.groupBy("n", "sum").agg(F.min(F.struct("band", "key", "major", "minor")).alias("b")).select("n", "b.key", "b.major", "b.minor")
     rows, all_tiles, minor_tiles = own.join(live, "key"), F.ceil(F.col("n") / TILE), F.ceil(F.col("minor") / TILE)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
