@@ -174,3 +174,13 @@ def test_few_texts_are_moved(spark):
     buckets = spark.createDataFrame([(1, 0, 10, 0, 2), (1, 0, 11, 0, 2)], "key long, band long, node long, salt int, n long")
     labels, nodes = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([(10, 5, bytes(32)), (11, 5, bytes(32))], "node long, n_shingles long, signature binary")
     assert neargroups.proposals(buckets, labels, nodes, 80, 4, simhash.WideRing(10)).count() == 0
+
+
+def test_fake_duas_look_at_the_bytes_once(spark):
+    found = registry.queries()["d4_fake_duas"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == adapters.view(spark, "/root/testdata/sf0.001", "fx_bytes")._jdf.queryExecution().optimizedPlan().toString().count("Window") and "LeftSemi" not in plan
+    elements = spark.createDataFrame([("t", q, i, i + (q + i) % 3, 8, q % 6, q % 4 == 0) for q in range(40) for i in range(8)], "trace_id string, seq long, pos int, offset int, len int, num_tainted int, real boolean")
+    queries = elements.select("trace_id", "seq", "len", "num_tainted", "real").distinct()
+    own = lambda df: {(r["seq"], tuple(r["bytes"])) for r in df.collect()}
+    assert own(mining.fake_duas(elements)) == own(mining.fake_duas(elements.select("trace_id", "seq", "pos", "offset"), queries)) != set()

@@ -80,14 +80,16 @@ def dua_candidates(rows: DataFrame, n: int = MAGIC, death: DataFrame | None = No
     return ready.select("trace_id", "seq", "inputfile", "lval", "ptrs", "tcns", "labels", "deaths", "all_labels", "max_tcn", "max_cardinality", F.col("run.low").alias("low"), F.col("run.high").alias("high"), real.alias("real"))
 
 
-def fake_duas(elements: DataFrame, queries: DataFrame, n: int = MAGIC) -> DataFrame:
+def fake_duas(elements: DataFrame, queries: DataFrame | None = None, n: int = MAGIC) -> DataFrame:
     """``trace_id``, ``seq``, ``bytes``: for chaff, the first n free bytes of queries with n untainted bytes at least. The i-th entry of a query frees byte i if its offset is beyond i.
 
-    queries: ``trace_id``, ``seq``, ``len``, ``num_tainted``, ``real``; elements: ``trace_id``, ``seq``, ``pos``, ``offset``.
+    queries: ``trace_id``, ``seq``, ``len``, ``num_tainted``, ``real``; elements: ``trace_id``, ``seq``, ``pos``, ``offset``. Without queries, elements have the other columns of their query too, and nothing is joined.
     """
-    wanted = queries.where(~F.col("real") & (F.col("len") - F.col("num_tainted") >= n)).select("trace_id", "seq")
-    free = elements.where("offset > pos").join(wanted, ["trace_id", "seq"], "left_semi").groupBy("trace_id", "seq").agg(F.slice(F.array_sort(F.collect_list("pos")), 1, n).alias("bytes"))
-    return free.where(F.size("bytes") == n)
+    wanted = ~F.col("real") & (F.col("len") - F.col("num_tainted") >= n)
+    free = elements.where("offset > pos")
+    free = free.where(wanted) if queries is None else free.join(queries.where(wanted).select("trace_id", "seq"), ["trace_id", "seq"], "left_semi")
+    found = free.groupBy("trace_id", "seq").agg(F.slice(F.array_sort(F.collect_list("pos")), 1, n).alias("bytes"))
+    return found.where(F.size("bytes") == n)
 
 
 def source_lvals(queries: DataFrame) -> DataFrame:
