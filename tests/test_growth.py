@@ -2,11 +2,12 @@
 
 import random
 import sys
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tracemine.llm import alignment, neargroups, simhash, urlfilter
+from tracemine.llm import alignment, common, neargroups, simhash, urlfilter
 from tracemine.operators import callgraph, cleaning, generation, mining, placement, replay
 from tracemine.plans import adapters, registry
 
@@ -184,3 +185,30 @@ def test_fake_duas_look_at_the_bytes_once(spark):
     queries = elements.select("trace_id", "seq", "len", "num_tainted", "real").distinct()
     own = lambda df: {(r["seq"], tuple(r["bytes"])) for r in df.collect()}
     assert own(mining.fake_duas(elements)) == own(mining.fake_duas(elements.select("trace_id", "seq", "pos", "offset"), queries)) != set()
+
+
+def test_tables_written_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: {x for x in (str(f) for f in disk.getAllFiles().mkString("\n").split("\n")) if x.endswith(".data")}
+    before, setting = left(), spark.conf.get(common.CLEANUP)
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(5, "k")
+    for kept in (common.cut(counts), common.written(counts)):
+        assert sorted(r["count"] for r in kept.collect()) == [142] + [143] * 6
+    deadline = time.monotonic() + 20
+    while (more := left() - before) and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not more and spark.conf.get(common.CLEANUP) == setting
+
+
+def test_few_edges_leave_few_tasks(spark):
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = common.components(spark.range(300).where("id % 100 > 0").select(F.col("id").alias("u"), (F.col("id") - 1).alias("v")))
+        tasks = found.rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks == common.LEAST_TASKS and {(r["node"], r["component"]) for r in found.collect()} == {(i, i // 100 * 100) for i in range(300) if i % 100}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,10 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
+#: The setting by which Spark drops shuffle files at the end of an action.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,16 +37,29 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextlib.contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark drops an action's shuffle files as soon as it ends, not when the driver happens to collect its garbage. The session's setting is put back."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder and read it from there, so that lost executors do not send work back beyond this point."""
     _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own: df may run again, and then still has its shuffle files
 
 
 def written(df: DataFrame) -> DataFrame:
     """As cut, but as a table in the checkpoint folder: for wide rows, of which later steps read a few columns each."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _tidy(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -99,28 +119,37 @@ def per_salt(df: DataFrame, salts: str = "salts", name: str = "salt") -> DataFra
     return df.withColumn(name, F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), bit))).drop(salts)
 
 
+#: Edges that a task takes at most where the session has more tasks than so many edges ask for, and the least number of tasks.
+EDGES_OF_TASK, LEAST_TASKS = 50_000, 12
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
     edges: columns ``u``, ``v`` (long). Self-loops and repeats are allowed. Returns ``node``, ``component`` (the smallest node
     reachable) for every node that has an edge to another one and is not itself the smallest. Each round is a fixed number of
     group-and-join steps on keys, without a collected neighbour list, and is cut by a checkpoint. The edges of a node with many are
-    dealt over several tasks by a salt of their other end.
+    dealt over several tasks by a salt of their other end. Tasks follow the number of edges where the session has more, so few edges leave few files.
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    most = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = None
 
     def with_least(rows: DataFrame, least) -> DataFrame:
         salted = rows.withColumn("salt", salt("v"))
-        known = per_salt(salted.groupBy("u").agg(least.alias("m"), salts_of(F.col("salt")).alias("salts")))
-        return salted.join(known, ["u", "salt"])
+        known = per_salt(few(salted.groupBy("u").agg(least.alias("m"), salts_of(F.col("salt")).alias("salts"))))
+        return few(salted.join(known, ["u", "salt"]))
 
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = state
+        tasks = max(LEAST_TASKS, math.ceil(state[0] / EDGES_OF_TASK))
+        few = lambda df: df.coalesce(tasks) if tasks < most else df  # noqa: B023, E731
+        now = few(now)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, F.least("u", F.min("v"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = few(large)
         small = with_least(large, F.min("v")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        now = cut(small.where("u != v").distinct())
+        now = cut(few(small.where("u != v").distinct()))
