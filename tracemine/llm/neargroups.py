@@ -274,4 +274,5 @@ def labelled(docs: DataFrame, size: int, percent: int, scheme: Scheme) -> tuple[
             labels = merged(labels, tiles.mapInArrow(partial(_checked, size=size, percent=percent), "u long, v long"))
         if not more:
             break  # each member has proposed all that it may link with
+        buckets = buckets.join(found.where("more").select("key").distinct(), "key", "left_semi")  # in the others each has
     return prints.select("doc_id", "digest", "n_shingles"), nodes.select("node", "digest", "id", "salts"), labels
