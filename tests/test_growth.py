@@ -212,3 +212,20 @@ def test_few_edges_leave_few_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert tasks == common.LEAST_TASKS and {(r["node"], r["component"]) for r in found.collect()} == {(i, i // 100 * 100) for i in range(300) if i % 100}
+
+
+def test_rows_that_spark_sizes_too_low_are_not_broadcast(spark, monkeypatch):
+    """Each node has a hundred keys in its buckets, and may have many salts as an end of edges; Spark sizes both by the nodes."""
+    nodes = spark.range(300).select(F.col("id").alias("node"), F.unhex(F.sha2((F.col("id") % 200).cast("string"), 256)).alias("signature"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    buckets = neargroups.buckets_of(nodes, simhash.WideRing())
+    assert "BroadcastHashJoin" not in plan(buckets) and buckets.select("node").distinct().count() >= 200
+    assert "SortMergeJoin [key" in plan(neargroups.stars(spark.createDataFrame(buckets.collect(), buckets.schema)))
+    edges = spark.range(1, 60).select((F.col("id") % 7).alias("u"), F.col("id").alias("v"))
+    seen, real = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    expected = sorted(map(tuple, common.components(edges).collect()))
+    assert expected == [(v, v % 7) for v in range(7, 60)] and not any("strategy=merge" in p for p in seen)
+    seen.clear()
+    monkeypatch.setattr(common, "EDGES_OF_TASK", 10)
+    assert sorted(map(tuple, common.components(edges).collect())) == expected and all("strategy=merge" in p for p in seen[1:])

@@ -130,6 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
     reachable) for every node that has an edge to another one and is not itself the smallest. Each round is a fixed number of
     group-and-join steps on keys, without a collected neighbour list, and is cut by a checkpoint. The edges of a node with many are
     dealt over several tasks by a salt of their other end. Tasks follow the number of edges where the session has more, so few edges leave few files.
+    Where edges are more than a task's, the rows of salts are not broadcast: Spark sizes them by the nodes, of which each may have SALTS of them.
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     most = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -138,7 +139,7 @@ def components(edges: DataFrame) -> DataFrame:
     def with_least(rows: DataFrame, least) -> DataFrame:
         salted = rows.withColumn("salt", salt("v"))
         known = per_salt(few(salted.groupBy("u").agg(least.alias("m"), salts_of(F.col("salt")).alias("salts"))))
-        return few(salted.join(known, ["u", "salt"]))
+        return few(salted.join(known if state[0] <= EDGES_OF_TASK else known.hint("merge"), ["u", "salt"]))  # noqa: B023
 
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

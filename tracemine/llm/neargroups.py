@@ -79,17 +79,20 @@ def signatures(docs: DataFrame, size: int, scheme: Scheme) -> DataFrame:
 
 
 def buckets_of(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """``key``, ``band``, ``node``, ``salt``, ``n``: members of the buckets that hold several nodes."""
+    """``key``, ``band``, ``node``, ``salt``, ``n``: members of the buckets that hold several nodes.
+
+    The join is by a shuffle: Spark sizes the keys by the nodes that they are made from, of which each has many, and would send them all through the driver.
+    """
     keyed = scheme.keyed(nodes).withColumn("salt", salt("node"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), salts_of(F.col("salt")).alias("salts")).where("n > 1")
-    return keyed.join(per_salt(sizes), ["key", "salt"])
+    return keyed.join(per_salt(sizes).hint("merge"), ["key", "salt"])
 
 
 def stars(buckets: DataFrame) -> DataFrame:
     """Distinct edges ``u``, ``v``: each member of a bucket with the bucket's centre, the member that shares most buckets with others. So n members give n - 1 candidates, and a text that many are copies of is their centre."""
     score = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("score"))
     centres = buckets.join(score, "node").groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("centre"), salts_of(F.col("salt")).alias("salts"))
-    return buckets.join(per_salt(centres), ["key", "salt"]).where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
+    return buckets.join(per_salt(centres).hint("merge"), ["key", "salt"]).where("node <> centre").select(F.col("centre").alias("u"), F.col("node").alias("v")).distinct()
 
 
 def _maybe(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
