@@ -247,3 +247,14 @@ def test_exploded_pairs_are_not_broadcast(spark, monkeypatch):
     assert {r["lval"]: (r["instr"], r["dua"], r["pad"]) for r in found} == expected and len(found) == 3
     looked = [p for p in plans if "Generate explode" in p]
     assert len(looked) >= 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in looked)
+
+
+def test_exploded_pairs_of_padded_bugs_are_not_broadcast(spark, monkeypatch):
+    duas = spark.range(200).select(F.col("id").alias("dua"), F.lit("in").alias("inputfile"), (F.col("id") % 2).alias("lval"), F.lit("f").alias("loc"), F.col("id").alias("instr"), F.col("id").alias("ready"), (F.col("id") % 10).alias("run"), F.array((F.col("id") / 64).cast("int")).alias("labels"))
+    execs = spark.range(30, 200, 10).select(F.lit("in").alias("inputfile"), F.lit("a").alias("atp"), F.col("id").alias("instr"))
+    plans, real = [], generation.written
+    monkeypatch.setattr(generation, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    found = generation.padded_bugs(execs, duas).collect()
+    assert {(r["lval"], r["instr"], r["dua"], r["pad"]) for r in found} == {(0, 70, 62, 69), (1, 70, 63, 69)} and len(found) == 2
+    looked = [p for p in plans if "Generate explode" in p]
+    assert len(looked) >= 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in looked)
