@@ -258,3 +258,17 @@ def test_exploded_pairs_of_padded_bugs_are_not_broadcast(spark, monkeypatch):
     assert {(r["lval"], r["instr"], r["dua"], r["pad"]) for r in found} == {(0, 70, 62, 69), (1, 70, 63, 69)} and len(found) == 2
     looked = [p for p in plans if "Generate explode" in p]
     assert len(looked) >= 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in looked)
+
+
+def test_few_edges_are_united_without_rounds(spark, monkeypatch):
+    """One task gives what the rounds give, and the driver plans two cuts instead of one a round."""
+    rng = random.Random(8)
+    pairs = [(i, i - 1) for i in range(1, 40)] + [(rng.randrange(40, 400), rng.randrange(40, 400)) for _ in range(150)] + [(5, 5), (1 << 62, -(1 << 62))]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+    seen, real = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: seen.append(1) or real(df))
+    found = sorted(map(tuple, common.components(edges).collect()))
+    assert len(seen) == 2 and found[0] == (1, 0) and (1 << 62, -(1 << 62)) in found and not common.components(edges.where("u = v")).collect()
+    seen.clear()
+    monkeypatch.setattr(common, "EDGES_OF_TASK", 1)
+    assert sorted(map(tuple, common.components(edges).collect())) == found and len(seen) > 3

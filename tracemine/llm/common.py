@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,23 @@ def per_salt(df: DataFrame, salts: str = "salts", name: str = "salt") -> DataFra
 EDGES_OF_TASK, LEAST_TASKS = 50_000, 12
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges of one task: a node's parent is a smaller one of its component, or itself."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for b in batches:
+        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+            a, z = sorted((root(u), root(v)))
+            parent[z] = a
+    found = [(x, r) for x in parent if (r := root(x)) != x]
+    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star.
 
@@ -130,7 +148,8 @@ def components(edges: DataFrame) -> DataFrame:
     reachable) for every node that has an edge to another one and is not itself the smallest. Each round is a fixed number of
     group-and-join steps on keys, without a collected neighbour list, and is cut by a checkpoint. The edges of a node with many are
     dealt over several tasks by a salt of their other end. Tasks follow the number of edges where the session has more, so few edges leave few files.
-    Where edges are more than a task's, the rows of salts are not broadcast: Spark sizes them by the nodes, of which each may have SALTS of them.
+    The rows of salts are not broadcast: Spark sizes them by the nodes, of which each may have SALTS of them. Edges that are no more than a task's are done by one, without
+    rounds, each of which would leave the driver plans, threads and small broadcasts.
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     most = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -139,12 +158,15 @@ def components(edges: DataFrame) -> DataFrame:
     def with_least(rows: DataFrame, least) -> DataFrame:
         salted = rows.withColumn("salt", salt("v"))
         known = per_salt(few(salted.groupBy("u").agg(least.alias("m"), salts_of(F.col("salt")).alias("salts"))))
-        return few(salted.join(known if state[0] <= EDGES_OF_TASK else known.hint("merge"), ["u", "salt"]))  # noqa: B023
+        return few(salted.join(known.hint("merge"), ["u", "salt"]))
 
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        if state[0] <= EDGES_OF_TASK:
+            found = now.coalesce(1).mapInArrow(_united, "node long, component long")
+            return cut(found.repartition(min(LEAST_TASKS, most), "node"))
         before = state
         tasks = max(LEAST_TASKS, math.ceil(state[0] / EDGES_OF_TASK))
         few = lambda df: df.coalesce(tasks) if tasks < most else df  # noqa: B023, E731
